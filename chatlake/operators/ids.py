@@ -1,70 +1,89 @@
 """Dense ascending ids and dense per-group positions without a single task.
 
 ``row_number() OVER (ORDER BY ...)`` with no partition runs in one task, and a
-window partitioned by a hot key puts that key in one task. Here the rows are
-range-partitioned on the ordering (a hot group is split across several
-partitions because the order key continues inside the group), sorted within
-partitions, and numbered locally; a tiny per-partition count table gives the
-offsets. Nothing is collected and no partition holds more than its range.
-
-The range exchange has an explicit partition count, so adaptive execution
-does not re-split it and both uses of it see the same partitions (the second
-use is a reused exchange). The order key must be unique for the numbering to
-be deterministic on recomputation after an executor loss.
+window partitioned by a hot key puts that key in one task. Here rows are cut
+into buckets along the leading order key at fixed split points (approximate
+quantiles, computed once: ``buckets`` numbers come back to the driver), so a
+bucket is a pure function of the row and every recomputation after an
+executor loss gives the same numbering. Rows are numbered inside their
+bucket by a window partitioned by the bucket (balanced, since the buckets are
+quantiles), and a tiny per-bucket count table gives the offsets.
+
+The order key must be unique for the numbering to be deterministic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatlake.session import default_parallelism
 
-_PID, _RIX, _N, _OFF, _FIRST = "_cl_pid", "_cl_rix", "_cl_n", "_cl_off", "_cl_first"
+_KEY, _BKT, _N, _OFF, _RN = "_cl_key", "_cl_bucket", "_cl_n", "_cl_off", "_cl_rn"
+
+
+def _numeric_key(df: DataFrame, col: str) -> Column:
+    dtype = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif isinstance(dtype, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(dtype, T.StringType):
+        # first 6 bytes as a number keep the string order between buckets
+        c = F.conv(F.hex(F.substring(F.rpad(c, 6, "\u0000"), 1, 6)), 16, 10).cast("long")
+    return F.coalesce(c.cast("double"), F.lit(float("-inf")))
 
 
-def _numbered(df: DataFrame, order_cols: list[str], num_partitions: int) -> DataFrame:
-    ranged = df.repartitionByRange(num_partitions, *order_cols).sortWithinPartitions(*order_cols)
-    pid = F.spark_partition_id()
-    # monotonically_increasing_id = (partition index << 33) + row index in partition
-    rix = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
-    return ranged.withColumn(_PID, pid).withColumn(_RIX, rix)
+def bucketed(df: DataFrame, key_col: str, buckets: int | None = None,
+             rel_error: float = 0.001) -> DataFrame:
+    """Add ``_cl_bucket``: the quantile bucket of ``key_col``."""
+    n = buckets or default_parallelism(df.sparkSession)
+    keyed = df.withColumn(_KEY, _numeric_key(df, key_col))
+    probs = [i / n for i in range(1, n)]
+    qs = keyed.approxQuantile(_KEY, probs, rel_error) if n > 1 else []
+    splits = sorted({q for q in qs if q not in (float("inf"), float("-inf"))})
+    splits = [float("-inf")] + splits + [float("inf")]
+    return Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BKT,
+                      handleInvalid="keep").transform(keyed).drop(_KEY)
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
-              start=0, num_partitions: int | None = None) -> DataFrame:
+              start=0, buckets: int | None = None) -> DataFrame:
     """Add ``id_col`` = start + 0-based rank of the row in ``order_cols`` order (W-2).
 
-    ``start`` may be a Column (for example the current max id of the table
-    plus one, as a scalar subquery).
+    ``start`` may be a Column (for example the store's max id + 1 as a scalar
+    subquery).
     """
-    n = num_partitions or default_parallelism(df.sparkSession)
-    tagged = _numbered(df, order_cols, n)
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias(_N))
-    # at most n rows: an ordered running sum over them is cheap
-    offsets = counts.select(_PID, F.coalesce(
-        F.sum(_N).over(Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)),
+    b = bucketed(df, order_cols[0], buckets)
+    counts = b.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
+    # one row per bucket: an ordered running sum over them is cheap
+    offsets = counts.select(_BKT, F.coalesce(
+        F.sum(_N).over(Window.orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias(_OFF))
-    start_col = start if not isinstance(start, (int, float)) else F.lit(start)
-    return (tagged.join(F.broadcast(offsets), _PID)
-            .withColumn(id_col, (start_col + F.col(_OFF) + F.col(_RIX)).cast("long"))
-            .drop(_PID, _RIX, _OFF))
+    ranked = b.withColumn(_RN, F.row_number().over(Window.partitionBy(_BKT).orderBy(*order_cols)))
+    start_col = start if isinstance(start, Column) else F.lit(start)
+    return (ranked.join(F.broadcast(offsets), _BKT)
+            .withColumn(id_col, (start_col + F.col(_OFF) + F.col(_RN) - 1).cast("long"))
+            .drop(_BKT, _OFF, _RN))
 
 
 def group_positions(df: DataFrame, group_col: str, order_col: str,
-                    pos_col: str = "pos", num_partitions: int | None = None) -> DataFrame:
-    """Add ``pos_col`` = 1-based position of the row inside its group by ``order_col``.
+                    pos_col: str = "pos", buckets: int | None = None) -> DataFrame:
+    """Add ``pos_col`` = 1-based position of the row in its group by ``order_col``.
 
-    Skew-safe: a group holding a third of all rows is still spread over many
-    partitions. The offsets table has one row per (partition, group) present.
+    Skew-safe: buckets follow the global order key, so a group holding a third
+    of all rows is split over many (group, bucket) windows. The offsets table
+    has one row per (group, bucket) present.
     """
-    n = num_partitions or default_parallelism(df.sparkSession)
-    tagged = _numbered(df, [group_col, order_col], n)
-    counts = tagged.groupBy(_PID, group_col).agg(
-        F.count(F.lit(1)).alias(_N), F.min(_RIX).alias(_FIRST))
-    w = Window.partitionBy(group_col).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, group_col, _FIRST,
-                            F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
-    return (tagged.join(offsets, [_PID, group_col])
-            .withColumn(pos_col, (F.col(_OFF) + F.col(_RIX) - F.col(_FIRST) + 1).cast("long"))
-            .drop(_PID, _RIX, _OFF, _FIRST))
+    b = bucketed(df, order_col, buckets)
+    counts = b.groupBy(group_col, _BKT).agg(F.count(F.lit(1)).alias(_N))
+    w = Window.partitionBy(group_col).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group_col, _BKT, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
+    ranked = b.withColumn(_RN, F.row_number().over(
+        Window.partitionBy(group_col, _BKT).orderBy(order_col)))
+    return (ranked.join(offsets, [group_col, _BKT])
+            .withColumn(pos_col, (F.col(_OFF) + F.col(_RN)).cast("long"))
+            .drop(_BKT, _OFF, _RN))

@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from chatlake.plans import history_queries, text_queries, vector_queries  # noqa: F401
+from chatlake.plans import history_queries, store_queries, text_queries, vector_queries  # noqa: F401,E501
 from chatlake.plans.registry import ORACLE, QUERIES  # noqa: F401
