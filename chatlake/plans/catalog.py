@@ -1,4 +1,5 @@
 """Imports every query module so the registry is complete."""
 
-from chatlake.plans import history_queries, store_queries, text_queries, vector_queries  # noqa: F401,E501
+from chatlake.plans import (  # noqa: F401
+    digest_queries, history_queries, store_queries, text_queries, vector_queries)
 from chatlake.plans.registry import ORACLE, QUERIES  # noqa: F401
