@@ -63,7 +63,11 @@ def long_text(spark: SparkSession, sf: str) -> DataFrame:
 
 def message_events(spark: SparkSession, sf: str) -> DataFrame:
     """Nested message events (MESSAGE_EVENT schema) built from ``events``."""
-    e = read_table(spark, sf, "events")
+    return events_to_messages(read_table(spark, sf, "events"))
+
+
+def events_to_messages(e: DataFrame) -> DataFrame:
+    """Shape ``events`` rows (a table or a stream) as MESSAGE_EVENT rows."""
     role = F.when(F.col("user_id") % 2 == 0, F.lit(MEMBER_ROLE)).otherwise(F.lit("guest"))
     roles = F.array(role, F.when(F.col("event_type") == "view", role)
                     .otherwise(F.col("event_type")))
