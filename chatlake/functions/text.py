@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Whitespace as Python's str.split()/str.strip() see it (ASCII controls,
-# the information separators, NEL, NBSP and the Unicode space separators).
-WS = (r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029"
-      r"\u202F\u205F\u3000]")
-NON_WS_RUN = WS.replace("[", "[^", 1) + "+"
+# Whitespace as Python's str.split()/str.strip() see it: the Unicode
+# White_Space set ((?U)\s in Java regex) plus the four information
+# separators U+001C..U+001F. Possessive runs keep the matcher linear.
+WS_CLASS = r"\s\x1C-\x1F"
+NON_WS_RUN = rf"(?U)[^{WS_CLASS}]++"
+STRIP_RE = rf"(?U)^[{WS_CLASS}]++|[{WS_CLASS}]++$"
 # Word tokens for message normalisation: letters/digits, an optional leading
 # '@' (so a mention like '@h.e.l.p.er' survives) and inner . _ ' - joins.
 TOKEN_RE = r"@?[\p{L}\p{N}]+(?:[._'-][\p{L}\p{N}]+)*"
@@ -28,7 +29,7 @@ def token_count(text) -> Column:
 
 def strip(text) -> Column:
     """Python-style strip of leading and trailing whitespace (STR-9)."""
-    return F.regexp_replace(_c(text), f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(_c(text), STRIP_RE, "")
 
 
 def remove_newlines(text) -> Column:

@@ -51,9 +51,12 @@ def term_bucket(term, dim: int) -> Column:
 def hashed_tf(text, dim: int = 64) -> Column:
     """Default embedding (U-1): hashed term counts of fixed size ``dim``.
 
-    A trained model plugs in instead through ``embed_with_model`` in
-    operators.ingest (Arrow batches, model loaded once per worker).
+    The bucket array is the input of one ``aggregate`` (evaluated once per
+    row); each term adds 1 to its slot. A trained model plugs in instead
+    through ``operators.ingest.model_embed`` (Arrow batches, model loaded once
+    per worker).
     """
     buckets = F.transform(terms(text), lambda t: term_bucket(t, dim))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("float"))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return F.aggregate(buckets, zero, lambda acc, b: F.transform(
+        acc, lambda x, i: F.when(i == b, x + F.lit(1.0).cast("float")).otherwise(x)))
