@@ -43,11 +43,20 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
                   bot_id: str, role: str, special_name: str):
     """Live routing + ingest (ST-1, ST-6, SNK-1): route each micro-batch,
     keep the logged rows, normalise and embed them, number them after the
-    table's last id and append, skipping message ids already stored."""
+    table's last id and append, skipping message ids already stored.
+
+    Rows missing an id, a time, an author or a text go to a quarantine table
+    next to the store and the rest of the batch goes on (ST-9).
+    """
     spark = stream.sparkSession
 
     def sink(batch: DataFrame, batch_id: int):
-        routed = rt.route(to_events(batch), bot_id, role, special_name, "live")
+        events = to_events(batch)
+        ok = (F.col("message_id").isNotNull() & F.col("event_ts").isNotNull()
+              & F.col("author.id").isNotNull() & F.col("content").isNotNull())
+        bad = events.where(~ok).withColumn("batch_id", F.lit(batch_id))
+        bad.write.mode("append").parquet(f"{table}_quarantine")
+        routed = rt.route(events.where(ok), bot_id, role, special_name, "live")
         rows = rt.logged_messages(routed).drop("mentions").withColumnRenamed("message_id", "source_id")
         store = _existing(spark, table)
         if store is not None:
