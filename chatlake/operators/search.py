@@ -55,10 +55,15 @@ def vector_search(history: DataFrame, query, k: int = TOP_K, threshold: float =
         q_norm = F.lit(math.sqrt(sum(v * v for v in vals)))
     h = _message_filters(history, bot_name, mention, exclude_channels)
     v_norm = F.col("norm") if "norm" in history.columns else vx.norm("vector")
-    scored = (h.select("id", "ts", "sender", "channel", "message",
-                       vx.cosine("vector", q, v_norm, q_norm).alias("sim"))
-              .where(F.col("sim").isNotNull() & ~F.isnan("sim") & (F.col("sim") > threshold)))
-    top = scored.orderBy(F.desc("sim"), F.asc("id")).limit(k)
+    # NaN -> NULL so it can neither pass the threshold nor sort first
+    sim = F.nanvl(vx.cosine("vector", q, v_norm, q_norm), F.lit(None).cast("double"))
+    scored = h.select("id", "ts", "sender", "channel", "message", sim.alias("sim"))
+    # The threshold is monotone in the sort key: the rows above it are a
+    # prefix of the ranking, so it is applied to the k survivors. A filter
+    # on the score before the top-k would be pushed below the projection and
+    # evaluate the cosine several times per row.
+    top = (scored.orderBy(F.desc_nulls_last("sim"), F.asc("id")).limit(k)
+           .where(F.col("sim") > threshold))
     return top.select(
         F.row_number().over(Window.orderBy(F.desc("sim"), F.asc("id"))).alias("hit_rank"),
         "id", F.col("sender").alias("role"), F.col("message").alias("content"),
