@@ -54,14 +54,16 @@ def next_id(store: DataFrame | None) -> Column:
 
 
 def ingest(messages: DataFrame, store: DataFrame | None,
-           order_cols=("ts", "source_id"), embed=default_embed) -> DataFrame:
-    """Rows to append: prepared messages numbered after the store's last id.
+           order_cols=("ts", "source_id"), embed=default_embed, start=None) -> DataFrame:
+    """Rows to append: prepared messages numbered after the store's last id
+    (or from ``start`` when the caller tracks it).
 
     Ids are dense and follow ``order_cols`` (which must be unique), assigned
     without a single-task window.
     """
     prepared = prepare(messages, embed)
-    return dense_ids(prepared, list(order_cols), "id", start=next_id(store))
+    first = next_id(store) if start is None else start
+    return dense_ids(prepared, list(order_cols), "id", start=first)
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -60,13 +60,16 @@ def after_mark(events: DataFrame, store: DataFrame, ts_col: str = "event_ts",
     """Rows after the store's high-water mark (SRC-7, PF-23, DT-4).
 
     The mark travels through a millisecond clock, so rows of that
-    millisecond are read again and removed by message id. An empty store has
-    no mark, and then nothing is read.
+    millisecond are read again and removed by message id; only stored rows
+    at or after the truncated mark can be such repeats, so the anti join
+    reads just those (a pushed-down range on the store, not the whole
+    table). An empty store has no mark, and then nothing is read.
     """
     hwm = store.agg(F.max(store_ts)).scalar()
     mark = F.date_trunc("millisecond", hwm)
     fresh = events.where(F.col(ts_col) > mark)
-    return fresh.join(store.select(key), key, "left_anti")
+    recent = store.where(F.col(store_ts) >= mark).select(key)
+    return fresh.join(recent, key, "left_anti")
 
 
 def mention_requests(history: DataFrame, bot_id: str, n: int = LAST_N) -> DataFrame:

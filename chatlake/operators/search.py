@@ -25,6 +25,7 @@ TOP_K = 20          # results kept
 THRESHOLD = 0.3     # similarity must be strictly greater
 CONTEXT = 2         # ids on each side, same channel, inclusive
 MAX_QUERY_BLOCK = 4096   # queries broadcast to the tasks at once (size-checked)
+MAX_BROADCAST_ROWS = 1_000_000   # hit rows we hint for broadcast; beyond, AQE decides
 
 
 def _message_filters(df: DataFrame, bot_name, mention, exclude_channels) -> DataFrame:
@@ -153,28 +154,37 @@ def vector_search_batch(history: DataFrame, queries: DataFrame, k: int = TOP_K,
         hits = hits.unionByName(p)
     w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("id"))
     ranked = hits.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
-    # at most k rows per query: a broadcast-sized side for the lookup
+    # at most k rows per query (n_q counted above): broadcast only under the
+    # row bound; a larger result joins by shuffle, re-planned by AQE
+    if n_q * k <= MAX_BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)
     info = history.select("id", "ts", "sender", "channel", "message")
-    return (info.join(F.broadcast(ranked), "id")
+    return (info.join(ranked, "id")
             .select("qid", "hit_rank", "id", F.col("sender").alias("role"),
                     F.col("message").alias("content"), F.round("sim", 6).alias("similarity"),
                     F.unix_timestamp("ts").alias("timestamp"), "channel"))
 
 
-def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT) -> DataFrame:
+def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT,
+                   max_hits: int | None = TOP_K) -> DataFrame:
     """Each hit's conversation: rows of the same channel with id in
     [hit-width, hit+width] (J-1, PF-14). Context rows are not filtered, and
     overlapping contexts are not merged.
 
-    The hits are bounded (k per query), so the band is expanded into at most
-    2*width+1 keys per hit and equi-joined on (id, channel) with the hits
-    broadcast: no range join, no per-hit query.
+    The band is expanded into 2*width+1 keys per hit and equi-joined on
+    (id, channel): no range join, no per-hit query. ``max_hits`` is the
+    caller's bound on the hit rows (k for one query, k * queries for a
+    batch); under the broadcast row bound the expanded hits are broadcast,
+    otherwise (or when the bound is unknown, None) the join is left to
+    adaptive execution, which broadcasts only a side measured small.
     """
     keys = [c for c in ("qid",) if c in hits.columns]
     band = hits.select(*keys, "hit_rank", F.col("id").alias("hit_id"), "channel",
                        F.explode(F.sequence(F.col("id") - width, F.col("id") + width)).alias("id"))
+    if max_hits is not None and max_hits * (2 * width + 1) <= MAX_BROADCAST_ROWS:
+        band = F.broadcast(band)
     return (history.select("id", "ts", "sender", "channel", "message")
-            .join(F.broadcast(band), ["id", "channel"])
+            .join(band, ["id", "channel"])
             .select(*keys, "hit_rank", "hit_id", "id", F.col("sender").alias("role"),
                     F.col("message").alias("content"), tx.iso_text("ts").alias("timestamp"),
                     "channel"))

@@ -26,6 +26,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # MIN/MAX/COUNT from parquet footers (the store's max id without a scan)
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

@@ -43,14 +43,28 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
                   bot_id: str, role: str, special_name: str):
     """Live routing + ingest (ST-1, ST-6, SNK-1): route each micro-batch,
     keep the logged rows, normalise and embed them, number them after the
-    table's last id and append, skipping message ids already stored.
+    ids already issued and write them.
+
+    Exactly once without scanning the store: each batch is written to its
+    own ``batch_id`` partition (dynamic overwrite, so a half-written attempt
+    is replaced) and then recorded in a small progress log ``_progress``
+    (batch_id, first_id, n). A replayed batch found in the log is skipped;
+    the next first id is read from the log, not from the table.
 
     Rows missing an id, a time, an author or a text go to a quarantine table
     next to the store and the rest of the batch goes on (ST-9).
     """
     spark = stream.sparkSession
+    progress_path = f"{table}/_progress"
 
     def sink(batch: DataFrame, batch_id: int):
+        progress = _existing(spark, progress_path)
+        start = 0
+        if progress is not None:
+            if progress.where(F.col("batch_id") == batch_id).limit(1).count():
+                return   # replay of a committed batch
+            start = progress.agg(F.coalesce(F.max(F.col("first_id") + F.col("n")),
+                                            F.lit(0))).first()[0]
         events = to_events(batch)
         ok = (F.col("message_id").isNotNull() & F.col("event_ts").isNotNull()
               & F.col("author.id").isNotNull() & F.col("content").isNotNull())
@@ -58,10 +72,13 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
         bad.write.mode("append").parquet(f"{table}_quarantine")
         routed = rt.route(events.where(ok), bot_id, role, special_name, "live")
         rows = rt.logged_messages(routed).drop("mentions").withColumnRenamed("message_id", "source_id")
-        store = _existing(spark, table)
-        if store is not None:
-            rows = rows.join(store.select("source_id"), "source_id", "left_anti")
-        ing.append(ing.ingest(rows, store, ("ts", "source_id")), table)
+        numbered = ing.ingest(rows, None, ("ts", "source_id"), start=F.lit(start).cast("long"))
+        (numbered.withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(table))
+        n = spark.read.parquet(f"{table}/batch_id={batch_id}").count()
+        spark.createDataFrame([(batch_id, start, n)], "batch_id long, first_id long, n long")\
+            .write.mode("append").parquet(progress_path)
 
     return _run(stream.writeStream.foreachBatch(sink), checkpoint)
 
