@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ def model_embed(load_model: Callable[[], Callable[[list[str]], np.ndarray]]):
     batches are encoded at once.
     """
     @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def embed(batches):
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load_model()
         for s in batches:
             vecs = encode(s.fillna("").tolist())
