@@ -21,10 +21,12 @@ PROFILE_TERMS = 5
 RELEVANCE_THRESHOLD = 0.1
 
 
-def term_counts(messages: DataFrame, key: str = "id", text_col: str = "message") -> DataFrame:
-    """(key, term, tf) for every term of every message."""
-    return (messages.select(key, F.explode(tx.terms(text_col)).alias("term"))
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+def term_counts(messages: DataFrame, key: str = "id", text_col: str = "message",
+                carry=()) -> DataFrame:
+    """(key, carry..., term, tf) for every term of every message; ``carry``
+    columns ride along so no join back to the messages is needed."""
+    return (messages.select(key, *carry, F.explode(tx.terms(text_col)).alias("term"))
+            .groupBy(key, *carry, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def idf(tf: DataFrame, n_docs) -> DataFrame:
@@ -33,12 +35,13 @@ def idf(tf: DataFrame, n_docs) -> DataFrame:
         .withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))))
 
 
-def message_scores(messages: DataFrame, key: str = "id", text_col: str = "message") -> DataFrame:
-    """(key, score) for messages with at least one term."""
-    tf = term_counts(messages, key, text_col)
+def message_scores(messages: DataFrame, key: str = "id", text_col: str = "message",
+                   carry=()) -> DataFrame:
+    """(key, carry..., score) for messages with at least one term."""
+    tf = term_counts(messages, key, text_col, carry)
     n_docs = messages.agg(F.count(F.lit(1))).scalar()
-    w = tf.join(idf(tf, n_docs), "term")
-    return w.groupBy(key).agg(
+    w = tf.join(idf(tf, n_docs).select("term", "idf"), "term")
+    return w.groupBy(key, *carry).agg(
         (F.sum(F.col("tf") * F.col("idf")) / F.sqrt(F.sum("tf"))).alias("score"))
 
 
@@ -48,7 +51,7 @@ def top_messages(messages: DataFrame, group_cols: list[str], k: int = DIGEST_K)
     The per-group top-k is a partial WindowGroupLimit before the shuffle, so
     a hot group sends at most k rows per task.
     """
-    scored = messages.join(message_scores(messages), "id")
+    scored = message_scores(messages, carry=group_cols)
     rank_key = F.round("score", 9)
     w = Window.partitionBy(*group_cols).orderBy(F.desc(rank_key), F.asc("id"))
     return (scored.withColumn("digest_rank", F.row_number().over(w))
@@ -62,10 +65,9 @@ def user_profiles(messages: DataFrame, n_terms: int = PROFILE_TERMS) -> DataFram
     weight(sender, term) = total tf of the term in the sender's messages *
     idf(term); the top terms are a bounded per-sender top-k.
     """
-    tf = term_counts(messages)
+    tf = term_counts(messages, carry=["sender"])
     n_docs = messages.agg(F.count(F.lit(1))).scalar()
-    by_sender = (tf.join(messages.select("id", "sender"), "id")
-                 .groupBy("sender", "term").agg(F.sum("tf").alias("ttf")))
+    by_sender = tf.groupBy("sender", "term").agg(F.sum("tf").alias("ttf"))
     weighted = by_sender.join(idf(tf, n_docs).select("term", "idf"), "term")\
         .withColumn("weight", F.col("ttf") * F.col("idf"))
     w = Window.partitionBy("sender").orderBy(F.desc(F.round("weight", 9)), F.asc("term"))

@@ -47,7 +47,7 @@ def user_digest(spark, sf):
             WHERE r <= {dg.PROFILE_TERMS} GROUP BY sender),
     facts AS (SELECT sender, count(*) AS n_messages, count(DISTINCT channel) AS n_channels,
                      min(id) AS first_id, max(id) AS last_id,
-                     sum(len(regexp_extract_all(lower(message), '{sq.TERM_RE_SQL}'))) AS n_terms
+                     CAST(sum(len(regexp_extract_all(lower(message), '{sq.TERM_RE_SQL}'))) AS BIGINT) AS n_terms
               FROM chat_text GROUP BY sender)
     SELECT facts.*, top.top_terms FROM facts LEFT JOIN top USING (sender)""", "chat_text"))
 def user_profile(spark, sf):
@@ -104,7 +104,7 @@ def _row_sql(src: str, kind: str, chunk: str, prompt: str, system: str = "NULL")
     return (f"SELECT CAST(request_id AS VARCHAR) AS request_id, '{kind}' AS kind, "
             f"CAST({chunk} AS VARCHAR) AS chunk, CAST({system} AS VARCHAR) AS system, "
             f"{prompt} AS prompt, CAST({t} AS DOUBLE) AS temperature, "
-            f"CAST({m} AS INTEGER) AS max_tokens FROM {src}")
+            f"CAST({m} AS BIGINT) AS max_tokens FROM {src}")
 
 
 _PROMPT_ROWS_SQL = with_views(f"""WITH RECURSIVE {sq.tfidf_ctes('chat_text')},

@@ -54,8 +54,8 @@ def pack_ctes(src: str, limit: int, prefix: str = "pk") -> str:
              CASE WHEN w.tok + l.t <= {limit} THEN w.chunk ELSE w.chunk + 1 END,
              CASE WHEN w.tok + l.t <= {limit} THEN w.tok + l.t ELSE l.t END
       FROM {prefix}_walk w JOIN {prefix}_lt l ON l.request_id = w.request_id AND l.pos = w.pos + 1),
-    {prefix}_packed AS (SELECT request_id, chunk AS chunk_no,
-           string_agg(line, chr(10) ORDER BY pos) AS chunk, sum(t) AS n_tokens
+    {prefix}_packed AS (SELECT request_id, CAST(chunk AS BIGINT) AS chunk_no,
+           string_agg(line, chr(10) ORDER BY pos) AS chunk, CAST(sum(t) AS BIGINT) AS n_tokens
       FROM {prefix}_walk JOIN {prefix}_lt USING (request_id, pos) GROUP BY request_id, chunk)"""
 
 

@@ -147,8 +147,8 @@ def _pack_cte(limit: int) -> str:
              CASE WHEN w.tok + l.t <= {limit} THEN w.chunk ELSE w.chunk + 1 END,
              CASE WHEN w.tok + l.t <= {limit} THEN w.tok + l.t ELSE l.t END
       FROM walk w JOIN lt l ON l.doc_id = w.doc_id AND l.pos = w.pos + 1),
-    packed AS (SELECT doc_id, chunk AS chunk_no, string_agg(line, chr(10) ORDER BY pos) AS chunk,
-           sum(t) AS n_tokens
+    packed AS (SELECT doc_id, CAST(chunk AS BIGINT) AS chunk_no, string_agg(line, chr(10) ORDER BY pos) AS chunk,
+           CAST(sum(t) AS BIGINT) AS n_tokens
       FROM walk JOIN lt USING (doc_id, pos) GROUP BY doc_id, chunk)"""
 
 

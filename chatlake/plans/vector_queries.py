@@ -74,7 +74,7 @@ def search_context(spark, sf):
   blocks AS (SELECT hit_rank, count(*) AS n,
                string_agg(role || ' (' || timestamp || '): ' || content || chr(10), '' ORDER BY id)
                || '===' || chr(10) AS block FROM ctx GROUP BY hit_rank)
-  SELECT count(*) AS n_blocks, coalesce(sum(n), 0) AS n_lines,
+  SELECT count(*) AS n_blocks, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines,
          coalesce(string_agg(block, '' ORDER BY hit_rank), '') AS document FROM blocks""",
     "chat_vec"))
 def search_document(spark, sf):
