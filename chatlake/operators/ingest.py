@@ -15,6 +15,7 @@ from chatlake.functions import vectors as vx
 from chatlake.operators.ids import dense_ids
 
 EMBED_DIM = 64
+ID_BLOCK = 1 << 24   # ids per storage partition of chat_history (id_block = id div ID_BLOCK)
 
 
 def default_embed(text) -> Column:
@@ -66,5 +67,14 @@ def ingest(messages: DataFrame, store: DataFrame | None,
     return dense_ids(prepared, list(order_cols), "id", start=first)
 
 
-def append(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+def append(rows: DataFrame, path: str, block: int | None = ID_BLOCK) -> None:
+    """Append to the store, partitioned by id block and sorted by id within
+    files. Lookups by id (the ±2 context of search hits) then read only the
+    blocks that hold a hit: the join key includes ``id_block``, a partition
+    column, so dynamic partition pruning skips the rest."""
+    if block:
+        rows = (rows.withColumn("id_block", F.floor(F.col("id") / block).cast("long"))
+                .repartition("id_block").sortWithinPartitions("id"))
+        rows.write.mode("append").partitionBy("id_block").parquet(path)
+    else:
+        rows.write.mode("append").parquet(path)

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from chatlake.functions import text as tx
 from chatlake.functions import vectors as vx
+from chatlake.operators.ingest import ID_BLOCK
 
 TOP_K = 20          # results kept
 THRESHOLD = 0.3     # similarity must be strictly greater
@@ -178,14 +179,20 @@ def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT,
     otherwise (or when the bound is unknown, None) the join is left to
     adaptive execution, which broadcasts only a side measured small.
     """
-    keys = [c for c in ("qid",) if c in hits.columns]
-    band = hits.select(*keys, "hit_rank", F.col("id").alias("hit_id"), "channel",
+    qkeys = [c for c in ("qid",) if c in hits.columns]
+    band = hits.select(*qkeys, "hit_rank", F.col("id").alias("hit_id"), "channel",
                        F.explode(F.sequence(F.col("id") - width, F.col("id") + width)).alias("id"))
+    on = ["id", "channel"]
+    cols = ["id", "ts", "sender", "channel", "message"]
+    if "id_block" in history.columns:
+        # stored layout: partitions by id block -> dynamic partition pruning
+        band = band.withColumn("id_block", F.floor(F.col("id") / ID_BLOCK).cast("long"))
+        on, cols = ["id_block"] + on, ["id_block"] + cols
     if max_hits is not None and max_hits * (2 * width + 1) <= MAX_BROADCAST_ROWS:
         band = F.broadcast(band)
-    return (history.select("id", "ts", "sender", "channel", "message")
-            .join(band, ["id", "channel"])
-            .select(*keys, "hit_rank", "hit_id", "id", F.col("sender").alias("role"),
+    return (history.select(*cols)
+            .join(band, on)
+            .select(*qkeys, "hit_rank", "hit_id", "id", F.col("sender").alias("role"),
                     F.col("message").alias("content"), tx.iso_text("ts").alias("timestamp"),
                     "channel"))
 
