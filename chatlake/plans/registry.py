@@ -36,6 +36,9 @@ def query(name: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            # the store's clock is UTC wall-clock time (as the oracle reads it)
+            if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return widen(fn(spark, sf))
 
         QUERIES[name] = run
