@@ -101,3 +101,16 @@ def primer_relevance(requests: DataFrame, users: DataFrame,
                     .alias("similarity"),
                     F.when(F.col("primer").isNotNull(), F.coalesce(sim, F.lit(0.0)) > threshold)
                     .alias("relevant"))
+
+
+def profile_text(profiles: DataFrame) -> DataFrame:
+    """One primer line per sender from its profile facts (C-6 text form)."""
+    return profiles.select("sender", F.format_string(
+        "%s: %d messages in %d channels (ids %d..%d); distinctive terms: %s",
+        "sender", "n_messages", "n_channels", "first_id", "last_id",
+        F.coalesce("top_terms", F.lit(""))).alias("primer"))
+
+
+def write_primers(primers: DataFrame, path: str) -> None:
+    """Primer text files, one folder per sender (SNK-7)."""
+    primers.write.mode("errorifexists").partitionBy("sender").text(path)

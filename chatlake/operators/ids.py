@@ -52,6 +52,8 @@ def bucketed(df: DataFrame, key_col: str, buckets: int | None = None,
     probs = [i / n for i in range(1, n)]
     qs = keyed.approxQuantile(_KEY, probs, rel_error) if n > 1 else []
     splits = sorted({q for q in qs if q not in (float("inf"), float("-inf"))})
+    if not splits:   # empty, one-row or constant input: a single bucket
+        return df.withColumn(_BKT, F.lit(0.0))
     splits = [float("-inf")] + splits + [float("inf")]
     return Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BKT,
                       handleInvalid="keep").transform(keyed).drop(_KEY)

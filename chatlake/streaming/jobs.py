@@ -76,7 +76,8 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
         (numbered.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(table))
-        n = spark.read.parquet(f"{table}/batch_id={batch_id}").count()
+        written = _existing(spark, f"{table}/batch_id={batch_id}")   # none when empty
+        n = written.count() if written is not None else 0
         spark.createDataFrame([(batch_id, start, n)], "batch_id long, first_id long, n long")\
             .write.mode("append").parquet(progress_path)
 

@@ -187,3 +187,11 @@ def test_mention_requests_last_n(spark):
                                     "mentions array<struct<id:string,name:string>>")
     got = {r.request_id: r.transcript for r in rt.mention_requests(h, "9", n=3).collect()}
     assert got == {7: "u: m4\nu: m5\nu: m7", 12: "u: m6\nu: m9\nu: m12"}
+
+
+@pytest.mark.parametrize("n", [0, 1, 3])
+def test_dense_ids_tiny_inputs(spark, n):
+    from chatlake.operators.ids import dense_ids, group_positions
+    df = spark.createDataFrame([(i, "c") for i in range(n)], "k long, g string")
+    assert sorted(r.id for r in dense_ids(df, ["k"], start=5).collect()) == list(range(5, 5 + n))
+    assert sorted(r.pos for r in group_positions(df, "g", "k").collect()) == list(range(1, n + 1))

@@ -38,3 +38,15 @@ def test_model_embed_hook(spark):
     prepared = ing.prepare(df.withColumn("message", F.lit("Hello, World")), embed=embed)
     r = prepared.first()
     assert r.message == "hello world" and r.vector == [11.0, 1.0]
+
+
+def test_primer_text_files(spark):
+    from chatlake.operators import digest as dg
+    rows = [(1, "a", "x", "tennis tennis ohio"), (2, "b", "x", "chess"), (3, "a", "y", "ohio rain")]
+    h = spark.createDataFrame(rows, "id long, sender string, channel string, message string")
+    prim = dg.profile_text(dg.user_profiles(h, n_terms=2))
+    got = {r.sender: r.primer for r in prim.collect()}
+    assert got["a"].startswith("a: 2 messages in 2 channels (ids 1..3); distinctive terms: tennis")
+    path = run_dir(spark, "t_primers")
+    dg.write_primers(prim, path)
+    assert spark.read.text(path).count() == 2

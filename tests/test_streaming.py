@@ -84,3 +84,18 @@ def test_activity_stream_holds_last_window(spark, split_events):
     want = {(r.e, r.event_type): r["count"] for r in day.collect()}
     for r in out.collect():
         assert want[(r.window_end, r.channel)] == r.n_messages
+
+
+def test_quarantine_keeps_batch_going(spark):
+    import datetime as dt
+    src = tempfile.mkdtemp(prefix="chatlake-stream-bad-")
+    rows = [(1, dt.datetime(2024, 1, 1, 10), 2, "view", 10.0, "hello"),
+            (2, dt.datetime(2024, 1, 1, 11), 2, "view", 10.0, None),
+            (None, dt.datetime(2024, 1, 1, 12), 4, "view", 10.0, "x")]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/events_0")
+    base = run_dir(spark, "t_quarantine")
+    s = jobs.read_stream(spark, f"{src}/events_0/*.parquet", spark.createDataFrame([], schema).schema)
+    jobs.ingest_stream(s, events_to_messages, f"{base}/h", f"{base}/_ck", BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
+    assert [r.source_id for r in spark.read.parquet(f"{base}/h").collect()] == [1]
+    assert spark.read.parquet(f"{base}/h_quarantine").count() == 2
