@@ -115,48 +115,61 @@ def _topk_in_partition(qids: np.ndarray, qmat: np.ndarray, k: int, threshold: fl
     return run
 
 
+def _block_hits(h: DataFrame, rows: pd.DataFrame, k: int, threshold: float) -> DataFrame:
+    """(qid, id, sim, hit_rank) of one block of queries held in ``rows``."""
+    spark = h.sparkSession
+    qids = rows["qid"].to_numpy(dtype=np.int64)
+    qmat = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+    bc = spark.sparkContext.broadcast((qids, qmat))
+
+    def body(batches):
+        qi, qm = bc.value
+        return _topk_in_partition(qi, qm, k, threshold)(batches)
+
+    hits = h.mapInPandas(body, _HIT_SCHEMA)
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("id"))
+    return hits.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
+
+
 def vector_search_batch(history: DataFrame, queries: DataFrame, k: int = TOP_K,
                         threshold: float = THRESHOLD, bot_name: str | None = None,
                         mention: str | None = None, exclude_channels=(),
                         max_block: int = MAX_QUERY_BLOCK) -> DataFrame:
     """Top-k per query for a table of queries (qid, vector) (J-3, [ext]).
 
-    Queries are shipped to the tasks in blocks of at most ``max_block`` rows
-    (their count is checked first; a larger set runs block by block, so what
-    is broadcast never grows with the data). Messages stay distributed.
-    Output: qid, hit_rank, id, role, content, similarity, timestamp, channel.
+    Messages stay distributed; queries go to the tasks as a broadcast block
+    of at most about ``max_block`` rows, so what is broadcast never grows with
+    the data. Up to ``max_block`` queries run in one plan. A larger set is
+    split by a hash of qid and run block by block: each block's final top-k
+    (queries are disjoint between blocks) is written under the checkpoint
+    folder before the next block is fetched, so the driver holds one block
+    at a time. Output: qid, hit_rank, id, role, content, similarity,
+    timestamp, channel.
     """
+    from chatlake.session import run_dir
     spark = history.sparkSession
     h = _message_filters(history, bot_name, mention, exclude_channels).select("id", "vector")
-    n_q = queries.count()
-    n_blocks = max(1, math.ceil(n_q / max_block))
-    parts = []
-    for b in range(n_blocks):
-        block = queries if n_blocks == 1 else queries.where(
-            F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-        rows = block.select("qid", "vector").toPandas()   # <= max_block rows, checked above
-        if rows.empty:
-            continue
-        qids = rows["qid"].to_numpy(dtype=np.int64)
-        qmat = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-        bc = spark.sparkContext.broadcast((qids, qmat))
-
-        def body(batches, bc=bc):
-            qi, qm = bc.value
-            return _topk_in_partition(qi, qm, k, threshold)(batches)
-
-        parts.append(h.mapInPandas(body, _HIT_SCHEMA))
-    if not parts:
-        return spark.createDataFrame([], "qid long, hit_rank int, id long, role string, "
-                                         "content string, similarity double, timestamp long, "
-                                         "channel string")
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("id"))
-    ranked = hits.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
-    # at most k rows per query (n_q counted above): broadcast only under the
-    # row bound; a larger result joins by shuffle, re-planned by AQE
+    head = queries.select("qid", "vector").limit(max_block + 1).toPandas()
+    if len(head) <= max_block:
+        n_q = len(head)
+        if n_q == 0:
+            return spark.createDataFrame([], "qid long, hit_rank int, id long, role string, "
+                                             "content string, similarity double, "
+                                             "timestamp long, channel string")
+        ranked = _block_hits(h, head, k, threshold)
+    else:
+        del head
+        n_q = queries.count()
+        n_blocks = math.ceil(1.25 * n_q / max_block)
+        out = run_dir(spark, "search_batch_hits")
+        for b in range(n_blocks):
+            rows = (queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
+                    .select("qid", "vector").toPandas())
+            if not rows.empty:
+                _block_hits(h, rows, k, threshold).write.mode("append").parquet(out)
+        ranked = spark.read.parquet(out)
+    # at most k rows per query: broadcast only under the row bound; a larger
+    # result joins by shuffle, re-planned by AQE
     if n_q * k <= MAX_BROADCAST_ROWS:
         ranked = F.broadcast(ranked)
     info = history.select("id", "ts", "sender", "channel", "message")
