@@ -37,26 +37,55 @@ def _numeric_key(df: DataFrame, col: str) -> Column:
     return F.coalesce(c.cast("double"), F.lit(float("-inf")))
 
 
-def bucketed(df: DataFrame, key_col: str, buckets: int | None = None,
-             rel_error: float | None = None) -> DataFrame:
-    """Add ``_cl_bucket``: the quantile bucket of ``key_col``.
+def _splits(qs: list[float]) -> list[float]:
+    inner = sorted({q for q in qs if q not in (float("inf"), float("-inf"))})
+    return [float("-inf")] + inner + [float("inf")] if inner else []
+
 
-    The quantile error (a fraction of all rows) is kept at a tenth of a
-    bucket, so buckets stay balanced however many there are: with 20,000
-    buckets the sketch is about 2e-6 precise.
+def bucketed(df: DataFrame, key_col: str, buckets: int | None = None,
+             rel_error: float | None = None, tie_col: str | None = None) -> DataFrame:
+    """Add ``_cl_bucket``: an order-preserving bucket of (key_col, tie_col).
+
+    Split points are approximate quantiles of ``key_col``, with the error (a
+    fraction of all rows) kept at a tenth of a bucket so buckets stay
+    balanced however many there are.
+
+    A single key value can still hold many buckets' worth of rows (a bulk
+    import stamped with one time). Such hot values show up as repeated
+    quantiles; their rows are split again by quantiles of ``tie_col``. A hot
+    value is always the lowest key of its bucket (it is a split point), so
+    its rows come first there and the refined order is still (key, tie).
     """
-    n = buckets or default_parallelism(df.sparkSession)
+    spark = df.sparkSession
+    n = buckets or default_parallelism(spark)
     if rel_error is None:
         rel_error = min(0.001, 0.1 / max(n, 1))
     keyed = df.withColumn(_KEY, _numeric_key(df, key_col))
     probs = [i / n for i in range(1, n)]
     qs = keyed.approxQuantile(_KEY, probs, rel_error) if n > 1 else []
-    splits = sorted({q for q in qs if q not in (float("inf"), float("-inf"))})
+    splits = _splits(qs)
     if not splits:   # empty, one-row or constant input: a single bucket
-        return df.withColumn(_BKT, F.lit(0.0))
-    splits = [float("-inf")] + splits + [float("inf")]
-    return Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BKT,
-                      handleInvalid="keep").transform(keyed).drop(_KEY)
+        out = keyed.withColumn(_BKT, F.lit(0.0))
+    else:
+        out = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BKT,
+                         handleInvalid="keep").transform(keyed)
+    hot = sorted({q for q in qs if qs.count(q) > 1})
+    if tie_col is not None and hot:
+        share = sum(qs.count(h) for h in hot)          # buckets' worth of hot rows
+        is_hot = F.col(_KEY).isin(hot)
+        tie = _numeric_key(df, tie_col)
+        sub_probs = [i / (share + 1) for i in range(1, share + 1)]
+        sq = keyed.where(is_hot).select(tie.alias("_t")).approxQuantile(
+            "_t", sub_probs, min(0.001, 0.1 / (share + 1)))
+        sub = _splits(sq)
+        if sub:
+            width = len(sub)     # sub buckets 0..len(sub)-2; non-hot rows after them
+            out = out.withColumn("_cl_tie", F.when(is_hot, tie).otherwise(F.lit(float("inf"))))
+            out = Bucketizer(splits=sub, inputCol="_cl_tie", outputCol="_cl_sub",
+                             handleInvalid="keep").transform(out)
+            out = (out.withColumn(_BKT, F.col(_BKT) * width + F.col("_cl_sub"))
+                   .drop("_cl_tie", "_cl_sub"))
+    return out.drop(_KEY)
 
 
 def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
@@ -66,7 +95,8 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
     ``start`` may be a Column (for example the store's max id + 1 as a scalar
     subquery).
     """
-    b = bucketed(df, order_cols[0], buckets)
+    b = bucketed(df, order_cols[0], buckets,
+                 tie_col=order_cols[1] if len(order_cols) > 1 else None)
     counts = b.groupBy(_BKT).agg(F.count(F.lit(1)).alias(_N))
     # one row per bucket: an ordered running sum over them is cheap
     offsets = counts.select(_BKT, F.coalesce(

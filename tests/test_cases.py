@@ -195,3 +195,20 @@ def test_dense_ids_tiny_inputs(spark, n):
     df = spark.createDataFrame([(i, "c") for i in range(n)], "k long, g string")
     assert sorted(r.id for r in dense_ids(df, ["k"], start=5).collect()) == list(range(5, 5 + n))
     assert sorted(r.pos for r in group_positions(df, "g", "k").collect()) == list(range(1, n + 1))
+
+
+def test_dense_ids_hot_timestamp_is_split(spark):
+    """A third of the rows share one timestamp: ids stay exact and no bucket
+    holds the hot value's rows alone."""
+    from pyspark.sql import Window
+    from chatlake.operators import ids
+    n = 3000
+    rows = [(i, T0 if i % 3 == 0 else T0 + dt.timedelta(seconds=i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "source_id long, ts timestamp")
+    got = ids.dense_ids(df, ["ts", "source_id"], buckets=8)
+    want = df.withColumn("id", F.row_number().over(Window.orderBy("ts", "source_id")) - 1)
+    assert sorted(tuple(r) for r in got.select("source_id", "id").collect()) == \
+        sorted(tuple(r) for r in want.select("source_id", "id").collect())
+    b = ids.bucketed(df, "ts", 8, tie_col="source_id")
+    sizes = [r["count"] for r in b.groupBy("_cl_bucket").count().collect()]
+    assert max(sizes) < n / 3
