@@ -247,6 +247,7 @@ def schema_tables(spark, sf):
     db = f"chatlake_{uuid.uuid4().hex[:10]}"
     loc = run_dir(spark, db)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{loc}'")
+    previous = spark.catalog.currentDatabase()
     spark.catalog.setCurrentDatabase(db)
     try:
         create_tables(spark, loc)
@@ -268,7 +269,7 @@ def schema_tables(spark, sf):
                                                F.count(F.lit(1)).alias("n_rows"))
                  for t in ("chat_channels", "user_info", "chat_history")]
     finally:
-        spark.catalog.setCurrentDatabase("default")
+        spark.catalog.setCurrentDatabase(previous)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

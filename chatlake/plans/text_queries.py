@@ -8,6 +8,7 @@ from chatlake.functions import text as tx
 from chatlake.operators import chunks as ch
 from chatlake.operators import history as hist
 from chatlake.operators import transcripts as trs
+from chatlake.plans import sqltext as sq
 from chatlake.plans.registry import query
 from chatlake.sources import views
 from chatlake.sources.tables import read_table
@@ -15,7 +16,7 @@ from chatlake.sources.views import with_views
 
 BOT_ROLE = "assistant"    # sender name of the bot in chat_text
 WS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-TOKENS_SQL = "len(regexp_extract_all({x}, '[^\\s]+'))"
+TOKENS_SQL = sq.TOKENS_SQL
 TOKEN_RE_SQL = "@?[\\p{L}\\p{N}]+(?:[._''-][\\p{L}\\p{N}]+)*"
 
 
@@ -120,15 +121,12 @@ def reply_pieces(spark, sf):
     return ch.reply_pieces(views.long_text(spark, sf), ["doc_id"], "text")
 
 
+_DOCS = "docs_rt AS (SELECT doc_id AS request_id, text FROM documents)"
+
+
 def _bisect_cte(limit: int) -> str:
-    tok = TOKENS_SQL.format(x="piece")
-    return f"""WITH RECURSIVE t(doc_id, path, piece) AS (
-      SELECT doc_id, '', text FROM documents
-      UNION ALL
-      SELECT doc_id, path || b, CASE WHEN b = '0' THEN substr(piece, 1, length(piece) // 2)
-                                     ELSE substr(piece, length(piece) // 2 + 1) END
-      FROM t, (VALUES ('0'), ('1')) v(b) WHERE {tok} > {limit}),
-    leaves AS (SELECT doc_id, path, piece FROM t WHERE {tok} <= {limit})"""
+    return f"""WITH RECURSIVE {_DOCS}, {sq.bisect_ctes('docs_rt', limit, 'bs')},
+    leaves AS (SELECT request_id AS doc_id, path, piece FROM bs_leaves)"""
 
 
 def _bisect_sql(limit: int) -> str:
@@ -136,20 +134,8 @@ def _bisect_sql(limit: int) -> str:
 
 
 def _pack_cte(limit: int) -> str:
-    return f"""WITH RECURSIVE lt AS (
-      SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\\s]+')) AS t FROM (
-        SELECT doc_id, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line
-        FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
-    walk(doc_id, pos, chunk, tok) AS (
-      SELECT doc_id, pos, CASE WHEN t <= {limit} THEN 0 ELSE 1 END, t FROM lt WHERE pos = 0
-      UNION ALL
-      SELECT w.doc_id, l.pos,
-             CASE WHEN w.tok + l.t <= {limit} THEN w.chunk ELSE w.chunk + 1 END,
-             CASE WHEN w.tok + l.t <= {limit} THEN w.tok + l.t ELSE l.t END
-      FROM walk w JOIN lt l ON l.doc_id = w.doc_id AND l.pos = w.pos + 1),
-    packed AS (SELECT doc_id, CAST(chunk AS BIGINT) AS chunk_no, string_agg(line, chr(10) ORDER BY pos) AS chunk,
-           CAST(sum(t) AS BIGINT) AS n_tokens
-      FROM walk JOIN lt USING (doc_id, pos) GROUP BY doc_id, chunk)"""
+    return f"""WITH RECURSIVE {_DOCS}, {sq.pack_ctes('docs_rt', limit, 'pk')},
+    packed AS (SELECT request_id AS doc_id, chunk_no, chunk, n_tokens FROM pk_packed)"""
 
 
 def _pack_sql(limit: int) -> str:
