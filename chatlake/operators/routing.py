@@ -59,14 +59,20 @@ def after_mark(events: DataFrame, store: DataFrame, ts_col: str = "event_ts",
                store_ts: str = "ts", key: str = "message_id") -> DataFrame:
     """Rows after the store's high-water mark (SRC-7, PF-23, DT-4).
 
+    The mark is one value, fetched first (a footer read with parquet
+    aggregate pushdown) so that ``ts > mark`` is a literal predicate the
+    source scan can push down: only files and row groups after the mark are
+    read. An empty store has no mark, and then nothing is read at all.
+
     The mark travels through a millisecond clock, so rows of that
     millisecond are read again and removed by message id; only stored rows
     at or after the truncated mark can be such repeats, so the anti join
-    reads just those (a pushed-down range on the store, not the whole
-    table). An empty store has no mark, and then nothing is read.
+    reads just those.
     """
-    hwm = store.agg(F.max(store_ts)).scalar()
-    mark = F.date_trunc("millisecond", hwm)
+    hwm = store.agg(F.max(store_ts).alias("m")).first()["m"]
+    if hwm is None:
+        return events.limit(0)
+    mark = F.lit(hwm.replace(microsecond=hwm.microsecond // 1000 * 1000)).cast("timestamp")
     fresh = events.where(F.col(ts_col) > mark)
     recent = store.where(F.col(store_ts) >= mark).select(key)
     return fresh.join(recent, key, "left_anti")
