@@ -61,7 +61,8 @@ _LEAVES = T.ArrayType(T.StructType([T.StructField("path", T.StringType()),
 
 
 @F.pandas_udf(_LEAVES)
-def _bisect_udf(texts: pd.Series, limits: pd.Series) -> pd.Series:
+def bisect_udf(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    """Column form of ``bisect_text``: array<struct<path, piece>> per text."""
     return pd.Series([
         [] if t is None else [{"path": p, "piece": s} for p, s in bisect_text(t, int(lim))]
         for t, lim in zip(texts, limits)])
@@ -70,7 +71,7 @@ def _bisect_udf(texts: pd.Series, limits: pd.Series) -> pd.Series:
 def bisect_chunks(df: DataFrame, keys: list[str], text_col: str,
                   limit: int = BISECT_LIMIT) -> DataFrame:
     """Rows (keys..., path, piece) of the recursive bisection (CH-1)."""
-    return (df.select(*keys, F.explode(_bisect_udf(F.col(text_col), F.lit(limit))).alias("p"))
+    return (df.select(*keys, F.explode(bisect_udf(F.col(text_col), F.lit(limit))).alias("p"))
             .select(*keys, "p.path", "p.piece"))
 
 

@@ -100,14 +100,31 @@ def bisected_prompts(texts: DataFrame, kind: str, limit: int = ch.BISECT_LIMIT)
 
 def search_prompts(docs: DataFrame, limit: int = ch.BISECT_LIMIT) -> DataFrame:
     """Answer-from-search prompts (C-3, D4: the long branch bisects the
-    results text) and the relevance check messages (C-4)."""
-    leaves = ch.bisect_chunks(docs, ["request_id", "query"], "text", limit)\
-        .withColumnRenamed("path", "chunk")
-    answer = _rows(leaves, "search", fill(SEARCH_TEMPLATE, query=F.col("query"), text=F.col("piece")))
-    check = _rows(docs.withColumn("chunk", F.lit("")), "relevance",
-                  fill(RELEVANCE_TEMPLATE, query=F.col("query"), text=F.col("text")),
-                  F.lit(RELEVANCE_SYSTEM))
-    return answer.unionByName(check)
+    results text) and the relevance check messages (C-4).
+
+    Both kinds come from one pass over each search document: the bisection
+    leaves and the relevance request are built in the same row and exploded
+    together, so the search behind ``docs`` runs once.
+    """
+    leaves = ch.bisect_udf(F.col("text"), F.lit(limit))
+    answers = F.transform(leaves, lambda l: F.struct(
+        F.lit("search").alias("kind"), l["path"].alias("chunk"),
+        F.lit(None).cast("string").alias("system"),
+        fill(SEARCH_TEMPLATE, query=F.col("query"), text=l["piece"]).alias("prompt")))
+    check = F.array(F.struct(
+        F.lit("relevance").alias("kind"), F.lit("").alias("chunk"),
+        F.lit(RELEVANCE_SYSTEM).alias("system"),
+        fill(RELEVANCE_TEMPLATE, query=F.col("query"), text=F.col("text")).alias("prompt")))
+    rows = docs.select("request_id", F.explode(F.concat(answers, check)).alias("r"))
+    settings = F.create_map(*[x for kind, (t, m) in SETTINGS.items()
+                              for x in (F.lit(kind), F.struct(F.lit(t).cast("double").alias("t"),
+                                                              F.lit(m).cast("int").alias("m")))])
+    return rows.select(
+        F.col("request_id").cast("string").alias("request_id"), F.col("r.kind").alias("kind"),
+        F.col("r.chunk").alias("chunk"), F.col("r.system").alias("system"),
+        F.col("r.prompt").alias("prompt"),
+        settings[F.col("r.kind")]["t"].alias("temperature"),
+        settings[F.col("r.kind")]["m"].alias("max_tokens"))
 
 
 def dossier_prompts(histories: DataFrame, max_tokens: int = ch.PACK_LIMIT) -> DataFrame:
