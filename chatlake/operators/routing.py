@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
 from chatlake.operators.ids import group_positions
+from chatlake.session import checkpoint_root
 
 LAST_N = 40   # transcript length on a mention
 
@@ -85,10 +86,13 @@ def mention_requests(history: DataFrame, bot_id: str, n: int = LAST_N) -> DataFr
     Positions inside a channel are dense and skew-safe (group_positions);
     each mention expands to its n position keys and equi-joins on
     (channel, pos), so no channel is ever handled by a single task and
-    each request group holds at most n rows.
+    each request group holds at most n rows. Both sides of that join read
+    the positions, so they are checkpointed once to the shared checkpoint
+    folder (reliable, survives executor loss) instead of computed twice.
     """
+    checkpoint_root(history.sparkSession)
     pos = group_positions(history.select("message_id", "sender", "channel", "message", "mentions"),
-                          "channel", "message_id", "pos")
+                          "channel", "message_id", "pos").checkpoint(eager=True)
     asks = (pos.where(F.exists("mentions", lambda m: m["id"] == F.lit(bot_id)))
             .select(F.col("message_id").alias("request_id"), "channel",
                     F.explode(F.sequence(F.greatest(F.lit(1), F.col("pos") - (n - 1)), F.col("pos")))
