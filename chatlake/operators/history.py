@@ -92,11 +92,12 @@ def user_history_lines(history: DataFrame, senders: DataFrame | None = None) ->
     msgs = h.join(sections.select("sender", "channel", "section_no"), ["sender", "channel"])\
         .select("sender", "section_no", "channel", F.col("id").alias("seq"),
                 tx.line("sender", "message").alias("line"))
-    heads = sections.select("sender", "section_no", "channel", F.lit(-1).cast("long").alias("seq"),
-                            F.concat(F.lit("--- "), F.col("channel"), F.lit(" ---")).alias("line"))
-    tails = sections.select("sender", "section_no", "channel",
-                            F.lit(1 << 62).cast("long").alias("seq"), F.lit("").alias("line"))
-    return msgs.unionByName(heads).unionByName(tails)
+    # header and closing empty line of each section in one pass
+    frame = sections.select("sender", "section_no", "channel", F.explode(F.array(
+        F.struct(F.lit(-1).cast("long").alias("seq"),
+                 F.concat(F.lit("--- "), F.col("channel"), F.lit(" ---")).alias("line")),
+        F.struct(F.lit(1 << 62).cast("long").alias("seq"), F.lit("").alias("line")))).alias("f"))
+    return msgs.unionByName(frame.select("sender", "section_no", "channel", "f.seq", "f.line"))
 
 
 def write_user_history(lines: DataFrame, path: str) -> None:
