@@ -72,31 +72,38 @@ def channel_transcripts(history: DataFrame, n: int) -> DataFrame:
     )
 
 
-def user_history_lines(history: DataFrame, senders: DataFrame | None = None) -> DataFrame:
+def user_history_lines(history: DataFrame, senders: DataFrame | None = None,
+                       style: str = "file") -> DataFrame:
     """Every user's history document as ordered lines (A-2, STR-3, SNK-6).
 
     Per sender, one section per channel in order of the channel's first
-    message: a '--- channel ---' header, the 'sender: message' lines in id
-    order, then one empty line. Rows are (sender, section_no, channel, seq,
-    line) with seq = -1 for the header, the message id for messages and
-    +inf-like 2^62 for the closing empty line. No group is collected: the
-    section order comes from a (sender, channel) aggregate, and the file sink
-    writes range-partitioned sorted rows.
+    message. ``style="file"``: a '--- channel ---' header, the 'sender:
+    message' lines in id order, then one empty line. ``style="primer"`` (the
+    text a profile is built from): a '=== channel ===' header and the bare
+    messages. Rows are (sender, section_no, channel, seq, line) with seq = -1
+    for the header, the message id for messages and 2^62 for the closing
+    empty line. No group is collected: the section order comes from a
+    (sender, channel) aggregate, and the file sink writes range-partitioned
+    sorted rows.
     """
+    if style not in ("file", "primer"):
+        raise ValueError(f"unknown style {style!r}")
     h = history.select("id", "sender", "channel", "message")
     if senders is not None:
         h = h.join(senders, "sender", "left_semi")
     first = h.groupBy("sender", "channel").agg(F.min("id").alias("first_id"))
     sections = first.withColumn(
         "section_no", F.row_number().over(Window.partitionBy("sender").orderBy("first_id")))
+    text = tx.line("sender", "message") if style == "file" else F.col("message")
     msgs = h.join(sections.select("sender", "channel", "section_no"), ["sender", "channel"])\
-        .select("sender", "section_no", "channel", F.col("id").alias("seq"),
-                tx.line("sender", "message").alias("line"))
-    # header and closing empty line of each section in one pass
-    frame = sections.select("sender", "section_no", "channel", F.explode(F.array(
-        F.struct(F.lit(-1).cast("long").alias("seq"),
-                 F.concat(F.lit("--- "), F.col("channel"), F.lit(" ---")).alias("line")),
-        F.struct(F.lit(1 << 62).cast("long").alias("seq"), F.lit("").alias("line")))).alias("f"))
+        .select("sender", "section_no", "channel", F.col("id").alias("seq"), text.alias("line"))
+    # header (and closing empty line) of each section in one pass
+    mark = "---" if style == "file" else "==="
+    parts = [F.struct(F.lit(-1).cast("long").alias("seq"),
+                      F.concat(F.lit(mark + " "), F.col("channel"), F.lit(" " + mark)).alias("line"))]
+    if style == "file":
+        parts.append(F.struct(F.lit(1 << 62).cast("long").alias("seq"), F.lit("").alias("line")))
+    frame = sections.select("sender", "section_no", "channel", F.explode(F.array(*parts)).alias("f"))
     return msgs.unionByName(frame.select("sender", "section_no", "channel", "f.seq", "f.line"))
 
 

@@ -99,14 +99,15 @@ def bisected_prompts(texts: DataFrame, kind: str, limit: int = ch.BISECT_LIMIT)
 
 
 def search_prompts(docs: DataFrame, limit: int = ch.BISECT_LIMIT) -> DataFrame:
-    """Answer-from-search prompts (C-3, D4: the long branch bisects the
-    results text) and the relevance check messages (C-4).
+    """Answer-from-search prompts (C-3 over ``results_text``; D4: the long
+    branch bisects the results text) and the relevance check messages (C-4
+    over the block ``text``).
 
     Both kinds come from one pass over each search document: the bisection
     leaves and the relevance request are built in the same row and exploded
     together, so the search behind ``docs`` runs once.
     """
-    leaves = ch.bisect_udf(F.col("text"), F.lit(limit))
+    leaves = ch.bisect_udf(F.col("results_text"), F.lit(limit))
     answers = F.transform(leaves, lambda l: F.struct(
         F.lit("search").alias("kind"), l["path"].alias("chunk"),
         F.lit(None).cast("string").alias("system"),

@@ -228,18 +228,30 @@ def context_window(history: DataFrame, width: int = CONTEXT) -> DataFrame:
 
 
 def search_document(context: DataFrame) -> DataFrame:
-    """The blocks handed to the model (STR-4): per hit, 'role (timestamp):
-    content' lines in id order, each block closed by '==='. One bounded row."""
+    """The texts made from a search's conversations. One bounded row.
+
+    ``document`` is the block form handed to the relevance check (STR-4):
+    per hit, 'role (timestamp): content' lines in id order, each block closed
+    by '==='. ``results_text`` is the answer command's form (CMD-4, D3: the
+    conversations flattened): 'role: content' of every context row in (hit,
+    id) order, joined by blank lines.
+    """
     lines = context.select("hit_rank", "id",
                            F.concat("role", F.lit(" ("), "timestamp", F.lit("): "), "content")
-                           .alias("l"))
+                           .alias("l"),
+                           F.concat("role", F.lit(": "), "content").alias("r"))
     blocks = lines.groupBy("hit_rank").agg(
         F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "l"))),
                                           lambda s: F.concat(s["l"], F.lit("\n"))), ""),
                  F.lit("===\n")).alias("block"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "r"))),
+                                 lambda s: s["r"]), "\n\n").alias("flat"),
         F.count(F.lit(1)).alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("hit_rank", "block", "flat")))
     return blocks.agg(
         F.count(F.lit(1)).alias("n_blocks"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hit_rank", "block"))),
-                                            lambda s: s["block"]), ""), F.lit("")).alias("document"))
+        F.coalesce(F.array_join(F.transform(ordered, lambda s: s["block"]), ""), F.lit(""))
+        .alias("document"),
+        F.coalesce(F.array_join(F.transform(ordered, lambda s: s["flat"]), "\n\n"), F.lit(""))
+        .alias("results_text"))

@@ -142,10 +142,15 @@ SEARCH_QUERY = "label-0"
 
 @query("prompt_search", with_views(f"""WITH RECURSIVE {_CONTEXT_SQL},
     blocks AS (SELECT hit_rank, string_agg(role || ' (' || timestamp || '): ' || content || chr(10), '' ORDER BY id)
-               || '===' || chr(10) AS block FROM ctx GROUP BY hit_rank),
+               || '===' || chr(10) AS block,
+               string_agg(role || ': ' || content, chr(10) || chr(10) ORDER BY id) AS flat
+               FROM ctx GROUP BY hit_rank),
     sd AS (SELECT 'q0' AS request_id, '{SEARCH_QUERY}' AS query,
-                  coalesce(string_agg(block, '' ORDER BY hit_rank), '') AS text FROM blocks),
-    {sq.bisect_ctes('sd', 2048, 'b3')},
+                  coalesce(string_agg(block, '' ORDER BY hit_rank), '') AS text,
+                  coalesce(string_agg(flat, chr(10) || chr(10) ORDER BY hit_rank), '') AS results_text
+           FROM blocks),
+    sdr AS (SELECT request_id, results_text AS text FROM sd),
+    {sq.bisect_ctes('sdr', 2048, 'b3')},
     b3q AS (SELECT l.*, sd.query FROM b3_leaves l JOIN sd USING (request_id))
     {_row_sql('b3q', 'search', 'path', sq.fill(pr.SEARCH_TEMPLATE, query='query', text='piece'))}
     UNION ALL {_row_sql('sd', 'relevance', "''", sq.fill(pr.RELEVANCE_TEMPLATE, query='query', text='text'), sq.lit(pr.RELEVANCE_SYSTEM))}""",
@@ -155,5 +160,5 @@ def prompt_search(spark, sf):
     ctx = srch.search_context(views.chat_vec(spark, sf), _search(spark, sf))
     doc = srch.search_document(ctx).select(F.lit("q0").alias("request_id"),
                                            F.lit(SEARCH_QUERY).alias("query"),
-                                           F.col("document").alias("text"))
+                                           F.col("document").alias("text"), "results_text")
     return pr.search_prompts(doc)

@@ -83,6 +83,20 @@ def user_history_doc(spark, sf):
     return hist.user_history_lines(views.chat_text(spark, sf))
 
 
+@query("primer_history_lines", with_views("""
+    WITH sec AS (SELECT sender, channel,
+            row_number() OVER (PARTITION BY sender ORDER BY min(id)) AS section_no
+         FROM chat_text GROUP BY sender, channel)
+    SELECT h.sender, s.section_no, h.channel, h.id AS seq, h.message AS line
+    FROM chat_text h JOIN sec s ON h.sender = s.sender AND h.channel = s.channel
+    UNION ALL SELECT sender, section_no, channel, -1, '=== ' || channel || ' ===' FROM sec""",
+    "chat_text"))
+def primer_history_lines(spark, sf):
+    """The text a user profile is built from (CMD-5): '=== channel ==='
+    sections of bare messages, as ordered lines."""
+    return hist.user_history_lines(views.chat_text(spark, sf), style="primer")
+
+
 @query("activity_counts", with_views("""
     SELECT sender, channel, count(*) AS n_messages FROM chat_event GROUP BY sender, channel""",
     "chat_event"))

@@ -73,9 +73,13 @@ def search_context(spark, sf):
 @query("search_document", with_views(f"""WITH {_CONTEXT_SQL},
   blocks AS (SELECT hit_rank, count(*) AS n,
                string_agg(role || ' (' || timestamp || '): ' || content || chr(10), '' ORDER BY id)
-               || '===' || chr(10) AS block FROM ctx GROUP BY hit_rank)
+               || '===' || chr(10) AS block,
+               string_agg(role || ': ' || content, chr(10) || chr(10) ORDER BY id) AS flat
+               FROM ctx GROUP BY hit_rank)
   SELECT count(*) AS n_blocks, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines,
-         coalesce(string_agg(block, '' ORDER BY hit_rank), '') AS document FROM blocks""",
+         coalesce(string_agg(block, '' ORDER BY hit_rank), '') AS document,
+         coalesce(string_agg(flat, chr(10) || chr(10) ORDER BY hit_rank), '') AS results_text
+  FROM blocks""",
     "chat_vec"))
 def search_document(spark, sf):
     ctx = srch.search_context(views.chat_vec(spark, sf), _search(spark, sf))
