@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
+from chatlake.functions import vectors as vx
 from chatlake.operators import ingest as ing
 from chatlake.operators import registry as reg
 from chatlake.operators.ids import dense_ids
@@ -68,8 +71,7 @@ def ingest_messages(spark, sf):
 def embed_messages(spark, sf):
     """Default embedding of every message (U-1)."""
     v = views.chat_text(spark, sf).select("id", ing.default_embed(F.col("message")).alias("v"))
-    return v.select("id", _nnz("v").alias("nnz"), F.round(tx.F.sqrt(
-        F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x * x)), 6).alias("norm"))
+    return v.select("id", _nnz("v").alias("nnz"), F.round(vx.norm("v"), 6).alias("norm"))
 
 
 @query("reembed_all", with_views(f"""WITH {_hashed_stats_sql('chat_vec', 'id', 'message')}
@@ -81,8 +83,7 @@ def reembed_all(spark, sf):
     path = run_dir(spark, "reembedded")
     stored = views.chat_vec(spark, sf)
     redone = stored.withColumn("vector", ing.default_embed(F.col("message")))\
-        .withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0).cast("double"),
-                                                lambda s, x: s + x * x)))
+        .withColumn("norm", vx.norm("vector"))
     redone.write.parquet(path)
     back = spark.read.parquet(path)
     return back.select("id", _nnz("vector").alias("nnz"), F.round("norm", 6).alias("norm"))
@@ -243,7 +244,6 @@ def list_text_channels(spark, sf):
 def schema_tables(spark, sf):
     """CREATE TABLE IF NOT EXISTS for the three tables, loaded from the test
     views, then read back through the catalog (SRC-2..4)."""
-    import uuid
     db = f"chatlake_{uuid.uuid4().hex[:10]}"
     loc = run_dir(spark, db)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {db} LOCATION '{loc}'")
@@ -262,8 +262,7 @@ def schema_tables(spark, sf):
             .write.insertInto(f"{db}.user_info")
         h = views.chat_vec(spark, sf)
         h.select("id", "ts", "sender", "channel", "message", "vector",
-                 F.sqrt(F.aggregate("vector", F.lit(0.0).cast("double"),
-                                    lambda s, x: s + x * x)).alias("norm"))\
+                 vx.norm("vector").alias("norm"))\
             .write.insertInto(f"{db}.chat_history")
         parts = [spark.table(f"{db}.{t}").agg(F.lit(t).alias("table_name"),
                                                F.count(F.lit(1)).alias("n_rows"))
