@@ -212,3 +212,21 @@ def test_dense_ids_hot_timestamp_is_split(spark):
     b = ids.bucketed(df, "ts", 8, tie_col="source_id")
     sizes = [r["count"] for r in b.groupBy("_cl_bucket").count().collect()]
     assert max(sizes) < n / 3
+
+
+def test_group_positions_split_a_hot_channel(spark):
+    """One channel holds a third of all rows: positions are exact and no
+    (channel, bucket) window holds more than a few buckets' share."""
+    from pyspark.sql import Window
+    from chatlake.operators import ids
+    n = 6000
+    rows = [(i, "hot" if i % 3 == 0 else f"c{i % 50}") for i in range(n)]
+    df = spark.createDataFrame(rows, "message_id long, channel string")
+    got = ids.group_positions(df, "channel", "message_id", "pos", buckets=16)
+    want = df.withColumn("pos", F.row_number().over(
+        Window.partitionBy("channel").orderBy("message_id")))
+    assert sorted(tuple(r) for r in got.select("message_id", "pos").collect()) == \
+        sorted(tuple(r) for r in want.select("message_id", "pos").collect())
+    b = ids.bucketed(df, "message_id", 16)
+    biggest = b.groupBy("channel", "_cl_bucket").count().agg(F.max("count")).first()[0]
+    assert biggest <= 2 * (n / 3) / 16
