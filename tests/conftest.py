@@ -12,8 +12,9 @@ sys.path.insert(0, ROOT)
 def spark():
     from chatlake.session import get_spark
     ckpt = tempfile.mkdtemp(prefix="chatlake-test-ckpt-")
+    wh = tempfile.mkdtemp(prefix="chatlake-test-wh-")
     s = get_spark("local[4]", app="chatlake-tests", shuffle_partitions=8,
-                  extra={"spark.checkpoint.dir": ckpt})
+                  extra={"spark.checkpoint.dir": ckpt, "spark.sql.warehouse.dir": wh})
     yield s
 
 
