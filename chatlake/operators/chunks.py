@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chatlake.functions import text as tx
+from chatlake.session import ship_package
 
 PIECE_CHARS = 2000     # reply piece size
 BISECT_LIMIT = 2048    # halve while the whitespace token count is strictly greater
@@ -71,6 +72,7 @@ def bisect_udf(texts: pd.Series, limits: pd.Series) -> pd.Series:
 def bisect_chunks(df: DataFrame, keys: list[str], text_col: str,
                   limit: int = BISECT_LIMIT) -> DataFrame:
     """Rows (keys..., path, piece) of the recursive bisection (CH-1)."""
+    ship_package(df.sparkSession)
     return (df.select(*keys, F.explode(bisect_udf(F.col(text_col), F.lit(limit))).alias("p"))
             .select(*keys, "p.path", "p.piece"))
 

@@ -29,6 +29,12 @@ def model_embed(load_model: Callable[[], Callable[[list[str]], np.ndarray]]):
     returns an ``encode(list_of_texts) -> 2-D array`` function; whole Arrow
     batches are encoded at once.
     """
+    from pyspark.sql import SparkSession
+    from chatlake.session import ship_package
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ship_package(active)
+
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load_model()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatlake.operators import chunks as ch
+from chatlake.session import ship_package
 
 # ---- fixed values: prompt templates and settings that must equal the
 # reference's text for the same requests ({text}, {query} and
@@ -107,6 +108,7 @@ def search_prompts(docs: DataFrame, limit: int = ch.BISECT_LIMIT) -> DataFrame:
     leaves and the relevance request are built in the same row and exploded
     together, so the search behind ``docs`` runs once.
     """
+    ship_package(docs.sparkSession)
     leaves = ch.bisect_udf(F.col("results_text"), F.lit(limit))
     answers = F.transform(leaves, lambda l: F.struct(
         F.lit("search").alias("kind"), l["path"].alias("chunk"),

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from chatlake.functions import text as tx
 from chatlake.functions import vectors as vx
 from chatlake.operators.ingest import ID_BLOCK
+from chatlake.session import ship_package
 
 TOP_K = 20          # results kept
 THRESHOLD = 0.3     # similarity must be strictly greater
@@ -118,6 +119,7 @@ def _topk_in_partition(qids: np.ndarray, qmat: np.ndarray, k: int, threshold: fl
 def _block_hits(h: DataFrame, rows: pd.DataFrame, k: int, threshold: float) -> DataFrame:
     """(qid, id, sim, hit_rank) of one block of queries held in ``rows``."""
     spark = h.sparkSession
+    ship_package(spark)
     qids = rows["qid"].to_numpy(dtype=np.int64)
     qmat = np.stack(rows["vector"].to_numpy()).astype(np.float64)
     bc = spark.sparkContext.broadcast((qids, qmat))

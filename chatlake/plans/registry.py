@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chatlake.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -39,6 +41,7 @@ def query(name: str, sql: str | None = None):
             # the store's clock is UTC wall-clock time (as the oracle reads it)
             if spark.conf.get("spark.sql.session.timeZone") != "UTC":
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
+            ship_package(spark)
             return widen(fn(spark, sf))
 
         QUERIES[name] = run

@@ -72,6 +72,26 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/runs/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``chatlake`` importable in the Python workers (pandas UDFs,
+    mapInPandas): zip the package once per SparkContext and add it with
+    ``addPyFile``, which also distributes it to the executors of a cluster."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="chatlake-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "chatlake"), "zip",
+                                  root_dir=os.path.dirname(pkg), base_dir="chatlake")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
