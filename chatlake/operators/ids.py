@@ -109,20 +109,37 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
             .drop(_BKT, _OFF, _RN))
 
 
-def group_positions(df: DataFrame, group_col: str, order_col: str,
-                    pos_col: str = "pos", buckets: int | None = None) -> DataFrame:
-    """Add ``pos_col`` = 1-based position of the row in its group by ``order_col``.
-
-    Skew-safe: buckets follow the global order key, so a group holding a third
+def group_positions(df: DataFrame, group_col: str, order_col, pos_col: str = "pos",
+                    buckets: int | None = None, sum_col: str | None = None,
+                    cum_col: str = "cum") -> DataFrame:
+    """Add ``pos_col`` = 1-based position of the row in its group by
+    ``order_col`` (a column name or a list: lexicographic order), and with
+    ``sum_col`` also ``cum_col`` = running sum of that column up to and
+    including the row.
+
+    Skew-safe: buckets follow the global order key (the first order column,
+    hot values of it split again by the second), so a group holding a third
     of all rows is split over many (group, bucket) windows. The offsets table
     has one row per (group, bucket) present.
     """
-    b = bucketed(df, order_col, buckets)
-    counts = b.groupBy(group_col, _BKT).agg(F.count(F.lit(1)).alias(_N))
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    b = bucketed(df, order[0], buckets, tie_col=order[1] if len(order) > 1 else None)
+    aggs = [F.count(F.lit(1)).alias(_N)]
+    if sum_col:
+        aggs.append(F.sum(sum_col).alias("_cl_s"))
+    counts = b.groupBy(group_col, _BKT).agg(*aggs)
     w = Window.partitionBy(group_col).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group_col, _BKT, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF))
-    ranked = b.withColumn(_RN, F.row_number().over(
-        Window.partitionBy(group_col, _BKT).orderBy(order_col)))
-    return (ranked.join(offsets, [group_col, _BKT])
-            .withColumn(pos_col, (F.col(_OFF) + F.col(_RN)).cast("long"))
-            .drop(_BKT, _OFF, _RN))
+    cols = [group_col, _BKT, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF)]
+    if sum_col:
+        cols.append(F.coalesce(F.sum("_cl_s").over(w), F.lit(0)).alias("_cl_soff"))
+    offsets = counts.select(*cols)
+    inner = Window.partitionBy(group_col, _BKT).orderBy(*order)
+    ranked = b.withColumn(_RN, F.row_number().over(inner))
+    if sum_col:
+        ranked = ranked.withColumn("_cl_run", F.sum(sum_col).over(
+            inner.rowsBetween(Window.unboundedPreceding, 0)))
+    out = (ranked.join(offsets, [group_col, _BKT])
+           .withColumn(pos_col, (F.col(_OFF) + F.col(_RN)).cast("long")))
+    if sum_col:
+        out = out.withColumn(cum_col, F.col("_cl_soff") + F.col("_cl_run"))
+    return out.drop(_BKT, _OFF, _RN, "_cl_soff", "_cl_run")

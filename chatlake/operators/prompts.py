@@ -132,8 +132,14 @@ def search_prompts(docs: DataFrame, limit: int = ch.BISECT_LIMIT) -> DataFrame:
 
 def dossier_prompts(histories: DataFrame, max_tokens: int = ch.PACK_LIMIT) -> DataFrame:
     """One dossier prompt per packed chunk of each history text (C-5)."""
-    packed = ch.pack_lines(histories, ["request_id"], "text", max_tokens)\
-        .withColumnRenamed("chunk", "piece").withColumnRenamed("chunk_no", "chunk")
+    packed = ch.pack_lines(histories, ["request_id"], "text", max_tokens)
+    return dossier_from_chunks(packed)
+
+
+def dossier_from_chunks(packed: DataFrame) -> DataFrame:
+    """Dossier prompts (C-5) from packed chunks (request_id, chunk_no, chunk),
+    e.g. the output of ``packing.pack_line_rows`` over a user's history."""
+    p = packed.withColumnRenamed("chunk", "piece").withColumnRenamed("chunk_no", "chunk")
     prompt = fill(DOSSIER_TEMPLATE, chat_history=F.concat(F.lit(MEMORY_PREFIX), F.col("piece")),
                   human_input=F.lit(DOSSIER_INPUT))
-    return _rows(packed, "dossier", prompt)
+    return _rows(p, "dossier", prompt)
