@@ -50,20 +50,29 @@ def get_spark(master: str | None = None, app: str = "chatlake",
     return spark
 
 
+_OWN_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    Read from the session (``spark.checkpoint.dir``); when unset, as in local
-    tests, a private folder is created and registered once per session.
+    Read from the session (``spark.checkpoint.dir``, or a checkpoint dir the
+    SparkContext already has); only when neither is set, as in local tests,
+    a private folder is created once per application and registered with
+    ``setCheckpointDir``.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or \
+        sc.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="chatlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        current = sc.getCheckpointDir()
+        if current:
+            root = current.rsplit("/", 1)[0]
+        else:
+            root = _OWN_ROOT.setdefault(sc.applicationId,
+                                        tempfile.mkdtemp(prefix="chatlake-ckpt-"))
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
