@@ -12,7 +12,7 @@ WS_CLASS = r"\s\x1C-\x1F"
 NON_WS_RUN = rf"(?U)[^{WS_CLASS}]++"
 STRIP_RE = rf"(?U)^[{WS_CLASS}]++|[{WS_CLASS}]++$"
 # Word tokens for message normalisation: letters/digits, an optional leading
-# '@' (so a mention like '@h.e.l.p.er' survives) and inner . _ ' - joins.
+# '@' (so a mention like '@my.bot' survives) and inner . _ ' - joins.
 TOKEN_RE = r"@?[\p{L}\p{N}]+(?:[._'-][\p{L}\p{N}]+)*"
 # Terms for TF-IDF: plain letter/digit runs.
 TERM_RE = r"[\p{L}\p{N}]+"
