@@ -110,12 +110,11 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
 
 
 def group_positions(df: DataFrame, group_col: str, order_col, pos_col: str = "pos",
-                    buckets: int | None = None, sum_col: str | None = None,
-                    cum_col: str = "cum") -> DataFrame:
+                    buckets: int | None = None, sum_col=None, cum_col="cum") -> DataFrame:
     """Add ``pos_col`` = 1-based position of the row in its group by
     ``order_col`` (a column name or a list: lexicographic order), and with
-    ``sum_col`` also ``cum_col`` = running sum of that column up to and
-    including the row.
+    ``sum_col`` (a name or a list) also ``cum_col`` (name or list) = running
+    sums of those columns up to and including the row.
 
     Skew-safe: buckets follow the global order key (the first order column,
     hot values of it split again by the second), so a group holding a third
@@ -123,23 +122,23 @@ def group_positions(df: DataFrame, group_col: str, order_col, pos_col: str = "po
     has one row per (group, bucket) present.
     """
     order = [order_col] if isinstance(order_col, str) else list(order_col)
+    sums = [] if sum_col is None else ([sum_col] if isinstance(sum_col, str) else list(sum_col))
+    cums = [cum_col] if isinstance(cum_col, str) else list(cum_col)
     b = bucketed(df, order[0], buckets, tie_col=order[1] if len(order) > 1 else None)
-    aggs = [F.count(F.lit(1)).alias(_N)]
-    if sum_col:
-        aggs.append(F.sum(sum_col).alias("_cl_s"))
+    aggs = [F.count(F.lit(1)).alias(_N)] + [F.sum(c).alias(f"_cl_s{i}") for i, c in enumerate(sums)]
     counts = b.groupBy(group_col, _BKT).agg(*aggs)
     w = Window.partitionBy(group_col).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
-    cols = [group_col, _BKT, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF)]
-    if sum_col:
-        cols.append(F.coalesce(F.sum("_cl_s").over(w), F.lit(0)).alias("_cl_soff"))
-    offsets = counts.select(*cols)
+    offsets = counts.select(group_col, _BKT, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF),
+                            *[F.coalesce(F.sum(f"_cl_s{i}").over(w), F.lit(0)).alias(f"_cl_o{i}")
+                              for i in range(len(sums))])
     inner = Window.partitionBy(group_col, _BKT).orderBy(*order)
     ranked = b.withColumn(_RN, F.row_number().over(inner))
-    if sum_col:
-        ranked = ranked.withColumn("_cl_run", F.sum(sum_col).over(
-            inner.rowsBetween(Window.unboundedPreceding, 0)))
+    run = inner.rowsBetween(Window.unboundedPreceding, 0)
+    for i, c in enumerate(sums):
+        ranked = ranked.withColumn(f"_cl_r{i}", F.sum(c).over(run))
     out = (ranked.join(offsets, [group_col, _BKT])
            .withColumn(pos_col, (F.col(_OFF) + F.col(_RN)).cast("long")))
-    if sum_col:
-        out = out.withColumn(cum_col, F.col("_cl_soff") + F.col("_cl_run"))
-    return out.drop(_BKT, _OFF, _RN, "_cl_soff", "_cl_run")
+    for i, name in enumerate(cums[:len(sums)]):
+        out = out.withColumn(name, F.col(f"_cl_o{i}") + F.col(f"_cl_r{i}"))
+    drop = [_BKT, _OFF, _RN] + [f"_cl_{k}{i}" for i in range(len(sums)) for k in ("o", "r")]
+    return out.drop(*drop)

@@ -114,3 +114,131 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
     return (packed.join(first_over, "g")
             .select(F.col("g").alias(group_col), (F.col("j") + F.col("shift")).alias("chunk_no"),
                     "chunk", "n_tokens"))
+
+
+# ---- recursive bisection of a document kept as line rows (CH-1) ----
+CHAR_BUCKET = 1 << 16   # characters per lookup bucket
+
+_EVAL_SCHEMA = "g string, x long, c long, nonws boolean, starts boolean"
+_FRAG_SCHEMA = "g string, path string, start long, frag string"
+
+
+def _eval_offsets(lines: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+    """cogroup body: for each offset x, C(x) = token starts before x, whether
+    T[x] is not whitespace and whether a token starts at x."""
+    if qs.empty:
+        return pd.DataFrame({"g": pd.Series([], dtype=object), "x": pd.Series([], dtype=np.int64),
+                             "c": pd.Series([], dtype=np.int64),
+                             "nonws": pd.Series([], dtype=bool), "starts": pd.Series([], dtype=bool)})
+    lines = lines.sort_values("o")
+    o = lines["o"].to_numpy()
+    idx = np.searchsorted(o, qs["x"].to_numpy(), side="right") - 1
+    out_c, out_nw, out_st = [], [], []
+    for x, i in zip(qs["x"].to_numpy(), idx):
+        line = lines["line"].iat[i]
+        r = int(x - o[i])
+        if r >= len(line):      # the newline after the line, or the end of the text
+            out_c.append(int(lines["sp"].iat[i]) + len(line.split()))
+            out_nw.append(False)
+            out_st.append(False)
+        else:
+            out_c.append(int(lines["sp"].iat[i]) + len(line[:r].split()))
+            nw = not line[r].isspace()
+            out_nw.append(nw)
+            out_st.append(nw and (r == 0 or line[r - 1].isspace()))
+    return pd.DataFrame({"g": qs["g"].to_numpy(), "x": qs["x"].to_numpy(),
+                         "c": np.asarray(out_c, dtype=np.int64),
+                         "nonws": np.asarray(out_nw, dtype=bool),
+                         "starts": np.asarray(out_st, dtype=bool)})
+
+
+def _fragments(lines: pd.DataFrame, leaves: pd.DataFrame) -> pd.DataFrame:
+    """cogroup body: the pieces of each leaf [a, b) that start in this bucket."""
+    rows = []
+    if not leaves.empty:
+        bk = int(leaves["bk"].iat[0])
+        lines = lines.sort_values("o")
+        o = lines["o"].to_numpy()
+        n = lines["n"].to_numpy()
+        for g, path, a, b in zip(leaves["g"], leaves["path"], leaves["a"], leaves["b"]):
+            if a == b:
+                if a // CHAR_BUCKET == bk:
+                    rows.append((g, path, int(a), ""))
+                continue
+            i = max(int(np.searchsorted(o, a, side="right")) - 1, 0)
+            while i < len(o) and o[i] < b:
+                s0, s1 = max(a, o[i]), min(b, o[i] + n[i])
+                if s0 < s1 and s0 // CHAR_BUCKET == bk:
+                    text = lines["line"].iat[i] + "\n"
+                    rows.append((g, path, int(s0), text[s0 - o[i]:s1 - o[i]]))
+                i += 1
+    if not rows:
+        return pd.DataFrame({"g": pd.Series([], dtype=object), "path": pd.Series([], dtype=object),
+                             "start": pd.Series([], dtype=np.int64),
+                             "frag": pd.Series([], dtype=object)})
+    return pd.DataFrame(rows, columns=["g", "path", "start", "frag"])
+
+
+def bisect_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line_col: str,
+                     limit: int = 2048, max_levels: int = 64) -> DataFrame:
+    """Rows (group, path, piece) of the recursive bisection of each group's
+    text (its lines, joined by newlines, in ``order_cols`` order), the same
+    leaves ``chunks.bisect_text`` gives on the whole text, without ever
+    holding the text in one row.
+
+    The token count of any character range [a, b) is C(b) - C(a) plus one when
+    a cuts into a word (C(x) = token starts before x). C comes from the
+    line-level running sums plus one line's prefix, found by an as-of lookup
+    in (group, character bucket) cogroups against a line table partitioned
+    by bucket and checkpointed once. The tree is walked a level at a time;
+    lines must not contain newlines themselves.
+    """
+    spark = lines.sparkSession
+    checkpoint_root(spark)
+    ship_package(spark)
+    w = CHAR_BUCKET
+    base = lines.select(F.col(group_col).cast("string").alias("g"), *order_cols,
+                        F.col(line_col).alias("line"), tx.token_count(line_col).alias("t"),
+                        (F.length(line_col) + 1).cast("long").alias("n"))
+    pos = group_positions(base, "g", order_cols, "p", sum_col=["t", "n"], cum_col=["S", "O"])
+    lt = pos.select("g", "line", "n", (F.col("O") - F.col("n")).alias("o"),
+                    (F.col("S") - F.col("t")).alias("sp"))
+    lt = (lt.select("*", F.explode(F.sequence(F.floor(F.col("o") / w),
+                                              F.floor((F.col("o") + F.col("n") - 1) / w))).alias("bk"))
+          .repartition("g", "bk").checkpoint(eager=True))
+    totals = pos.groupBy("g").agg((F.max("O") - 1).alias("N"))
+    nodes = totals.select("g", F.lit(0).cast("long").alias("a"), F.col("N").cast("long").alias("b"),
+                          F.lit("").alias("path")).checkpoint(eager=True)
+    leaves = []
+    for _ in range(max_levels):
+        xs = (nodes.select("g", F.col("a").alias("x")).unionByName(nodes.select("g", F.col("b").alias("x")))
+              .distinct().withColumn("bk", F.floor(F.col("x") / w)))
+        ev = (lt.groupBy("g", "bk").cogroup(xs.groupBy("g", "bk"))
+              .applyInPandas(_eval_offsets, _EVAL_SCHEMA))
+        ea = ev.select("g", F.col("x").alias("a"), F.col("c").alias("ca"),
+                       (F.col("nonws") & ~F.col("starts")).cast("long").alias("cut"))
+        eb = ev.select("g", F.col("x").alias("b"), F.col("c").alias("cb"))
+        scored = (nodes.join(ea, ["g", "a"]).join(eb, ["g", "b"])
+                  .select("g", "a", "b", "path", (F.col("cb") - F.col("ca") + F.col("cut")).alias("tok"))
+                  .checkpoint(eager=True))
+        leaves.append(scored.where(F.col("tok") <= limit).select("g", "a", "b", "path"))
+        inner = scored.where(F.col("tok") > limit)
+        if inner.isEmpty():
+            break
+        mid = F.col("a") + F.floor((F.col("b") - F.col("a")) / 2).cast("long")
+        nodes = (inner.select("g", "a", mid.alias("b"), F.concat("path", F.lit("0")).alias("path"))
+                 .unionByName(inner.select("g", mid.alias("a"), "b",
+                                           F.concat("path", F.lit("1")).alias("path")))
+                 .checkpoint(eager=True))
+    else:
+        raise RuntimeError("bisection deeper than max_levels")
+    leaf = leaves[0]
+    for x in leaves[1:]:
+        leaf = leaf.unionByName(x)
+    spread = leaf.select("*", F.explode(F.sequence(
+        F.floor(F.col("a") / w), F.floor(F.greatest(F.col("b") - 1, F.col("a")) / w))).alias("bk"))
+    frags = (lt.groupBy("g", "bk").cogroup(spread.groupBy("g", "bk"))
+             .applyInPandas(_fragments, _FRAG_SCHEMA))
+    return (frags.groupBy("g", "path").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("start", "frag"))), lambda s: s["frag"]), "").alias("piece"))
+        .select(F.col("g").alias(group_col), "path", "piece"))

@@ -99,6 +99,14 @@ def bisected_prompts(texts: DataFrame, kind: str, limit: int = ch.BISECT_LIMIT)
     return _rows(leaves, kind, fill(template, text=F.col("piece")))
 
 
+def prompts_from_leaves(leaves: DataFrame, kind: str) -> DataFrame:
+    """Summary (C-1) or profile (C-2) prompts from bisection leaves
+    (request_id, path, piece), e.g. of ``packing.bisect_line_rows``."""
+    template = {"summary": SUMMARY_TEMPLATE, "profile": PROFILE_TEMPLATE}[kind]
+    return _rows(leaves.withColumnRenamed("path", "chunk"), kind,
+                 fill(template, text=F.col("piece")))
+
+
 def search_prompts(docs: DataFrame, limit: int = ch.BISECT_LIMIT) -> DataFrame:
     """Answer-from-search prompts (C-3 over ``results_text``; D4: the long
     branch bisects the results text) and the relevance check messages (C-4

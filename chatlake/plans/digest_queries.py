@@ -207,3 +207,44 @@ def dossier_prompts(spark, sf):
     """One dossier prompt per packed chunk of each user's whole history (CMD-5, C-5)."""
     packed = _user_history_pack(spark, sf, pr.ch.PACK_LIMIT)
     return pr.dossier_from_chunks(packed.withColumnRenamed("sender", "request_id"))
+
+
+# ---- a user's whole history bisected for profile prompts (CMD-3, CH-1, C-2) ----
+_USER_TEXT_SQL = """SELECT sender AS request_id,
+        string_agg(sender || ': ' || message, chr(10) ORDER BY id) AS text
+    FROM chat_text GROUP BY sender"""
+
+
+def _user_history_bisect(spark, sf, limit):
+    from chatlake.operators import packing as pk
+    from chatlake.functions import text as tx2
+    t = views.chat_text(spark, sf)
+    sub = t.select("sender", "id", F.posexplode(F.split(tx2.line("sender", "message"), "\n"))
+                   .alias("sub", "text"))
+    return pk.bisect_line_rows(sub, "sender", ["id", "sub"], "text", limit)
+
+
+def _register_user_bisect(name, limit):
+    @query(name, with_views(f"""WITH RECURSIVE ut AS ({_USER_TEXT_SQL}),
+        {sq.bisect_ctes('ut', limit, 'bs')}
+        SELECT request_id AS sender, path, piece FROM bs_leaves""", "chat_text"))
+    def run(spark, sf):
+        """Each user's whole history text ('sender: message' lines by id)
+        bisected to the token limit, computed over line rows so a prolific
+        user is never one row or one task (CMD-3, CH-1)."""
+        return _user_history_bisect(spark, sf, limit)
+    return run
+
+
+bisect_user_history = _register_user_bisect("bisect_user_history", pr.ch.BISECT_LIMIT)
+bisect_user_history_512 = _register_user_bisect("bisect_user_history_512", 512)
+
+
+@query("profile_prompts", with_views(f"""WITH RECURSIVE ut AS ({_USER_TEXT_SQL}),
+    {sq.bisect_ctes('ut', pr.ch.BISECT_LIMIT, 'bs')}
+    {_row_sql('bs_leaves', 'profile', 'path', sq.fill(pr.PROFILE_TEMPLATE, text='piece'))}""",
+    "chat_text"))
+def profile_prompts(spark, sf):
+    """One profile prompt per bisection leaf of each user's whole history (CMD-3, C-2)."""
+    leaves = _user_history_bisect(spark, sf, pr.ch.BISECT_LIMIT)
+    return pr.prompts_from_leaves(leaves.withColumnRenamed("sender", "request_id"), "profile")
