@@ -74,9 +74,10 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
     queries = queries.withColumn("bk", F.floor(F.col("v") / m))
     nxt = (points.unionByName(queries)
            .groupBy("g", "bk").applyInPandas(_next_starts, "g string, s long, nxt long"))
-    # jump table over positions 1..L plus the end sentinel L+1 -> L+1
-    sentinel = ends.select("g", (F.col("L") + 1).alias("s"), (F.col("L") + 1).alias("nxt"))
-    jump = nxt.unionByName(sentinel).withColumnRenamed("nxt", "t").checkpoint(eager=True)
+    # jump table over positions 1..L; a jump past the end is NULL
+    jump = (nxt.join(ends, "g")
+            .select("g", "s", F.when(F.col("nxt") <= F.col("L"), F.col("nxt")).alias("t"))
+            .checkpoint(eager=True))
 
     # 3. pointer doubling: chain prefix A = {(c_j, j)} doubles each round
     chain = ends.select("g", F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("j"))
@@ -84,8 +85,7 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
     step = 1
     for _ in range(max_rounds):
         hop = (chain.join(jump.withColumnRenamed("s", "c"), ["g", "c"])
-               .join(ends, "g")
-               .where(F.col("t") <= F.col("L"))
+               .where(F.col("t").isNotNull())
                .select("g", F.col("t").alias("c"), (F.col("j") + step).alias("j")))
         hop = hop.checkpoint(eager=True)
         if hop.isEmpty():
@@ -93,7 +93,7 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
         chain = chain.unionByName(hop).checkpoint(eager=True)
         a = jump.alias("a")
         b = jump.alias("b")
-        jump = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.t") == F.col("b.s")))
+        jump = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.t") == F.col("b.s")), "left")
                 .select(F.col("a.g").alias("g"), F.col("a.s").alias("s"), F.col("b.t").alias("t"))
                 .checkpoint(eager=True))
         step *= 2
