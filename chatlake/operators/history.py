@@ -61,13 +61,16 @@ def last_n_per_channel(history: DataFrame, n: int) -> DataFrame:
             .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n))
 
 
-def channel_transcripts(history: DataFrame, n: int) -> DataFrame:
-    """Chronological transcript of the last n messages of every channel."""
+def channel_transcripts(history: DataFrame, n: int, newest_first: bool = False) -> DataFrame:
+    """Transcript of the last n messages of every channel: chronological (the
+    mention memory), or newest first (the summarize command's text, which the
+    reference builds from the descending query without reversing it)."""
     last = last_n_per_channel(history, n)
     return last.groupBy("channel").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.array_join(F.transform(
-            F.sort_array(F.collect_list(F.struct("id", tx.line("sender", "message").alias("l")))),
+            F.sort_array(F.collect_list(F.struct("id", tx.line("sender", "message").alias("l"))),
+                         asc=not newest_first),
             lambda s: s["l"]), "\n").alias("transcript"),
     )
 

@@ -89,7 +89,7 @@ def primer_relevance(spark, sf):
 
 
 # ---- prompt tables ----
-_TRANSCRIPTS_SQL = """SELECT channel AS request_id, string_agg(sender || ': ' || message, chr(10) ORDER BY id) AS text
+_TRANSCRIPTS_SQL = """SELECT channel AS request_id, string_agg(sender || ': ' || message, chr(10) ORDER BY id DESC) AS text
     FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY id DESC) AS rn FROM chat_text)
     WHERE rn <= 40 GROUP BY channel"""
 _PROFILE_TEXT_SQL = f"""SELECT sender AS request_id, string_agg(sender || ': ' || message, chr(10) ORDER BY id) AS text
@@ -125,7 +125,7 @@ def prompt_rows(spark, sf):
     """Batch-inference requests: channel summaries (C-1), user profiles
     (C-2) and history dossiers (C-5), one row per piece."""
     text = views.chat_text(spark, sf)
-    tr = hist.channel_transcripts(text, 40).select(F.col("channel").alias("request_id"),
+    tr = hist.channel_transcripts(text, 40, newest_first=True).select(F.col("channel").alias("request_id"),
                                                    F.col("transcript").alias("text"))
     top = dg.top_messages(text, ["sender"], dg.DIGEST_K).join(text.select("id", "message"), "id")
     pt = top.groupBy(F.col("sender").alias("request_id")).agg(F.array_join(F.transform(
@@ -248,3 +248,26 @@ def profile_prompts(spark, sf):
     """One profile prompt per bisection leaf of each user's whole history (CMD-3, C-2)."""
     leaves = _user_history_bisect(spark, sf, pr.ch.BISECT_LIMIT)
     return pr.prompts_from_leaves(leaves.withColumnRenamed("sender", "request_id"), "profile")
+
+
+# ---- one user's history in one channel, summarised (CMD-2, C-1) ----
+_USER_CHANNEL_SQL = """SELECT sender || chr(31) || channel AS request_id,
+        string_agg(sender || ': ' || message, chr(10) ORDER BY id) AS text
+    FROM chat_text GROUP BY sender, channel"""
+
+
+@query("user_summary_prompts", with_views(f"""WITH RECURSIVE uc AS ({_USER_CHANNEL_SQL}),
+    {sq.bisect_ctes('uc', pr.ch.BISECT_LIMIT, 'bs')}
+    {_row_sql('bs_leaves', 'summary', 'path', sq.fill(pr.SUMMARY_TEMPLATE, text='piece'))}""",
+    "chat_text"))
+def user_summary_prompts(spark, sf):
+    """Summary prompts of each user's history in each channel ('name:
+    message' lines by id; D2: the message, not the row), bisected over line
+    rows so no (user, channel) history is ever one row (CMD-2, C-1)."""
+    from chatlake.operators import packing as pk
+    t = views.chat_text(spark, sf)
+    key = F.concat("sender", F.lit("\u001f"), "channel")
+    sub = t.select(key.alias("request_id"), "id",
+                   F.posexplode(F.split(tx.line("sender", "message"), "\n")).alias("sub", "text"))
+    leaves = pk.bisect_line_rows(sub, "request_id", ["id", "sub"], "text", pr.ch.BISECT_LIMIT)
+    return pr.prompts_from_leaves(leaves, "summary")
