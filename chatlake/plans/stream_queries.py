@@ -126,16 +126,18 @@ def stream_ingest(spark, sf):
         "id", "source_id", "ts", "sender", "channel", "message")
 
 
-@query("stream_first_seen", with_views("""
+@query("stream_first_seen", with_views(f"""
     SELECT author_id AS user_id,
            arg_min(author_name, struct_pack(a := event_ts, b := message_id)) AS user_name,
            min(event_ts) AS first_ts
-    FROM message_events GROUP BY author_id""", "message_events"))
+    FROM ({_routed_sql(_LIVE_SQL)}) WHERE logged GROUP BY author_id""", "message_events"))
 def stream_first_seen(spark, sf):
-    """Users registered on first sight from the stream (ST-3)."""
+    """Users registered on first sight from the stream, on the logging
+    paths only (ST-3, SNK-3)."""
     base = run_dir(spark, "stream_users")
     s = jobs.read_stream(spark, _events_glob(sf), _events_schema(spark, sf), files_per_trigger=1)
-    jobs.first_seen_stream(s, events_to_messages, f"{base}/user_info", f"{base}/_checkpoint")
+    jobs.first_seen_stream(s, events_to_messages, f"{base}/user_info", f"{base}/_checkpoint",
+                           (BOT_ID, MEMBER_ROLE, SPECIAL_NAME))
     return spark.read.parquet(f"{base}/user_info")
 
 

@@ -84,13 +84,22 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
     return _run(stream.writeStream.foreachBatch(sink), checkpoint)
 
 
-def first_seen_stream(stream: DataFrame, to_events, table: str, checkpoint: str):
+def first_seen_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
+                      routing: tuple[str, str, str] | None = None):
     """Users registered on first sight (ST-3, SNK-3): per micro-batch the
-    earliest sighting of each author, minus authors already stored."""
+    earliest sighting of each author, minus authors already stored.
+
+    With ``routing`` = (bot_id, role, special_name) only the authors of
+    messages the live path logs are registered, as the reference registers a
+    user on those paths only.
+    """
     spark = stream.sparkSession
 
     def sink(batch: DataFrame, batch_id: int):
-        ev = to_events(batch).select(F.col("author.id").alias("user_id"),
+        events = to_events(batch)
+        if routing is not None:
+            events = rt.route(events, *routing, "live").where("logged")
+        ev = events.select(F.col("author.id").alias("user_id"),
                                      F.col("author.name").alias("user_name"),
                                      F.col("event_ts").alias("ts"), "message_id")
         store = _existing(spark, table)
