@@ -191,7 +191,9 @@ def bisect_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], li
     line-level running sums plus one line's prefix, found by an as-of lookup
     in (group, character bucket) cogroups against a line table partitioned
     by bucket and checkpointed once. The tree is walked a level at a time;
-    lines must not contain newlines themselves.
+    lines must not contain newlines themselves. A line is copied to each
+    bucket it overlaps, so single lines are assumed to be message-sized (the
+    callers split messages on newlines), not whole documents.
     """
     spark = lines.sparkSession
     checkpoint_root(spark)
