@@ -98,8 +98,14 @@ def _topk_in_partition(qids: np.ndarray, qmat: np.ndarray, k: int, threshold: fl
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sims = (mat @ qmat[qs].T) / np.outer(vn, qn[qs])
                 ok = np.isfinite(sims) & (sims > threshold)
-                for j in np.nonzero(ok.any(axis=0))[0]:
-                    rows = np.nonzero(ok[:, j])[0]
+                masked = np.where(ok, sims, -np.inf)
+                # per query, keep rows at or above its k-th best score (ties
+                # included, so the id tie-break below stays exact)
+                kk = min(k, masked.shape[0])
+                kth = np.partition(masked, masked.shape[0] - kk, axis=0)[masked.shape[0] - kk]
+                keep = ok & (masked >= kth)
+                for j in np.nonzero(keep.any(axis=0))[0]:
+                    rows = np.nonzero(keep[:, j])[0]
                     cand_ids, cand_sims = ids[rows], sims[rows, j]
                     qid = int(qids[s + j])
                     if qid in best:
