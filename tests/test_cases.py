@@ -230,3 +230,35 @@ def test_group_positions_split_a_hot_channel(spark):
     b = ids.bucketed(df, "message_id", 16)
     biggest = b.groupBy("channel", "_cl_bucket").count().agg(F.max("count")).first()[0]
     assert biggest <= 2 * (n / 3) / 16
+
+
+def test_store_open_and_create(spark):
+    """SRC-1: a missing store raises; SRC-2..4: CREATE TABLE IF NOT EXISTS is idempotent."""
+    from pyspark.errors import AnalysisException
+    from chatlake.session import run_dir
+    from chatlake.sources.tables import create_tables, open_store
+    with pytest.raises(AnalysisException):
+        open_store(spark, run_dir(spark, "missing"), "chat_history").collect()
+    import uuid
+    db = f"t_{uuid.uuid4().hex[:8]}"
+    loc = run_dir(spark, db)
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{loc}'")
+    prev = spark.catalog.currentDatabase()
+    try:
+        spark.catalog.setCurrentDatabase(db)
+        assert create_tables(spark, loc) == create_tables(spark, loc)
+        assert spark.table("chat_history").columns[:6] == ["id", "ts", "sender", "channel",
+                                                          "message", "vector"]
+        assert spark.table("user_info").count() == 0
+    finally:
+        spark.catalog.setCurrentDatabase(prev)
+
+
+def test_empty_store_has_no_mark(spark):
+    empty = spark.createDataFrame([], "id long, ts timestamp")
+    assert hist.high_water_mark(empty).first().hwm is None
+
+
+def test_route_rejects_unknown_mode(spark):
+    with pytest.raises(ValueError):
+        rt.route(_event(spark, ROUTING[:1]), "0", "R", "zed", "replay")
