@@ -32,8 +32,10 @@ def _numeric_key(df: DataFrame, col: str) -> Column:
     elif isinstance(dtype, T.DateType):
         c = F.unix_date(c)
     elif isinstance(dtype, T.StringType):
-        # first 6 bytes as a number keep the string order between buckets
-        c = F.conv(F.hex(F.substring(F.rpad(c, 6, "\u0000"), 1, 6)), 16, 10).cast("long")
+        # the first 6 UTF-8 bytes, zero-padded, as a number: monotone in the
+        # (binary UTF-8) string order, so buckets never reorder rows
+        head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6))
+        c = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("long")
     return F.coalesce(c.cast("double"), F.lit(float("-inf")))
 
 

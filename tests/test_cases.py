@@ -262,3 +262,15 @@ def test_empty_store_has_no_mark(spark):
 def test_route_rejects_unknown_mode(spark):
     with pytest.raises(ValueError):
         rt.route(_event(spark, ROUTING[:1]), "0", "R", "zed", "replay")
+
+
+def test_dense_ids_on_string_keys(spark):
+    """Bucketing on a string key keeps the string order (multi-byte text too)."""
+    from pyspark.sql import Window
+    from chatlake.operators import ids
+    words = ["a", "ab", "abc", "é", "éa", "z", "日本", "日本語", "Zed", "", "ß", "aé"] * 20
+    df = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "k string, i long")
+    got = ids.dense_ids(df, ["k", "i"], buckets=6)
+    want = df.withColumn("id", F.row_number().over(Window.orderBy("k", "i")) - 1)
+    assert sorted(tuple(r) for r in got.select("i", "id").collect()) == \
+        sorted(tuple(r) for r in want.select("i", "id").collect())
