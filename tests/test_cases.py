@@ -274,3 +274,19 @@ def test_dense_ids_on_string_keys(spark):
     want = df.withColumn("id", F.row_number().over(Window.orderBy("k", "i")) - 1)
     assert sorted(tuple(r) for r in got.select("i", "id").collect()) == \
         sorted(tuple(r) for r in want.select("i", "id").collect())
+
+
+def test_batch_search_ties_break_by_id(spark):
+    """Many equal scores across partitions: the k winners are the smallest ids."""
+    rows = [(i, T0, "u", "c", "m", [1.0, 0.0] if i % 2 == 0 else [0.6, 0.8]) for i in range(60)]
+    h = spark.createDataFrame(rows, "id long, ts timestamp, sender string, channel string, "
+                                    "message string, vector array<float>").repartition(4)
+    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.6, 0.8])], "qid long, vector array<double>")
+    got = srch.vector_search_batch(h, q, k=5, threshold=-1.0)
+    by_q = {}
+    for r in got.collect():
+        by_q.setdefault(r.qid, []).append((r.hit_rank, r.id))
+    assert [i for _, i in sorted(by_q[0])] == [0, 2, 4, 6, 8]
+    assert [i for _, i in sorted(by_q[1])] == [1, 3, 5, 7, 9]
+    single = srch.vector_search(h, [1.0, 0.0], k=5, threshold=-1.0)
+    assert sorted(r.id for r in single.collect()) == [0, 2, 4, 6, 8]
