@@ -105,7 +105,11 @@ def first_seen_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
         store = _existing(spark, table)
         existing = store if store is not None else spark.createDataFrame(
             [], "user_id string, user_name string, first_ts timestamp")
-        new = reg.insert_if_absent(existing, ev.withColumn("first_ts", F.col("ts")), "user_id",
+        # only stored users seen in this batch matter: a semi join with the
+        # batch's ids (the small side, broadcast by AQE when measured small)
+        # filters the user table map side instead of shuffling all of it
+        seen = existing.join(ev.select("user_id").distinct(), "user_id", "left_semi")
+        new = reg.insert_if_absent(seen, ev.withColumn("first_ts", F.col("ts")), "user_id",
                                    ["user_name", "first_ts"], ["ts", "message_id"])
         new.select("user_id", "user_name", "first_ts").write.mode("append").parquet(table)
 
