@@ -84,15 +84,17 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
     # 3. pointer doubling: chain prefix A = {(c_j, j)} doubles each round
     chain = ends.select("g", F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("j"))
     chain = chain.checkpoint(eager=True)
+    known = chain.count()
     step = 1
     for _ in range(max_rounds):
         hop = (chain.join(jump.withColumnRenamed("s", "c"), ["g", "c"])
                .where(F.col("t").isNotNull())
                .select("g", F.col("t").alias("c"), (F.col("j") + step).alias("j")))
-        hop = hop.checkpoint(eager=True)
-        if hop.isEmpty():
+        grown = chain.unionByName(hop).checkpoint(eager=True)
+        total = grown.count()
+        if total == known:      # no chain start beyond the known prefix
             break
-        chain = chain.unionByName(hop).checkpoint(eager=True)
+        chain, known = grown, total
         a = jump.alias("a")
         b = jump.alias("b")
         jump = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.t") == F.col("b.s")), "left")
