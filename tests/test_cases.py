@@ -290,3 +290,20 @@ def test_batch_search_ties_break_by_id(spark):
     assert [i for _, i in sorted(by_q[1])] == [1, 3, 5, 7, 9]
     single = srch.vector_search(h, [1.0, 0.0], k=5, threshold=-1.0)
     assert sorted(r.id for r in single.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_normalize_keeps_mentions_whole(spark):
+    df = spark.createDataFrame([("Hey @My.Bot, what's UP?!",)], "m string")
+    assert df.select(tx.normalize("m").alias("n")).first().n == "hey @my.bot what's up"
+
+
+def test_vector_codec_roundtrip(spark):
+    from chatlake.functions import vectors as vx
+    vals = [1e-5, -0.1, 3.4028235e38, 0.0, -2.5e-7, 0.123456789]
+    df = spark.createDataFrame([(vals,)], "v array<float>")
+    back = df.select(vx.from_text(vx.to_text("v")).alias("b"), "v").first()
+    assert [float(x) for x in back.b] == pytest.approx([float(x) for x in back.v], rel=1e-7)
+    same = df.select(F.aggregate(F.zip_with("v", vx.from_text(vx.to_text("v")),
+                                            lambda a, b: a == b.cast("float")),
+                                 F.lit(True), lambda acc, x: acc & x).alias("ok")).first().ok
+    assert same
