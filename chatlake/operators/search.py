@@ -43,8 +43,11 @@ def _message_filters(df: DataFrame, bot_name, mention, exclude_channels) -> Data
 def vector_search(history: DataFrame, query, k: int = TOP_K, threshold: float = THRESHOLD,
                   bot_name: str | None = None, mention: str | None = None,
                   exclude_channels=()) -> DataFrame:
-    """Top-k messages by cosine similarity to ``query`` (a list of floats or
-    an array Column such as a scalar subquery).
+    """Top-k messages by cosine similarity to ``query``: a list of floats (the
+    embedded question; constant-folded with its norm) or an array Column of
+    the same rows. Spark rejects a scalar subquery inside the higher-order
+    functions, so a query held in a table is passed as its values, or through
+    ``vector_search_batch``.
 
     Output: hit_rank, id, role, content, similarity (6 places), timestamp
     (epoch seconds), channel. Zero vectors have no similarity and are dropped.
