@@ -307,3 +307,11 @@ def test_vector_codec_roundtrip(spark):
                                             lambda a, b: a == b.cast("float")),
                                  F.lit(True), lambda acc, x: acc & x).alias("ok")).first().ok
     assert same
+
+
+def test_pieces_count_code_points(spark):
+    text = "😀" * 2500 + "é"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rows = sorted(ch.reply_pieces(df, ["doc_id"], "text").collect(), key=lambda r: r.pos)
+    assert [len(r.piece) for r in rows] == [2000, 501]
+    assert [r.piece for r in rows] == [text[:2000], text[2000:]]
