@@ -315,3 +315,11 @@ def test_pieces_count_code_points(spark):
     rows = sorted(ch.reply_pieces(df, ["doc_id"], "text").collect(), key=lambda r: r.pos)
     assert [len(r.piece) for r in rows] == [2000, 501]
     assert [r.piece for r in rows] == [text[:2000], text[2000:]]
+
+
+def test_transcripts_both_orders(spark):
+    h = spark.createDataFrame([(i, "c", "u", f"m{i}") for i in range(1, 6)],
+                              "id long, channel string, sender string, message string")
+    old = hist.channel_transcripts(h, 3).first().transcript
+    new = hist.channel_transcripts(h, 3, newest_first=True).first().transcript
+    assert old == "u: m3\nu: m4\nu: m5" and new == "u: m5\nu: m4\nu: m3"
