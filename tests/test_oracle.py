@@ -28,3 +28,9 @@ def test_query_matches_oracle(spark, duck, name):
     dcols, drows = rows_of([d[0] for d in res.description], res.fetchall())
     assert scols == dcols
     assert srows == drows
+
+
+def test_every_query_has_an_oracle():
+    import __spark_entry__ as entry
+    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert len(entry.queries()) >= 70
