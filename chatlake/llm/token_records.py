@@ -14,6 +14,8 @@ the id order by name.
 
 from __future__ import annotations
 
+import array
+import os
 import struct
 import zlib
 
@@ -24,7 +26,7 @@ from chatlake.session import run_dir, ship_package
 
 BLOCK_BYTES = 1 << 20       # frames are gathered to blocks of about this size
 FILE_BYTES = 16 << 20       # text bytes a file is made from
-CACHE = 1_000_000           # pieces a worker remembers
+CACHE = 250_000             # pieces a worker remembers, twice
 
 #: Characters beside which a blank is no sure cut: white space of any kind, and
 #: characters that regular expression libraries disagree on.
@@ -71,64 +73,82 @@ def fields(payload: bytes):
     return (doc_id if there else None), np.frombuffer(payload, dtype=f"<u{width}", offset=10).astype("<u4")
 
 
+class Pieces(dict):
+    """Ids of pieces: a word behind a blank, or a line feed and the word behind
+    it. What is missing is encoded when it is first asked for. There are two
+    generations, so that pieces in use survive when the table is turned over."""
+
+    def __init__(self, encoder: Encoder, older: dict):
+        super().__init__()
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encoder.piece(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Token ids of whole texts, as bytes of integers of ``width`` bytes.
 
     The vocabulary's splitter never joins across a blank or a line feed that has
     a plain character on either side, nor a full stop or comma behind a letter
     with that letter. So such texts are encoded by pieces, each distinct piece
-    once by the library; other texts go to it whole. A test holds both equal.
+    once by the library, and Latin words, which the splitter takes whole, by the
+    library's model alone; other texts go to it whole. A test holds all equal.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.pieces: dict[str, bytes] = {}
+        self.kind = "H" if self.width == 2 else "I"
+        # the byte-level alphabet: printable Latin-1 stands for itself, the other
+        # bytes for the characters from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.alphabet = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
+        self.blank = chr(self.alphabet[32])
+        self.feed = self.whole(["\n"])[0]
+        self.ends: dict[str, bytes] = {}                    # full stops and commas behind a word
+        self.pieces = Pieces(self, {})
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, wanted: set[str]) -> None:
-        """A piece: a word behind a blank, or '\\n' and a word behind a line feed."""
-        if len(self.pieces) + len(wanted) > CACHE:
-            self.pieces.clear()
-        cut, plain = {}, set()
-        for p in wanted:
-            line, word = p[:1] == "\n", p.lstrip("\n")
-            stem = word.rstrip(".,")
-            if not stem or not stem[-1].isalpha():
-                stem = word
-            cut[p] = parts = ["\n"] * line + [stem if line else " " + stem] + [word[len(stem):]] * (len(stem) < len(word))
-            plain.update(parts)
-        plain = list(plain)
-        ids = dict(zip(plain, self.whole(plain)))
-        for p, parts in cut.items():
-            self.pieces[p] = b"".join([ids[x] for x in parts])
+        return [array.array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def piece(self, piece: str) -> bytes:
+        line = piece[0] == "\n"
+        word = piece[1:] if line else piece
+        stem = word.rstrip(".,")
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0250"):
+            return self.feed + self.whole([word])[0] if line else self.whole([" " + word])[0]
+        end = word[len(stem):]
+        if not stem.isascii():
+            stem = stem.encode().decode("latin-1").translate(self.alphabet)
+        ids = array.array(self.kind, [t.id for t in self.tokenize(stem if line else self.blank + stem)]).tobytes()
+        if end:
+            if end not in self.ends:
+                self.ends[end] = self.whole([end])[0]
+            ids += self.ends[end]
+        return self.feed + ids if line else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[tuple[str, list[str]] | None] = []
-        odd = []
+        if len(self.pieces) > CACHE:
+            self.pieces, self.ends = Pieces(self, dict(self.pieces)), {}
+        get, out = self.pieces.__getitem__, []
         for t in texts:
             if not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n" or any(c in t for c in _ODD):
-                cut.append(None)
-                odd.append(t)
+                out += self.whole([t])
             else:
                 head, *rest = t.replace("\n", " \n").split(" ")
-                cut.append((head, rest))
-        wanted = {p for c in cut if c for p in c[1]}
-        wanted = {p for p in wanted if p not in self.pieces}
-        if len(self.pieces) + len(wanted) > CACHE:
-            wanted = {p for c in cut if c for p in c[1]}
-        if wanted:
-            self.learn(wanted)
-        heads, whole = iter(self.whole([c[0] for c in cut if c])), iter(self.whole(odd))
-        get = self.pieces.__getitem__
-        return [next(heads) + b"".join(map(get, c[1])) if c else next(whole) for c in cut]
+                out.append(b"".join([self.whole([head])[0], *map(get, rest)]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
