@@ -114,12 +114,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame, distance: int = 2) -> DataFrame:
-    """(doc_id, text_hash, fp) to those and ``root``, the class's smallest
-    fingerprint. Equal fingerprints are one node, however many rows have them."""
-    distinct = fps.select("fp").distinct()
-    found = components(links(distinct, distance)).withColumnRenamed("node", "fp")
-    return (fps.join(found, "fp", "left")
-            .select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("root")))
+    """(doc_id, text_hash, fp) to those with root, the class's smallest
+    fingerprint, and component_id, its smallest id. Equal fingerprints are one
+    node, however many rows have them; the last join has a table on either side,
+    so that Spark can split a fingerprint that many rows share."""
+    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(own.select("fp"), distance)).withColumnRenamed("node", "fp")
+    rooted = written(own.join(found, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "simhash-roots")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return fps.join(written(rooted.join(least, "root").drop("least"), "simhash-classes"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2,
@@ -131,9 +134,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2,
     NULL ids count as no id: a class of them alone has a NULL component_id.
     """
     rows = classes(fingerprints(docs, shingle, id_col, text_col), distance)
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2,
