@@ -51,20 +51,28 @@ def line_dedup(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     """
     pages = without(pages, "host", "n_lines", "n_dropped", "clean_text")
     row, lines, host_pages, on, bad = fresh(pages, "row", "lines", "host_pages", "on", "bad")
+
+    def digest(line: Column) -> list[Column]:
+        """128 bits that stand for a line in the shuffles."""
+        return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(bad), line).alias("h2")]
+
     rest = without(pages, html_col)
     # one pass over the html; the row number is fixed by being written
     table = written(pages.select(*cols(rest), host_of(F.col(f"`{url_col}`")).alias("host"),
                                  lines_of(F.col(f"`{html_col}`")).alias(lines), F.monotonically_increasing_id().alias(row)), "page-lines")
     sited = table.where("host IS NOT NULL")
-    once = sited.select("host", F.explode(F.array_distinct(lines)).alias("line"))
-    seen = once.groupBy("host", "line").agg(F.count("*").alias(on)).where(F.col(on) >= min_pages)
+    once = sited.select("host", F.explode(F.array_distinct(lines)).alias("line")).select("host", *digest(F.col("line")))
+    seen = once.groupBy("host", "h1", "h2").agg(F.count("*").alias(on)).where(F.col(on) >= min_pages)
     totals = sited.groupBy("host").agg(F.count("*").alias(host_pages))
-    boiler = seen.join(totals, "host").where(F.col(on) > max_ratio * F.col(host_pages)).select("host", "line", F.lit(True).alias(bad))
+    boiler = seen.join(totals, "host").where(F.col(on) > max_ratio * F.col(host_pages)).select("host", "h1", "h2")
     # a line on most pages of a site that holds most pages: a skewed join, which is split
-    single = sited.select(row, "host", F.posexplode(lines).alias("pos", "line")).join(boiler, ["host", "line"], "left")
-    kept = F.sort_array(F.collect_list(F.when(F.col(bad).isNull(), F.struct("pos", "line"))))
-    page = single.groupBy(row).agg(F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("clean_text"),
-                                   F.count(bad).alias("n_dropped"))
-    return table.join(page, row, "left").select(
-        *cols(rest), "host", F.size(lines).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce("clean_text", F.when(F.col("host").isNull(), F.array_join(lines, "\n")), F.lit("")).alias("clean_text"))
+    single = sited.select(row, "host", F.posexplode(lines).alias("pos", "line")).select(row, "host", "pos", *digest(F.col("line")))
+    drop = single.join(boiler, ["host", "h1", "h2"], "left_semi").groupBy(row).agg(F.collect_set("pos").alias(bad))
+    n = F.size(lines)
+    # positions go by a hash set, so long pages cost no more a line than short ones
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col(bad))
+    text = F.when(F.col(bad).isNull(), F.array_join(lines, "\n")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    return table.join(drop, row, "left").select(
+        *cols(rest), "host", n.cast("long").alias("n_lines"),
+        F.when(F.col(bad).isNull(), F.lit(0)).otherwise(F.size(bad)).cast("long").alias("n_dropped"), text.alias("clean_text"))
