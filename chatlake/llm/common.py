@@ -30,6 +30,18 @@ def without(df: DataFrame, *outputs: str) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in out])
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed out of the way of an operator's own, and
+    the new name of each: so that none is lost where names clash."""
+    names = {c: f"c{i}__" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def back(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that ``aside`` renamed, and no others."""
+    return df.select([F.col(new).alias(old) for old, new in names.items()])
+
+
 def cols(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import cols, without
+from chatlake.llm.common import aside, back, cols, fresh, without
 from chatlake.session import ship_package
 
 WINDOW = 10
@@ -132,12 +132,12 @@ def scan_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text
     parts = [spark.sparkContext.broadcast([(r["i"], bytes(r["t"])) for r in items.where(part == k).collect()])
              for k in range(n)]
     docs = without(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
-    rows = docs.select(*cols(docs), F.col(f"`{text_col}`").cast("binary").alias("__scan"))
+    rows = docs.select(*cols(docs), F.col(f"`{text_col}`").cast("binary").alias(*fresh(docs, "scan")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return rows.mapInArrow(_scanner(parts, window), f"{kinds}, {SCHEMA}")
 
 
-def clean(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those that hold a benchmark window; columns unchanged."""
-    found = scan_documents(docs, bench, **how).where("NOT contaminated")
-    return found.select(cols(docs))
+    rows, names = aside(docs)
+    return back(scan_documents(rows, bench, text_col=names[text_col], **how).where("NOT contaminated"), names)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import cols, without, written
+from chatlake.llm.common import aside, back, cols, fresh, without, written
 from chatlake.session import ship_package
 
 BITS = 18               # features: 2 ** BITS
@@ -172,10 +172,12 @@ def score(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
     docs = without(docs, "score", "predicted")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = docs.select(*cols(docs), F.col(f"`{text_col}`").alias("__scored"))
+    rows = docs.select(*cols(docs), F.col(f"`{text_col}`").alias(*fresh(docs, "scored")))
     return rows.mapInArrow(_scorer(shared), f"{kinds}, score double, predicted int")
 
 
-def clean(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those predicted toxic; columns unchanged."""
-    return score(docs, train(docs, labels, **how)).where("predicted = 0").select(cols(docs))
+    model = train(docs, labels, id_col=id_col, text_col=text_col, **how)
+    rows, names = aside(docs)
+    return back(score(rows, model, names[text_col]).where("predicted = 0"), names)
