@@ -39,7 +39,7 @@ def token_counts(spark, sf):
 
 @query("clean_text", with_views(f"""
     SELECT id, trim(message, {WS_SQL}) AS stripped, replace(message, chr(10), '') AS one_line,
-           array_to_string(regexp_extract_all(message, '[^\\s]+')[1:3], ', ') AS label_list
+           array_to_string(regexp_extract_all(message, '[^\\s]+'), ', ') AS label_list
     FROM chat_text""", "chat_text"))
 def clean_text(spark, sf):
     """Strip, newline removal and comma-joined lists (STR-9, STR-14)."""
@@ -47,7 +47,7 @@ def clean_text(spark, sf):
     return views.chat_text(spark, sf).select(
         "id", tx.strip("message").alias("stripped"),
         tx.remove_newlines("message").alias("one_line"),
-        F.array_join(F.slice(words, 1, 3), ", ").alias("label_list"))
+        F.array_join(words, ", ").alias("label_list"))
 
 
 _CMD_SQL = """CASE WHEN sender = 'user' THEN '!primercheck ' || message ELSE message END"""
