@@ -20,9 +20,9 @@ from chatlake.sources.views import with_views
 _TRANSCRIPTS_SQL = """SELECT channel AS request_id, string_agg(sender || ': ' || message, chr(10) ORDER BY id DESC) AS text
     FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY id DESC) AS rn FROM chat_text)
     WHERE rn <= 40 GROUP BY channel"""
-_PROFILE_TEXT_SQL = f"""SELECT sender AS request_id, string_agg(sender || ': ' || message, chr(10) ORDER BY id) AS text
-    FROM (SELECT c.*, row_number() OVER (PARTITION BY c.sender ORDER BY round(sc.score, 9) DESC, c.id) AS r
-          FROM chat_text c JOIN sc USING (id)) WHERE r <= {dg.DIGEST_K} GROUP BY sender"""
+_USER_TEXT_SQL = """SELECT sender AS request_id,
+        string_agg(sender || ': ' || message, chr(10) ORDER BY id) AS text
+    FROM chat_text GROUP BY sender"""
 
 
 def _row_sql(src: str, kind: str, chunk: str, prompt: str, system: str = "NULL") -> str:
@@ -35,9 +35,8 @@ def _row_sql(src: str, kind: str, chunk: str, prompt: str, system: str = "NULL")
             f"CAST({m} AS BIGINT) AS max_tokens FROM {src}")
 
 
-_PROMPT_ROWS_SQL = with_views(f"""WITH RECURSIVE {sq.tfidf_ctes('chat_text')},
-    tr AS ({_TRANSCRIPTS_SQL}),
-    pt AS ({_PROFILE_TEXT_SQL}),
+_PROMPT_ROWS_SQL = with_views(f"""WITH RECURSIVE tr AS ({_TRANSCRIPTS_SQL}),
+    pt AS ({_USER_TEXT_SQL}),
     docs AS (SELECT doc_id AS request_id, text FROM documents),
     {sq.bisect_ctes('tr', 2048, 'b1')},
     {sq.bisect_ctes('pt', 2048, 'b2')},
@@ -55,13 +54,10 @@ def prompt_rows(spark, sf):
     text = views.chat_text(spark, sf)
     tr = hist.channel_transcripts(text, 40, newest_first=True).select(F.col("channel").alias("request_id"),
                                                    F.col("transcript").alias("text"))
-    top = dg.top_messages(text, ["sender"], dg.DIGEST_K).join(text.select("id", "message"), "id")
-    pt = top.groupBy(F.col("sender").alias("request_id")).agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("id", tx.line("sender", "message").alias("l")))),
-        lambda s: s["l"]), "\n").alias("text"))
+    leaves = _user_history_bisect(spark, sf, pr.ch.BISECT_LIMIT).withColumnRenamed("sender", "request_id")
     docs = views.long_text(spark, sf).select(F.col("doc_id").alias("request_id"), "text")
     return (pr.bisected_prompts(tr, "summary")
-            .unionByName(pr.bisected_prompts(pt, "profile"))
+            .unionByName(pr.prompts_from_leaves(leaves, "profile"))
             .unionByName(pr.dossier_prompts(docs)))
 
 
@@ -138,9 +134,6 @@ def dossier_prompts(spark, sf):
 
 
 # ---- a user's whole history bisected for profile prompts (CMD-3, CH-1, C-2) ----
-_USER_TEXT_SQL = """SELECT sender AS request_id,
-        string_agg(sender || ': ' || message, chr(10) ORDER BY id) AS text
-    FROM chat_text GROUP BY sender"""
 
 
 def _user_history_bisect(spark, sf, limit):
