@@ -26,8 +26,7 @@ from chatlake.session import ship_package
 TOP_K = 20          # results kept
 THRESHOLD = 0.3     # similarity must be strictly greater
 CONTEXT = 2         # ids on each side, same channel, inclusive
-MAX_QUERY_BLOCK = 4096   # queries broadcast to the tasks at once (size-checked)
-MAX_BROADCAST_ROWS = 1_000_000   # hit rows we hint for broadcast; beyond, AQE decides
+SHARD_ROWS = 16384  # messages whose vectors a batch search task holds
 
 
 def _message_filters(df: DataFrame, bot_name, mention, exclude_channels) -> DataFrame:
@@ -125,64 +124,48 @@ def _topk_in_partition(qids: np.ndarray, qmat: np.ndarray, k: int, threshold: fl
     return run
 
 
-def _block_hits(h: DataFrame, rows: pd.DataFrame, k: int, threshold: float) -> DataFrame:
-    """(qid, id, sim, hit_rank) of one block of queries held in ``rows``."""
-    spark = h.sparkSession
-    ship_package(spark)
-    qids = rows["qid"].to_numpy(dtype=np.int64)
-    qmat = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-    bc = spark.sparkContext.broadcast((qids, qmat))
-
-    def body(batches):
-        qi, qm = bc.value
-        return _topk_in_partition(qi, qm, k, threshold)(batches)
-
-    hits = h.mapInPandas(body, _HIT_SCHEMA)
-    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("id"))
-    return hits.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k)
+def _sharded(k: int, threshold: float):
+    """Rows sorted by (shard, kind) to hits: a shard's messages (kind 0) are
+    held, its queries (kind 1) stream past them."""
+    def run(batches):
+        shard, held = None, []
+        for b in batches:
+            for (s, kind), rows in b.groupby(["shard", "kind"], sort=True):
+                if s != shard:
+                    shard, held = s, []
+                if kind == 0:
+                    held.append(rows[["id", "vector"]])
+                elif held:
+                    held = [pd.concat(held, ignore_index=True)]
+                    qmat = np.stack(rows["vector"].to_numpy()).astype(np.float64)
+                    yield from _topk_in_partition(rows["id"].to_numpy(np.int64), qmat, k, threshold)(iter(held))
+    return run
 
 
 def vector_search_batch(history: DataFrame, queries: DataFrame, k: int = TOP_K,
                         threshold: float = THRESHOLD, bot_name: str | None = None,
                         mention: str | None = None, exclude_channels=(),
-                        max_block: int = MAX_QUERY_BLOCK) -> DataFrame:
+                        shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Top-k per query for a table of queries (qid, vector) (J-3, [ext]).
 
-    Messages stay distributed; queries go to the tasks as a broadcast block
-    of at most about ``max_block`` rows, so what is broadcast never grows with
-    the data. Up to ``max_block`` queries run in one plan. A larger set is
-    split by a hash of qid and run block by block: each block's final top-k
-    (queries are disjoint between blocks) is written under the checkpoint
-    folder before the next block is fetched, so the driver holds one block
-    at a time. Output: qid, hit_rank, id, role, content, similarity,
-    timestamp, channel.
+    One plan for any number of queries: messages are dealt into shards of
+    about ``shard_rows``, the queries go to every shard, and a task holds one
+    shard's vectors while the queries stream past in Arrow batches. Nothing is
+    broadcast or fetched to the driver but the message count. Output: qid,
+    hit_rank, id, role, content, similarity, timestamp, channel.
     """
-    from chatlake.session import run_dir
-    spark = history.sparkSession
-    h = _message_filters(history, bot_name, mention, exclude_channels).select("id", "vector")
-    head = queries.select("qid", "vector").limit(max_block + 1).toPandas()
-    if len(head) <= max_block:
-        n_q = len(head)
-        if n_q == 0:
-            return spark.createDataFrame([], "qid long, hit_rank int, id long, role string, "
-                                             "content string, similarity double, "
-                                             "timestamp long, channel string")
-        ranked = _block_hits(h, head, k, threshold)
-    else:
-        del head
-        n_q = queries.count()
-        n_blocks = math.ceil(1.25 * n_q / max_block)
-        out = run_dir(spark, "search_batch_hits")
-        for b in range(n_blocks):
-            rows = (queries.where(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == b)
-                    .select("qid", "vector").toPandas())
-            if not rows.empty:
-                _block_hits(h, rows, k, threshold).write.mode("append").parquet(out)
-        ranked = spark.read.parquet(out)
-    # at most k rows per query: broadcast only under the row bound; a larger
-    # result joins by shuffle, re-planned by AQE
-    if n_q * k <= MAX_BROADCAST_ROWS:
-        ranked = F.broadcast(ranked)
+    ship_package(history.sparkSession)
+    h = _message_filters(history, bot_name, mention, exclude_channels)
+    shards = max(1, -(-h.count() // shard_rows))
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    held = h.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"),
+                    F.col("id").cast("long").alias("id"), vector)
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
+                           F.lit(1).alias("kind"), F.col("qid").cast("long").alias("id"), vector)
+    rows = held.unionAll(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    w = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("id"))
+    ranked = (rows.mapInPandas(_sharded(k, threshold), _HIT_SCHEMA)
+              .withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= k))
     info = history.select("id", "ts", "sender", "channel", "message")
     return (info.join(ranked, "id")
             .select("qid", "hit_rank", "id", F.col("sender").alias("role"),
@@ -190,17 +173,13 @@ def vector_search_batch(history: DataFrame, queries: DataFrame, k: int = TOP_K,
                     F.unix_timestamp("ts").alias("timestamp"), "channel"))
 
 
-def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT,
-                   max_hits: int | None = TOP_K) -> DataFrame:
+def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT) -> DataFrame:
     """Each hit's conversation: rows of the same channel with id in
     [hit-width, hit+width] (J-1, PF-14). Context rows are not filtered, and
     overlapping contexts are not merged.
 
     The band is expanded into 2*width+1 keys per hit and equi-joined on
-    (id, channel): no range join, no per-hit query. ``max_hits`` is the
-    caller's bound on the hit rows (k for one query, k * queries for a
-    batch); under the broadcast row bound the expanded hits are broadcast,
-    otherwise (or when the bound is unknown, None) the join is left to
+    (id, channel): no range join, no per-hit query. The join is left to
     adaptive execution, which broadcasts only a side measured small.
     """
     qkeys = [c for c in ("qid",) if c in hits.columns]
@@ -212,8 +191,6 @@ def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT,
         # stored layout: partitions by id block -> dynamic partition pruning
         band = band.withColumn("id_block", F.floor(F.col("id") / ID_BLOCK).cast("long"))
         on, cols = ["id_block"] + on, ["id_block"] + cols
-    if max_hits is not None and max_hits * (2 * width + 1) <= MAX_BROADCAST_ROWS:
-        band = F.broadcast(band)
     return (history.select(*cols)
             .join(band, on)
             .select(*qkeys, "hit_rank", "hit_id", "id", F.col("sender").alias("role"),
