@@ -78,17 +78,21 @@ def resolve_mentions(messages: DataFrame, users: DataFrame, key: str = "message_
                      text_col: str = "content") -> DataFrame:
     """Replace '<@id>' mention tokens by '@name' of registered users (STR-13).
 
-    Unknown ids stay as they are. Mentions are exploded (one row per mention),
-    joined to the user table, and folded back per message; each group holds
-    only one message's mentions.
+    Unknown ids stay as they are; of several names for one id the smallest is
+    taken. A text is cut at its mentions once and each mention is looked up, so
+    a name that looks like a mention is not read again. Each group holds only
+    one message's mentions.
     """
+    mention = r"<@(\d+)>"
     found = messages.select(key, F.explode(F.array_distinct(
-        F.regexp_extract_all(text_col, F.lit(r"<@(\d+)>"), 1))).alias("user_id"))
-    names = found.join(users.select("user_id", "user_name"), "user_id")
-    subs = names.groupBy(key).agg(F.collect_list(F.struct("user_id", "user_name")).alias("subs"))
-    folded = F.aggregate(
-        F.coalesce(F.col("subs"), F.array().cast("array<struct<user_id:string,user_name:string>>")),
-        F.col(text_col),
-        lambda acc, s: F.replace(acc, F.concat(F.lit("<@"), s["user_id"], F.lit(">")),
-                                 F.concat(F.lit("@"), s["user_name"])))
-    return messages.join(subs, key, "left").select(key, folded.alias("clean_content"))
+        F.regexp_extract_all(text_col, F.lit(mention), 1))).alias("user_id"))
+    known = users.groupBy("user_id").agg(F.min("user_name").alias("user_name"))
+    names = found.distinct().join(known, "user_id").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("user_id", "user_name"))).alias("names"))
+    # the text's parts between mentions, and the ids of the mentions
+    cut = messages.join(names, key, "left").select(
+        key, "names", F.split(text_col, r"<@\d+>", -1).alias("parts"),
+        F.regexp_extract_all(text_col, F.lit(mention), 1).alias("ids"))
+    said = F.zip_with("parts", "ids", lambda part, i: F.concat(part, F.coalesce(
+        F.concat(F.lit("@"), F.try_element_at("names", i)), F.concat(F.lit("<@"), i, F.lit(">")), F.lit(""))))
+    return cut.select(key, F.array_join(said, "").alias("clean_content"))

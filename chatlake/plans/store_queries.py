@@ -177,21 +177,25 @@ def known_sender_messages(spark, sf):
 
 
 @query("resolve_mentions", f"""
-    WITH reg AS (SELECT CAST(user_id AS VARCHAR) AS user_id, 'user-' || CAST(user_id AS VARCHAR) AS user_name
+    WITH reg AS (SELECT CAST(user_id AS VARCHAR) AS user_id, CASE WHEN user_id % 10 = 0 THEN '<@' || CAST(user_id + 1 AS VARCHAR) || '>'
+                        ELSE 'user-' || CAST(user_id AS VARCHAR) END AS user_name
                  FROM events WHERE ts < TIMESTAMP '{REGISTERED_BEFORE}' GROUP BY user_id),
-    m AS (SELECT event_id AS message_id, CAST((user_id * 7) % 150 AS VARCHAR) AS mid,
-                 '<@' || CAST((user_id * 7) % 150 AS VARCHAR) || '> ' || props AS content FROM events)
-    SELECT message_id, CASE WHEN reg.user_name IS NULL THEN content
-                            ELSE replace(content, '<@' || mid || '>', '@' || reg.user_name) END AS clean_content
-    FROM m LEFT JOIN reg ON reg.user_id = m.mid""")
+    m AS (SELECT event_id AS message_id, CAST((user_id * 7) % 150 AS VARCHAR) AS a,
+                 CAST((user_id * 7) % 150 + 1 AS VARCHAR) AS b, props FROM events)
+    SELECT message_id, coalesce('@' || x.user_name, '<@' || a || '>') || ' ' || coalesce('@' || y.user_name, '<@' || b || '>')
+           || props AS clean_content
+    FROM m LEFT JOIN reg x ON x.user_id = m.a LEFT JOIN reg y ON y.user_id = m.b""")
 def resolve_mentions(spark, sf):
     e = read_table(spark, sf, "events")
+    first = (F.col("user_id") * 7) % 150
     msgs = e.select(F.col("event_id").alias("message_id"),
-                    F.concat(F.lit("<@"), ((F.col("user_id") * 7) % 150).cast("string"), F.lit("> "),
+                    F.concat(F.lit("<@"), first.cast("string"), F.lit("> <@"), (first + 1).cast("string"), F.lit(">"),
                              "props").alias("content"))
     known = e.where(F.col("ts") < F.lit(REGISTERED_BEFORE).cast("timestamp_ntz"))\
         .select(F.col("user_id").cast("string").alias("user_id")).distinct()\
-        .select("user_id", F.concat(F.lit("user-"), "user_id").alias("user_name"))
+        .select("user_id", F.when(F.col("user_id").cast("long") % 10 == 0, F.concat(
+            F.lit("<@"), (F.col("user_id").cast("long") + 1).cast("string"), F.lit(">")))
+            .otherwise(F.concat(F.lit("user-"), "user_id")).alias("user_name"))
     return reg.resolve_mentions(msgs, known)
 
 
@@ -230,11 +234,9 @@ def interaction_log(spark, sf):
 def list_text_channels(spark, sf):
     """Server listing -> its text channels (SRC-8)."""
     m = views.message_events(spark, sf)
-    listing = m.groupBy((1 + F.col("author.id").cast("long") % 3).alias("server_id"))\
-        .agg(F.collect_set("channel").alias("channels"))
-    return (listing.select("server_id", F.explode("channels").alias("c"))
-            .where(F.col("c.kind") == "text")
-            .select("server_id", F.col("c.id").alias("id"), F.col("c.name").alias("name")))
+    return (m.where(F.col("channel.kind") == "text")
+            .select((1 + F.col("author.id").cast("long") % 3).alias("server_id"),
+                    F.col("channel.id").alias("id"), F.col("channel.name").alias("name")).distinct())
 
 
 @query("schema_tables", with_views("""
