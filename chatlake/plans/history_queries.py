@@ -118,42 +118,69 @@ def high_water_mark(spark, sf):
     return hist.high_water_mark(views.chat_event(spark, sf))
 
 
-SQL_SURFACE = """SELECT sender, channel, COUNT(*) AS n_messages FROM chat_history
-WHERE channel = 'click' GROUP BY sender, channel"""
+SQL_SURFACE = """SELECT h.sender, u.primer, h.channel, COUNT(*) AS n_messages
+FROM chat_history h JOIN chat_channels c ON c.channel_name = h.channel
+LEFT JOIN user_info u ON h.sender = concat('user-', u.user_id)
+WHERE h.channel = 'click' GROUP BY h.sender, u.primer, h.channel"""
 
 
 def run_sql(spark, statement: str):
-    """SQL over the registered chat views, read path only (SRC-10)."""
-    head = statement.lstrip().split(None, 1)[0].upper()
-    if head not in ("SELECT", "WITH"):
-        raise ValueError("only SELECT statements are allowed")
+    """SQL over the registered chat views, read path only (SRC-10): the parsed
+    statement must be a query, with no command or insert anywhere in it."""
+    from py4j.java_gateway import is_instance_of
+
+    if not statement.strip():
+        raise ValueError("empty statement")
+    plans = "org.apache.spark.sql.catalyst.plans.logical."
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+    while todo:
+        plan = todo.pop()
+        if any(is_instance_of(spark.sparkContext._gateway, plan, plans + c) for c in ("Command", "ParsedStatement")):
+            raise ValueError("only SELECT statements are allowed")
+        for below in (plan.children(), plan.innerChildren()):
+            todo += [p for p in (below.apply(i) for i in range(below.size()))
+                     if is_instance_of(spark.sparkContext._gateway, p, plans + "LogicalPlan")]
     return spark.sql(statement)
 
 
+def sql_session(spark, sf):
+    """A session of its own with the three tables as views, so that the
+    caller's views keep their names."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    views.chat_event(own, sf).createOrReplaceTempView("chat_history")
+    views.users(own, sf).createOrReplaceTempView("user_info")
+    (read_table(own, sf, "events").select(F.length("event_type").cast("long").alias("id"), F.col("event_type").alias("channel_name"))
+     .distinct().createOrReplaceTempView("chat_channels"))
+    return own
+
+
 @query("sql_surface", with_views(
-    "WITH chat_history AS (SELECT * FROM chat_event) " + SQL_SURFACE, "chat_event"))
+    """WITH chat_history AS (SELECT * FROM chat_event), user_info AS (SELECT * FROM users),
+    chat_channels AS (SELECT DISTINCT length(event_type) AS id, event_type AS channel_name FROM events)
+    """ + SQL_SURFACE, "chat_event", "users"))
 def sql_surface(spark, sf):
-    views.chat_event(spark, sf).createOrReplaceTempView("chat_history")
-    return run_sql(spark, SQL_SURFACE)
+    return run_sql(sql_session(spark, sf), SQL_SURFACE)
 
 
 SAMPLE_SEED = "chatlake"
 
 
 @query("sample_line", f"""
-    WITH lines AS (SELECT trim(l, ' ' || chr(9) || chr(10) || chr(13)) AS line
-                   FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents))
+    WITH lines AS (SELECT doc_id, p, trim(l, ' ' || chr(9) || chr(10) || chr(13)) AS line
+                   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l,
+                                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents))
     SELECT line, n_lines FROM (
       SELECT line, count(*) OVER () AS n_lines,
-             row_number() OVER (ORDER BY md5(line || '{SAMPLE_SEED}'), line) AS r FROM lines)
+             row_number() OVER (ORDER BY md5(doc_id || ':' || p || '{SAMPLE_SEED}'), doc_id, p) AS r FROM lines)
     WHERE r = 1""")
-def sample_line(spark, sf):
+def sample_line(spark, sf, seed: str = SAMPLE_SEED):
     """One line drawn uniformly from all lines of all documents (SRC-9, O-6).
 
-    The draw is a seeded hash order so it is repeatable; min_by over the hash
-    is a partial aggregate (no global sort, no collect)."""
+    The draw is a hash of the line's place, so equal lines compete one by one,
+    and it is repeatable for a seed; min_by over the hash is a partial
+    aggregate (no global sort, no collect)."""
     docs = read_table(spark, sf, "documents")
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("l")).select(
-        tx.strip("l").alias("line"))
-    key = F.struct(F.md5(F.concat("line", F.lit(SAMPLE_SEED))), F.col("line"))
-    return lines.agg(F.min_by("line", key).alias("line"), F.count(F.lit(1)).alias("n_lines"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "l"))
+    key = F.struct(F.md5(F.concat("doc_id", F.lit(":"), "p", F.lit(seed))), "doc_id", "p")
+    return lines.agg(F.min_by(tx.strip("l"), key).alias("line"), F.count(F.lit(1)).alias("n_lines"))
