@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # separators U+001C..U+001F. Possessive runs keep the matcher linear.
 WS_CLASS = r"\s\x1C-\x1F"
 NON_WS_RUN = rf"(?U)[^{WS_CLASS}]++"
-STRIP_RE = rf"(?U)^[{WS_CLASS}]++|[{WS_CLASS}]++$"
+# the look-behind lets only the first character of an inner run try the end
+STRIP_RE = rf"(?U)\A[{WS_CLASS}]++|(?<![{WS_CLASS}])[{WS_CLASS}]++\z"
 # Word tokens for message normalisation: letters/digits, an optional leading
 # '@' (so a mention like '@my.bot' survives) and inner . _ ' - joins.
 TOKEN_RE = r"@?[\p{L}\p{N}]+(?:[._'-][\p{L}\p{N}]+)*"
