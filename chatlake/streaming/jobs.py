@@ -29,8 +29,10 @@ def read_stream(spark: SparkSession, path_glob: str, schema: T.StructType,
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def _run(writer, checkpoint: str):
@@ -51,7 +53,7 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
     (batch_id, first_id, n). A replayed batch found in the log is skipped;
     the next first id is read from the log, not from the table.
 
-    Rows missing an id, a time, an author or a text go to a quarantine table
+    Rows missing an id, a time, an author, a text or a channel go to a quarantine table
     next to the store and the rest of the batch goes on (ST-9).
     """
     spark = stream.sparkSession
@@ -67,9 +69,12 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
                                             F.lit(0))).first()[0]
         events = to_events(batch)
         ok = (F.col("message_id").isNotNull() & F.col("event_ts").isNotNull()
-              & F.col("author.id").isNotNull() & F.col("content").isNotNull())
-        bad = events.where(~ok).withColumn("batch_id", F.lit(batch_id))
-        bad.write.mode("append").parquet(f"{table}_quarantine")
+              & F.col("author.id").isNotNull() & F.col("content").isNotNull()
+              & (F.col("channel.name").isNotNull() | F.coalesce(F.col("channel.kind") == "dm", F.lit(False))))
+        # by batch, so that a batch that is run again replaces its rows
+        (events.where(~ok).withColumn("batch_id", F.lit(batch_id))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(f"{table}_quarantine"))
         routed = rt.route(events.where(ok), bot_id, role, special_name, "live")
         rows = rt.logged_messages(routed).drop("mentions").withColumnRenamed("message_id", "source_id")
         numbered = ing.ingest(rows, None, ("ts", "source_id"), start=F.lit(start).cast("long"))
