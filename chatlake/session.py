@@ -68,6 +68,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             root = current.rsplit("/", 1)[0]
+        elif not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             root = _OWN_ROOT.setdefault(sc.applicationId,
                                         tempfile.mkdtemp(prefix="chatlake-ckpt-"))
