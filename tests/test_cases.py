@@ -64,7 +64,7 @@ def test_vector_search_batch_blocks(spark):
     h = _history(spark)
     q = spark.createDataFrame([(i, [1.0, float(i) / 10]) for i in range(7)], "qid long, vector array<double>")
     one = srch.vector_search_batch(h, q, k=3)
-    blocked = srch.vector_search_batch(h, q, k=3, max_block=2)
+    blocked = srch.vector_search_batch(h, q, k=3, shard_rows=2)
     key = lambda df: sorted((r.qid, r.hit_rank, r.id) for r in df.collect())
     assert key(one) == key(blocked)
 
@@ -323,3 +323,35 @@ def test_transcripts_both_orders(spark):
     old = hist.channel_transcripts(h, 3).first().transcript
     new = hist.channel_transcripts(h, 3, newest_first=True).first().transcript
     assert old == "u: m3\nu: m4\nu: m5" and new == "u: m5\nu: m4\nu: m3"
+
+
+def test_mentions_are_read_once(spark):
+    from chatlake.operators import registry as reg
+    m = spark.createDataFrame([(1, "<@1> <@2>"), (2, "no one"), (3, "<@9><@2>!"), (4, None)], "message_id long, content string")
+    u = spark.createDataFrame([("1", "<@2>"), ("2", "bob"), ("2", "zed")], "user_id string, user_name string")
+    got = {r[0]: r[1] for r in reg.resolve_mentions(m, u).collect()}
+    assert (got[1], got[2], got[3]) == ("@<@2> @bob", "no one", "<@9>@bob!")
+
+
+@pytest.mark.parametrize("statement", ["WITH x AS (SELECT 1 AS a) INSERT INTO tgt SELECT a FROM x", "CREATE TABLE t (a INT)",
+                                       "DROP VIEW chat_history", "SET x = 1", "", "  "])
+def test_sql_is_read_only(spark, statement):
+    from chatlake.plans.history_queries import run_sql
+    with pytest.raises(ValueError):
+        run_sql(spark, statement)
+
+
+def test_strip_is_linear(spark):
+    import time
+    from chatlake.functions import text as tx
+    t = "a" + " " * 200_000 + "b \n"
+    began = time.time()
+    assert spark.createDataFrame([(t,)], "t string").select(tx.strip("t")).first()[0] == t[:-2]
+    assert time.time() - began < 10
+
+
+def test_draws_of_equal_lines_go_by_place(spark, tmp_path):
+    from chatlake.plans.history_queries import sample_line
+    spark.createDataFrame([(i, "x\nx\nx\ny") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    drawn = [sample_line(spark, str(tmp_path), str(s)).first() for s in range(24)]
+    assert {r["n_lines"] for r in drawn} == {200} and sum(r["line"] == "x" for r in drawn) > 12
