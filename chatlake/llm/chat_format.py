@@ -99,7 +99,7 @@ def _segments(loss_roles: frozenset):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        key, turns, size = None, [], 0
+        key, turns, size, out = None, [], 0, []
 
         def cut():
             nonlocal number, turns, size
@@ -108,21 +108,26 @@ def _segments(loss_roles: frozenset):
             if got is None or [g[:2] for g in got] != [t[:2] for t in turns]:
                 raise ValueError("a segment does not parse back to its turns")
             mask = [{"start": a, "end": z} for role, _, a, z in got if role in loss_roles]
-            out = pd.DataFrame({"conv_id": pd.array([key], dtype="Int64"), "part": [part], "number": [number], "n_turns": [len(turns)],
-                                "formatted": [text], "loss": [mask]})
+            out.append((key, part, number, len(turns), text, mask))
             number, turns, size = number + 1, [], 0
-            return out
+
+        def frame():
+            f = pd.DataFrame(out, columns=["conv_id", "part", "number", "n_turns", "formatted", "loss"])
+            out.clear()
+            return f.astype({"conv_id": "Int64"})
 
         for b in batches:
             for c, role, text, rendered in zip(b["conv_id"], b["role"], b["text"], b["rendered"]):
                 c = None if pd.isna(c) else int(c)
                 if turns and (c != key or size >= SEGMENT):
-                    yield cut()
+                    cut()
                 key = c
                 turns.append((role, text, rendered))
                 size += len(rendered)
+            yield frame()
         if turns:
-            yield cut()
+            cut()
+            yield frame()
     return run
 
 
@@ -152,18 +157,22 @@ def _digest(batches):
     conversation kept but its running digests."""
     import pandas as pd
 
-    key, state = None, None
+    key, state, out = None, None, []
 
     def done():
         n, turns, loss_n, loss, chars = state
-        return pd.DataFrame({"conv_id": pd.array([key], dtype="Int64"), "n_turns": [n], "turns_sha256": [turns.hexdigest()],
-                             "loss_chars": [loss_n], "loss_sha256": [loss.hexdigest()], "formatted_chars": [chars]})
+        out.append((key, n, turns.hexdigest(), loss_n, loss.hexdigest(), chars))
+
+    def frame():
+        f = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        out.clear()
+        return f.astype({"conv_id": "Int64"})
 
     for b in batches:
         for c, formatted, mask in zip(b["conv_id"], b["formatted"], b["loss"]):
             c = None if pd.isna(c) else int(c)
             if state is not None and c != key:
-                yield done()
+                done()
                 state = None
             if state is None:
                 key, state = c, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -175,8 +184,10 @@ def _digest(batches):
                 state[2] += len(text)
                 state[3].update(text.encode("utf-8", "surrogatepass"))
             state[4] += len(formatted)
+        yield frame()
     if state is not None:
-        yield done()
+        done()
+        yield frame()
 
 
 def read_back(segments: DataFrame) -> DataFrame:
