@@ -198,21 +198,22 @@ def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT) ->
                     "channel"))
 
 
-def context_window(history: DataFrame, width: int = CONTEXT) -> DataFrame:
+def context_window(history: DataFrame, width: int = CONTEXT, cell: int = 1024) -> DataFrame:
     """±width context of every row (W-3) without a per-channel window.
 
-    A window partitioned by channel would put a hot channel in one task.
-    Ids are unique, so each row is expanded to its 2*width+1 neighbour ids and
-    equi-joined on id (evenly spread), keeping same-channel neighbours. Each
-    output group has at most 2*width+1 members.
+    A window partitioned by channel would put a hot channel in one task. Rows
+    are cut into cells of ``cell`` consecutive ids, and those within ``width``
+    of a border go to the next cell too, so a window over (channel, cell) sees
+    all neighbours: one shuffle of about the history's size.
     """
-    h = history.select("id", "channel")
-    centers = h.select(F.col("id").alias("center_id"), "channel",
-                       F.explode(F.sequence(F.col("id") - width, F.col("id") + width)).alias("id"))
-    pairs = centers.join(h, ["id", "channel"])
-    return pairs.groupBy(F.col("center_id").alias("id"), "channel").agg(
-        F.count(F.lit(1)).alias("n_context"),
-        F.array_join(F.sort_array(F.collect_list("id")), ",").alias("context_ids"))
+    at = lambda c: F.floor(c / F.lit(cell))
+    i = F.col("id")
+    rows = history.select("id", "channel", at(i).alias("own"),
+                          F.explode(F.array_distinct(F.array(at(i - width), at(i), at(i + width)))).alias("cell"))
+    w = Window.partitionBy("channel", "cell").orderBy("id").rangeBetween(-width, width)
+    return (rows.select("id", "channel", "own", "cell", F.count(F.lit(1)).over(w).alias("n_context"),
+                        F.array_join(F.sort_array(F.collect_list("id").over(w)), ",").alias("context_ids"))
+            .where("own = cell").select("id", "channel", "n_context", "context_ids"))
 
 
 def search_document(context: DataFrame) -> DataFrame:
