@@ -8,6 +8,9 @@ counts of halves of halves, is an Arrow-batched pandas UDF with a short loop.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,50 +80,43 @@ def bisect_chunks(df: DataFrame, keys: list[str], text_col: str,
             .select(*keys, "p.path", "p.piece"))
 
 
+_CHUNKS = T.ArrayType(T.StructType([
+    T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType()),
+    T.StructField("n_tokens", T.LongType())]))
+
+
+def packed_chunks(text: str, limit: int = PACK_LIMIT) -> list[tuple[int, str, int]]:
+    """(number, chunk, tokens) of one text. The running token total places each
+    chunk's end by bisection, so the cost is linear in the lines however many
+    chunks they make."""
+    lines = text.split("\n")
+    total = list(itertools.accumulate((len(x.split()) for x in lines), initial=0))
+    ends = [0]
+    while ends[-1] < len(lines):
+        fits = bisect.bisect_right(total, total[ends[-1]] + limit, lo=ends[-1] + 1) - 1
+        ends.append(max(fits, ends[-1] + 1))
+    first = 1 if total[1] > limit else 0
+    return [(first + i, "\n".join(lines[x:y]), total[y] - total[x]) for i, (x, y) in enumerate(itertools.pairwise(ends))]
+
+
+@F.pandas_udf(_CHUNKS)
+def pack_udf(texts: pd.Series, limits: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else packed_chunks(t, int(n)) for t, n in zip(texts, limits)], dtype=object)
+
+
 def pack_lines(df: DataFrame, keys: list[str], text_col: str,
                max_tokens: int = PACK_LIMIT) -> DataFrame:
-    """Greedy line packing (CH-2), JVM side, linear in the text.
+    """Greedy line packing (CH-2), linear in the text.
 
     Lines join the current chunk while its token total stays <= max_tokens;
     otherwise the chunk closes and the line starts the next one, so an
-    over-long line is a chunk of its own. Chunks are numbered as the
-    reference numbers them: when the first line alone is over the limit,
-    chunk 0 is empty, and that empty chunk gets no row.
-
-    One ``aggregate`` pass over the per-line token counts records the break
-    positions and chunk totals; chunks are then slices of the line array.
-    (The token array is only ever iterated, never indexed from inside a
-    lambda, so the optimizer cannot turn it into a per-element recomputation.)
-    Rows (keys..., chunk_no, chunk, n_tokens).
+    over-long line is a chunk of its own. Chunk numbers start at 1 when the
+    first line alone is over the limit (chunk 0 would be empty and gets no
+    row). Rows (keys..., chunk_no, chunk, n_tokens).
     """
-    base = df.select(*keys, tx.split_lines(text_col).alias("_lines"))
-    init = F.struct(F.lit(0).cast("long").alias("tok"), F.lit(0).alias("pos"),
-                    F.array().cast("array<int>").alias("breaks"),
-                    F.array().cast("array<long>").alias("totals"))
-
-    def step(acc, t):
-        fits = acc["tok"] + t <= max_tokens
-        return F.when(fits, F.struct((acc["tok"] + t).alias("tok"), (acc["pos"] + 1).alias("pos"),
-                                     acc["breaks"].alias("breaks"), acc["totals"].alias("totals")))\
-            .otherwise(F.struct(t.cast("long").alias("tok"), (acc["pos"] + 1).alias("pos"),
-                                F.concat(acc["breaks"], F.array(acc["pos"])).alias("breaks"),
-                                F.concat(acc["totals"], F.array(acc["tok"])).alias("totals")))
-
-    acc = F.aggregate(F.transform("_lines", lambda l: tx.token_count(l)), init, step)
-    walked = base.select(*keys, "_lines", F.size("_lines").alias("_n"), acc.alias("_acc"))
-    starts = F.concat(F.array(F.lit(0)), F.col("_acc.breaks"))
-    ends = F.concat(F.col("_acc.breaks"), F.array(F.col("_n")))
-    totals = F.concat(F.col("_acc.totals"), F.array(F.col("_acc.tok")))
-    chunks = F.transform(
-        F.arrays_zip(starts.alias("s"), ends.alias("e"), totals.alias("t")),
-        lambda z: F.struct(
-            (z["e"] - z["s"]).alias("len"),
-            F.when(z["e"] > z["s"], F.array_join(F.slice("_lines", z["s"] + 1, z["e"] - z["s"]), "\n"))
-            .alias("chunk"),
-            z["t"].alias("n_tokens")))
-    return (walked.select(*keys, F.posexplode(chunks).alias("chunk_no", "c"))
-            .where(F.col("c.len") > 0)
-            .select(*keys, "chunk_no", "c.chunk", "c.n_tokens"))
+    ship_package(df.sparkSession)
+    return (df.select(*keys, F.explode(pack_udf(F.col(text_col), F.lit(max_tokens))).alias("c"))
+            .select(*keys, "c.chunk_no", "c.chunk", "c.n_tokens"))
 
 
 def reassemble(parts: DataFrame, keys: list[str], order_col: str, piece_col: str,

@@ -355,3 +355,15 @@ def test_draws_of_equal_lines_go_by_place(spark, tmp_path):
     spark.createDataFrame([(i, "x\nx\nx\ny") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     drawn = [sample_line(spark, str(tmp_path), str(s)).first() for s in range(24)]
     assert {r["n_lines"] for r in drawn} == {200} and sum(r["line"] == "x" for r in drawn) > 12
+
+
+def test_packing_many_chunks_is_linear(spark):
+    import time
+    text = "\n".join(["a b c"] * 80_000)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    rows = ch.pack_lines(df, ["doc_id"], "text", 3).collect()
+    assert len(rows) == 80_000 and {r["n_tokens"] for r in rows} == {3}
+    assert time.time() - began < 20
+    nulls = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [(r["doc_id"], r["chunk"]) for r in ch.pack_lines(nulls, ["doc_id"], "text").collect()] == [(2, "")]
