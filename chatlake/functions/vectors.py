@@ -51,12 +51,27 @@ def term_bucket(term, dim: int) -> Column:
 def hashed_tf(text, dim: int = 64) -> Column:
     """Default embedding (U-1): hashed term counts of fixed size ``dim``.
 
-    The bucket array is the input of one ``aggregate`` (evaluated once per
-    row); each term adds 1 to its slot. A trained model plugs in instead
-    through ``operators.ingest.model_embed`` (Arrow batches, model loaded once
-    per worker).
+    The sorted bucket numbers are counted in one pass that holds at most
+    ``dim`` counts, and these are laid into the slots at the end, so a term
+    costs no array copy. A trained model plugs in instead through
+    ``operators.ingest.model_embed`` (Arrow batches, model loaded once per
+    worker).
     """
-    buckets = F.transform(terms(text), lambda t: term_bucket(t, dim))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return F.aggregate(buckets, zero, lambda acc, b: F.transform(
-        acc, lambda x, i: F.when(i == b, x + F.lit(1.0).cast("float")).otherwise(x)))
+    buckets = F.array_sort(F.transform(terms(text), lambda t: term_bucket(t, dim)))
+    start = F.struct(F.lit(-1).alias("b"), F.lit(0).alias("n"),
+                     F.array().cast("array<struct<b:int,n:int>>").alias("done"))
+
+    def closed(acc):
+        return F.when(acc["b"] < 0, acc["done"]).otherwise(
+            F.concat(acc["done"], F.array(F.struct(acc["b"].alias("b"), acc["n"].alias("n")))))
+
+    def step(acc, b):
+        return F.when(b == acc["b"], F.struct(acc["b"].alias("b"), (acc["n"] + 1).alias("n"), acc["done"].alias("done"))) \
+            .otherwise(F.struct(b.alias("b"), F.lit(1).alias("n"), closed(acc).alias("done")))
+
+    def slots(acc):
+        zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+        return F.aggregate(closed(acc), zero, lambda v, e: F.transform(
+            v, lambda x, i: F.when(i == e["b"], e["n"].cast("float")).otherwise(x)))
+
+    return F.aggregate(buckets, start, step, slots)
