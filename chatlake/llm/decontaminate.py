@@ -57,12 +57,13 @@ def automaton(items: list[tuple[str, bytes]], window: int = WINDOW):
 def scan(found, flat: str, hits: set[int], items: set[str]) -> None:
     """Add to ``hits`` the word numbers of ``flat`` (' w1 w2 .. wn ') inside a
     window's occurrence, and the windows' items to ``items``."""
-    word = at = done = 0                # words before position ``at``
+    word = at = 0                       # words before position ``at``
+    done: dict[int, int] = {}           # by a window's length: words behind its last hit
     for end, (n, of) in found.iter(flat):
         word += flat.count(" ", at, end)
         at = end                        # flat[end] is the blank behind the window
-        hits.update(range(max(done, word - n), word))
-        done = max(done, word)
+        hits.update(range(max(done.get(n, 0), word - n), word))
+        done[n] = word
         items |= of
 
 

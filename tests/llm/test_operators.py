@@ -192,6 +192,15 @@ def test_windows_on_odd_rows(spark, empty):
     assert decontaminate.scan_documents(empty, bench).collect() == []
 
 
+def test_short_window_inside_a_long_one(spark):
+    words = [f"w{i}" for i in range(14)]
+    bench = spark.createDataFrame([("long", " ".join(words[:12])), ("short", "w5 w6"), ("end", "w10 w11 w12")], "item_id string, text string")
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(words[3:8])), (2, " ".join(words[1:13]))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.scan_documents(docs, bench).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"]) for i in range(3)] == [(13, 3), (2, 1), (12, 3)]
+    assert [[s["end"] for s in got[i]["spans"]] for i in (0, 2)] == [[len(" ".join(words[:13]))], [len(" ".join(words[1:13]))]]
+
+
 # ---- 6 chat ----
 _PARTS = st.lists(st.sampled_from([chat_format.START, chat_format.END, "<", "\\", "|", "\n", "a", "<|", "assistant", "im_end|>"]), max_size=8).map("".join)
 
