@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
 from chatlake.functions import vectors as vx
+from chatlake.operators.chunks import PIECE_CHARS, reply_pieces
+from chatlake.operators.history import last_n_per_channel
 
 DIGEST_K = 5
+USER_DIGEST_K = 3
 PROFILE_TERMS = 5
 RELEVANCE_THRESHOLD = 0.1
+# Fixed value: the reply for a user without messages in the channel.
+NO_HISTORY = "No chat history found for user %s in channel %s."
 
 
 def term_counts(messages: DataFrame, key: str = "id", text_col: str = "message",
@@ -45,6 +50,38 @@ def message_scores(messages: DataFrame, key: str = "id", text_col: str = "messag
         (F.sum(F.col("tf") * F.col("idf")) / F.sqrt(F.sum("tf"))).alias("score"))
 
 
+def summaries(messages: DataFrame, group_cols: list[str], k: int = DIGEST_K,
+              size: int = PIECE_CHARS) -> DataFrame:
+    """The reply text of every group's summary: its k best-scored messages as
+    'sender: message' lines in id order, cut to ``size``-character pieces (CMD-1,
+    CMD-2). Rows (groups..., pos, piece); a group without any term has none.
+
+    Messages are scored among ``messages``, each id once; only the k picked a
+    group are joined back to their texts.
+    """
+    best = top_messages(messages, group_cols, k).select(*group_cols, "id")
+    lines = messages.select("id", tx.line("sender", "message").alias("l")).join(best, "id")
+    text = lines.groupBy(*group_cols).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("id", "l"))), lambda x: x["l"]), "\n").alias("text"))
+    return reply_pieces(text, group_cols, "text", size)
+
+
+def channel_summaries(history: DataFrame, n: int, k: int = DIGEST_K, size: int = PIECE_CHARS) -> DataFrame:
+    """summarize n (CMD-1): every channel's summary of its last n messages."""
+    return summaries(last_n_per_channel(history, n).drop("rn"), ["channel"], k, size)
+
+
+def user_summaries(history: DataFrame, requests: DataFrame, k: int = USER_DIGEST_K, size: int = PIECE_CHARS) -> DataFrame:
+    """usersummary (CMD-2): for each (sender, channel) of ``requests`` the
+    summary of that user's messages there, or the reply that there are none."""
+    asked = requests.select("sender", "channel").distinct()
+    there = history.join(asked, ["sender", "channel"], "left_semi")
+    none = (asked.join(there.select("sender", "channel").distinct(), ["sender", "channel"], "left_anti")
+            .select("sender", "channel", F.lit(0).alias("pos"),
+                    F.format_string(NO_HISTORY, "sender", "channel").alias("piece")))
+    return summaries(there, ["sender", "channel"], k, size).unionByName(none)
+
+
 def top_messages(messages: DataFrame, group_cols: list[str], k: int = DIGEST_K) -> DataFrame:
     """The k best-scored messages of every group, ties by id (CMD-1, CMD-2).
 

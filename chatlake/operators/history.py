@@ -52,12 +52,12 @@ def recent_chats(history: DataFrame, channel: str, n: int) -> DataFrame:
     )
 
 
-def last_n_per_channel(history: DataFrame, n: int) -> DataFrame:
+def last_n_per_channel(history: DataFrame, n: int, keep=()) -> DataFrame:
     """Last n of every channel (W-1). ``row_number() <= n`` becomes a partial
     WindowGroupLimit before the shuffle, so each map task forwards at most n
     rows per channel: a hot channel costs n * tasks rows, not its size."""
     w = Window.partitionBy("channel").orderBy(F.desc("id"))
-    return (history.select("id", "sender", "channel", "message")
+    return (history.select("id", "sender", "channel", "message", *keep)
             .withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n))
 
 

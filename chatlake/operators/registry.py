@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chatlake.operators.chunks import PIECE_CHARS, pieces
 
+# Fixed value: the reply for a name without a primer.
+NO_PRIMER = "No primer found for %s."
+
 
 def first_seen(sightings: DataFrame, key: str, value_cols: list[str],
                order_cols: list[str]) -> DataFrame:
@@ -68,6 +71,16 @@ def primer_messages(users: DataFrame, names: DataFrame | None = None,
     return first.select("user_name", F.posexplode(msgs).alias("pos", "message"))
 
 
+def primer_replies(users: DataFrame, names: DataFrame, size: int = PIECE_CHARS) -> DataFrame:
+    """The primer command for each user_name of ``names`` (CMD-6): the replies of
+    ``primer_messages``, or the one that there is none (unknown name or no primer)."""
+    asked = names.select("user_name").distinct()
+    found = primer_messages(users, asked, size)
+    none = (asked.join(found.select("user_name").distinct(), "user_name", "left_anti")
+            .select("user_name", F.lit(0).alias("pos"), F.format_string(NO_PRIMER, "user_name").alias("message")))
+    return found.unionByName(none)
+
+
 def known_sender_messages(history: DataFrame, users: DataFrame,
                           name_col: str = "user_name") -> DataFrame:
     """Messages whose sender is a registered user (J-7): a left semi join."""

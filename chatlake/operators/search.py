@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from chatlake.functions import text as tx
 from chatlake.functions import vectors as vx
-from chatlake.operators.ingest import ID_BLOCK
+from chatlake.operators.ingest import ID_BLOCK, default_embed
 from chatlake.session import ship_package
 
 TOP_K = 20          # results kept
@@ -173,6 +173,19 @@ def vector_search_batch(history: DataFrame, queries: DataFrame, k: int = TOP_K,
                     F.unix_timestamp("ts").alias("timestamp"), "channel"))
 
 
+def embed_question(spark, question: str, embed=default_embed) -> list[float]:
+    """The vector of a text question, normalised and embedded as stored messages
+    are (U-1, CMD-8): one row of the embedding's length."""
+    row = spark.range(1).select(F.lit(question).alias("q")).select(embed(tx.normalize("q")).alias("v")).first()
+    return [float(x) for x in row["v"]]
+
+
+def search_text(store: DataFrame, question: str, embed=default_embed, **how) -> DataFrame:
+    """``vector_search`` of a stored history for a text question, by the stored
+    vectors and norms. A question without terms finds nothing."""
+    return vector_search(store, embed_question(store.sparkSession, question, embed), **how)
+
+
 def search_context(history: DataFrame, hits: DataFrame, width: int = CONTEXT) -> DataFrame:
     """Each hit's conversation: rows of the same channel with id in
     [hit-width, hit+width] (J-1, PF-14). Context rows are not filtered, and

@@ -11,7 +11,8 @@ from chatlake.plans.registry import query
 from chatlake.sources import views
 from chatlake.sources.views import with_views
 
-USER_DIGEST_K = 3
+USER_DIGEST_K = dg.USER_DIGEST_K
+SUMMARIZE_N = 100
 
 
 def _digest_sql(groups: str, k: int) -> str:
@@ -35,6 +36,41 @@ def user_digest(spark, sf):
     return dg.top_messages(views.chat_text(spark, sf), ["sender", "channel"], USER_DIGEST_K)
 
 
+def _summary_sql(src: str, groups: str, k: int) -> str:
+    """CTEs ending in ``pieces``: the summary text of each group of ``src``."""
+    return f"""{sq.tfidf_ctes(src)},
+    ranked AS (SELECT {groups}, c.id, c.sender || ': ' || c.message AS line,
+                      row_number() OVER (PARTITION BY {groups} ORDER BY round(sc.score, 9) DESC, c.id) AS rn
+               FROM {src} c JOIN sc USING (id)),
+    texts AS (SELECT {groups}, string_agg(line, chr(10) ORDER BY id) AS text FROM ranked WHERE rn <= {k} GROUP BY {groups}),
+    pieces AS (SELECT {groups}, pos, substr(text, pos * 2000 + 1, 2000) AS piece FROM (
+      SELECT {groups}, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 2000.0) AS BIGINT)))) AS pos FROM texts))"""
+
+
+@query("cmd_summarize", with_views(f"""WITH lastn AS (
+      SELECT * FROM chat_text QUALIFY row_number() OVER (PARTITION BY channel ORDER BY id DESC) <= {SUMMARIZE_N}),
+    {_summary_sql('lastn', 'channel', dg.DIGEST_K)} SELECT * FROM pieces""", "chat_text"))
+def cmd_summarize(spark, sf):
+    """Every channel's last 100 messages, summarised and cut to replies (CMD-1)."""
+    return dg.channel_summaries(views.chat_text(spark, sf), SUMMARIZE_N)
+
+
+@query("cmd_usersummary", with_views(f"""WITH asked AS (
+      SELECT sender, 'ch-' || CAST(i AS VARCHAR) AS channel FROM (SELECT DISTINCT sender FROM chat_text), range(0, 12) r(i)),
+    there AS (SELECT * FROM chat_text SEMI JOIN asked USING (sender, channel)),
+    {_summary_sql('there', 'sender, channel', dg.USER_DIGEST_K)}
+    SELECT * FROM pieces
+    UNION ALL SELECT sender, channel, 0, 'No chat history found for user ' || sender || ' in channel ' || channel || '.'
+    FROM asked ANTI JOIN there USING (sender, channel)""", "chat_text"))
+def cmd_usersummary(spark, sf):
+    """Each user's messages of each of twelve channels, two of which are not there,
+    summarised and cut to replies (CMD-2)."""
+    t = views.chat_text(spark, sf)
+    channels = F.array(*[F.lit(f"ch-{i}") for i in range(12)])
+    asked = t.select("sender").distinct().select("sender", F.explode(channels).alias("channel"))
+    return dg.user_summaries(t, asked)
+
+
 @query("user_profile", with_views(f"""WITH {sq.tfidf_ctes('chat_text')},
     bys AS (SELECT c.sender, tf.term, sum(tf.tf) AS ttf FROM tf JOIN chat_text c USING (id) GROUP BY ALL),
     w AS (SELECT sender, term, ttf * ln((1 + nd.n) / (1 + df.df)) AS weight FROM bys JOIN df USING (term), nd),

@@ -10,6 +10,7 @@ from chatlake.functions import text as tx
 from chatlake.functions import vectors as vx
 from chatlake.operators import ingest as ing
 from chatlake.operators import registry as reg
+from chatlake.operators import store
 from chatlake.operators.ids import dense_ids
 from chatlake.plans.registry import query
 from chatlake.session import run_dir
@@ -53,13 +54,12 @@ _NORMALIZED = f"array_to_string(regexp_extract_all(lower(props), '{TOKEN_RE_SQL}
     FROM src LEFT JOIN hs ON hs.k = src.event_id""")
 def ingest_messages(spark, sf):
     """Two appends through the write path: the store as it was before a
-    restart, then everything after, numbered on from the stored max id (SNK-1)."""
+    restart, then everything after, numbered on from the store's record (SNK-1)."""
     path = run_dir(spark, "chat_history")
     msgs = views.chat_event(spark, sf).withColumnRenamed("id", "source_id")
     before = F.col("ts") < F.lit(STORED_BEFORE).cast("timestamp")
-    ing.append(ing.ingest(msgs.where(before), None), path)
-    store = spark.read.parquet(path)
-    ing.append(ing.ingest(msgs.where(~before), store), path)
+    store.add(msgs.where(before), path, "restart-0")
+    store.add(msgs.where(~before), path, "restart-1")
     out = spark.read.parquet(path)
     return out.select("id", "ts", "sender", "channel", "message", "source_id",
                       F.round("norm", 6).alias("norm"))
@@ -166,6 +166,25 @@ def primer_lookup(spark, sf):
     return reg.primer_messages(views.users(spark, sf))
 
 
+@query("primer_replies", with_views("""
+    WITH asked AS (SELECT user_name FROM users UNION SELECT DISTINCT 'user-' || CAST(user_id AS VARCHAR) FROM events),
+    f AS (SELECT user_name, arg_min_null(primer, id) AS primer FROM users GROUP BY user_name),
+    a AS (SELECT user_name, primer FROM asked LEFT JOIN f USING (user_name))
+    SELECT user_name, 0 AS pos, CASE WHEN primer IS NULL THEN 'No primer found for ' || user_name || '.'
+           ELSE 'Primer for ' || user_name || ': ' || primer END AS message
+    FROM a WHERE primer IS NULL OR length(primer) <= 2000
+    UNION ALL
+    SELECT user_name, pos, substr(primer, pos * 2000 + 1, 2000) FROM (
+      SELECT user_name, primer, unnest(range(0, CAST(ceil(length(primer) / 2000.0) AS BIGINT))) AS pos
+      FROM a WHERE length(primer) > 2000)""", "users"))
+def primer_replies(spark, sf):
+    """The primer command for every user and for names that are none (CMD-6)."""
+    u = views.users(spark, sf)
+    names = u.select("user_name").union(read_table(spark, sf, "events").select(
+        F.concat(F.lit("user-"), F.col("user_id").cast("string"))))
+    return reg.primer_replies(u, names)
+
+
 @query("known_sender_messages", with_views("""
     SELECT id, sender, channel FROM chat_event
     WHERE sender IN (SELECT 'user-' || CAST(c_custkey AS VARCHAR) FROM customer)""", "chat_event"))
@@ -264,7 +283,7 @@ def schema_tables(spark, sf):
             .write.insertInto(f"{db}.user_info")
         h = views.chat_vec(spark, sf)
         h.select("id", "ts", "sender", "channel", "message", "vector",
-                 vx.norm("vector").alias("norm"))\
+                 vx.norm("vector").alias("norm"), F.lit(None).cast("timestamp"))\
             .write.insertInto(f"{db}.chat_history")
         parts = [spark.table(f"{db}.{t}").agg(F.lit(t).alias("table_name"),
                                                F.count(F.lit(1)).alias("n_rows"))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatlake.operators import routing as rt
+from chatlake.operators import store
 from chatlake.plans.registry import query
 from chatlake.session import run_dir
 from chatlake.sources import views
 from chatlake.sources.tables import read_table
-from chatlake.sources.views import (BOT_ID, MEMBER_ROLE, SPECIAL_NAME, STORED_BEFORE,
+from chatlake.sources.views import (BOT_ID, BOT_NAME, MEMBER_ROLE, SPECIAL_NAME, STORED_BEFORE,
                                     events_to_messages, with_views)
 from chatlake.streaming import jobs
 
@@ -127,7 +128,7 @@ def stream_ingest(spark, sf):
 
 
 @query("stream_first_seen", with_views(f"""
-    SELECT author_id AS user_id,
+    SELECT row_number() OVER (ORDER BY min(event_ts), author_id) - 1 AS id, author_id AS user_id,
            arg_min(author_name, struct_pack(a := event_ts, b := message_id)) AS user_name,
            min(event_ts) AS first_ts
     FROM ({_routed_sql(_LIVE_SQL)}) WHERE logged GROUP BY author_id""", "message_events"))
@@ -138,7 +139,70 @@ def stream_first_seen(spark, sf):
     s = jobs.read_stream(spark, _events_glob(sf), _events_schema(spark, sf), files_per_trigger=1)
     jobs.first_seen_stream(s, events_to_messages, f"{base}/user_info", f"{base}/_checkpoint",
                            (BOT_ID, MEMBER_ROLE, SPECIAL_NAME))
-    return spark.read.parquet(f"{base}/user_info")
+    return spark.read.parquet(f"{base}/user_info").select("id", "user_id", "user_name", "first_ts")
+
+
+def _slices(spark, sf, n: int = 3):
+    """The events in ``n`` parts of about equal size, one after the other in time."""
+    e = read_table(spark, sf, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = e.select(at.cast("double").alias("t")).approxQuantile("t", [i / n for i in range(1, n)], 0.01)
+    edges = [float("-inf"), *cuts, float("inf")]
+    return [e.where((at > edges[i]) & (at <= edges[i + 1])) for i in range(n)]
+
+
+_ORDERED_SQL = f"""r AS ({_routed_sql(_LIVE_SQL)}),
+    l AS (SELECT message_id, event_ts, stored_channel AS channel, author_name AS sender, content, mentions_bot,
+                 row_number() OVER (ORDER BY event_ts, message_id) - 1 AS id,
+                 row_number() OVER (PARTITION BY stored_channel ORDER BY event_ts, message_id) AS pos
+          FROM r WHERE logged)"""
+_STORED_TEXT_SQL = ("array_to_string(regexp_extract_all(lower({x}), "
+                    "'@?[\\p{{L}}\\p{{N}}]+(?:[._''-][\\p{{L}}\\p{{N}}]+)*'), ' ')")
+
+
+@query("stream_mentions", with_views(f"""WITH {_ORDERED_SQL},
+    t AS (SELECT m.message_id AS request_id, m.channel,
+                 string_agg(x.sender || ': ' || {_STORED_TEXT_SQL.format(x="x.content")}, chr(10) ORDER BY x.pos) AS transcript
+          FROM l m JOIN l x ON x.channel = m.channel AND x.pos BETWEEN m.pos - 39 AND m.pos
+          WHERE m.mentions_bot GROUP BY ALL),
+    tl AS (SELECT request_id, channel, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line
+           FROM (SELECT request_id, channel, string_split(trim(transcript), chr(10)) AS ls FROM t)),
+    p AS (SELECT request_id, channel, line_no, trim(substr(line, 1, instr(line, ':') - 1)) AS who,
+                 trim(substr(line, instr(line, ':') + 1)) AS what FROM tl WHERE instr(line, ':') > 0)
+    SELECT request_id, channel, line_no, CASE WHEN who = '{BOT_NAME}' THEN 'ai' ELSE 'human' END AS role,
+           CASE WHEN who = '{BOT_NAME}' THEN what ELSE who || ': ' || what END AS content FROM p""", "message_events"))
+def stream_mentions(spark, sf):
+    """The message handler as one stream over three arrivals of events: users,
+    store, and the role-tagged last 40 lines of each mention (ST-2, ST-7, CMD-9)."""
+    base = run_dir(spark, "stream_mentions")
+    for part in _slices(spark, sf):
+        part.write.mode("append").parquet(f"{base}/arrived")
+        # the job is started anew for each arrival and goes on from its checkpoint
+        s = jobs.read_stream(spark, f"{base}/arrived", _events_schema(spark, sf))
+        jobs.mention_stream(s, events_to_messages, base, f"{base}/_checkpoint",
+                            BOT_ID, MEMBER_ROLE, SPECIAL_NAME, BOT_NAME)
+    out = store.existing(spark, f"{base}/requests")
+    if out is None:     # nobody mentioned the bot
+        return spark.createDataFrame([], "request_id long, channel string, line_no int, role string, content string")
+    return out.select("request_id", "channel", "line_no", "role", "content")
+
+
+@query("store_mixed", with_views(f"""WITH {_ORDERED_SQL}
+    SELECT id, message_id AS source_id, event_ts AS ts, sender, channel,
+           {_STORED_TEXT_SQL.format(x="content")} AS message, true AS arrived FROM l""", "message_events"))
+def store_mixed(spark, sf):
+    """One store written by a batch job (the older half of the events) and then by
+    the stream (the rest): one layout, ids dense across both (SRC-1, SNK-1, ST-6)."""
+    base = run_dir(spark, "store_mixed")
+    table = f"{base}/chat_history"
+    old, new = _slices(spark, sf, 2)
+    routed = rt.route(events_to_messages(old), BOT_ID, MEMBER_ROLE, SPECIAL_NAME, "live")
+    store.add(rt.logged_messages(routed).drop("mentions").withColumnRenamed("message_id", "source_id"), table, "import")
+    new.write.parquet(f"{base}/arrived")
+    s = jobs.read_stream(spark, f"{base}/arrived", _events_schema(spark, sf))
+    jobs.ingest_stream(s, events_to_messages, table, f"{base}/_checkpoint", BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
+    return spark.read.parquet(table).select("id", "source_id", "ts", "sender", "channel", "message",
+                                            (F.col("ingest_ts") > F.col("ts")).alias("arrived"))
 
 
 @query("stream_activity", """

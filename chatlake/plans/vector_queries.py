@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import vectors as vx
 from chatlake.operators import search as srch
+from chatlake.operators import store
+from chatlake.plans import sqltext as sq
 from chatlake.plans.common import CENTROIDS_SQL, label_centroids, query_vector
 from chatlake.plans.registry import query
+from chatlake.session import run_dir
 from chatlake.sources import views
 from chatlake.sources.views import BOT_NAME, with_views
 
@@ -70,6 +73,34 @@ def search_context(spark, sf):
     return srch.search_context(views.chat_vec(spark, sf), _search(spark, sf))
 
 
+QUESTION = "What did k 69 say?"
+_TOKENS_SQL = "@?[\\p{L}\\p{N}]+(?:[._''-][\\p{L}\\p{N}]+)*"
+
+
+@query("search_text", with_views(f"""WITH h AS (
+    SELECT row_number() OVER (ORDER BY ts, id) - 1 AS id, ts, sender, channel,
+           array_to_string(regexp_extract_all(lower(message), '{_TOKENS_SQL}'), ' ') AS message FROM chat_event),
+  q AS (SELECT 0 AS k, '{QUESTION}' AS question),
+  {sq.hashed_ctes('h', 'id', 'message', 'mv')}, {sq.hashed_ctes('q', 'k', 'question', 'qv')},
+  scored AS (SELECT h.*, d / (mv_n.norm * qv_n.norm) AS sim FROM h JOIN mv_n ON mv_n.k = h.id, qv_n,
+             (SELECT mv_b.k AS m, sum(mv_b.c * qv_b.c) AS d FROM mv_b JOIN qv_b USING (bucket) GROUP BY mv_b.k) dots
+             WHERE dots.m = h.id AND sender <> '{BOT_NAME}' AND NOT contains(message, '{MENTION}')),
+  hits AS (SELECT row_number() OVER (ORDER BY sim DESC, id) AS hit_rank, id, channel, sim
+           FROM scored WHERE sim > 0.3 ORDER BY sim DESC, id LIMIT 20)
+  SELECT hit_rank, x.id AS hit_id, c.id, c.sender AS role, c.message AS content,
+         {_ISO_SQL.format(t='c.ts')} AS timestamp, c.channel
+  FROM hits x JOIN h c ON c.channel = x.channel AND c.id BETWEEN x.id - 2 AND x.id + 2""", "chat_event"))
+def search_text(spark, sf):
+    """All events ingested to a store, then a text question: embedded, searched by
+    the stored vectors and norms, with the conversation of each hit read from the
+    store's id blocks (CMD-8, U-1, J-1)."""
+    path = run_dir(spark, "search_text")
+    store.add(views.chat_event(spark, sf).withColumnRenamed("id", "source_id"), path, "import")
+    history = spark.read.parquet(path)
+    hits = srch.search_text(history, QUESTION, bot_name=BOT_NAME, mention=MENTION)
+    return srch.search_context(history, hits)
+
+
 @query("search_document", with_views(f"""WITH {_CONTEXT_SQL},
   blocks AS (SELECT hit_rank, count(*) AS n,
                string_agg(role || ' (' || timestamp || '): ' || content || chr(10), '' ORDER BY id)

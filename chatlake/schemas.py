@@ -27,6 +27,7 @@ CHAT_HISTORY = T.StructType([
     T.StructField("message", T.StringType(), False),
     T.StructField("vector", T.ArrayType(T.FloatType(), False), False),
     T.StructField("norm", T.DoubleType(), True),
+    T.StructField("ingest_ts", T.TimestampType(), True),    # arrival; ts is the event's time
 ])
 
 AUTHOR = T.StructType([

@@ -36,8 +36,8 @@ def open_store(spark: SparkSession, path: str, table: str) -> DataFrame:
 def create_tables(spark: SparkSession, location: str) -> list[str]:
     """``CREATE TABLE IF NOT EXISTS`` for the three chat tables (SRC-2..4).
 
-    ``chat_history`` is clustered by channel then id so a channel filter or an
-    id band reads few row groups.
+    These are plain tables; the stores that ``operators.store`` writes are
+    partitioned by batch and id block.
     """
     made = []
     for name, schema in schemas.TABLES.items():

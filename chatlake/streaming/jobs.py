@@ -8,14 +8,16 @@ executor or driver restart resumes without duplicates.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chatlake.operators import ingest as ing
+from chatlake.operators import history as hist
 from chatlake.operators import registry as reg
 from chatlake.operators import routing as rt
+from chatlake.operators import store as st
+from chatlake.operators import transcripts as trs
+from chatlake.operators.ids import dense_ids
 
 
 def read_stream(spark: SparkSession, path_glob: str, schema: T.StructType,
@@ -26,65 +28,70 @@ def read_stream(spark: SparkSession, path_glob: str, schema: T.StructType,
     return r.parquet(path_glob)
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def _run(writer, checkpoint: str):
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
+def _name(batch_id: int) -> str:
+    return f"stream-{batch_id:012d}"
+
+
+def _log_batch(events: DataFrame, batch_id: int, table: str, routing: tuple[str, str, str]) -> DataFrame | None:
+    """Store the logged messages of a micro-batch and quarantine its unusable
+    rows; the rows as stored, None if there are none."""
+    ok = (F.col("message_id").isNotNull() & F.col("event_ts").isNotNull()
+          & F.col("author.id").isNotNull() & F.col("content").isNotNull()
+          & (F.col("channel.name").isNotNull() | F.coalesce(F.col("channel.kind") == "dm", F.lit(False))))
+    # by batch, so that a batch that is run again replaces its rows
+    (events.where(~ok).withColumn("batch_id", F.lit(batch_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(f"{table}_quarantine"))
+    routed = rt.route(events.where(ok), *routing, "live")
+    rows = rt.logged_messages(routed).drop("mentions").withColumnRenamed("message_id", "source_id")
+    return st.add(rows, table, _name(batch_id))
+
+
+def _register_batch(events: DataFrame, batch_id: int, table: str) -> None:
+    """Add the authors first seen in a micro-batch to ``user_info``, numbered on
+    after the stored users by (first sighting, user id)."""
+    spark = events.sparkSession
+    ev = events.select(F.col("author.id").alias("user_id"), F.col("author.name").alias("user_name"),
+                       F.col("event_ts").alias("ts"), "message_id").where("user_id IS NOT NULL")
+    store = st.existing(spark, table)
+    # users of earlier batches: a batch that is run again replaces its own
+    earlier = (store.where(F.col("batch_id") < batch_id) if store is not None
+               else spark.createDataFrame([], "id long, user_id string"))
+    # only stored users seen in this batch matter: a semi join with the
+    # batch's ids filters the user table map side instead of shuffling all of it
+    seen = earlier.join(ev.select("user_id").distinct(), "user_id", "left_semi")
+    new = reg.insert_if_absent(seen, ev.withColumn("first_ts", F.col("ts")), "user_id",
+                               ["user_name", "first_ts"], ["ts", "message_id"])
+    last = earlier.agg(F.max("id")).first()[0]
+    none = F.lit(None).cast("string")
+    (dense_ids(new, ["first_ts", "user_id"], "id", start=0 if last is None else last + 1)
+     .select("id", "user_id", "user_name", none.alias("real_name"), none.alias("primer"),
+             none.alias("history_summary"), "first_ts", F.lit(batch_id).alias("batch_id"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(table))
+
+
 def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
                   bot_id: str, role: str, special_name: str):
-    """Live routing + ingest (ST-1, ST-6, SNK-1): route each micro-batch,
-    keep the logged rows, normalise and embed them, number them after the
-    ids already issued and write them.
+    """Live routing + ingest (ST-1, ST-6, SNK-1): route each micro-batch, keep
+    the logged rows, and store them under the batch's name in the layout that
+    batch jobs write too (``operators.store``), numbered after the ids already
+    issued by either.
 
-    Exactly once without scanning the store: each batch is written to its
-    own ``batch_id`` partition (dynamic overwrite, so a half-written attempt
-    is replaced) and then recorded in a small progress log ``_progress``
-    (batch_id, first_id, n). A replayed batch found in the log is skipped;
-    the next first id is read from the log, not from the table.
+    Exactly once without scanning the store: a batch that is run again replaces
+    its own partitions, and one that is in the store's record is not written again.
 
     Rows missing an id, a time, an author, a text or a channel go to a quarantine table
     next to the store and the rest of the batch goes on (ST-9).
     """
-    spark = stream.sparkSession
-    progress_path = f"{table}/_progress"
-
     def sink(batch: DataFrame, batch_id: int):
-        progress = _existing(spark, progress_path)
-        start = 0
-        if progress is not None:
-            if progress.where(F.col("batch_id") == batch_id).limit(1).count():
-                return   # replay of a committed batch
-            start = progress.agg(F.coalesce(F.max(F.col("first_id") + F.col("n")),
-                                            F.lit(0))).first()[0]
-        events = to_events(batch)
-        ok = (F.col("message_id").isNotNull() & F.col("event_ts").isNotNull()
-              & F.col("author.id").isNotNull() & F.col("content").isNotNull()
-              & (F.col("channel.name").isNotNull() | F.coalesce(F.col("channel.kind") == "dm", F.lit(False))))
-        # by batch, so that a batch that is run again replaces its rows
-        (events.where(~ok).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(f"{table}_quarantine"))
-        routed = rt.route(events.where(ok), bot_id, role, special_name, "live")
-        rows = rt.logged_messages(routed).drop("mentions").withColumnRenamed("message_id", "source_id")
-        numbered = ing.ingest(rows, None, ("ts", "source_id"), start=F.lit(start).cast("long"))
-        (numbered.withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(table))
-        written = _existing(spark, f"{table}/batch_id={batch_id}")   # none when empty
-        n = written.count() if written is not None else 0
-        spark.createDataFrame([(batch_id, start, n)], "batch_id long, first_id long, n long")\
-            .write.mode("append").parquet(progress_path)
+        _log_batch(to_events(batch), batch_id, table, (bot_id, role, special_name))
 
     return _run(stream.writeStream.foreachBatch(sink), checkpoint)
 
@@ -92,31 +99,65 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
 def first_seen_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
                       routing: tuple[str, str, str] | None = None):
     """Users registered on first sight (ST-3, SNK-3): per micro-batch the
-    earliest sighting of each author, minus authors already stored.
+    earliest sighting of each author, minus authors already stored, as full
+    ``user_info`` rows with ids.
 
     With ``routing`` = (bot_id, role, special_name) only the authors of
     messages the live path logs are registered, as the reference registers a
     user on those paths only.
     """
-    spark = stream.sparkSession
-
     def sink(batch: DataFrame, batch_id: int):
         events = to_events(batch)
         if routing is not None:
             events = rt.route(events, *routing, "live").where("logged")
-        ev = events.select(F.col("author.id").alias("user_id"),
-                                     F.col("author.name").alias("user_name"),
-                                     F.col("event_ts").alias("ts"), "message_id")
-        store = _existing(spark, table)
-        existing = store if store is not None else spark.createDataFrame(
-            [], "user_id string, user_name string, first_ts timestamp")
-        # only stored users seen in this batch matter: a semi join with the
-        # batch's ids (the small side, broadcast by AQE when measured small)
-        # filters the user table map side instead of shuffling all of it
-        seen = existing.join(ev.select("user_id").distinct(), "user_id", "left_semi")
-        new = reg.insert_if_absent(seen, ev.withColumn("first_ts", F.col("ts")), "user_id",
-                                   ["user_name", "first_ts"], ["ts", "message_id"])
-        new.select("user_id", "user_name", "first_ts").write.mode("append").parquet(table)
+        _register_batch(events, batch_id, table)
+
+    return _run(stream.writeStream.foreachBatch(sink), checkpoint)
+
+
+def mention_stream(stream: DataFrame, to_events, base: str, checkpoint: str,
+                   bot_id: str, role: str, special_name: str, bot_name: str, n: int = rt.LAST_N):
+    """The whole message handler as one job (ST-2, ST-3, ST-7, CMD-9): each
+    micro-batch registers its users (``base``/user_info), stores its messages
+    (``base``/chat_history) and, for every stored message that mentions the bot,
+    writes the channel's last ``n`` messages up to it as role-tagged rows
+    (request_id, channel, line_no, role, content) to ``base``/requests.
+
+    The last ``n`` rows of every channel are kept beside the store, so a batch
+    reads those and its own rows, never the history. The buffer has two slots
+    used in turn: a batch reads the slot of the one before and replaces its own,
+    so running it again gives the same.
+    """
+    routing = (bot_id, role, special_name)
+    spark = stream.sparkSession
+    shape = ["message_id", "source_id", "sender", "channel", "message"]
+
+    def sink(batch: DataFrame, batch_id: int):
+        batch.persist()
+        try:
+            events = to_events(batch)
+            logged = rt.route(events, *routing, "live").where("logged")
+            _register_batch(logged, batch_id, f"{base}/user_info")
+            stored = _log_batch(events, batch_id, f"{base}/chat_history", routing)
+            before = st.existing(spark, f"{base}/last/slot={(batch_id - 1) % 2}") if batch_id else None
+            if stored is None:
+                stored = spark.createDataFrame([], "id long, source_id long, sender string, channel string, message string")
+            rows = stored.withColumnRenamed("id", "message_id").select(shape)
+            rows = rows if before is None else rows.unionByName(before.select(shape))
+            last = hist.last_n_per_channel(rows.withColumnRenamed("message_id", "id"), n, keep=["source_id"])
+            last.withColumnRenamed("id", "message_id").select(shape)\
+                .write.mode("overwrite").parquet(f"{base}/last/slot={batch_id % 2}")
+            asks = logged.where(F.exists("mentions", lambda m: m["id"] == F.lit(bot_id)))
+            told = rows.join(asks.select(F.col("message_id").alias("source_id"), "mentions"), "source_id", "left")
+            asked = rt.mention_requests(told.withColumn("mentions", F.coalesce("mentions", F.array())), bot_id, n)
+            asked = asked.join(rows.select(F.col("message_id").alias("request_id"), "source_id"), "request_id")\
+                .drop("request_id").withColumnRenamed("source_id", "request_id")
+            (trs.parse_transcript(asked, bot_name, keys=("request_id", "channel"))
+             .withColumn("batch_id", F.lit(batch_id))
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(f"{base}/requests"))
+        finally:
+            batch.unpersist()
 
     return _run(stream.writeStream.foreachBatch(sink), checkpoint)
 

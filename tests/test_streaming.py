@@ -1,6 +1,7 @@
 """Stream = batch: the same events in one or several micro-batches give the
 batch answer, and a restart from the checkpoint adds nothing (SURVEY 5.4)."""
 
+import datetime as dt
 import tempfile
 import time
 
@@ -9,12 +10,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chatlake.operators import routing as rt
+from chatlake.operators import store
 from chatlake.session import run_dir
-from chatlake.sources.tables import read_table
-from chatlake.sources.views import BOT_ID, MEMBER_ROLE, SPECIAL_NAME, events_to_messages
+from chatlake.sources.tables import open_store, read_table
+from chatlake.sources.views import BOT_ID, BOT_NAME, MEMBER_ROLE, SPECIAL_NAME, events_to_messages
 from chatlake.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
+T0 = dt.datetime(2020, 1, 1)
 
 
 @pytest.fixture(scope="module")
@@ -71,6 +74,58 @@ def test_first_seen_stream_equals_batch(spark, split_events):
     assert got == want
 
 
+def test_users_are_full_rows_with_dense_ids(spark, split_events):
+    src, schema = split_events
+    base = run_dir(spark, "t_user_rows")
+    s = jobs.read_stream(spark, f"{src}/events*.parquet", schema, 1)
+    jobs.first_seen_stream(s, events_to_messages, f"{base}/user_info", f"{base}/_checkpoint")
+    rows = open_store(spark, f"{base}/user_info", "user_info").orderBy("id").collect()
+    assert [r.id for r in rows] == list(range(len(rows))) and len(rows) > 1
+    assert len({r.user_id for r in rows}) == len(rows)
+
+
+def test_batch_then_stream_share_one_store(spark, split_events):
+    src, schema = split_events
+    base = run_dir(spark, "t_mixed")
+    table = f"{base}/chat_history"
+    old = spark.createDataFrame([(T0 + dt.timedelta(minutes=i), -9 + i, "user-2", "view", f"old {i}") for i in range(5)],
+                                "ts timestamp, source_id long, sender string, channel string, message string")
+    for _ in range(2):      # a finished batch is not written again
+        assert store.add(old, table, "import").count() == 5
+    s = jobs.read_stream(spark, f"{src}/events*.parquet", schema, 1)
+    jobs.ingest_stream(s, events_to_messages, table, f"{base}/_checkpoint", BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
+    got = open_store(spark, table, "chat_history").select("id").collect()
+    want = _batch_ingest_ids(spark)
+    assert sorted(r.id for r in got) == list(range(5 + len(want)))
+    rows = spark.read.parquet(table)
+    assert sorted((r.id - 5, r.source_id) for r in rows.where("id >= 5").collect()) == want
+    assert rows.where("ingest_ts IS NULL").count() == 0 and "id_block" in rows.columns
+
+
+def test_mention_stream_equals_batch_and_replays(spark, split_events):
+    src, schema = split_events
+    base = run_dir(spark, "t_mentions")
+
+    def run(checkpoint):
+        s = jobs.read_stream(spark, f"{src}/events*.parquet", schema, 2)
+        jobs.mention_stream(s, events_to_messages, base, checkpoint, BOT_ID, MEMBER_ROLE, SPECIAL_NAME, BOT_NAME, n=3)
+        return sorted((r.request_id, r.line_no, r.role, r.content) for r in spark.read.parquet(f"{base}/requests").collect())
+
+    got = run(f"{base}/_checkpoint")
+    counts = [spark.read.parquet(f"{base}/{t}").count() for t in ("user_info", "chat_history")]
+    routed = rt.route(events_to_messages(read_table(spark, SF, "events")), BOT_ID, MEMBER_ROLE, SPECIAL_NAME, "live")
+    w = Window.partitionBy("channel").orderBy("ts", "message_id")
+    lines = {}
+    for r in rt.logged_messages(routed).withColumn("pos", F.row_number().over(w)).collect():
+        lines[r.channel, r.pos] = r
+    asks = [(c, p, r) for (c, p), r in lines.items() if any(m.id == BOT_ID for m in r.mentions)]
+    want = [(r.message_id, i, lines[c, q].sender == BOT_NAME) for c, p, r in asks for i, q in enumerate(range(max(1, p - 2), p + 1))]
+    assert [(a, b, role == "ai") for a, b, role, _ in got] == sorted(want)
+    # all batches once more, as after a lost checkpoint: nothing is added
+    assert run(f"{base}/_again") == got
+    assert counts == [spark.read.parquet(f"{base}/{t}").count() for t in ("user_info", "chat_history")]
+
+
 def test_activity_stream_holds_last_window(spark, split_events):
     src, schema = split_events
     base = run_dir(spark, "t_activity")
@@ -87,7 +142,6 @@ def test_activity_stream_holds_last_window(spark, split_events):
 
 
 def test_quarantine_keeps_batch_going(spark):
-    import datetime as dt
     src = tempfile.mkdtemp(prefix="chatlake-stream-bad-")
     rows = [(1, dt.datetime(2024, 1, 1, 10), 2, "view", 10.0, "hello"),
             (2, dt.datetime(2024, 1, 1, 11), 2, "view", 10.0, None),
