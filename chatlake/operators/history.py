@@ -3,7 +3,7 @@ user documents, activity counts and the high-water mark."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
@@ -110,17 +110,25 @@ def user_history_lines(history: DataFrame, senders: DataFrame | None = None,
     return msgs.unionByName(frame.select("sender", "section_no", "channel", "f.seq", "f.line"))
 
 
-def write_user_history(lines: DataFrame, path: str) -> None:
-    """Text files, one folder per sender, lines in document order.
+def write_lines(lines: DataFrame, path: str, key: str, order: list[str]) -> None:
+    """Text files, one folder per ``key``, its ``line``s in ``order``.
 
-    Range partitioning on (sender, section_no, seq) splits a prolific sender
-    over many tasks; part files of a sender are in order by name.
+    Range partitioning on (key, order) splits a key with many lines over many
+    tasks; part files of a key are in order by name.
     """
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (lines.repartitionByRange(n, "sender", "section_no", "seq")
-     .sortWithinPartitions("sender", "section_no", "seq")
-     .select("sender", "line")
-     .write.mode("errorifexists").partitionBy("sender").text(path))
+    (lines.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).select(key, "line")
+     .write.mode("errorifexists").partitionBy(key).text(path))
+
+
+def read_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, line) of the files that ``write_lines`` wrote, keys as text."""
+    return spark.read.schema(f"value string, {key} string").text(path).select(key, F.col("value").alias("line"))
+
+
+def write_user_history(lines: DataFrame, path: str) -> None:
+    """History documents as text files, one folder per sender (SNK-6)."""
+    write_lines(lines, path, "sender", ["section_no", "seq"])
 
 
 def activity_counts(history: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ The order key must be unique for the numbering to be deterministic.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,14 @@ from chatlake.session import default_parallelism
 _KEY, _BKT, _N, _OFF, _RN = "_cl_key", "_cl_bucket", "_cl_n", "_cl_off", "_cl_rn"
 
 
+def _common_bytes(df: DataFrame, col: str) -> int:
+    """Leading UTF-8 bytes that all values of a string column share: those that
+    the smallest and the largest share."""
+    b = F.encode(F.col(col), "UTF-8")
+    low, high = df.agg(F.min(b), F.max(b)).first()
+    return 0 if low is None else len(os.path.commonprefix([bytes(low), bytes(high)]))
+
+
 def _numeric_key(df: DataFrame, col: str) -> Column:
     dtype = df.schema[col].dataType
     c = F.col(col)
@@ -32,9 +42,10 @@ def _numeric_key(df: DataFrame, col: str) -> Column:
     elif isinstance(dtype, T.DateType):
         c = F.unix_date(c)
     elif isinstance(dtype, T.StringType):
-        # the first 6 UTF-8 bytes, zero-padded, as a number: monotone in the
-        # (binary UTF-8) string order, so buckets never reorder rows
-        head = F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6))
+        # 6 UTF-8 bytes behind the prefix that all values share, zero-padded, as
+        # a number: monotone in the (binary UTF-8) string order, so buckets
+        # never reorder rows
+        head = F.hex(F.substring(F.encode(c, "UTF-8"), 1 + _common_bytes(df, col), 6))
         c = F.conv(F.rpad(head, 12, "0"), 16, 10).cast("long")
     return F.coalesce(c.cast("double"), F.lit(float("-inf")))
 

@@ -51,6 +51,7 @@ DOSSIER_TEMPLATE = (
     "    Human: {human_input} \n"
     "    ")
 DOSSIER_INPUT = "PLease create a primer on the user using the data provided"
+PRIMER_CHECK_TEMPLATE = "User Primer: {primer}\nQuestion: {query}\nIs the primer useful in answering the question?"
 MEMORY_PREFIX = "Human: "     # how the chunk appears as the one message in the memory buffer
 SETTINGS = {  # kind: (temperature, max_tokens)
     "summary": (0.3, 1500),
@@ -58,6 +59,7 @@ SETTINGS = {  # kind: (temperature, max_tokens)
     "search": (0.6, 1500),
     "relevance": (None, None),
     "dossier": (0.1, None),
+    "primer_check": (None, 1),
 }
 # ---- end of fixed values ----
 
@@ -151,3 +153,12 @@ def dossier_from_chunks(packed: DataFrame) -> DataFrame:
     prompt = fill(DOSSIER_TEMPLATE, chat_history=F.concat(F.lit(MEMORY_PREFIX), F.col("piece")),
                   human_input=F.lit(DOSSIER_INPUT))
     return _rows(p, "dossier", prompt)
+
+
+def primer_check_prompts(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """The yes/no question whether a user's primer helps with a question (CMD-7),
+    one prompt for each (request_id, user_name, question). The primer is that of
+    the name's first row by id that has one; names without one get no prompt."""
+    primers = users.groupBy("user_name").agg(F.min_by("primer", F.when(F.col("primer").isNotNull(), F.col("id"))).alias("primer"))
+    asked = requests.join(primers.where("primer IS NOT NULL"), "user_name").withColumn("chunk", F.lit(""))
+    return _rows(asked, "primer_check", fill(PRIMER_CHECK_TEMPLATE, primer=F.col("primer"), query=F.col("question")))

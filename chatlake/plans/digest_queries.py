@@ -71,8 +71,10 @@ def cmd_usersummary(spark, sf):
     return dg.user_summaries(t, asked)
 
 
-@query("user_profile", with_views(f"""WITH {sq.tfidf_ctes('chat_text')},
-    bys AS (SELECT c.sender, tf.term, sum(tf.tf) AS ttf FROM tf JOIN chat_text c USING (id) GROUP BY ALL),
+def profile_ctes(src: str) -> str:
+    """CTEs ending in ``profiles`` (facts and top_terms of each sender of ``src``)."""
+    return f"""{sq.tfidf_ctes(src)},
+    bys AS (SELECT c.sender, tf.term, sum(tf.tf) AS ttf FROM tf JOIN {src} c USING (id) GROUP BY ALL),
     w AS (SELECT sender, term, ttf * ln((1 + nd.n) / (1 + df.df)) AS weight FROM bys JOIN df USING (term), nd),
     top AS (SELECT sender, string_agg(term, ' ' ORDER BY r) AS top_terms FROM (
               SELECT *, row_number() OVER (PARTITION BY sender ORDER BY round(weight, 9) DESC, term) AS r FROM w)
@@ -80,8 +82,11 @@ def cmd_usersummary(spark, sf):
     facts AS (SELECT sender, count(*) AS n_messages, count(DISTINCT channel) AS n_channels,
                      min(id) AS first_id, max(id) AS last_id,
                      CAST(sum(len(regexp_extract_all(lower(message), '{sq.TERM_RE_SQL}'))) AS BIGINT) AS n_terms
-              FROM chat_text GROUP BY sender)
-    SELECT facts.*, top.top_terms FROM facts LEFT JOIN top USING (sender)""", "chat_text"))
+              FROM {src} GROUP BY sender),
+    profiles AS (SELECT facts.*, top.top_terms FROM facts LEFT JOIN top USING (sender))"""
+
+
+@query("user_profile", with_views(f"WITH {profile_ctes('chat_text')} SELECT * FROM profiles", "chat_text"))
 def user_profile(spark, sf):
     """Per-sender profile: activity facts and top distinctive terms (CMD-3, C-6)."""
     return dg.user_profiles(views.chat_text(spark, sf))
@@ -89,7 +94,7 @@ def user_profile(spark, sf):
 
 _REQ_SQL = """SELECT id AS request_id, 'Customer#' || lpad(CAST(id // 100 AS VARCHAR), 9, '0') AS user_name,
         array_to_string(regexp_extract_all(message, '[^\\s]+'), ' ') AS question
-    FROM chat_text WHERE sender = 'user'"""
+    FROM chat_text"""
 
 
 @query("primer_relevance", with_views(f"""WITH req AS ({_REQ_SQL}),
@@ -110,11 +115,15 @@ def primer_relevance(spark, sf):
     """'NAME question' arguments of the primer command: is NAME's primer
     relevant to the question (CMD-7, C-7)? The command word itself is
     removed by the command dispatcher before the argument is parsed."""
-    t = views.chat_text(spark, sf).where(F.col("sender") == "user")
+    return dg.primer_relevance(primer_requests(spark, sf), views.users(spark, sf))
+
+
+def primer_requests(spark, sf):
+    """(request_id, user_name, question) parsed from the primer command's arguments."""
+    t = views.chat_text(spark, sf)
     raw = F.concat(F.lit("Customer#"),
                    F.lpad((F.col("id") / 100).cast("long").cast("string"), 9, "0"),
                    F.lit(" "), F.col("message"))
-    req = t.select(F.col("id").alias("request_id"), raw.alias("raw")).select(
+    return t.select(F.col("id").alias("request_id"), raw.alias("raw")).select(
         "request_id", tx.parse_command_user("raw").alias("user_name"),
         tx.command_rest("raw").alias("question"))
-    return dg.primer_relevance(req, views.users(spark, sf))

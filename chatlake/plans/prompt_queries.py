@@ -89,16 +89,19 @@ def prompt_search(spark, sf):
 
 
 # ---- a user's whole history packed to the dossier budget (CMD-5, CH-2) ----
-_PRIMER_TEXT_SQL = """SELECT sender AS request_id, string_agg(line, chr(10) ORDER BY section_no, seq) AS text
+def primer_text_sql(src: str) -> str:
+    """(request_id, text) of each sender's history in ``src``, as a primer is built from it."""
+    return f"""SELECT sender AS request_id, string_agg(line, chr(10) ORDER BY section_no, seq) AS text
     FROM (SELECT h.sender, s.section_no, h.id AS seq, h.message AS line
-          FROM chat_text h JOIN (SELECT sender, channel,
+          FROM {src} h JOIN (SELECT sender, channel,
                  row_number() OVER (PARTITION BY sender ORDER BY min(id)) AS section_no
-               FROM chat_text GROUP BY sender, channel) s ON h.sender = s.sender AND h.channel = s.channel
+               FROM {src} GROUP BY sender, channel) s ON h.sender = s.sender AND h.channel = s.channel
           UNION ALL SELECT sender, row_number() OVER (PARTITION BY sender ORDER BY min(id)), -1,
-                 '=== ' || channel || ' ===' FROM chat_text GROUP BY sender, channel)
+                 '=== ' || channel || ' ===' FROM {src} GROUP BY sender, channel)
     GROUP BY sender"""
 
 
+
 def _user_history_pack(spark, sf, limit):
     from chatlake.operators import packing as pk
     lines = hist.user_history_lines(views.chat_text(spark, sf), style="primer")
@@ -108,7 +111,7 @@ def _user_history_pack(spark, sf, limit):
 
 
 def _register_user_pack(name, limit):
-    @query(name, with_views(f"""WITH RECURSIVE pt AS ({_PRIMER_TEXT_SQL}),
+    @query(name, with_views(f"""WITH RECURSIVE pt AS ({primer_text_sql('chat_text')}),
         {sq.pack_ctes('pt', limit, 'pk')}
         SELECT request_id AS sender, chunk_no, chunk, n_tokens FROM pk_packed""", "chat_text"))
     def run(spark, sf):
@@ -123,7 +126,7 @@ pack_user_history = _register_user_pack("pack_user_history", pr.ch.PACK_LIMIT)
 pack_user_history_512 = _register_user_pack("pack_user_history_512", 512)
 
 
-@query("dossier_prompts", with_views(f"""WITH RECURSIVE pt AS ({_PRIMER_TEXT_SQL}),
+@query("dossier_prompts", with_views(f"""WITH RECURSIVE pt AS ({primer_text_sql('chat_text')}),
     {sq.pack_ctes('pt', pr.ch.PACK_LIMIT, 'pk')}
     {_row_sql('pk_packed', 'dossier', 'chunk_no', sq.fill(pr.DOSSIER_TEMPLATE, chat_history=sq.lit(pr.MEMORY_PREFIX) + ' || chunk', human_input=sq.lit(pr.DOSSIER_INPUT)))}""",
     "chat_text"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
 from chatlake.functions import vectors as vx
+from chatlake.operators import audit
 from chatlake.operators import ingest as ing
 from chatlake.operators import registry as reg
 from chatlake.operators import store
@@ -27,13 +28,21 @@ def _hashed_stats_sql(src: str, key: str, text: str) -> str:
     return f"""hs_terms AS (SELECT {key} AS k, unnest(regexp_extract_all(lower({text}), '{TERM_RE_SQL}')) AS term FROM {src}),
     hs_b AS (SELECT k, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 64 AS bucket, count(*) AS c
              FROM hs_terms GROUP BY ALL),
-    hs AS (SELECT k, count(*) AS nnz, sqrt(sum(c * c)) AS norm FROM hs_b GROUP BY k)"""
+    hs AS (SELECT k, count(*) AS nnz, sqrt(sum(c * c)) AS norm,
+                  string_agg(CAST(bucket AS VARCHAR) || ':' || CAST(c AS VARCHAR), ' ' ORDER BY bucket) AS slots
+           FROM hs_b GROUP BY k)"""
 
 
 def _nnz(v):
     return F.size(F.filter(v, lambda x: x > 0))
 
 
+def _slots(v):
+    """'slot:count' of the slots that are not zero, in order."""
+    said = F.transform(v, lambda x, i: F.when(x > 0, F.concat_ws(":", i, x.cast("long"))))
+    return F.array_join(said, " ")
+
+
 @query("dense_ids", """
     SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS id FROM events""")
 def dense_ids_q(spark, sf):
@@ -66,16 +75,16 @@ def ingest_messages(spark, sf):
 
 
 @query("embed_messages", with_views(f"""WITH {_hashed_stats_sql('chat_text', 'id', 'message')}
-    SELECT id, coalesce(hs.nnz, 0) AS nnz, round(coalesce(hs.norm, 0), 6) AS norm
+    SELECT id, coalesce(hs.nnz, 0) AS nnz, round(coalesce(hs.norm, 0), 6) AS norm, coalesce(slots, '') AS slots
     FROM chat_text LEFT JOIN hs ON hs.k = chat_text.id""", "chat_text"))
 def embed_messages(spark, sf):
     """Default embedding of every message (U-1)."""
     v = views.chat_text(spark, sf).select("id", ing.default_embed(F.col("message")).alias("v"))
-    return v.select("id", _nnz("v").alias("nnz"), F.round(vx.norm("v"), 6).alias("norm"))
+    return v.select("id", _nnz("v").alias("nnz"), F.round(vx.norm("v"), 6).alias("norm"), _slots("v").alias("slots"))
 
 
 @query("reembed_all", with_views(f"""WITH {_hashed_stats_sql('chat_vec', 'id', 'message')}
-    SELECT id, coalesce(hs.nnz, 0) AS nnz, round(coalesce(hs.norm, 0), 6) AS norm
+    SELECT id, coalesce(hs.nnz, 0) AS nnz, round(coalesce(hs.norm, 0), 6) AS norm, coalesce(slots, '') AS slots
     FROM chat_vec LEFT JOIN hs ON hs.k = chat_vec.id""", "chat_vec"))
 def reembed_all(spark, sf):
     """Recompute every stored vector from its message in one pass, written
@@ -86,7 +95,7 @@ def reembed_all(spark, sf):
         .withColumn("norm", vx.norm("vector"))
     redone.write.parquet(path)
     back = spark.read.parquet(path)
-    return back.select("id", _nnz("vector").alias("nnz"), F.round("norm", 6).alias("norm"))
+    return back.select("id", _nnz("vector").alias("nnz"), F.round("norm", 6).alias("norm"), _slots("vector").alias("slots"))
 
 
 def _channel_sightings(spark, sf):
@@ -218,19 +227,15 @@ def resolve_mentions(spark, sf):
     return reg.resolve_mentions(msgs, known)
 
 
-@query("interaction_log", """
-    WITH p AS (SELECT a.conv_id, a.turn, a.text AS content, b.text AS response,
+_PAIRS_SQL = """p AS (SELECT a.conv_id, a.turn, a.text AS content, b.text AS response,
                       len(regexp_extract_all(a.text, '[^\\s]+')) + len(regexp_extract_all(b.text, '[^\\s]+')) AS tokens_used,
                       make_timestamp(1704067200000000 + (a.conv_id * 60 + a.turn) * 1000000) AS ts
                FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-               WHERE a.role = 'user' AND b.role = 'assistant')
-    SELECT conv_id, turn, tokens_used,
-           md5(chr(10) || repeat('*', 20) || chr(10) || 'Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10)
-               || 'Content Sent: ' || content || chr(10) || 'Response: ' || response || chr(10)
-               || 'Tokens Used: ' || CAST(tokens_used AS VARCHAR) || chr(10) || repeat('*', 20)) AS log_md5
-    FROM p""")
-def interaction_log(spark, sf):
-    """Audit rows for each request/answer pair and their text form (SNK-9)."""
+               WHERE a.role = 'user' AND b.role = 'assistant')"""
+
+
+def _interactions(spark, sf):
+    """Request/answer pairs with their time and tokens."""
     c = read_table(spark, sf, "conversations")
     a, b = c.alias("a"), c.alias("b")
     pairs = (a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
@@ -239,7 +244,32 @@ def interaction_log(spark, sf):
                      F.col("a.text").alias("content"), F.col("b.text").alias("response"),
                      F.timestamp_seconds(F.lit(1704067200) + F.col("a.conv_id") * 60 + F.col("a.turn"))
                      .alias("ts")))
-    logged = pairs.withColumn("tokens_used", tx.token_count("content") + tx.token_count("response"))
+    return pairs.withColumn("tokens_used", tx.token_count("content") + tx.token_count("response"))
+
+
+@query("interaction_audit", f"""WITH {_PAIRS_SQL}
+    SELECT CAST(ts AS DATE) AS day, count(*) AS n_requests, CAST(sum(tokens_used) AS BIGINT) AS tokens_used,
+           CAST(sum(length(content) + length(response)) AS BIGINT) AS n_chars FROM p GROUP BY 1""")
+def interaction_audit(spark, sf):
+    """The audit table written in two batches, one of them twice, then read
+    back: requests, tokens and characters of each day (SNK-9)."""
+    path = run_dir(spark, "audit")
+    rows = _interactions(spark, sf)
+    for batch, odd in (("b0", 0), ("b1", 1), ("b1", 1)):
+        audit.append(rows.where(F.col("conv_id") % 2 == odd), path, batch)
+    return audit.daily(audit.read(spark, path))
+
+
+@query("interaction_log", f"""
+    WITH {_PAIRS_SQL}
+    SELECT conv_id, turn, tokens_used,
+           md5(chr(10) || repeat('*', 20) || chr(10) || 'Time: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10)
+               || 'Content Sent: ' || content || chr(10) || 'Response: ' || response || chr(10)
+               || 'Tokens Used: ' || CAST(tokens_used AS VARCHAR) || chr(10) || repeat('*', 20)) AS log_md5
+    FROM p""")
+def interaction_log(spark, sf):
+    """Audit rows for each request/answer pair and their text form (SNK-9)."""
+    logged = _interactions(spark, sf)
     stars = F.lit("*" * 20)
     text = F.concat(F.lit("\n"), stars, F.lit("\nTime: "), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
                     F.lit("\nContent Sent: "), "content", F.lit("\nResponse: "), "response",

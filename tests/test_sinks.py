@@ -50,3 +50,41 @@ def test_primer_text_files(spark):
     path = run_dir(spark, "t_primers")
     dg.write_primers(prim, path)
     assert spark.read.text(path).count() == 2
+
+
+def test_audit_replay_adds_nothing_and_days_are_summed(spark):
+    from chatlake.operators import audit
+    rows = [("2024-01-01 10:00:00", "a b", "c", 3), ("2024-01-01 23:59:59", "d", "e", 2), ("2024-01-02 00:00:00", "f", None, 1)]
+    df = spark.createDataFrame(rows, "t string, content string, response string, tokens_used long").select(
+        F.col("t").cast("timestamp").alias("ts"), "content", "response", "tokens_used")
+    path = run_dir(spark, "t_audit")
+    for batch in ("1", "2", "2"):
+        audit.append(df, path, batch)
+    got = {str(r.day): (r.n_requests, r.tokens_used) for r in audit.daily(audit.read(spark, path)).collect()}
+    assert got == {"2024-01-01": (4, 10), "2024-01-02": (2, 2)}
+
+
+def test_build_primers_leaves_other_users_alone(spark):
+    from chatlake.operators.primers import build_primers
+    chat = spark.createDataFrame([(1, "a", "x", "tennis"), (2, "a", "y", "rain\nohio")],
+                                 "id long, sender string, channel string, message string")
+    users = spark.createDataFrame([(1, "a", None), (2, "b", "kept"), (3, "c", None)], "id long, user_name string, primer string")
+    folder = run_dir(spark, "t_build")
+    got = {r.id: r.primer for r in build_primers(chat, users, folder).collect()}
+    assert got[1].startswith("a: 2 messages in 2 channels") and got[2] == "kept" and got[3] is None
+    asked = spark.read.parquet(f"{folder}/requests").collect()
+    assert len(asked) == 1 and "=== x ===\ntennis\n=== y ===\nrain\nohio" in asked[0].prompt
+    lines = [r.line for r in hist.read_lines(spark, f"{folder}/history", "sender").collect()]
+    assert sorted(lines) == sorted(["--- x ---", "a: tennis", "", "--- y ---", "a: rain", "ohio", ""])
+
+
+def test_string_keys_with_one_prefix_are_spread(spark):
+    from chatlake.operators import ids
+    df = spark.range(2000).select(F.format_string("customer#%09d", "id").alias("k"), F.col("id").alias("n"))
+    b = ids.bucketed(df, "k", buckets=8)
+    sizes = [r["count"] for r in b.groupBy("_cl_bucket").count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 1000
+    out = ids.dense_ids(df, ["k"], buckets=8)
+    assert out.where("id <> n").count() == 0
+    empty = ids.dense_ids(df.where("n < 0"), ["k"], buckets=8)
+    assert empty.count() == 0
