@@ -73,6 +73,18 @@ def _count(batches):
                                           pa.array(none, pa.binary()), pa.array(none, pa.int32())], names)
 
 
+def _weighty(ratio):
+    """A mapInArrow function: (features, toxic) with the features that have a ratio."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            rows = [np.frombuffer(p.as_py(), dtype="<u4") for p in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[ratio.value[f] != 0].tobytes() for f in rows], pa.binary()), b.column(1)], b.schema.names)
+    return run
+
+
 def fit(packed: list[bytes], labels, ratio, rounds: int = ROUNDS, l2: float = L2):
     """Weights of scaled presence features and the intercept: logistic loss with
     an L2 term, by Adam over all rows at once."""
@@ -120,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_df:
     n = marks.count()
     sampled = (F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, max_rows / max(n, 1)) * (1 << 20))))
     rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-            .join(marks, F.col("id") == F.col("label_id")).select("text", "toxic", sampled.alias("sampled")))
+            # labels grow with the documents: the same plan at every size, no broadcast
+            .join(marks.hint("merge"), F.col("id") == F.col("label_id")).select("text", "toxic", sampled.alias("sampled")))
     got = written(rows.mapInArrow(_count, "kind int, feature int, pos long, neg long, features binary, toxic int"), "toxic-counts")
     # one row for each of at most 2 ** BITS features
     counts = got.where("kind = 0").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas()
@@ -133,10 +146,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_df:
     def learn(rows):
         import pandas as pd
 
+        rows = rows.sort_values(["features", "toxic"])      # sums in one order, however the rows came
         w, b = fit(list(rows["features"]), rows["toxic"], shared.value.astype(np.float64))
         return pd.DataFrame({"w": [w.astype("<f4").tobytes()], "b": [float(b)], "toxic": [int(rows["toxic"].sum())], "n": [len(rows)]})
 
-    model = (got.where("kind = 1").select("features", "toxic", F.lit(0).alias("all")).groupBy("all")
+    # the one task that fits gets the features with a weight, not all of a long text's
+    sample = got.where("kind = 1").select("features", "toxic").mapInArrow(_weighty(shared), "features binary, toxic int")
+    model = (sample.withColumn("all", F.lit(0)).groupBy("all")
              .applyInPandas(learn, "w binary, b double, toxic long, n long").first())
     if model is None or model["toxic"] in (0, model["n"]):
         toxic, n = (model["toxic"], model["n"]) if model else (0, 0)
