@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatlake.functions import vectors as vx
 from chatlake.operators import ingest as ing
 
 
@@ -36,6 +37,13 @@ def _recorded(spark: SparkSession, path: str, batch: str) -> tuple[bool, int]:
     return bool(row["done"]), row["next"] or 0
 
 
+def _write(rows: DataFrame, path: str) -> None:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (rows.repartitionByRange(n, "id").sortWithinPartitions("id_block", "id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch", "id_block").parquet(path))
+
+
 def add(messages: DataFrame, path: str, batch: str, order_cols=("ts", "source_id"),
         embed=ing.default_embed, block: int | None = None) -> DataFrame | None:
     """Normalise, embed, number and write ``messages`` as ``batch``, with their
@@ -49,13 +57,9 @@ def add(messages: DataFrame, path: str, batch: str, order_cols=("ts", "source_id
     if not done:
         block = block or ing.ID_BLOCK
         rows = ing.ingest(messages, None, order_cols, embed, start=F.lit(start).cast("long"))
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        (rows.withColumn("ingest_ts", F.current_timestamp())
-         .withColumn("batch", F.lit(batch))
-         .withColumn("id_block", F.floor(F.col("id") / block).cast("long"))
-         .repartitionByRange(n, "id").sortWithinPartitions("id_block", "id")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch", "id_block").parquet(path))
+        _write(rows.withColumn("ingest_ts", F.current_timestamp())
+               .withColumn("batch", F.lit(batch))
+               .withColumn("id_block", F.floor(F.col("id") / block).cast("long")), path)
     stored = existing(spark, path)
     # partition columns are typed by their names' looks; batch names are text
     stored = None if stored is None else stored.where(F.col("batch").cast("string") == batch)
@@ -64,3 +68,14 @@ def add(messages: DataFrame, path: str, batch: str, order_cols=("ts", "source_id
         spark.createDataFrame([(batch, start, n)], "batch string, first_id long, n long")\
             .coalesce(1).write.mode("append").parquet(f"{path}/_progress")
     return stored if n else None
+
+
+def reembed(spark: SparkSession, path: str, target: str, embed=ing.default_embed) -> DataFrame:
+    """The store at ``path`` written to ``target`` with every vector and norm
+    computed anew from its message (SNK-5); rows, ids, layout and record stay.
+    Returns the new store."""
+    stored = spark.read.parquet(path)
+    redone = stored.withColumn("vector", embed(F.col("message"))).withColumn("norm", vx.norm("vector"))
+    _write(redone.select(*stored.columns), target)
+    spark.read.parquet(f"{path}/_progress").coalesce(1).write.parquet(f"{target}/_progress")
+    return spark.read.parquet(target)

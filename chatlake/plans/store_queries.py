@@ -98,6 +98,20 @@ def reembed_all(spark, sf):
     return back.select("id", _nnz("vector").alias("nnz"), F.round("norm", 6).alias("norm"), _slots("vector").alias("slots"))
 
 
+@query("reembed_store", f"""
+    WITH src AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS id, {_NORMALIZED} AS message FROM events),
+    {_hashed_stats_sql('src', 'id', 'message')}
+    SELECT id, coalesce(hs.nnz, 0) AS nnz, round(coalesce(hs.norm, 0), 6) AS norm, coalesce(slots, '') AS slots
+    FROM src LEFT JOIN hs ON hs.k = src.id""")
+def reembed_store(spark, sf):
+    """All events ingested to a store, then each of its vectors recomputed from
+    its message and the store written to a new location (SNK-5; D5)."""
+    path = run_dir(spark, "reembed_store")
+    store.add(views.chat_event(spark, sf).withColumnRenamed("id", "source_id"), f"{path}/old", "import")
+    back = store.reembed(spark, f"{path}/old", f"{path}/new")
+    return back.select("id", _nnz("vector").alias("nnz"), F.round("norm", 6).alias("norm"), _slots("vector").alias("slots"))
+
+
 def _channel_sightings(spark, sf):
     e = read_table(spark, sf, "events")
     return e.select(F.col("user_id").alias("id"),

@@ -88,3 +88,23 @@ def test_string_keys_with_one_prefix_are_spread(spark):
     assert out.where("id <> n").count() == 0
     empty = ids.dense_ids(df.where("n < 0"), ["k"], buckets=8)
     assert empty.count() == 0
+
+
+def test_reembed_covers_every_event_of_the_store(spark, sf_small):
+    from chatlake.operators import store
+    from chatlake.plans import catalog
+    from chatlake.sources import views
+    n = views.chat_event(spark, sf_small).count()
+    assert catalog.QUERIES["reembed_store"](spark, sf_small).select("id").distinct().count() == n
+    assert views.chat_vec(spark, sf_small).count() < n
+    msgs = views.chat_event(spark, sf_small).limit(50).withColumnRenamed("id", "source_id")
+    path = run_dir(spark, "t_reembed")
+    store.add(msgs, f"{path}/old", "first", embed=lambda m: F.array(F.lit(0.5).cast("float")))
+    new = store.reembed(spark, f"{path}/old", f"{path}/new")
+    assert new.columns == spark.read.parquet(f"{path}/old").columns
+    assert new.count() == new.where(F.size("vector") == 64).count() == 50
+    want = ing.prepare(new.select("id", "message"))
+    assert new.join(want.select("id", F.col("vector").alias("v"), F.col("norm").alias("n")), "id")\
+        .where((F.col("v") != F.col("vector")) | (F.col("n") != F.col("norm"))).count() == 0
+    more = msgs.withColumn("source_id", F.col("source_id") + 10**6)
+    assert store.add(more, f"{path}/new", "second").agg(F.min("id")).first()[0] == 50
