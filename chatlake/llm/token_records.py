@@ -97,7 +97,8 @@ class Encoder:
     a plain character on either side, nor a full stop or comma behind a letter
     with that letter. So such texts are encoded by pieces, each distinct piece
     once by the library, and Latin words, which the splitter takes whole, by the
-    library's model alone; other texts go to it whole. A test holds all equal.
+    library's model alone; other texts go to it whole, as do those that hold the
+    string of an added token, which is that one id. A test holds all equal.
     """
 
     def __init__(self, path: str):
@@ -105,7 +106,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
@@ -143,7 +144,8 @@ class Encoder:
             self.pieces, self.ends = Pieces(self, dict(self.pieces)), {}
         get, out = self.pieces.__getitem__, []
         for t in texts:
-            if not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n" or any(c in t for c in _ODD):
+            if not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n" or any(c in t for c in _ODD) \
+                    or any(a in t for a in self.added):
                 out += self.whole([t])
             else:
                 head, *rest = t.replace("\n", " \n").split(" ")

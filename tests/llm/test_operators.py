@@ -153,6 +153,14 @@ def test_pieces_equal_whole_texts(encoder, texts):
     assert encoder.encode(texts) == [encoder.whole([t])[0] for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "ab", "é", "."]), max_size=8).map("".join), max_size=4))
+def test_added_tokens_equal_the_library(vocabulary, encoder, texts):
+    texts = [*texts, "a <|endoftext|> b", "<|endoftext|>", "no token here"]
+    assert encoder.encode(texts) == [np.array(ids, "<u2").tobytes() for ids in plain_ids(vocabulary, texts)]
+    assert np.frombuffer(encoder.encode(["<|endoftext|>"])[0], "<u2").tolist() == [50256]
+
+
 def test_records_of_odd_rows_and_shuffled_reads(spark, odd, empty, vocabulary, monkeypatch):
     path = token_records.write_records(odd, vocabulary)
     index = token_records.write_index(spark, path)
