@@ -112,16 +112,24 @@ def fit(packed: list[bytes], labels, ratio, rounds: int = ROUNDS, l2: float = L2
     return w * ratio, b
 
 
+def rates(n: dict[int, int], max_rows: int) -> dict[int, float]:
+    """Share of each class's rows to fit on, from its count in ``n``."""
+    half = max(1, max_rows // 2)
+    take = {y: min(n[y], max(half, max_rows - n[1 - y])) for y in (0, 1)}
+    return {y: take[y] / max(n[y], 1) for y in (0, 1)}
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_df: int = MIN_DF, min_ratio: float = MIN_RATIO,
           id_col: str = "doc_id", text_col: str = "text"):
     """(weight of each feature, intercept) from the rows of ``docs`` that
     ``labels`` (doc_id, toxic) marks 0 or 1 and that are not held out.
 
     Ratios count all those rows; the weights are fitted, in one task, on about
-    ``max_rows`` of them, taken by a hash of the id. Labels NULL or other than 0
-    and 1, and of documents that are not there, count as none; an id marked both
-    ways counts both. Without labels of both kinds every score is the smoothed
-    share of toxic rows.
+    ``max_rows`` of them, taken by a hash of the id: up to half of each class,
+    more of one where the other has fewer. The intercept is corrected for the two
+    rates. Labels NULL or other than 0 and 1, and of documents that are not
+    there, count as none; an id marked both ways counts both. Without labels of
+    both kinds every score is the smoothed share of toxic rows.
     """
     import numpy as np
 
@@ -129,8 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_df:
     ship_package(spark)
     marks = (labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
              .where("toxic IN (0, 1)").where(~held_out(F.col("label_id"))).distinct())
-    n = marks.count()
-    sampled = (F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, max_rows / max(n, 1)) * (1 << 20))))
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    there = marks.join(ids.hint("merge"), F.col("id") == F.col("label_id"), "left_semi").groupBy("toxic").count()
+    n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in there.collect()}
+    if not (n[0] and n[1]):
+        return np.zeros(1 << BITS, np.float32), float(np.log((n[1] + 0.5) / (n[0] + 1.5)))
+    rate = rates(n, max_rows)
+    sampled = (F.pmod(F.xxhash64("label_id"), F.lit(1 << 40))
+               < F.when(F.col("toxic") == 1, int(rate[1] * (1 << 40))).otherwise(int(rate[0] * (1 << 40))))
     rows = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
             # labels grow with the documents: the same plan at every size, no broadcast
             .join(marks.hint("merge"), F.col("id") == F.col("label_id")).select("text", "toxic", sampled.alias("sampled")))
@@ -154,10 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_df:
     sample = got.where("kind = 1").select("features", "toxic").mapInArrow(_weighty(shared), "features binary, toxic int")
     model = (sample.withColumn("all", F.lit(0)).groupBy("all")
              .applyInPandas(learn, "w binary, b double, toxic long, n long").first())
-    if model is None or model["toxic"] in (0, model["n"]):
-        toxic, n = (model["toxic"], model["n"]) if model else (0, 0)
-        return np.zeros(1 << BITS, np.float32), float(np.log((toxic + 0.5) / (n - toxic + 1.5)))
-    return np.frombuffer(model["w"], dtype="<f4"), model["b"]
+    return np.frombuffer(model["w"], dtype="<f4"), model["b"] + float(np.log(rate[0] / rate[1]))
 
 
 def held_out(id_):

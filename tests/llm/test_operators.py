@@ -402,3 +402,22 @@ def test_held_out_labels_and_odd_rows_do_not_matter(spark, odd, empty):
     assert toxicity.clean(odd, labels).columns == odd.columns and toxicity.clean(odd, labels).first()["score"] == "s"
     assert toxicity.clean(empty, labels).collect() == []
     assert toxicity.score(odd, toxicity.train(odd, labels.limit(0))).where("predicted = 1").count() == 0
+
+
+def test_toxicity_of_a_rare_class_in_a_bounded_sample(spark):
+    words = ["green", "river", "paper", "window", "garden", "seven", "market", "silent"]
+    rows = [(i, " ".join(words[(i * k + k) % 8] for k in range(1, 9)) + (" vile wretched scum" if i % 500 == 7 else ""), int(i % 500 == 7))
+            for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"), max_rows=40)
+    scored = toxicity.score(df, model).collect()
+    assert np.any(model[0]) and min(r["score"] for r in scored if r["toxic"]) > max(r["score"] for r in scored if not r["toxic"])
+    only = toxicity.train(df.where("toxic = 0"), df.select("doc_id", "toxic"), max_rows=40)
+    assert not np.any(only[0]) and only[1] < 0
+
+
+def test_sample_rates_of_the_classes():
+    assert toxicity.rates({0: 900, 1: 100}, 12_000) == {0: 1, 1: 1}
+    got = toxicity.rates({0: 11_999_988, 1: 12}, 12_000)
+    assert got[1] == 1 and got[0] == 11_988 / 11_999_988
+    assert toxicity.rates({0: 60_000, 1: 24_000}, 12_000) == {0: 0.1, 1: 0.25}
