@@ -18,7 +18,6 @@ from chatlake.session import ship_package
 BITS = 18               # features: 2 ** BITS
 ORDERS = (4, 5)         # characters of an n-gram
 MAX_ROWS = 12_000       # labelled rows the weights are learned from (about)
-MIN_DF = 8              # rows that a feature must be in, else it has no weight
 MIN_RATIO = 1.5         # log-count ratio that a feature must reach either way
 ALPHA = 1.0             # smoothing of the counts
 L2 = 10.0
@@ -119,7 +118,7 @@ def rates(n: dict[int, int], max_rows: int) -> dict[int, float]:
     return {y: take[y] / max(n[y], 1) for y in (0, 1)}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_df: int = MIN_DF, min_ratio: float = MIN_RATIO,
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_ratio: float = MIN_RATIO,
           id_col: str = "doc_id", text_col: str = "text"):
     """(weight of each feature, intercept) from the rows of ``docs`` that
     ``labels`` (doc_id, toxic) marks 0 or 1 and that are not held out.
@@ -154,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, min_df:
     pos, neg = np.zeros(1 << BITS), np.zeros(1 << BITS)
     pos[counts["feature"]], neg[counts["feature"]] = counts["pos"], counts["neg"]
     ratio = np.log((pos + ALPHA) / (pos + ALPHA).sum()) - np.log((neg + ALPHA) / (neg + ALPHA).sum())
-    ratio[(pos + neg < min_df) | (np.abs(ratio) < min_ratio)] = 0
+    ratio[(pos + neg == 0) | (np.abs(ratio) < min_ratio)] = 0
     shared = spark.sparkContext.broadcast(ratio.astype(np.float32))
 
     def learn(rows):

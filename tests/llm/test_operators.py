@@ -421,3 +421,20 @@ def test_sample_rates_of_the_classes():
     got = toxicity.rates({0: 11_999_988, 1: 12}, 12_000)
     assert got[1] == 1 and got[0] == 11_988 / 11_999_988
     assert toxicity.rates({0: 60_000, 1: 24_000}, 12_000) == {0: 0.1, 1: 0.25}
+
+
+def test_toxicity_counts_what_few_rows_hold(spark):
+    rows = [(i, f"a plain line number {i} of the garden" + (" vile wretched scum" if i % 20 == 0 else ""), int(i % 20 == 0)) for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = df.where("toxic = 1").where(~toxicity.held_out(F.col("doc_id"))).count()
+    model = toxicity.train(df, df.select("doc_id", "toxic"))
+    scored = toxicity.score(df, model).collect()
+    assert 2 <= seen <= 7 and model[0][toxicity.grams("vile wretched scum")].max() > 0
+    assert min(r["score"] for r in scored if r["toxic"]) > max(r["score"] for r in scored if not r["toxic"])
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    held = queries.QUERIES["op10_toxicity"](spark, sf).where("held_out").join(
+        read(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id").collect()
+    assert len(held) > 50 and np.mean([r["predicted"] for r in held]) > 0.6
