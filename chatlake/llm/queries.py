@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatlake.llm import (ball_tree, chat_format, decontaminate, line_dedup, mixing, sharding, simhash, token_records,
-                          toxicity, warc)
+from chatlake.llm import (ball_tree, chat_format, decontaminate, filter_audit, lattice_lm, line_dedup, mixing, resampling,
+                          sharding, simhash, token_records, toxicity, warc)
 from chatlake.llm.common import read
 
 QUERIES = {}
@@ -148,3 +148,63 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read(spark, sf, "labels"))
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op11_filter_audit", r"""
+WITH RECURSIVE orders AS (SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || c FROM orders, (SELECT unnest(string_split('ABCDE', '')) AS c) WHERE NOT contains(filter_order, c)),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_extract_all(t, '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM w),
+m AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+q AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN m USING (doc_id) GROUP BY ALL),
+r AS (SELECT part, filter_order, fails, n, good, toxic, unnest([1, 2, 3, 4, 5]) AS step,
+    CASE WHEN fails <> '' THEN list_min(list_transform(string_split(fails, ''), lambda x: instr(filter_order, x))) ELSE 9 END AS gone
+  FROM q, orders WHERE length(filter_order) = 5),
+g AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS c, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone < step AND contains(fails, substr(filter_order, step, 1)) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = substr(filter_order, step, 1) THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN gone = step THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step THEN toxic ELSE 0 END) AS toxic_lost
+  FROM r GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, c) AS BIGINT) AS shapley FROM g""")
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.flagged(read(spark, sf, "documents"), read(spark, sf, "labels")))
+
+
+@query("op12_lattice_lm")
+def op12_lattice_lm(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return lattice_lm.lm_scores(read(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_resampling", rf"""
+WITH RECURSIVE bits AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT unnest({_WORDS.format("coalesce(text, '')")}) AS x FROM benchmark),
+words AS (SELECT r, unnest(w) AS x FROM d),
+kinds AS (SELECT DISTINCT x FROM (SELECT x FROM words UNION ALL SELECT x FROM t)),
+crc AS (SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(generate_series(1, strlen(x)),
+    lambda i: CAST('0x' || substr(hex(encode(x)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))),
+    lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295) % {resampling.BUCKETS} AS bucket FROM kinds, tab),
+s AS (SELECT bucket, count(*) AS s FROM words JOIN crc USING (x) GROUP BY bucket),
+tt AS (SELECT bucket, count(*) AS t FROM t JOIN crc USING (x) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT sum(s) FROM s) + {resampling.BUCKETS}::DOUBLE)
+    / ((coalesce(s, 0) + 1.0::DOUBLE) * (coalesce((SELECT sum(t) FROM tt), 0) + {resampling.BUCKETS}::DOUBLE)))) AS gain FROM s FULL JOIN tt USING (bucket)),
+weights AS (SELECT r, CAST(floor(sum(CAST(gain AS HUGEINT)) / count(*)) AS BIGINT) AS weight FROM words JOIN crc USING (x) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST(coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'NULL')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights USING (r)),
+drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (r)""")
+def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return resampling.resample(docs, read(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
