@@ -108,7 +108,7 @@ SMALL = {b" a": -1.0, b" ": -2.0, b"a": -1.5, b"ab": -1.0, b"b": -2.5, b"ba": -0
 def spellings(s, pieces):
     if not s:
         return [0.0]
-    return [pieces[s[:n]] + rest for n in range(1, 4) if s[:n] in pieces for rest in spellings(s[n:], pieces)]
+    return [pieces[s[:n]] + rest for n in range(1, min(3, len(s)) + 1) if s[:n] in pieces for rest in spellings(s[n:], pieces)]
 
 
 @given(st.lists(st.text("ab", max_size=7), min_size=1, max_size=9))
@@ -125,7 +125,7 @@ def test_marginals_sum_all_segmentations(words):
 def paths(s, pieces):
     if not s:
         return [[]]
-    return [[s[:n], *rest] for n in range(1, 4) if s[:n] in pieces for rest in paths(s[n:], pieces)]
+    return [[s[:n], *rest] for n in range(1, min(3, len(s)) + 1) if s[:n] in pieces for rest in paths(s[n:], pieces)]
 
 
 def test_expected_uses_are_posterior_counts():
