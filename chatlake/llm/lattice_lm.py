@@ -10,24 +10,25 @@ maximisation; the pieces stay as they are.
 One more arc spans a word whole, with its discounted share of the training
 tokens; what the discount leaves goes to the spelling. No arc crosses a word's
 end, so a text's forward variable at a word boundary is a product, and a text's
-log probability is the sum over its words and its end. Each distinct word of the
-corpus goes through the recursion once: documents are dealt into blocks, a block
-sends its distinct words, and gets back their counts and log probabilities.
+log probability is the sum over its words and its end. Documents are dealt into
+blocks; a block numbers its distinct words, keeps its texts as these numbers,
+sends the words, and gets back their counts and log probabilities. So a word
+crosses the network once a block, and goes through the recursion about once.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
+from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.llm.common import written
 from chatlake.session import ship_package
 
-BLOCK_BYTES = 8 << 20       # text bytes of a block (one long text may be more)
+BLOCK_BYTES = 32 << 20      # text bytes of a block (one long text may be more)
 FLAT_BYTES = 1 << 17        # word bytes that go through the recursion at once
 LONG = 256                  # bytes of a word from which it is walked alone
 ROUNDS = 2                  # of expectation maximisation
@@ -230,14 +231,17 @@ def fit(lexicon: DataFrame, prior: dict[bytes, float], rounds: int = ROUNDS, pse
 
 
 def _spelled(shared):
-    """A mapInArrow function: (word, c) with the spelling's log probability."""
+    """A mapInArrow function: (word, ..) to the other columns with the spelling's
+    log probability. Rows come by word, so equal words are neighbours."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         lattice = _lattice(shared)
         for b in batches:
-            words = b.column(0).to_pylist()
+            runs = b.column(0).to_pylist()
+            new = np.array([i == 0 or w != runs[i - 1] for i, w in enumerate(runs)], dtype=bool)
+            words = [runs[i] for i in np.flatnonzero(new)]
             out = np.zeros(len(words))
             short = [i for i, w in enumerate(words) if len(w) < LONG]
             for part in _slices(short, lambda i: len(words[i])):
@@ -245,7 +249,8 @@ def _spelled(shared):
             for i, w in enumerate(words):
                 if len(w) >= LONG:
                     out[i] = lattice.long_marginal(w)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "spelling"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out[np.cumsum(new) - 1] if len(new) else out)],
+                                             [*b.schema.names[1:], "spelling"])
     return run
 
 
@@ -256,33 +261,35 @@ def held_out(id_: Column) -> Column:
 
 
 def _blocks(batches):
-    """Rows (id, held_out, text) with a block number (kind 0), and each block's
-    distinct words with their training count (kind 1)."""
-    import uuid
+    """Rows (id, held_out, text) to block, id, held_out and the text as numbers of
+    the block's words, and a row for each of these: number, word, training count."""
+    import array
+    import secrets
 
+    import numpy as np
     import pyarrow as pa
 
+    names = ["block", "id", "held_out", "numbers", "number", "word", "n"]
+
     def block(rows):
-        name, train, seen = uuid.uuid4().hex, Counter(), set()
-        for held, text in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist()):
-            own = words_of(text)
-            if held:
-                seen.update(own)
-            else:
-                train.update(own)
-        words = [*train, *(seen - train.keys())]
-        n, k = rows.num_rows, len(words)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * n, pa.string()), *rows.columns, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * k, pa.string()), *[pa.nulls(k, c.type) for c in rows.columns], pa.array(words, pa.binary()),
-             pa.array([train[w] for w in words], pa.int64())], names)
-
-    names = ["block", "id", "held_out", "text", "word", "n"]
+        name, number = secrets.randbits(63), defaultdict(itertools.count().__next__)
+        texts = [array.array("I", map(number.__getitem__, words_of(t.as_buffer().to_pybytes()))).tobytes() for t in rows.column(2)]
+        train = np.zeros(len(number), dtype=np.int64)
+        for held, own in zip(rows.column(1).to_pylist(), texts):
+            if not held:
+                np.add.at(train, np.frombuffer(own, dtype=np.uint32), 1)
+        n, k = rows.num_rows, len(number)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([name] * n, pa.int64()), rows.column(0), rows.column(1), pa.array(texts, pa.binary()),
+            pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([name] * k, pa.int64()), pa.nulls(k, rows.column(0).type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()),
+            pa.array(np.arange(k, dtype=np.int32)), pa.array(number, pa.binary()), pa.array(train)], names)
+
     for b in batches:
-        sizes = [len(x.as_buffer()) for x in b.column(2)]
         at = total = 0
-        for i, size in enumerate(sizes):
+        for i, t in enumerate(b.column(2)):
+            size = len(t.as_buffer())
             if total and total + size > BLOCK_BYTES:
                 yield from block(b.slice(at, i - at))
                 at, total = i, 0
@@ -295,29 +302,31 @@ def _measures(totals):
     """A cogroup function: a block's documents and its words' figures to scores."""
     tokens, distinct, words, kinds, ends, discount = totals
 
-    def run(docs, lexicon):
+    def run(docs, figures):
         import numpy as np
         import pyarrow as pa
 
-        number = dict(zip(lexicon.column("word").to_pylist(), itertools.count()))
-        c = np.append(lexicon.column("c").to_numpy().astype(np.float64), ends)
-        spelling = np.append(lexicon.column("spelling").to_numpy(), 0.0)
+        order = figures.column("number").to_numpy()
+        c, spelling = np.zeros(len(order) + 1), np.zeros(len(order) + 1)       # the end is the last
+        c[order], spelling[order] = figures.column("c").to_numpy(), figures.column("spelling").to_numpy()
+        c[-1] = ends
         base = np.log10((c + 1) / (tokens + distinct + 1))
         stop = (ends + 0.5) / (tokens + 1)                  # a text may end before it has a word
-        with np.errstate(divide="ignore"):
-            share = np.log(np.maximum(c - discount, 0)) - math.log(words or 1)
-        left = math.log(discount * kinds / words) if words else 0.0
-        model = (np.logaddexp(share if words else np.full(len(c), -np.inf), left + spelling) + math.log1p(-stop)) / math.log(10)
+        if words:
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(c - discount, 0) / words)
+            model = np.logaddexp(whole, math.log(discount * kinds / words) + spelling)
+        else:
+            model = spelling
+        model = (model + math.log1p(-stop)) / math.log(10)
         model[-1] = math.log10(stop)
-        known = (c > 0).astype(np.int64)
-        end = len(number)
+        known = c > 0
         rows = []
-        for text in docs.column("text").to_pylist():
-            at = np.array([*map(number.__getitem__, words_of(text)), end], dtype=np.int64)
-            rows.append((len(at), int(known[at].sum()), float(base[at].sum()), float(model[at].sum())))
-        n, k, b, s = zip(*rows)
-        return pa.Table.from_arrays([docs.column("id"), docs.column("held_out"), pa.array(n, pa.int64()), pa.array(k, pa.int64()),
-                                     pa.array([int(tokens)] * len(rows), pa.int64()), pa.array(b), pa.array(s)],
+        for own in docs.column("numbers"):
+            at = np.append(np.frombuffer(own.as_buffer(), dtype=np.uint32), np.uint32(len(order)))
+            rows.append((len(at), int(known[at].sum()), int(tokens), float(base[at].sum()), float(model[at].sum())))
+        kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([docs.column("id"), docs.column("held_out"), *[pa.array(x, t) for x, t in zip(zip(*rows), kinds_)]],
                                     ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return run
 
@@ -339,19 +348,22 @@ def lm_scores(docs: DataFrame, vocabulary_path: str, rounds: int = ROUNDS, ranks
     kind = docs.select(id_).schema[0].dataType.simpleString()
     rows = docs.select(id_.alias("id"), held_out(id_).alias("held_out"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("text"))
-    blocks = written(rows.mapInArrow(_blocks, f"block string, id {kind}, held_out boolean, text binary, word binary, n long"), "lm-blocks")
-    texts, used = blocks.where("text IS NOT NULL"), blocks.where("word IS NOT NULL")
-    lexicon = written(used.groupBy("word").agg(F.sum("n").alias("c")), "lm-lexicon")
-    trained = lexicon.where("c > 0")
+    blocks = written(rows.mapInArrow(_blocks, f"block long, id {kind}, held_out boolean, numbers binary, number int, word binary, n long"), "lm-blocks")
+    texts = blocks.where("numbers IS NOT NULL").select("block", "id", "held_out", "numbers")
+    # one exchange by word: at most one row a block for the most common one
+    word = Window.partitionBy("word")
+    used = written(blocks.where("word IS NOT NULL").select(
+        "word", F.col("block").alias("of"), "number", F.sum("n").over(word).alias("c"),
+        (F.col("block") == F.min("block").over(word)).alias("first")), "lm-words")
+    trained = used.where("first AND c > 0")
     n = trained.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count(F.when(F.col("c") == 1, 1)),
                     F.count(F.when(F.col("c") == 2, 1))).first()
     ends = texts.where("NOT held_out").count()
     discount = n[2] / (n[2] + 2 * n[3]) if n[2] and n[3] else 0.5
     totals = (n[0] + ends, n[1] + (1 if ends else 0), n[0], n[1], ends, discount)
     model = _share(spark, *fit(trained, vocabulary(vocabulary_path, ranks), rounds if n[1] else 0))
-    scored = lexicon.mapInArrow(_spelled(model), "word binary, c long, spelling double")
-    figures = used.select(F.col("block").alias("of"), "word").join(written(scored, "lm-words"), "word")
-    return (texts.select("block", "id", "held_out", "text").groupBy("block").cogroup(figures.groupBy("of"))
+    figures = used.select("word", "of", "number", "c").mapInArrow(_spelled(model), "of long, number int, c long, spelling double")
+    return (texts.groupBy("block").cogroup(figures.groupBy("of"))
             .applyInArrow(_measures(totals), f"id {kind}, held_out boolean, n_tokens long, n_known long, "
                                              "train_tokens long, base_score double, score double")
             .withColumnRenamed("id", "doc_id"))
