@@ -17,7 +17,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import SPACE, same
+from chatlake.llm.common import SPACE, same, written
 
 MOST = 7        # filters: their orders are listed
 
@@ -68,8 +68,8 @@ def flagged(docs: DataFrame, labels: DataFrame, part_col: str = "lang", id_col:
     fails = F.lit(0)
     for k, failed in enumerate(text_failures(F.col("text")).values()):
         fails = fails + F.when(failed, 1 << k).otherwise(0)
-    rows = (docs.select(id_.alias("id"), text.alias("text"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"))
-            .select("id", "part", fails.alias("fails"), F.unhex(F.sha2("text", 256)).alias("digest")))
+    rows = written(docs.select(id_.alias("id"), text.alias("text"), F.coalesce(F.col(f"`{part_col}`").cast("string"), F.lit("")).alias("part"))
+                   .select("id", "part", fails.alias("fails"), F.unhex(F.sha2("text", 256)).alias("digest")), "audit-rows")
     marks = (labels.where(F.col("doc_id").isNotNull() & ((F.col("quality") == 1) | (F.col("toxic") == 1)))
              .groupBy(F.col("doc_id").alias("marked"))
              .agg(F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"),
