@@ -206,5 +206,5 @@ drawn AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM
   QUALIFY rank <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
 SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (r)""")
 def op13_resampling(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents").select("doc_id", "text")
-    return resampling.resample(docs, read(spark, sf, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+    docs = read(spark, sf, "documents")
+    return resampling.resample(docs, read(spark, sf, "benchmark"), keep=["doc_id"]).select("doc_id", "n_features", "weight", "score", "rank")

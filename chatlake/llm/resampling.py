@@ -117,9 +117,10 @@ def _weigh(shared, buckets: int):
 
 
 def weighted(docs: DataFrame, target: DataFrame, most_words: int = MOST_WORDS, buckets: int = BUCKETS,
-             text_col: str = "text", target_text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, n_features and weight (the floored mean gain; no
-    features: 0), as a written table. Columns of these names are replaced.
+             text_col: str = "text", target_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``; all, if None) with n_words, n_features and
+    weight (the floored mean gain; no features: 0). Columns of these names are
+    replaced.
 
     NULL and wordless texts have no features. An empty ``target`` has only its
     smoothing.
@@ -127,12 +128,13 @@ def weighted(docs: DataFrame, target: DataFrame, most_words: int = MOST_WORDS, b
     spark = docs.sparkSession
     ship_package(spark)
     docs = without(docs, "n_words", "n_features", "weight", "packed")
+    kept = cols(docs) if keep is None else [F.col(f"`{c}`") for c in keep]
 
     def scanned(df, columns, text):
         kinds = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(columns).schema] + ["n_words long", "packed binary"])
         return df.select(*columns, F.col(f"`{text}`").cast("binary").alias(*fresh(df, "scan"))).mapInArrow(_scan(most_words, buckets), kinds)
 
-    rows = written(scanned(docs, cols(docs), text_col), "resample-buckets")
+    rows = written(scanned(docs, kept, text_col), "resample-buckets")
     shared = spark.sparkContext.broadcast(gains(_counts(rows, buckets), _counts(scanned(target, [], target_text_col), buckets)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "packed")
     return rows.mapInArrow(_weigh(shared, buckets), f"{kinds}, n_features long, weight long")
