@@ -56,6 +56,24 @@ def split_lines(text) -> Column:
     return F.split(_c(text), "\n")
 
 
+def clean_content(content, mentions) -> Column:
+    """A message's text with its '<@id>' tokens as '@name', by the (id, name) pairs
+    that the message itself carries (STR-13); other ids stay as they are. The text
+    is cut at its tokens once, so a name that looks like one is not read again."""
+    token = r"<@!?(\d+)>"
+    parts = F.split(_c(content), token.replace("(", "").replace(")", ""), -1)
+    ids = F.regexp_extract_all(_c(content), F.lit(token), 1)
+    said = F.regexp_extract_all(_c(content), F.lit(token), 0)
+
+    def named(i, as_is):
+        known = F.filter(_c(mentions), lambda m: (m["id"] == i) & m["name"].isNotNull())
+        return F.coalesce(F.concat(F.lit("@"), F.get(known, F.lit(0))["name"]), as_is)
+
+    shown = F.zip_with(F.zip_with(ids, said, lambda i, s: F.struct(i.alias("i"), s.alias("s"))), F.slice(parts, 2, 1 << 30),
+                       lambda x, rest: F.concat(named(x["i"], x["s"]), rest))
+    return F.when(F.size(ids) == 0, _c(content)).otherwise(F.concat(F.get(parts, F.lit(0)), F.array_join(shown, "")))
+
+
 def parse_command_user(text) -> Column:
     """User name of a command line (STR-10).
 

@@ -24,6 +24,9 @@ PROFILE_TERMS = 5
 RELEVANCE_THRESHOLD = 0.1
 # Fixed value: the reply for a user without messages in the channel.
 NO_HISTORY = "No chat history found for user %s in channel %s."
+# The replies when a primer does not help, or there is no such user.
+NOT_USEFUL = "The primer is not useful for answering the query."
+NO_USER = "No user with the username '%s' found in the database."
 
 
 def term_counts(messages: DataFrame, key: str = "id", text_col: str = "message",
@@ -41,25 +44,31 @@ def idf(tf: DataFrame, n_docs) -> DataFrame:
 
 
 def message_scores(messages: DataFrame, key: str = "id", text_col: str = "message",
-                   carry=()) -> DataFrame:
-    """(key, carry..., score) for messages with at least one term."""
+                   carry=(), every: bool = False) -> DataFrame:
+    """(key, carry..., score) for messages with at least one term; with ``every``
+    the others too, whose score is 0."""
     tf = term_counts(messages, key, text_col, carry)
     n_docs = messages.agg(F.count(F.lit(1))).scalar()
     w = tf.join(idf(tf, n_docs).select("term", "idf"), "term")
-    return w.groupBy(key, *carry).agg(
+    scored = w.groupBy(key, *carry).agg(
         (F.sum(F.col("tf") * F.col("idf")) / F.sqrt(F.sum("tf"))).alias("score"))
+    if not every:
+        return scored
+    bare = messages.where(F.coalesce(F.size(tx.terms(text_col)), F.lit(0)) <= 0)
+    return scored.unionByName(bare.select(key, *carry, F.lit(0.0).alias("score")))
 
 
 def summaries(messages: DataFrame, group_cols: list[str], k: int = DIGEST_K,
               size: int = PIECE_CHARS) -> DataFrame:
     """The reply text of every group's summary: its k best-scored messages as
     'sender: message' lines in id order, cut to ``size``-character pieces (CMD-1,
-    CMD-2). Rows (groups..., pos, piece); a group without any term has none.
+    CMD-2). Rows (groups..., pos, piece). A message without a term scores 0, so a
+    group that has nothing else still gets its reply.
 
     Messages are scored among ``messages``, each id once; only the k picked a
     group are joined back to their texts.
     """
-    best = top_messages(messages, group_cols, k).select(*group_cols, "id")
+    best = top_messages(messages, group_cols, k, every=True).select(*group_cols, "id")
     lines = messages.select("id", tx.line("sender", "message").alias("l")).join(best, "id")
     text = lines.groupBy(*group_cols).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct("id", "l"))), lambda x: x["l"]), "\n").alias("text"))
@@ -82,13 +91,13 @@ def user_summaries(history: DataFrame, requests: DataFrame, k: int = USER_DIGEST
     return summaries(there, ["sender", "channel"], k, size).unionByName(none)
 
 
-def top_messages(messages: DataFrame, group_cols: list[str], k: int = DIGEST_K) -> DataFrame:
+def top_messages(messages: DataFrame, group_cols: list[str], k: int = DIGEST_K, every: bool = False) -> DataFrame:
     """The k best-scored messages of every group, ties by id (CMD-1, CMD-2).
 
     The per-group top-k is a partial WindowGroupLimit before the shuffle, so
     a hot group sends at most k rows per task.
     """
-    scored = message_scores(messages, carry=group_cols)
+    scored = message_scores(messages, carry=group_cols, every=every)
     rank_key = F.round("score", 9)
     w = Window.partitionBy(*group_cols).orderBy(F.desc(rank_key), F.asc("id"))
     return (scored.withColumn("digest_rank", F.row_number().over(w))
@@ -140,6 +149,18 @@ def primer_relevance(requests: DataFrame, users: DataFrame,
                     .alias("relevant"))
 
 
+def primer_check(requests: DataFrame, users: DataFrame, threshold: float = RELEVANCE_THRESHOLD) -> DataFrame:
+    """The answer to each (request_id, user_name, question) of the primer check
+    (CMD-7): the primer of the name's first row by id if it helps with the question,
+    else the reply that it does not, or that there is no such user. Usefulness is
+    ``primer_relevance``'s, in place of a hosted model's yes or no."""
+    first = users.groupBy("user_name").agg(F.min_by("primer", F.col("id")).alias("primer"), F.lit(True).alias("found"))
+    useful = primer_relevance(requests, users, threshold).select("request_id", "user_name", "relevant")
+    return (requests.join(useful, ["request_id", "user_name"]).join(first, "user_name", "left")
+            .select("request_id", "user_name", F.when(F.col("found").isNull(), F.format_string(NO_USER, "user_name"))
+                    .when(F.coalesce("relevant", F.lit(False)), F.col("primer")).otherwise(F.lit(NOT_USEFUL)).alias("reply")))
+
+
 def profile_text(profiles: DataFrame) -> DataFrame:
     """One primer line per sender from its profile facts (C-6 text form)."""
     return profiles.select("sender", F.format_string(

@@ -117,7 +117,7 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
         F.lit(0)).alias(_OFF))
     ranked = b.withColumn(_RN, F.row_number().over(Window.partitionBy(_BKT).orderBy(*order_cols)))
     start_col = start if isinstance(start, Column) else F.lit(start)
-    return (ranked.join(F.broadcast(offsets), _BKT)
+    return (ranked.join(offsets, _BKT)
             .withColumn(id_col, (start_col + F.col(_OFF) + F.col(_RN) - 1).cast("long"))
             .drop(_BKT, _OFF, _RN))
 

@@ -158,7 +158,7 @@ def dossier_from_chunks(packed: DataFrame) -> DataFrame:
 def primer_check_prompts(requests: DataFrame, users: DataFrame) -> DataFrame:
     """The yes/no question whether a user's primer helps with a question (CMD-7),
     one prompt for each (request_id, user_name, question). The primer is that of
-    the name's first row by id that has one; names without one get no prompt."""
-    primers = users.groupBy("user_name").agg(F.min_by("primer", F.when(F.col("primer").isNotNull(), F.col("id"))).alias("primer"))
+    the name's first row by id, as in every lookup; without one there is no prompt."""
+    primers = users.groupBy("user_name").agg(F.min_by("primer", F.col("id")).alias("primer"))
     asked = requests.join(primers.where("primer IS NOT NULL"), "user_name").withColumn("chunk", F.lit(""))
     return _rows(asked, "primer_check", fill(PRIMER_CHECK_TEMPLATE, primer=F.col("primer"), query=F.col("question")))

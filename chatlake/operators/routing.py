@@ -49,11 +49,15 @@ def route(events: DataFrame, bot_id: str, role: str, special_name: str,
 
 
 def logged_messages(routed: DataFrame) -> DataFrame:
-    """Routed events that go to chat_history, as history rows."""
+    """Routed events that go to chat_history, as history rows: the text with the
+    names of those it mentions (STR-13). The bot's own messages are logged and
+    nothing more, so they keep no mentions that could ask for an answer."""
+    none = F.lit(None).cast(routed.schema["mentions"].dataType)
     return routed.where("logged").select(
         F.col("message_id"), F.col("event_ts").alias("ts"), F.col("author.name").alias("sender"),
-        F.col("channel_name").alias("channel"), F.col("content").alias("message"),
-        F.col("mentions"))
+        F.col("channel_name").alias("channel"), tx.clean_content("content", "mentions").alias("message"),
+        F.when(F.col("route") == "self", F.filter(F.coalesce("mentions", none), lambda m: F.lit(False)))
+        .otherwise(F.col("mentions")).alias("mentions"))
 
 
 def after_mark(events: DataFrame, store: DataFrame, ts_col: str = "event_ts",

@@ -40,8 +40,8 @@ def _summary_sql(src: str, groups: str, k: int) -> str:
     """CTEs ending in ``pieces``: the summary text of each group of ``src``."""
     return f"""{sq.tfidf_ctes(src)},
     ranked AS (SELECT {groups}, c.id, c.sender || ': ' || c.message AS line,
-                      row_number() OVER (PARTITION BY {groups} ORDER BY round(sc.score, 9) DESC, c.id) AS rn
-               FROM {src} c JOIN sc USING (id)),
+                      row_number() OVER (PARTITION BY {groups} ORDER BY round(coalesce(sc.score, 0), 9) DESC, c.id) AS rn
+               FROM {src} c LEFT JOIN sc USING (id)),
     texts AS (SELECT {groups}, string_agg(line, chr(10) ORDER BY id) AS text FROM ranked WHERE rn <= {k} GROUP BY {groups}),
     pieces AS (SELECT {groups}, pos, substr(text, pos * 2000 + 1, 2000) AS piece FROM (
       SELECT {groups}, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 2000.0) AS BIGINT)))) AS pos FROM texts))"""
@@ -97,7 +97,7 @@ _REQ_SQL = """SELECT id AS request_id, 'Customer#' || lpad(CAST(id // 100 AS VAR
     FROM chat_text"""
 
 
-@query("primer_relevance", with_views(f"""WITH req AS ({_REQ_SQL}),
+_RELEVANCE_SQL = f"""WITH req AS ({_REQ_SQL}),
     pr AS (SELECT user_name, arg_min_null(primer, id) AS primer FROM users GROUP BY user_name),
     j AS (SELECT req.*, pr.primer FROM req LEFT JOIN pr USING (user_name)),
     {sq.hashed_ctes('j', 'request_id', 'primer', 'pv')},
@@ -106,7 +106,10 @@ _REQ_SQL = """SELECT id AS request_id, 'Customer#' || lpad(CAST(id // 100 AS VAR
     s AS (SELECT j.request_id, j.user_name, j.primer,
                  coalesce(dot.d / (pv_n.norm * qv_n.norm), 0.0) AS sim
           FROM j LEFT JOIN dot ON dot.k = j.request_id LEFT JOIN pv_n ON pv_n.k = j.request_id
-                 LEFT JOIN qv_n ON qv_n.k = j.request_id)
+                 LEFT JOIN qv_n ON qv_n.k = j.request_id)"""
+
+
+@query("primer_relevance", with_views(f"""{_RELEVANCE_SQL}
     SELECT request_id, user_name,
            CASE WHEN primer IS NOT NULL THEN round(sim, 6) END AS similarity,
            CASE WHEN primer IS NOT NULL THEN sim > {dg.RELEVANCE_THRESHOLD} END AS relevant
@@ -127,3 +130,15 @@ def primer_requests(spark, sf):
     return t.select(F.col("id").alias("request_id"), raw.alias("raw")).select(
         "request_id", tx.parse_command_user("raw").alias("user_name"),
         tx.command_rest("raw").alias("question"))
+
+
+@query("primer_check_replies", with_views(f"""{_RELEVANCE_SQL}
+    SELECT request_id, user_name, CASE WHEN user_name NOT IN (SELECT user_name FROM users)
+             THEN 'No user with the username ''' || user_name || ''' found in the database.'
+           WHEN primer IS NOT NULL AND sim > {dg.RELEVANCE_THRESHOLD} THEN primer
+           ELSE 'The primer is not useful for answering the query.' END AS reply
+    FROM s""", "chat_text", "users"))
+def primer_check_replies(spark, sf):
+    """The answer to each primer check: the primer, that it does not help, or that
+    there is no such user (CMD-7)."""
+    return dg.primer_check(primer_requests(spark, sf), views.users(spark, sf))

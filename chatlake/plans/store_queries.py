@@ -101,15 +101,19 @@ def reembed_all(spark, sf):
 @query("reembed_store", f"""
     WITH src AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS id, {_NORMALIZED} AS message FROM events),
     {_hashed_stats_sql('src', 'id', 'message')}
-    SELECT id, coalesce(hs.nnz, 0) AS nnz, round(coalesce(hs.norm, 0), 6) AS norm, coalesce(slots, '') AS slots
+    SELECT id, coalesce(hs.nnz, 0) AS nnz, round(coalesce(hs.norm, 0), 6) AS norm, coalesce(slots, '') AS slots, true AS changed
     FROM src LEFT JOIN hs ON hs.k = src.id""")
 def reembed_store(spark, sf):
-    """All events ingested to a store, then each of its vectors recomputed from
-    its message and the store written to a new location (SNK-5; D5)."""
+    """All events ingested to a store under one embedding, then each of its vectors
+    recomputed from its message by another and the store written to a new location;
+    both are compared (SNK-5; D5)."""
     path = run_dir(spark, "reembed_store")
-    store.add(views.chat_event(spark, sf).withColumnRenamed("id", "source_id"), f"{path}/old", "import")
+    flat = lambda m: F.array_repeat(F.lit(0.5).cast("float"), ing.EMBED_DIM)
+    store.add(views.chat_event(spark, sf).withColumnRenamed("id", "source_id"), f"{path}/old", "import", embed=flat)
     back = store.reembed(spark, f"{path}/old", f"{path}/new")
-    return back.select("id", _nnz("vector").alias("nnz"), F.round("norm", 6).alias("norm"), _slots("vector").alias("slots"))
+    old = spark.read.parquet(f"{path}/old").select("id", F.col("vector").alias("before"))
+    return back.join(old, "id").select("id", _nnz("vector").alias("nnz"), F.round("norm", 6).alias("norm"),
+                                       _slots("vector").alias("slots"), (F.col("vector") != F.col("before")).alias("changed"))
 
 
 def _channel_sightings(spark, sf):

@@ -10,8 +10,8 @@ from chatlake.plans.registry import query
 from chatlake.session import run_dir
 from chatlake.sources import views
 from chatlake.sources.tables import read_table
-from chatlake.sources.views import (BOT_ID, BOT_NAME, MEMBER_ROLE, SPECIAL_NAME, STORED_BEFORE,
-                                    events_to_messages, with_views)
+from chatlake.sources.views import (ANSWER_WITHIN, BOT_ID, BOT_NAME, MEMBER_ROLE, SPECIAL_NAME, STORED_BEFORE,
+                                    STREAM_FROM, events_to_messages, mentioning_messages, with_views)
 from chatlake.streaming import jobs
 
 _LIVE_SQL = f"""CASE WHEN author_id = '{BOT_ID}' THEN 'self'
@@ -93,7 +93,7 @@ def live_plus_backfill(spark, sf):
     SELECT m.message_id AS request_id, m.channel, count(*) AS n_lines,
            string_agg(x.sender || ': ' || x.content, chr(10) ORDER BY x.pos) AS transcript
     FROM l m JOIN l x ON x.channel = m.channel AND x.pos BETWEEN m.pos - 39 AND m.pos
-    WHERE m.mentions_bot GROUP BY m.message_id, m.channel""", "message_events"))
+    WHERE m.mentions_bot AND m.route = 'log' GROUP BY m.message_id, m.channel""", "message_events"))
 def mention_requests(spark, sf):
     """Requests raised by mentions of the bot, each with the channel's last
     40 logged messages (ST-2, CMD-9)."""
@@ -110,23 +110,47 @@ def _events_schema(spark, sf):
     return read_table(spark, sf, "events").schema
 
 
-@query("stream_ingest", with_views(f"""
+_INGESTED_SQL = with_views(f"""
     WITH r AS ({_routed_sql(_LIVE_SQL)}),
     src AS (SELECT message_id AS source_id, event_ts AS ts, author_name AS sender, stored_channel AS channel,
-                   array_to_string(regexp_extract_all(lower(content), '@?[\\p{{L}}\\p{{N}}]+(?:[._''-][\\p{{L}}\\p{{N}}]+)*'), ' ') AS message
+                   array_to_string(regexp_extract_all(lower(CASE WHEN mentions_bot THEN '@{BOT_NAME} ' ELSE '' END || content),
+                                   '@?[\\p{{L}}\\p{{N}}]+(?:[._''-][\\p{{L}}\\p{{N}}]+)*'), ' ') AS message
             FROM r WHERE logged)
     SELECT row_number() OVER (ORDER BY ts, source_id) - 1 AS id, source_id, ts, sender, channel, message
-    FROM src""", "message_events"))
+    FROM src""", "message_events")
+
+
+@query("stream_ingest", _INGESTED_SQL)
 def stream_ingest(spark, sf):
-    """The live path as a stream: route, normalise, embed, number, append (ST-1, SNK-1)."""
+    """The live path as a stream: route, put names for mentions, normalise, embed,
+    number, append (ST-1, SNK-1, STR-13)."""
     base = run_dir(spark, "stream_ingest")
     s = jobs.read_stream(spark, _events_glob(sf), _events_schema(spark, sf), files_per_trigger=1)
-    jobs.ingest_stream(s, events_to_messages, f"{base}/chat_history", f"{base}/_checkpoint",
+    jobs.ingest_stream(s, mentioning_messages, f"{base}/chat_history", f"{base}/_checkpoint",
                        BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
     return spark.read.parquet(f"{base}/chat_history").select(
         "id", "source_id", "ts", "sender", "channel", "message")
 
 
+@query("stream_redelivered", _INGESTED_SQL)
+def stream_redelivered(spark, sf):
+    """Three arrivals of events, each with every third message of all those before
+    delivered once more and some twice in one arrival: the store has each once, as
+    from the plain stream (ST-3, SET-3)."""
+    base = run_dir(spark, "stream_redelivered")
+    before = None
+    for part in _slices(spark, sf):
+        again = part.where(F.col("event_id") % 5 == 0)
+        if before is not None:
+            again = again.unionByName(before.where(F.col("event_id") % 3 == 0))
+        part.unionByName(again).write.mode("append").parquet(f"{base}/arrived")
+        before = part if before is None else before.unionByName(part)
+        s = jobs.read_stream(spark, f"{base}/arrived", _events_schema(spark, sf))
+        jobs.ingest_stream(s, mentioning_messages, f"{base}/chat_history", f"{base}/_checkpoint",
+                           BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
+    return spark.read.parquet(f"{base}/chat_history").select("id", "source_id", "ts", "sender", "channel", "message")
+
+
 @query("stream_first_seen", with_views(f"""
     SELECT row_number() OVER (ORDER BY min(event_ts), author_id) - 1 AS id, author_id AS user_id,
            arg_min(author_name, struct_pack(a := event_ts, b := message_id)) AS user_name,
@@ -152,7 +176,7 @@ def _slices(spark, sf, n: int = 3):
 
 
 _ORDERED_SQL = f"""r AS ({_routed_sql(_LIVE_SQL)}),
-    l AS (SELECT message_id, event_ts, stored_channel AS channel, author_name AS sender, content, mentions_bot,
+    l AS (SELECT message_id, event_ts, stored_channel AS channel, author_name AS sender, content, mentions_bot, route,
                  row_number() OVER (ORDER BY event_ts, message_id) - 1 AS id,
                  row_number() OVER (PARTITION BY stored_channel ORDER BY event_ts, message_id) AS pos
           FROM r WHERE logged)"""
@@ -164,7 +188,7 @@ _STORED_TEXT_SQL = ("array_to_string(regexp_extract_all(lower({x}), "
     t AS (SELECT m.message_id AS request_id, m.channel,
                  string_agg(x.sender || ': ' || {_STORED_TEXT_SQL.format(x="x.content")}, chr(10) ORDER BY x.pos) AS transcript
           FROM l m JOIN l x ON x.channel = m.channel AND x.pos BETWEEN m.pos - 39 AND m.pos
-          WHERE m.mentions_bot GROUP BY ALL),
+          WHERE m.mentions_bot AND m.route = 'log' GROUP BY ALL),
     tl AS (SELECT request_id, channel, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line
            FROM (SELECT request_id, channel, string_split(trim(transcript), chr(10)) AS ls FROM t)),
     p AS (SELECT request_id, channel, line_no, trim(substr(line, 1, instr(line, ':') - 1)) AS who,
@@ -187,6 +211,75 @@ def stream_mentions(spark, sf):
     return out.select("request_id", "channel", "line_no", "role", "content")
 
 
+@query("stream_last_n", with_views(f"""WITH {_ORDERED_SQL}
+    SELECT m.message_id AS request_id, m.channel, row_number() OVER (PARTITION BY m.message_id ORDER BY x.pos) - 1 AS line_no,
+           x.sender, {_STORED_TEXT_SQL.format(x="x.content")} AS message
+    FROM l m JOIN l x ON x.channel = m.channel AND x.pos BETWEEN m.pos - 39 AND m.pos
+    WHERE m.mentions_bot AND m.route = 'log'""", "message_events"))
+def stream_last_n(spark, sf):
+    """The last 40 lines up to each mention out of keyed state, over three arrivals
+    with a restart between them (ST-7)."""
+    base = run_dir(spark, "stream_last_n")
+    for part in _slices(spark, sf):
+        part.write.mode("append").parquet(f"{base}/arrived")
+        s = jobs.read_stream(spark, f"{base}/arrived", _events_schema(spark, sf))
+        jobs.last_n_stream(s, events_to_messages, f"{base}/lines", f"{base}/_checkpoint", BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
+    return spark.read.parquet(f"{base}/lines")
+
+
+@query("stream_interactions", with_views(f"""WITH r AS ({_routed_sql(_LIVE_SQL)}),
+    asks AS (SELECT * FROM r WHERE route = 'log' AND mentions_bot), own AS (SELECT * FROM r WHERE route = 'self')
+    SELECT a.message_id AS request_id, a.stored_channel AS channel, a.event_ts AS request_ts,
+           o.message_id AS answer_id, o.event_ts AS answer_ts
+    FROM asks a LEFT JOIN own o ON o.stored_channel = a.stored_channel AND o.event_ts > a.event_ts
+      AND o.event_ts <= a.event_ts + INTERVAL {ANSWER_WITHIN}""", "message_events"))
+def stream_interactions(spark, sf):
+    """Requests with the bot's answers in their channel within a day, unanswered
+    ones too, over three arrivals and a heartbeat that closes the last day (SNK-9, CMD-9)."""
+    base = run_dir(spark, "stream_interactions")
+    events = read_table(spark, sf, "events")
+    beat = events.agg((F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts")).select(
+        *[F.col("ts") if f.name == "ts" else F.lit(-1).cast(f.dataType).alias(f.name) if f.name == "event_id"
+          else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
+    for part in [*_slices(spark, sf), beat]:
+        part.write.mode("append").parquet(f"{base}/arrived")
+        s = jobs.read_stream(spark, f"{base}/arrived", events.schema)
+        jobs.interaction_stream(s, events_to_messages, f"{base}/pairs", f"{base}/_checkpoint",
+                                BOT_ID, MEMBER_ROLE, SPECIAL_NAME, within=ANSWER_WITHIN)
+    return spark.read.parquet(f"{base}/pairs")
+
+
+@query("catch_up", with_views(f"""WITH live AS (SELECT * FROM ({_routed_sql(_LIVE_SQL)}) WHERE logged),
+    s AS (SELECT *, 0 AS step FROM live WHERE event_ts < TIMESTAMP '{STORED_BEFORE}'),
+    b AS (SELECT *, 1 AS step FROM ({_routed_sql(_BACKFILL_SQL)}) WHERE logged
+          AND event_ts > (SELECT date_trunc('milliseconds', max(event_ts)) FROM s) AND message_id NOT IN (SELECT message_id FROM s)),
+    n AS (SELECT *, 2 AS step FROM live WHERE event_ts >= TIMESTAMP '{STREAM_FROM}'
+          AND message_id NOT IN (SELECT message_id FROM s UNION ALL SELECT message_id FROM b))
+    SELECT row_number() OVER (ORDER BY step, event_ts, message_id) - 1 AS id, message_id AS source_id, event_ts AS ts,
+           author_name AS sender, stored_channel AS channel, {_STORED_TEXT_SQL.format(x="content")} AS message
+    FROM (SELECT * FROM s UNION ALL SELECT * FROM b UNION ALL SELECT * FROM n)""", "message_events"))
+def catch_up(spark, sf):
+    """A store as of a stop, what its text channels got meanwhile written after the
+    mark, a live stream that delivers the end of it again, and one more catch-up
+    that finds nothing left: each message once (SRC-7, ST-4, ST-5, SET-3)."""
+    base = run_dir(spark, "catch_up")
+    table = f"{base}/chat_history"
+
+    def rows(df):
+        return rt.logged_messages(df).drop("mentions").withColumnRenamed("message_id", "source_id")
+
+    store.add(rows(_route(spark, sf, "live")).where(F.col("ts") < F.lit(STORED_BEFORE).cast("timestamp")), table, "live")
+    missed = rows(_route(spark, sf, "backfill"))
+    names = [r[0] for r in views.message_events(spark, sf).where("channel.kind = 'text'").select("channel.name").distinct().collect()]
+    load = lambda channels: missed.where(F.col("channel").isin(channels))
+    store.catch_up(spark, names, load, table, "missed-0")
+    read_table(spark, sf, "events").where(F.col("ts") >= F.lit(STREAM_FROM).cast("timestamp_ntz")).write.parquet(f"{base}/arrived")
+    s = jobs.read_stream(spark, f"{base}/arrived", _events_schema(spark, sf))
+    jobs.ingest_stream(s, events_to_messages, table, f"{base}/_checkpoint", BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
+    store.catch_up(spark, names, load, table, "missed-1")
+    return spark.read.parquet(table).select("id", "source_id", "ts", "sender", "channel", "message")
+
+
 @query("store_mixed", with_views(f"""WITH {_ORDERED_SQL}
     SELECT id, message_id AS source_id, event_ts AS ts, sender, channel,
            {_STORED_TEXT_SQL.format(x="content")} AS message, true AS arrived FROM l""", "message_events"))

@@ -83,6 +83,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/runs/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a location that ``run_dir`` gave, on whatever file system it is."""
+    if "/runs/" not in path:
+        raise ValueError(f"{path} is none of ours")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _SHIPPED: set[str] = set()
 
 

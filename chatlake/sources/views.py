@@ -18,6 +18,8 @@ MEMBER_ROLE = "member"       # the role whose messages are logged
 SPECIAL_NAME = "user-13"     # the name that gets a canned reply
 REGISTERED_BEFORE = "2024-01-03 00:00:00"   # users/channels known before the stream
 STORED_BEFORE = "2024-01-16 00:00:00"       # chat_history content before a restart
+STREAM_FROM = "2024-01-20 00:00:00"         # live messages after that restart
+ANSWER_WITHIN = "1 DAY"                     # an answer's time behind its request
 
 
 def chat_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,9 +44,11 @@ def chat_event(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chat_vec(spark: SparkSession, sf: str) -> DataFrame:
-    emb = read_table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return chat_event(spark, sf).join(emb, "id")
+    """Every event with a vector: the embeddings, given out in turn by id."""
+    emb = read_table(spark, sf, "embeddings")
+    given = emb.select(F.col("vec_id").alias("given"), F.col("embedding").alias("vector"))
+    turn = F.pmod(F.col("id"), F.greatest(F.lit(emb.agg(F.max("vec_id")).first()[0] or 0) + 1, F.lit(1)))
+    return chat_event(spark, sf).withColumn("given", turn).join(given, "given").drop("given")
 
 
 def users(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,6 +96,13 @@ def events_to_messages(e: DataFrame) -> DataFrame:
     )
 
 
+def mentioning_messages(e: DataFrame) -> DataFrame:
+    """``events_to_messages`` with the mention's token in the text, as it is sent."""
+    m = events_to_messages(e)
+    return m.withColumn("content", F.concat(F.array_join(F.transform("mentions", lambda x: F.concat(
+        F.lit("<@"), x["id"], F.lit("> "))), ""), "content"))
+
+
 BUILDERS = {
     "chat_text": chat_text, "chat_event": chat_event, "chat_vec": chat_vec,
     "users": users, "long_text": long_text, "message_events": message_events,
@@ -111,7 +122,7 @@ VIEW_SQL = {
         'user-' || CAST(user_id AS VARCHAR) AS sender, event_type AS channel, props AS message
         FROM events""",
     "chat_vec": """SELECT e.*, m.embedding AS vector FROM chat_event e
-        JOIN embeddings m ON e.id = m.vec_id""",
+        JOIN embeddings m ON e.id % (SELECT max(vec_id) + 1 FROM embeddings) = m.vec_id""",
     "users": """SELECT c_custkey AS id, CAST(c_custkey AS VARCHAR) AS user_id, c_name AS user_name,
         CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS primer FROM customer""",
     "long_text": "SELECT doc_id, text FROM documents",

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
+from chatlake.functions import text as tx
 from chatlake.operators import history as hist
 from chatlake.operators import registry as reg
 from chatlake.operators import routing as rt
@@ -50,7 +52,7 @@ def _log_batch(events: DataFrame, batch_id: int, table: str, routing: tuple[str,
      .partitionBy("batch_id").parquet(f"{table}_quarantine"))
     routed = rt.route(events.where(ok), *routing, "live")
     rows = rt.logged_messages(routed).drop("mentions").withColumnRenamed("message_id", "source_id")
-    return st.add(rows, table, _name(batch_id))
+    return st.add(rows, table, _name(batch_id), unique=True)
 
 
 def _register_batch(events: DataFrame, batch_id: int, table: str) -> None:
@@ -85,7 +87,8 @@ def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
     issued by either.
 
     Exactly once without scanning the store: a batch that is run again replaces
-    its own partitions, and one that is in the store's record is not written again.
+    its own partitions, one that is in the store's record is not written again, and
+    a message that is delivered again, however late, is known by its id.
 
     Rows missing an id, a time, an author, a text or a channel go to a quarantine table
     next to the store and the rest of the batch goes on (ST-9).
@@ -147,7 +150,10 @@ def mention_stream(stream: DataFrame, to_events, base: str, checkpoint: str,
             last = hist.last_n_per_channel(rows.withColumnRenamed("message_id", "id"), n, keep=["source_id"])
             last.withColumnRenamed("id", "message_id").select(shape)\
                 .write.mode("overwrite").parquet(f"{base}/last/slot={batch_id % 2}")
-            asks = logged.where(F.exists("mentions", lambda m: m["id"] == F.lit(bot_id)))
+            # only messages of others ask, and only when they are new
+            asks = (logged.where((F.col("route") == "log") & F.exists("mentions", lambda m: m["id"] == F.lit(bot_id)))
+                    .dropDuplicates(["message_id"])
+                    .join(stored.select(F.col("source_id").alias("message_id")), "message_id", "left_semi"))
             told = rows.join(asks.select(F.col("message_id").alias("source_id"), "mentions"), "source_id", "left")
             asked = rt.mention_requests(told.withColumn("mentions", F.coalesce("mentions", F.array())), bot_id, n)
             asked = asked.join(rows.select(F.col("message_id").alias("request_id"), "source_id"), "request_id")\
@@ -162,6 +168,85 @@ def mention_stream(stream: DataFrame, to_events, base: str, checkpoint: str,
     return _run(stream.writeStream.foreachBatch(sink), checkpoint)
 
 
+def _last_lines(n: int):
+    """Keyed state: a channel's last ``n`` logged messages, and for each new one
+    that asks, the lines up to it. A message that the buffer holds is not taken
+    again; one older than all that a full buffer holds comes too late."""
+    def run(key, frames, state):
+        import bisect
+
+        import pandas as pd
+
+        held = list(zip(*state.get)) if state.exists else []
+        known = {x[1] for x in held}
+        new = sorted({(r.at, r.message_id): r for f in frames for r in f.itertuples(index=False)}.items())
+        out = []
+        for (at, message_id), r in new:
+            row = (int(at), int(message_id), r.sender, r.message)
+            if message_id in known or (len(held) == n and row < held[0]):
+                continue
+            place = bisect.bisect(held, row)
+            held.insert(place, row)
+            known.add(message_id)
+            if r.asks:
+                lines = held[max(0, place + 1 - n):place + 1]
+                out += [(row[1], key[0], i, x[2], x[3]) for i, x in enumerate(lines)]
+            for gone in held[:-n]:
+                known.discard(gone[1])
+            held = held[-n:]
+        state.update(tuple(list(c) for c in zip(*held)) if held else ([], [], [], []))
+        yield pd.DataFrame(out, columns=["request_id", "channel", "line_no", "sender", "message"])
+    return run
+
+
+def last_n_stream(stream: DataFrame, to_events, out: str, checkpoint: str,
+                  bot_id: str, role: str, special_name: str, n: int = rt.LAST_N):
+    """Per-channel buffers as keyed state (ST-7): for every logged message that
+    mentions the bot, the channel's last ``n`` logged messages up to it, as rows
+    (request_id, channel, line_no, sender, message) appended to ``out``.
+
+    The state is ``n`` rows a channel, kept in the checkpoint, so a batch reads
+    neither the store nor a buffer table and a restart goes on where it stopped. The rows
+    of one channel in one micro-batch pass through one task, in order.
+    """
+    routed = rt.route(to_events(stream), bot_id, role, special_name, "live")
+    rows = rt.logged_messages(routed).where("message_id IS NOT NULL AND ts IS NOT NULL AND channel IS NOT NULL").select(
+        "channel", F.unix_micros("ts").alias("at"), "message_id", F.coalesce("sender", F.lit("")).alias("sender"),
+        tx.normalize(F.coalesce("message", F.lit(""))).alias("message"),
+        F.coalesce(F.exists("mentions", lambda m: m["id"] == F.lit(bot_id)), F.lit(False)).alias("asks"))
+    lines = rows.groupBy("channel").applyInPandasWithState(
+        _last_lines(n), "request_id long, channel string, line_no int, sender string, message string",
+        "at array<long>, ids array<long>, senders array<string>, messages array<string>",
+        "append", GroupStateTimeout.NoTimeout)
+    return _run(lines.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
+
+
+def interaction_stream(stream: DataFrame, to_events, out: str, checkpoint: str, bot_id: str, role: str,
+                       special_name: str, within: str = "10 minutes", delay: str = "1 hour"):
+    """Requests joined to the bot's answers as streams (SNK-9, CMD-9): a logged
+    message that mentions the bot, with each message of the bot in the same channel
+    up to ``within`` later; a request without an answer comes out once the watermark
+    says that none can come. Rows (request_id, channel, request_ts, answer_id,
+    answer_ts).
+
+    Both sides carry a watermark, so the state holds what lies within ``delay`` plus
+    ``within`` of the newest event. Messages delivered twice within the watermark count
+    once. Rows without an author (heartbeats) only move the clock.
+    """
+    def side(keep, **names):
+        routed = rt.route(to_events(stream), bot_id, role, special_name, "live")
+        return (routed.where(keep | F.col("author.id").isNull())
+                .select(*[F.col(c).alias(n) for n, c in names.items()])
+                .withWatermark(list(names)[1], delay).dropDuplicatesWithinWatermark([list(names)[0]]))
+
+    asks = side((F.col("route") == "log") & F.exists("mentions", lambda m: m["id"] == F.lit(bot_id)),
+                request_id="message_id", request_ts="event_ts", channel="channel_name")
+    own = side(F.col("route") == "self", answer_id="message_id", answer_ts="event_ts", place="channel_name")
+    pairs = asks.join(own, F.expr(f"channel = place AND answer_ts > request_ts AND answer_ts <= request_ts + INTERVAL {within}"), "leftOuter")
+    return _run(pairs.where("channel IS NOT NULL").select("request_id", "channel", "request_ts", "answer_id", "answer_ts")
+                .writeStream.outputMode("append").format("parquet").option("path", out), checkpoint)
+
+
 def activity_stream(stream: DataFrame, ts_col: str, channel_col: str, out: str,
                     checkpoint: str, delay: str = "1 hour", size: str = "1 day"):
     """Per-channel counts per day with a watermark (ST-8). Append mode emits
