@@ -9,12 +9,13 @@ record format: rotate right by 15 bits and add 0xA282EAD8.
 Spark's own text writer commits the files: a row is a block of whole frames as
 raw bytes, and the line separator is the empty frame. So tasks that are lost or
 run twice leave no trace, on any file system that Spark writes to. Files follow
-the id order by name.
+the id order by the number in their name.
 """
 
 from __future__ import annotations
 
 import array
+import json
 import os
 import struct
 import zlib
@@ -26,7 +27,8 @@ from chatlake.session import run_dir, ship_package
 
 BLOCK_BYTES = 1 << 20       # frames are gathered to blocks of about this size
 FILE_BYTES = 16 << 20       # text bytes a file is made from
-CACHE = 250_000             # pieces a worker remembers, twice
+TABLE_BYTES = 120 << 20     # of the pieces a worker remembers, twice
+ENTRY_BYTES = 180           # of a piece besides its characters and ids
 
 #: Characters beside which a blank is no sure cut: white space of any kind, and
 #: characters that regular expression libraries disagree on.
@@ -80,13 +82,14 @@ class Pieces(dict):
 
     def __init__(self, encoder: Encoder, older: dict):
         super().__init__()
-        self.encoder, self.older = encoder, older
+        self.encoder, self.older, self.bytes = encoder, older, 0
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
             ids = self.encoder.piece(piece)
         self[piece] = ids
+        self.bytes += len(piece) + len(ids) + ENTRY_BYTES
         return ids
 
 
@@ -98,7 +101,8 @@ class Encoder:
     with that letter. So such texts are encoded by pieces, each distinct piece
     once by the library, and Latin words, which the splitter takes whole, by the
     library's model alone; other texts go to it whole, as do those that hold the
-    string of an added token, which is that one id. A test holds all equal.
+    string of an added token, which is that one id, and all texts if the vocabulary
+    has another splitter. A test holds all equal.
     """
 
     def __init__(self, path: str):
@@ -108,6 +112,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenize = self.tokenizer.model.tokenize
+        how = json.loads(self.tokenizer.to_str())
+        splitter, model = how["pre_tokenizer"] or {}, how["model"]
+        self.by_pieces = (how["normalizer"] is None and splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True)
+                          and not splitter.get("add_prefix_space") and model["type"] == "BPE"
+                          and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
         # the byte-level alphabet: printable Latin-1 stands for itself, the other
@@ -116,7 +125,7 @@ class Encoder:
         rest = [b for b in range(256) if b not in own]
         self.alphabet = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
         self.blank = chr(self.alphabet[32])
-        self.feed = self.whole(["\n"])[0]
+        self.feed = self.whole(["\n"])[0] if self.by_pieces else b""
         self.ends: dict[str, bytes] = {}                    # full stops and commas behind a word
         self.pieces = Pieces(self, {})
 
@@ -124,23 +133,26 @@ class Encoder:
         return [array.array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def piece(self, piece: str) -> bytes:
+        stem = piece.rstrip(".,")
         line = piece[0] == "\n"
-        word = piece[1:] if line else piece
-        stem = word.rstrip(".,")
-        if not stem.isalpha() or not (stem.isascii() or max(stem) < "\u0250"):
-            return self.feed + self.whole([word])[0] if line else self.whole([" " + word])[0]
-        end = word[len(stem):]
-        if not stem.isascii():
-            stem = stem.encode().decode("latin-1").translate(self.alphabet)
-        ids = array.array(self.kind, [t.id for t in self.tokenize(stem if line else self.blank + stem)]).tobytes()
-        if end:
+        word = stem[1:] if line else stem
+        if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
+            return self.feed + self.whole([piece[1:]])[0] if line else self.whole([" " + piece])[0]
+        if len(stem) < len(piece):              # the word is known, or will be, without its ends
+            end = piece[len(stem):]
             if end not in self.ends:
                 self.ends[end] = self.whole([end])[0]
-            ids += self.ends[end]
-        return self.feed + ids if line else ids
+            return self.pieces[stem] + self.ends[end]
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.alphabet)
+        if line:
+            return self.feed + array.array(self.kind, [t.id for t in self.tokenize(word)]).tobytes()
+        return array.array(self.kind, [t.id for t in self.tokenize(self.blank + word)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > CACHE:
+        if not self.by_pieces:
+            return self.whole(texts)
+        if self.pieces.bytes > TABLE_BYTES:
             self.pieces, self.ends = Pieces(self, dict(self.pieces)), {}
         get, out = self.pieces.__getitem__, []
         for t in texts:
@@ -234,7 +246,8 @@ def write_index(spark: SparkSession, path: str) -> DataFrame:
     raw.write.parquet(f"{path}-scan")
     raw = spark.read.parquet(f"{path}-scan")
     # one row a file: the ids of the files before, then those before in the file
-    name = F.element_at(F.split("file", "/"), -1)
+    # Spark pads part numbers to five digits only, so names sort by their number
+    name = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")
     per_file = raw.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
     per_file = per_file.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

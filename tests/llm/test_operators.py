@@ -438,3 +438,43 @@ def test_toxicity_recall_on_held_out_rows(spark):
     held = queries.QUERIES["op10_toxicity"](spark, sf).where("held_out").join(
         read(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id").collect()
     assert len(held) > 50 and np.mean([r["predicted"] for r in held]) > 0.6
+
+
+def test_a_vocabulary_with_another_splitter_gets_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = token_records.Encoder(path), Tokenizer.from_file(path)
+    texts = ["", "Hello, World. hello", "two  blanks", "line\nfeed Café", "<|endoftext|> end"]
+    ids = [np.frombuffer(x, dtype=f"<u{encoder.width}").tolist() for x in encoder.encode(texts)]
+    assert not encoder.by_pieces and ids == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_full_piece_table_changes_no_ids(monkeypatch):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"Word{chr(97 + i % 26)}{chr(97 + i // 26)}. next, WORD{chr(97 + i % 26)}... é{chr(97 + i % 7)},\nline" for i in range(300)]
+    want = token_records.Encoder(path).whole(texts)
+    monkeypatch.setattr(token_records, "TABLE_BYTES", 2000)
+    encoder = token_records.Encoder(path)
+    assert [x for a in range(0, 300, 7) for x in encoder.encode(texts[a:a + 7])] == want
+
+
+def test_files_are_ordered_by_number(spark):
+    import shutil
+
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(4)], "doc_id long, text string")
+    path = token_records.write_records(docs.where("doc_id < 2"), public_tokenizers.path("byte_bpe_50k.json"))
+    later = token_records.write_records(docs.where("doc_id >= 2"), public_tokenizers.path("byte_bpe_50k.json"))
+    fs = spark.sparkContext._jvm.java.io.File
+    for folder, number in ((path, "99999"), (later, "100000")):
+        own, = [n for n in fs(folder).list() if n.startswith("part-")]
+        shutil.copy(f"{folder}/{own}", f"{path}/part-{number}{own[10:]}")
+    first, = [n for n in fs(path).list() if n.startswith("part-00000")]
+    assert fs(f"{path}/{first}").delete()
+    index = token_records.write_index(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in index] == [0, 1, 2, 3]
