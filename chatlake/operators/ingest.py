@@ -71,19 +71,3 @@ def ingest(messages: DataFrame, store: DataFrame | None,
     prepared = prepare(messages, embed)
     first = next_id(store) if start is None else start
     return dense_ids(prepared, list(order_cols), "id", start=first)
-
-
-def append(rows: DataFrame, path: str, block: int | None = ID_BLOCK) -> None:
-    """Append to the store, partitioned by id block and sorted by id within
-    files. Lookups by id (the ±2 context of search hits) then read only the
-    blocks that hold a hit: the join key includes ``id_block``, a partition
-    column, so dynamic partition pruning skips the rest."""
-    if block:
-        # contiguous id ranges per task: full write parallelism, each task
-        # touches one or two blocks, files come out in id order
-        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = (rows.withColumn("id_block", F.floor(F.col("id") / block).cast("long"))
-                .repartitionByRange(n, "id").sortWithinPartitions("id_block", "id"))
-        rows.write.mode("append").partitionBy("id_block").parquet(path)
-    else:
-        rows.write.mode("append").parquet(path)

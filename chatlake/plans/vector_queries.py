@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatlake.functions import vectors as vx
+from chatlake.operators import index
 from chatlake.operators import search as srch
 from chatlake.operators import store
 from chatlake.plans import sqltext as sq
@@ -54,6 +55,15 @@ def vector_search(spark, sf):
     return _search(spark, sf)
 
 
+@query("search_indexed", with_views(f"WITH {_HITS_SQL} SELECT * FROM hits", "chat_vec"))
+def search_indexed(spark, sf):
+    """The same search over an index of all events, reading only the cells that can
+    hold a hit (CMD-8, O-3)."""
+    path = run_dir(spark, "search_indexed")
+    index.build(views.chat_vec(spark, sf), path)
+    return index.search(spark, path, query_vector(spark, sf, 0), bot_name=BOT_NAME, mention=MENTION, exclude_channels=EXCLUDED)
+
+
 @query("vector_search_batch", with_views(f"""WITH {CENTROIDS_SQL},
   scored AS (SELECT c.qid, id, ts, sender, channel, message, {_cos_sql('m.vector', 'c.vector')} AS sim
              FROM chat_vec m, centroids c WHERE {_FILTER_SQL}),

@@ -45,13 +45,14 @@ def test_context_lookup_prunes_id_blocks(spark):
     from pyspark.sql import functions as F
     from chatlake.operators import ingest as ing
     from chatlake.operators import search as srch
+    from chatlake.operators import store as st
     from chatlake.session import run_dir
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), f"u{i % 3}", "c", f"m{i}",
              [1.0, float(i % 5)]) for i in range(200)]
     df = spark.createDataFrame(rows, "id long, ts timestamp, sender string, channel string, "
                                      "message string, vector array<float>")
     path = run_dir(spark, "t_blocks")
-    ing.append(df, path, block=50)
+    st.add(df.drop("vector").withColumnRenamed("id", "source_id"), path, "import", block=50)
     store = spark.read.parquet(path)
     assert "id_block" in store.columns
     hits = store.where(F.col("id") == 7).select(F.lit(1).alias("hit_rank"), "id", "channel")

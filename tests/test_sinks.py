@@ -96,7 +96,7 @@ def test_reembed_covers_every_event_of_the_store(spark, sf_small):
     from chatlake.sources import views
     n = views.chat_event(spark, sf_small).count()
     assert catalog.QUERIES["reembed_store"](spark, sf_small).select("id").distinct().count() == n
-    assert views.chat_vec(spark, sf_small).count() < n
+    assert views.chat_vec(spark, sf_small).count() == n
     msgs = views.chat_event(spark, sf_small).limit(50).withColumnRenamed("id", "source_id")
     path = run_dir(spark, "t_reembed")
     store.add(msgs, f"{path}/old", "first", embed=lambda m: F.array(F.lit(0.5).cast("float")))
