@@ -21,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatlake.llm.common import cols, fresh, same, without, word_count, written
+from chatlake.llm.common import cols, fresh, same, word_count, written
+from chatlake.operators.ids import group_positions
 
 FAN = 48
 WEIGHTS = (3, 1, 2)
@@ -92,84 +93,102 @@ def _step(acc: Column, x: Column) -> Column:
 
 
 def _fold(open_items: DataFrame, level: int, seed: int) -> DataFrame:
-    """Fold every bucket of (source, buckets, doc_id, size, s, p): rows with
+    """Fold every bucket of (source, buckets, doc_id, size, copy, s, p): rows with
     ``won`` and the bucket's open one with ``p`` strictly between 0 and 1."""
     n = F.greatest(F.lit(1), F.ceil(F.col("buckets") / FAN)).cast("long")
-    key = [F.col("source"), F.col("doc_id"), F.col("size"), F.lit(level), F.lit(seed)]
+    key = [F.col("source"), F.col("doc_id"), F.col("size"), F.col("copy"), F.lit(level), F.lit(seed)]
     dealt = open_items.select(
         "source", n.alias("buckets"), F.pmod(F.xxhash64(*key), n).alias("bucket"),
         # largest first: the last one open, whose rounding is the source's error, is small
         F.struct((-F.col("s")).alias("o"), _unit(*key, F.lit("draw")).alias("u"),
-                 "doc_id", "size", "s", "p").alias("x"))
+                 "doc_id", "size", "copy", "s", "p").alias("x"))
     group = dealt.groupBy("source", "buckets", "bucket").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("s"), F.lit(0.0).alias("p"),
                      F.array().cast("array<int>").alias("won"))
     at = F.transform("xs", lambda x, i: F.struct(i.alias("i"), x["s"].alias("s"), x["p"].alias("p"), x["u"].alias("u")))
     folded = group.select("source", "buckets", "xs", F.aggregate(at, start, _step).alias("r"))
     out = F.concat(
-        F.transform("r.won", lambda i: F.struct(F.get("xs", i)["doc_id"].alias("doc_id"), F.get("xs", i)["size"].alias("size"),
+        F.transform("r.won", lambda i: F.struct(F.get("xs", i)["doc_id"].alias("doc_id"), F.get("xs", i)["size"].alias("size"), F.get("xs", i)["copy"].alias("copy"),
                                                 F.get("xs", i)["s"].alias("s"), F.lit(1.0).alias("p"))),
         F.when(F.col("r.i") >= 0, F.array(F.struct(
             F.get("xs", F.col("r.i"))["doc_id"].alias("doc_id"), F.get("xs", F.col("r.i"))["size"].alias("size"),
-            F.col("r.s").alias("s"), F.col("r.p").alias("p")))).otherwise(F.array()))
+            F.get("xs", F.col("r.i"))["copy"].alias("copy"), F.col("r.s").alias("s"), F.col("r.p").alias("p")))).otherwise(F.array()))
     return folded.select("source", "buckets", F.inline(out))
 
 
+def _copies_numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: 0 for a (source, doc_id, size) that one row has, else a
+    number of its own for each of its rows. Only repeated ones are shuffled for it,
+    and one with many rows is numbered in many buckets."""
+    again = rows.groupBy("source", "doc_id", "size").count().where("count > 1").select(
+        F.col("source").alias("x_source"), F.col("doc_id").alias("x_id"), F.col("size").alias("x_size"))
+    on = same(F.col("source"), F.col("x_source")) & same(F.col("doc_id"), F.col("x_id")) & (F.col("size") == F.col("x_size"))
+    again = written(again, "mix-repeated")
+    if again.isEmpty():
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    twice = rows.join(again, on, "left_semi").withColumn("item", F.xxhash64("source", "doc_id", "size"))
+    twice = group_positions(twice, "item", "row", "copy").drop("item")
+    return rows.join(again, on, "left_anti").withColumn("copy", F.lit(0).cast("long")).unionByName(twice)
+
+
 def plan_mix(rows: DataFrame, seed: int = 17, **targets) -> DataFrame:
-    """(doc_id, source, size) to the copies each row gets: source_size, target,
-    copies and taken = copies * size, one row for each input row.
+    """The (doc_id, source, size) rows, with a number ``row`` if they come from
+    ``sized``, to the copies each gets:
+    those with source_size, target, copies and taken = copies * size.
 
-    Rows of equal doc_id, source and size are one item and share its copies.
+    Each row is rounded by itself, also where rows repeat a doc_id, source and size;
+    which of such rows gets a copy more depends on their numbers, how many does not.
     Documents without words cannot bring a source nearer its target; their extra
     copy is a draw of its own. NULL ids and sources are ordinary values.
     """
-    items = rows.groupBy("source", "doc_id", "size").agg(F.count("*").alias("m"))
     sources = written(source_targets(
         rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("items")), **targets),
         "mix-sources")
+    if "row" not in rows.columns:
+        rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     s = sources.withColumnRenamed("source", "src")
-    items = items.join(s, same(F.col("source"), F.col("src"))).select(
-        "source", F.col("items").alias("buckets"), "doc_id", "size",
-        (F.col("size") * F.col("m")).cast("double").alias("s"), (rate - F.floor(rate)).alias("p"))
+    rows = written(_copies_numbered(rows), "mix-items")
+    items = rows.join(s, same(F.col("source"), F.col("src"))).select(
+        "source", F.col("items").alias("buckets"), "doc_id", "size", "copy",
+        F.col("size").cast("double").alias("s"), (rate - F.floor(rate)).alias("p"))
     level = written(_fold(items.where("s > 0 AND p > 0"), 0, seed), "mix-level")
     won = [level.where("p = 1")]
     most = sources.agg(F.max("items")).first()[0] or 1
     for k in range(1, 1 + math.ceil(math.log(max(most, 2), FAN))):
         level = written(_fold(level.where("p < 1"), k, seed), "mix-level")
         won.append(level.where("p = 1"))
-    draw = _unit(F.col("source"), F.col("doc_id"), F.col("size"), F.lit("last"), F.lit(seed))
+    draw = _unit(F.col("source"), F.col("doc_id"), F.col("size"), F.col("copy"), F.lit("last"), F.lit(seed))
     won.append(level.where((F.col("p") < 1) & (draw < F.col("p"))))
     won.append(items.where((F.col("s") == 0) & (draw < F.col("p"))))
-    extra = won[0].select("source", "doc_id", "size")
+    extra = won[0].select("source", "doc_id", "size", "copy")
     for w in won[1:]:
-        extra = extra.unionAll(w.select("source", "doc_id", "size"))
+        extra = extra.unionAll(w.select("source", "doc_id", "size", "copy"))
     extra = extra.select(F.col("source").alias("x_source"), F.col("doc_id").alias("x_id"),
-                         F.col("size").alias("x_size"), F.lit(1).alias("x"))
-    out = (rows.select("doc_id", "source", "size")
-           .join(s, same(F.col("source"), F.col("src")))
+                         F.col("size").alias("x_size"), F.col("copy").alias("x_copy"), F.lit(1).alias("x"))
+    out = (rows.join(s, same(F.col("source"), F.col("src")))
            .join(extra, same(F.col("doc_id"), F.col("x_id")) & same(F.col("source"), F.col("x_source"))
-                 & (F.col("size") == F.col("x_size")), "left"))
+                 & (F.col("size") == F.col("x_size")) & (F.col("copy") == F.col("x_copy")), "left"))
     copies = (F.floor(rate) + F.coalesce(F.col("x"), F.lit(0))).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
                       (copies * F.col("size")).alias("taken"))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The (doc_id, source, size) rows that plan_mix takes, as a written table."""
-    return written(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"),
-                               word_count(F.col(f"`{text_col}`")).alias("size")), "mix-rows")
+    """The rows that plan_mix takes, as a written table: doc_id, source, size and a
+    number ``row`` of their own."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+                               F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size")), "mix-rows")
 
 
 def mix(docs: DataFrame, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", **targets) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as plan_mix copies it,
     with the input's columns unchanged. An empty table stays empty."""
-    plan = plan_mix(sized(docs, id_col, text_col, source_col), seed, **targets)
-    size, i, s, n, copies, each = fresh(docs, "size", "i", "s", "n", "copies", "each")
-    plan = plan.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n),
-                       F.col("copies").alias(copies)).distinct().where(F.col(copies) > 0)
-    full = docs.withColumn(size, word_count(F.col(f"`{text_col}`")))
-    joined = full.join(plan, same(F.col(f"`{id_col}`"), F.col(i)) & same(F.col(f"`{source_col}`"), F.col(s))
-                       & (F.col(size) == F.col(n)))
+    size, row, number, copies, each = fresh(docs, "size", "row", "number", "copies", "each")
+    full = written(docs.withColumns({size: word_count(F.col(f"`{text_col}`")), row: F.monotonically_increasing_id()}), "mix-docs")
+    plan = plan_mix(full.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("doc_id"),
+                                F.col(f"`{source_col}`").alias("source"), F.col(size).alias("size")), seed, **targets)
+    plan = plan.where("copies > 0").select(F.col("row").alias(number), F.col("copies").alias(copies))
+    joined = full.join(plan, F.col(row) == F.col(number))
     return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(cols(docs))
