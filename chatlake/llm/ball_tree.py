@@ -10,6 +10,8 @@ every shard, and the k-th best of what it found is the floor of the second.
 
 from __future__ import annotations
 
+import decimal
+import heapq
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -170,6 +172,48 @@ def _searcher(k: int, seed: bool):
     return run
 
 
+def _exact(k: int):
+    """Rows sorted by (shard, kind): the ``k`` best of a shard's candidates for each
+    query, by Python integers where a product of 64-bit numbers could overflow."""
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        edge, shard, parts = (1 << 63) - 1, None, []
+
+        def scores(points, q):
+            most = len(q) * int(max(-points.min(), points.max(), 1)) * int(max(-q.min(), q.max(), 1)) if len(q) else 0
+            if most < 1 << 62:
+                return (points @ q).tolist()
+            return [int(x) for x in points.astype(object) @ q.astype(object)]
+
+        for b in batches:
+            for (s, kind), rows in b.groupby(["shard", "kind"], sort=True):
+                if s != shard:
+                    shard, parts = s, []
+                if kind == 0:
+                    parts.append(rows)
+                    continue
+                if not parts:
+                    continue
+                parts = [pd.concat(parts, ignore_index=True)]
+                ids = parts[0]["vec_id"].to_numpy(np.int64)
+                points = np.stack(parts[0]["vector"].to_numpy()).astype(np.int64)
+                out = []
+                for own, q in zip(rows["vec_id"], rows["vector"]):
+                    best = heapq.nsmallest(k, ((-x, int(i)) for x, i in zip(scores(points, np.asarray(q, np.int64)), ids) if i != own))
+                    # the full value in two parts: any size, and in its order
+                    out += [(own, i, max(-edge, min(edge, -x)), decimal.Decimal(-x >> 62), -x & (1 << 62) - 1) for x, i in best]
+                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "high", "low"])
+    return run
+
+
+def _wide(v):
+    """Whether a vector is beyond the components that the trees' bounds are exact for."""
+    top = F.aggregate(v, F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
+    return F.size(v) * top * top >= float(1 << 40)
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the ``k`` rows
     of ``candidates`` of highest integer inner product, its own id left out, ties
@@ -178,8 +222,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
 
     Vectors are compared with those of their length only. NULL ids, NULL vectors
     and vectors with a NULL component take no part. Candidates that share an id
-    each count; a query's id leaves out all of its id. Components and sums must
-    stay below 2 ** 40 in size, so that the bounds are exact; larger ones raise.
+    each count; a query's id leaves out all of its id, and rows of ``queries`` that
+    share an id share its ``k`` ranks. The trees take the vectors whose squared
+    length is surely below 2 ** 40, so that their bounds are exact; pairs with a larger one
+    are scored in blocks with integers of any size and ranked with the others. A score
+    beyond a long comes back as the nearest long, in the order of its full value.
     """
     ship_package(candidates.sparkSession)
 
@@ -189,14 +236,27 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
             F.col("vec_id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull()))
 
     candidates, queries = tidy(candidates), tidy(queries)
-    fits = F.col("n") * F.col("top") * F.col("top") < float(1 << 40)
-    size = F.aggregate("vector", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x.cast("double"))))
-    n, wide = candidates.unionAll(queries).select(F.size("vector").alias("n"), size.alias("top")).agg(
-        F.count("*"), F.max(F.when(~fits, F.lit(1)))).first()
-    if wide:
-        raise ValueError("top_k: components too large for exact bounds")
+    n, wide = candidates.unionAll(queries).select(_wide(F.col("vector")).alias("wide")).agg(
+        F.count("*"), F.max("wide")).first()
     shards = max(1, -(-n // shard_rows))
     dim = F.size("vector").cast("long") * (1 << 32)
+    if wide:
+        large = _wide(F.col("vector"))
+        asked = queries.select("vec_id", "vector", large.alias("large"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"))
+        place = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+        # large candidates meet every query; the others the large queries only
+        held = candidates.select((2 * (dim + place) + large.cast("int")).alias("shard"), F.lit(0).alias("kind"), "vec_id", "vector")
+        asks = asked.select((2 * (dim + F.col("s")) + 1).alias("shard"), F.lit(1).alias("kind"), "vec_id", "vector").unionAll(
+            asked.where("large").select((2 * (dim + F.col("s"))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "vector"))
+        kinds = "query_id long, vec_id long, score long, high decimal(38,0), low long"
+        found = held.unionAll(asks).repartition(2 * shards, "shard").sortWithinPartitions("shard", "kind").mapInPandas(_exact(k), kinds)
+        rest = top_k(candidates.where(~large), queries.where(~large), k, shard_rows)
+        score = F.col("score")
+        every = found.unionByName(rest.select("query_id", "vec_id", "score", F.shiftright(score, 62).cast("decimal(38,0)").alias("high"),
+                                              score.bitwiseAND((1 << 62) - 1).alias("low")))
+        order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+        return (every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))
     dealt = candidates.select((dim + F.pmod(F.xxhash64("vec_id"), F.lit(shards))).alias("shard"), F.lit(0).alias("kind"),
                               "vec_id", "vector", F.lit(None).cast("double").alias("floor"))
     to_all = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s")

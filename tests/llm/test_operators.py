@@ -305,15 +305,17 @@ def test_mix_keeps_every_documents_mean(spark):
 def test_mix_of_odd_rows(odd, empty):
     rows = mixing.plan_mix(mixing.sized(odd)).collect()
     assert len(rows) == len(ODD) and all(r["taken"] <= 2 * r["size"] for r in rows)
-    assert len({r["copies"] for r in rows if r["doc_id"] == 3}) == 1
-    want = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in rows}
+    assert all(0 <= r["copies"] <= 2 for r in rows) and len({r["row"] for r in rows}) == len(ODD)
+    want = {}
+    for r in rows:
+        key = (r["doc_id"], r["source"], r["size"])
+        want[key] = want.get(key, 0) + r["copies"]
     out = mixing.mix(odd)
     assert out.columns == odd.columns
     count = {}
     for r in out.select("doc_id", "source", word_count(F.col("text")).alias("n")).collect():
         count[tuple(r)] = count.get(tuple(r), 0) + 1
-    repeats = {k: 2 if k[0] == 3 else 1 for k in want}
-    assert count == {k: v * repeats[k] for k, v in want.items() if v}
+    assert count == {k: v for k, v in want.items() if v}
     assert mixing.mix(empty).collect() == [] and mixing.plan_mix(mixing.sized(empty)).collect() == []
 
 
@@ -478,3 +480,51 @@ def test_files_are_ordered_by_number(spark):
     assert fs(f"{path}/{first}").delete()
     index = token_records.write_index(spark, path).orderBy("start").collect()
     assert [r["doc_id"] for r in index] == [0, 1, 2, 3]
+
+
+# ---- repeated rows and large numbers ----
+def test_shards_part_repeated_rows(spark):
+    # 600 equal rows of 1,000, and 300 rows without an id
+    same = F.col("id") < 600
+    docs = spark.range(1000).select(F.when(same, 7).when(F.col("id") < 900, None).otherwise(F.col("id")).alias("doc_id"),
+                                    F.when(same, "twenty bytes of text").otherwise(F.concat(F.lit("t"), F.col("id") % 10)).alias("text"))
+    rows = sharding.shard_by_bytes(docs).collect()
+    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert len(rows) == 1000 and max(abs(x - sum(sizes) / 8) for x in sizes) <= 21 + 0.01 * sum(sizes) / 8
+    check_shards(rows, 8, 21)
+
+
+def test_mix_parts_repeated_rows(spark):
+    # fractional rates, and 200 of 300 rows a source without an id
+    rows = [(None if i < 200 else i, s, 5) for s in ("a", "b", "c") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for seed in (0, 1):
+        got = mixing.plan_mix(df, seed).collect()
+        assert len(got) == 900
+        for s in ("a", "b", "c"):
+            own = [r for r in got if r["source"] == s]
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+            rate = own[0]["target"] / own[0]["source_size"]
+            assert all(int(rate) <= r["copies"] <= np.ceil(rate) for r in own)
+
+
+def test_mix_copies_repeated_documents(spark):
+    docs = spark.createDataFrame([(None, "a", "one two three")] * 40 + [(1, "b", "four five")] * 40, "doc_id long, source string, text string")
+    count = {r["source"]: r["count"] for r in mixing.mix(docs).groupBy("source").count().collect()}
+    want = reshared({"a": 120, "b": 80})
+    assert abs(3 * count["a"] - want["a"]) <= 3 and abs(2 * count["b"] - want["b"]) <= 2
+
+
+def test_top_k_with_large_components(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [int(x) for x in rng.integers(-50, 50, 8)]) for i in range(300)]
+    big = (1 << 63) - 1
+    rows += [(300, [153600] * 8), (301, [-153600] * 8), (302, [1 << 40] * 8), (303, [big] * 8), (350, [-big] * 8), (351, [1 << 21] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = ball_tree.top_k(v, v.where("vec_id % 50 = 0"), 5, shard_rows=100).collect()
+    want = set()
+    for q, x in rows:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:5]
+            want |= {(q, n + 1, i, max(-big, min(big, -s))) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
