@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from chatlake.llm.common import written
 from chatlake.session import ship_package
 
-BLOCK_BYTES = 32 << 20      # text bytes of a block (one long text may be more)
+BLOCK_BYTES = 16 << 20      # text bytes of a block (one long text may be more)
 FLAT_BYTES = 1 << 17        # word bytes that go through the recursion at once
 LONG = 256                  # bytes of a word from which it is walked alone
 ROUNDS = 2                  # of expectation maximisation
