@@ -2,20 +2,22 @@
 
 ``chunks.pack_lines`` packs a text held in one row. A user's whole history
 may be a third of all rows, so here the document stays as rows
-(group, order..., line) and nothing ever holds a whole group:
-
-1. per group, dense line positions p and running token sums S_p
-   (``ids.group_positions``: quantile buckets, skew-safe);
-2. the next chunk start after a chunk starting at line s is
-   next(s) = max(s + 1, 1 + max{q : S_q <= S_(s-1) + limit}). It is found in groups keyed
-   by (group, floor(S / limit)): points of the bucket below are copied in, so
-   each group holds about two limits' worth of lines, and pandas
-   ``searchsorted`` answers its queries;
-3. the chain 1 -> next(1) -> ... is found by pointer doubling: jump tables
-   J_(k+1) = J_k o J_k and the known chain prefix doubles each round (each
-   table is checkpointed to the shared folder, cutting the lineage);
-4. each chunk's position range is expanded back onto its lines, and a chunk's
-   lines (at most ``limit`` tokens, plus empty lines) are joined.
+(group, order..., line) and nothing ever holds a whole group.
+
+Lines are cut into segments: a range of the order (``ids.bucketed``) of one group, in
+pieces of at most ``PIECE`` lines. What a segment does to a chunk that is open
+before it depends only on the chunk's *room*, the tokens that it can still take
+(``CLOSED``: none, the next line starts a chunk whatever its length). The
+segment's transfer function gives, for every room, the room after it and the
+chunks started in it. It is a step function below the segment's own
+tokens; with more room than those no chunk starts and the room shrinks by them.
+
+1. each segment computes its function from its token counts alone;
+2. functions of ``FAN`` neighbours are composed, level by level, until one
+   covers a group: one level for every factor ``FAN`` of the segments;
+3. the true rooms go back down the levels, from the first line of each group;
+4. each segment marks its chunk starts, and its lines get their chunk by a
+   window over the segment. Parts are joined in the segment, then over segments.
 
 Chunk numbers follow the reference: when the first line alone is over the
 limit, chunk 0 is empty and gets no row.
@@ -27,97 +29,197 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
 from chatlake.operators.chunks import PACK_LIMIT
-from chatlake.operators.ids import group_positions
-from chatlake.session import checkpoint_root, ship_package
+from chatlake.operators.ids import bucketed, group_positions
+from chatlake.session import checkpoint_root, run_dir, ship_package
 
+PIECE = 1 << 16     # lines a segment holds at most
+FAN = 128           # functions composed in one group
+CLOSED = -1         # room of a chunk that takes no further line
 
-def _next_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """applyInPandas body for one (group, bucket): answer the queries."""
-    pts = pdf[pdf["kind"] == 0].sort_values("q")
-    qs = pdf[pdf["kind"] == 1]
-    if qs.empty:
-        return pd.DataFrame({"g": pd.Series([], dtype=object), "s": pd.Series([], dtype=np.int64),
-                             "nxt": pd.Series([], dtype=np.int64)})
-    idx = np.searchsorted(pts["v"].to_numpy(), qs["v"].to_numpy(), side="right")
-    best = pts["q"].to_numpy()[idx - 1]
-    s = qs["q"].to_numpy()
-    # a chunk always takes its first line, even one over the limit
-    return pd.DataFrame({"g": qs["g"].to_numpy(), "s": s, "nxt": np.maximum(best + 1, s + 1)})
+_FUNCTION = "g string, seg long, total long, first_over boolean, lo array<long>, room array<long>, started array<long>"
+_ENTRY = "g string, seg long, entry long, chunk long"
+
+
+def _steps(lo: np.ndarray, room: np.ndarray, started: np.ndarray) -> tuple:
+    """Steps of a function without those that repeat the one before."""
+    keep = np.ones(len(lo), dtype=bool)
+    keep[1:] = (room[1:] != room[:-1]) | (started[1:] != started[:-1])
+    return lo[keep], room[keep], started[keep]
+
+
+def _chunk_ends(tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens before each line, and the line behind a chunk that starts at it."""
+    after = np.cumsum(tokens)
+    before = after - tokens
+    ends = np.searchsorted(after, before + limit, side="right")
+    return before, np.maximum(ends, np.arange(1, len(tokens) + 1))  # a chunk takes its first line, however long
+
+
+def segment_function(tokens: np.ndarray, limit: int) -> tuple:
+    """(total, lo, room, started) of a segment's lines."""
+    before, ends = _chunk_ends(tokens, limit)
+    n, total = len(tokens), int(tokens.sum())
+    last = limit - (total - before)     # room that a chunk started at this line leaves, if it is the last one
+    rooms = np.where(last < 0, CLOSED, last).tolist()
+    counts = [1] * n
+    for i, e in zip(range(n - 1, -1, -1), ends[::-1].tolist()):
+        if e < n:
+            rooms[i], counts[i] = rooms[e], counts[e] + 1
+    # with room r the first start is the line that r + 1 tokens reach
+    at = np.flatnonzero((tokens > 0) & (before <= limit))
+    first = np.concatenate([[0], at])
+    lo = np.concatenate([[CLOSED], before[at]])
+    return (total, *_steps(lo, np.asarray(rooms)[first], np.asarray(counts)[first]))
+
+
+def apply_function(total: int, lo, room, started, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rooms after a segment and chunks started in it, for rooms ``x`` before it."""
+    i = np.searchsorted(np.asarray(lo), x, side="right") - 1
+    through = (x != CLOSED) & (x >= total)
+    return (np.where(through, x - total, np.asarray(room)[i]), np.where(through, 0, np.asarray(started)[i]))
+
+
+def compose(functions: list[tuple], limit: int) -> tuple:
+    """The function of segments that follow each other, as ``segment_function`` gives it."""
+    total = sum(f[0] for f in functions)
+    x = np.arange(CLOSED, min(total, limit + 1))    # with more room than the total no chunk starts
+    room, started = x, np.zeros(len(x), dtype=np.int64)
+    for f in functions:
+        room, n = apply_function(*f, room)
+        started = started + n
+    return (total, *_steps(x, room, started))
+
+
+def _functions(pdf: pd.DataFrame) -> list[tuple]:
+    return list(zip(pdf["total"].tolist(), pdf["lo"], pdf["room"], pdf["started"]))
+
+
+def _function_row(g, seg: int, first_over: bool, f: tuple) -> pd.DataFrame:
+    return pd.DataFrame({"g": [g], "seg": [seg], "total": [f[0]], "first_over": [first_over],
+                         "lo": [f[1]], "room": [f[2]], "started": [f[3]]})
+
+
+def _segment_row(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+    tokens = pdf.sort_values("rn")["t"].to_numpy()
+    return _function_row(pdf["g"].iat[0], pdf["seg"].iat[0], tokens[0] > limit, segment_function(tokens, limit))
+
+
+def _composed_row(pdf: pd.DataFrame, limit: int, fan: int) -> pd.DataFrame:
+    pdf = pdf.sort_values("seg")
+    return _function_row(pdf["g"].iat[0], pdf["seg"].iat[0] // fan, pdf["first_over"].iat[0],
+                         compose(_functions(pdf), limit))
+
+
+def _entries(children: pd.DataFrame, parent: pd.DataFrame | None = None) -> pd.DataFrame:
+    """The room before each child and the number of its open chunk, from those
+    of the parent (none: the group begins here)."""
+    children = children.sort_values("seg")
+    if parent is None:
+        room, chunk = CLOSED, int(children["first_over"].iat[0]) - 1
+    else:
+        room, chunk = int(parent["entry"].iat[0]), int(parent["chunk"].iat[0])
+    rows = []
+    for g, seg, f in zip(children["g"], children["seg"], _functions(children)):
+        rows.append((g, seg, room, chunk))
+        after, n = apply_function(*f, np.array([room]))
+        room, chunk = int(after[0]), chunk + int(n[0])
+    return pd.DataFrame(rows, columns=["g", "seg", "entry", "chunk"])
+
+
+def _marks(lines: pd.DataFrame, entry: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Chunk starts of a segment, by line number; the chunk that is open before
+    it starts at line 0."""
+    lines = lines.sort_values("rn")
+    tokens, rn = lines["t"].to_numpy(), lines["rn"].to_numpy()
+    ends = _chunk_ends(tokens, limit)[1].tolist()
+    room, chunk = int(entry["entry"].iat[0]), int(entry["chunk"].iat[0])
+    at = 0 if room == CLOSED else int(np.searchsorted(np.cumsum(tokens), room, side="right"))
+    starts = []
+    while at < len(tokens):
+        starts.append(at)
+        at = ends[at]
+    return pd.DataFrame({"g": lines["g"].iat[0], "seg": lines["seg"].iat[0], "rn": np.concatenate([[0], rn[starts]]),
+                         "j": np.arange(chunk, chunk + len(starts) + 1)})
+
+
+def _chunk_entries(functions: DataFrame, top: int, limit: int, fan: int) -> DataFrame:
+    """Entries of the segments 0 to ``top`` of each group: functions are composed
+    up to one level that ``fan`` nodes cover, and rooms go down again."""
+    spark = functions.sparkSession
+    levels = [functions]
+    block = F.floor(F.col("seg") / fan).cast("long").alias("block")
+    while top >= fan:
+        path = run_dir(spark, "pack-functions")
+        (levels[-1].groupBy("g", block).applyInPandas(lambda pdf: _composed_row(pdf, limit, fan), _FUNCTION)
+         .write.parquet(path))
+        levels.append(spark.read.parquet(path))
+        top //= fan
+    entries = levels.pop().groupBy("g").applyInPandas(lambda pdf: _entries(pdf), _ENTRY)
+    while levels:
+        children = levels.pop().select("*", block)
+        entries = (children.groupBy("g", "block")
+                   .cogroup(entries.withColumnRenamed("seg", "block").groupBy("g", "block"))
+                   .applyInPandas(_entries, _ENTRY))
+    return entries
 
 
 def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line_col: str,
-                   max_tokens: int = PACK_LIMIT, max_rounds: int = 64) -> DataFrame:
+                   max_tokens: int = PACK_LIMIT, piece: int = PIECE, fan: int = FAN) -> DataFrame:
     """Rows (group, chunk_no, chunk, n_tokens) of the greedy packing of each
-    group's lines in ``order_cols`` order."""
+    group's lines in ``order_cols`` order, which must be unique in the group.
+
+    Empty lines are kept, also any number of them. NULL lines are no lines. A
+    NULL group is a group. An empty table gives no rows.
+    """
     spark = lines.sparkSession
     checkpoint_root(spark)
     ship_package(spark)
-    m = int(max_tokens)
-    base = lines.select(F.col(group_col).cast("string").alias("g"), *order_cols,
-                        F.col(line_col).alias("line"), tx.token_count(line_col).alias("t"))
-    pos = group_positions(base, "g", order_cols, "p", sum_col="t", cum_col="S")\
-        .select("g", "p", "line", "t", "S").checkpoint(eager=True)
-    ends = pos.groupBy("g").agg(F.max("p").alias("L"))
-
-    # 2. next(s) for every line: points (q, S_q) incl. q = 0, queries S_(s-1) + m
-    zero = ends.select("g", F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("v"))
-    points = pos.select("g", F.col("p").alias("q"), F.col("S").cast("long").alias("v"))\
-        .unionByName(zero)
-    points = points.select("g", "q", "v", F.lit(0).alias("kind"),
-                           F.explode(F.array(F.floor(F.col("v") / m), F.floor(F.col("v") / m) + 1))
-                           .alias("bk"))
-    queries = pos.select("g", F.col("p").alias("q"), (F.col("S") - F.col("t") + m).cast("long").alias("v"),
-                         F.lit(1).alias("kind"))
-    queries = queries.withColumn("bk", F.floor(F.col("v") / m))
-    nxt = (points.unionByName(queries)
-           .groupBy("g", "bk").applyInPandas(_next_starts, "g string, s long, nxt long"))
-    # jump table over positions 1..L; a jump past the end is NULL
-    jump = (nxt.join(ends, "g")
-            .select("g", "s", F.when(F.col("nxt") <= F.col("L"), F.col("nxt")).alias("t"))
-            .checkpoint(eager=True))
-
-    # 3. pointer doubling: chain prefix A = {(c_j, j)} doubles each round
-    chain = ends.select("g", F.lit(1).cast("long").alias("c"), F.lit(0).cast("long").alias("j"))
-    chain = chain.checkpoint(eager=True)
-    known = chain.count()
-    step = 1
-    for _ in range(max_rounds):
-        hop = (chain.join(jump.withColumnRenamed("s", "c"), ["g", "c"])
-               .where(F.col("t").isNotNull())
-               .select("g", F.col("t").alias("c"), (F.col("j") + step).alias("j")))
-        grown = chain.unionByName(hop).checkpoint(eager=True)
-        total = grown.count()
-        if total == known:      # no chain start beyond the known prefix
-            break
-        chain, known = grown, total
-        a = jump.alias("a")
-        b = jump.alias("b")
-        jump = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.t") == F.col("b.s")), "left")
-                .select(F.col("a.g").alias("g"), F.col("a.s").alias("s"), F.col("b.t").alias("t"))
-                .checkpoint(eager=True))
-        step *= 2
-    else:
-        raise RuntimeError("packing chain longer than 2^max_rounds chunks")
-
-    # 4. chunk ranges [c_j, c_(j+1)) back onto the lines
-    nexts = chain.select("g", (F.col("j") - 1).alias("j"), F.col("c").alias("c_end"))
-    ranges = (chain.join(nexts, ["g", "j"], "left").join(ends, "g")
-              .select("g", "j", "c", F.coalesce("c_end", F.col("L") + 1).alias("e")))
-    member = ranges.select("g", "j", F.explode(F.sequence("c", F.col("e") - 1)).alias("p"))
-    first_over = pos.where(F.col("p") == 1).select("g", (F.col("t") > m).cast("long").alias("shift"))
-    packed = (member.join(pos, ["g", "p"])
-              .groupBy("g", "j").agg(
-                  F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "line"))),
-                                           lambda x: x["line"]), "\n").alias("chunk"),
-                  F.sum("t").alias("n_tokens")))
-    return (packed.join(first_over, "g")
-            .select(F.col("g").alias(group_col), (F.col("j") + F.col("shift")).alias("chunk_no"),
-                    "chunk", "n_tokens"))
+    limit = int(max_tokens)
+    base = lines.where(F.col(line_col).isNotNull()).select(
+        F.col(group_col).cast("string").alias("g"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order_cols)],
+        F.col(line_col).alias("line"), tx.token_count(line_col).cast("long").alias("t"))
+    order = [f"o{i}" for i in range(len(order_cols))]
+    rn = F.row_number().over(Window.partitionBy("g", "_cl_bucket").orderBy(*order)).cast("long")
+    path = run_dir(spark, "pack-lines")
+    (bucketed(base, order[0], tie_col=order[1] if len(order) > 1 else None)
+     .select("g", F.col("_cl_bucket").cast("long").alias("bucket"), rn.alias("rn"), "line", "t")
+     .write.parquet(path))
+    numbered = spark.read.parquet(path)
+    last = numbered.agg(F.max("bucket").alias("bucket"), F.max("rn").alias("rn")).first()
+    if last.rn is None:
+        return numbered.select(F.col("g").alias(group_col), F.col("rn").alias("chunk_no"), F.col("line").alias("chunk"),
+                               F.col("t").alias("n_tokens"))
+    pieces = (last.rn - 1) // piece + 1
+    seg = (F.col("bucket") * pieces + F.floor((F.col("rn") - 1) / piece)).cast("long")
+    numbered = numbered.withColumn("seg", seg)
+    top = last.bucket * pieces + pieces - 1
+
+    tokens = numbered.select("g", "seg", "rn", "t")
+    path = run_dir(spark, "pack-functions")
+    tokens.groupBy("g", "seg").applyInPandas(lambda pdf: _segment_row(pdf, limit), _FUNCTION).write.parquet(path)
+    entries = _chunk_entries(spark.read.parquet(path), top, limit, fan)
+    marks = (tokens.groupBy("g", "seg").cogroup(entries.groupBy("g", "seg"))
+             .applyInPandas(lambda lines, entry: _marks(lines, entry, limit), "g string, seg long, rn long, j long"))
+
+    # a mark stands before the line that starts its chunk
+    both = marks.select("g", "seg", "rn", F.lit(0).alias("is_line"), "j", F.lit(None).cast("string").alias("line"),
+                        F.lit(0).cast("long").alias("t")).unionByName(
+        numbered.select("g", "seg", "rn", F.lit(1).alias("is_line"), F.lit(None).cast("long").alias("j"), "line", "t"))
+    so_far = Window.partitionBy("g", "seg").orderBy("rn", "is_line")
+    told = both.withColumn("j", F.last("j", ignorenulls=True).over(so_far)).where("is_line = 1")
+    parts = told.groupBy("g", "seg", "j").agg(_joined("rn", "line").alias("part"), F.sum("t").alias("t"))
+    return (parts.groupBy("g", "j").agg(_joined("seg", "part").alias("chunk"), F.sum("t").alias("n_tokens"))
+            .select(F.col("g").alias(group_col), F.col("j").alias("chunk_no"), "chunk", "n_tokens"))
+
+
+def _joined(by: str, value: str):
+    """Values of a group joined by line feeds in the order of ``by``."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, value))), lambda x: x[value]), "\n")
 
 
 # ---- recursive bisection of a document kept as line rows (CH-1) ----
