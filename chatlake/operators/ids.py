@@ -123,11 +123,12 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str = "id",
 
 
 def group_positions(df: DataFrame, group_col: str, order_col, pos_col: str = "pos",
-                    buckets: int | None = None, sum_col=None, cum_col="cum") -> DataFrame:
+                    buckets: int | None = None, sum_col=None, cum_col="cum", total_col=None) -> DataFrame:
     """Add ``pos_col`` = 1-based position of the row in its group by
     ``order_col`` (a column name or a list: lexicographic order), and with
     ``sum_col`` (a name or a list) also ``cum_col`` (name or list) = running
-    sums of those columns up to and including the row.
+    sums of those columns up to and including the row; ``total_col`` (name or
+    list) are their sums over the group.
 
     Skew-safe: buckets follow the global order key (the first order column,
     hot values of it split again by the second), so a group holding a third
@@ -137,13 +138,15 @@ def group_positions(df: DataFrame, group_col: str, order_col, pos_col: str = "po
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     sums = [] if sum_col is None else ([sum_col] if isinstance(sum_col, str) else list(sum_col))
     cums = [cum_col] if isinstance(cum_col, str) else list(cum_col)
+    totals = [] if total_col is None else ([total_col] if isinstance(total_col, str) else list(total_col))
     b = bucketed(df, order[0], buckets, tie_col=order[1] if len(order) > 1 else None)
     aggs = [F.count(F.lit(1)).alias(_N)] + [F.sum(c).alias(f"_cl_s{i}") for i, c in enumerate(sums)]
     counts = b.groupBy(group_col, _BKT).agg(*aggs)
     w = Window.partitionBy(group_col).orderBy(_BKT).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group_col, _BKT, F.coalesce(F.sum(_N).over(w), F.lit(0)).alias(_OFF),
                             *[F.coalesce(F.sum(f"_cl_s{i}").over(w), F.lit(0)).alias(f"_cl_o{i}")
-                              for i in range(len(sums))])
+                              for i in range(len(sums))],
+                            *[F.sum(f"_cl_s{i}").over(Window.partitionBy(group_col)).alias(c) for i, c in enumerate(totals)])
     inner = Window.partitionBy(group_col, _BKT).orderBy(*order)
     ranked = b.withColumn(_RN, F.row_number().over(inner))
     run = inner.rowsBetween(Window.unboundedPreceding, 0)

@@ -25,8 +25,6 @@ limit, chunk 0 is empty and gets no row.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -34,7 +32,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
 from chatlake.operators.chunks import PACK_LIMIT
-from chatlake.operators.ids import bucketed, group_positions
+from chatlake.operators.ids import bucketed
 from chatlake.session import checkpoint_root, run_dir, ship_package
 
 PIECE = 1 << 16     # lines a segment holds at most
@@ -220,173 +218,3 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
 def _joined(by: str, value: str):
     """Values of a group joined by line feeds in the order of ``by``."""
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(by, value))), lambda x: x[value]), "\n")
-
-
-# ---- recursive bisection of a document kept as line rows (CH-1) ----
-CHAR_BUCKET = 1 << 16   # characters per lookup bucket
-SEGMENT = 1 << 14       # long lines are cut into segments of at most this many characters
-
-_EVAL_SCHEMA = "g string, x long, c long, nonws boolean, starts boolean"
-_FRAG_SCHEMA = "g string, path string, start long, frag string"
-
-
-def _eval_offsets(segs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-    """cogroup body: for each offset x, C(x) = token starts before x, whether
-    T[x] is not whitespace and whether a token starts at x.
-
-    A segment is a piece of a line (text, whether a newline follows it, and
-    whether the character before it is whitespace); ``sp`` counts the token
-    starts before it."""
-    if qs.empty:
-        return pd.DataFrame({"g": pd.Series([], dtype=object), "x": pd.Series([], dtype=np.int64),
-                             "c": pd.Series([], dtype=np.int64),
-                             "nonws": pd.Series([], dtype=bool), "starts": pd.Series([], dtype=bool)})
-    segs = segs.sort_values("o")
-    o = segs["o"].to_numpy()
-    idx = np.searchsorted(o, qs["x"].to_numpy(), side="right") - 1
-    out_c, out_nw, out_st = [], [], []
-    for x, i in zip(qs["x"].to_numpy(), idx):
-        text = segs["line"].iat[i]
-        prev_ws = bool(segs["prev_ws"].iat[i])
-        sp = int(segs["sp"].iat[i])
-        r = int(x - o[i])
-        head = text[:r]
-        # token starts inside text[:r]; a word running on from the segment
-        # before does not start here
-        c = len(head.split()) - (1 if head and not prev_ws and not head[0].isspace() else 0)
-        if r >= len(text):      # the newline after the line, or the end of the text
-            out_c.append(sp + c)
-            out_nw.append(False)
-            out_st.append(False)
-        else:
-            nw = not text[r].isspace()
-            before_ws = prev_ws if r == 0 else text[r - 1].isspace()
-            out_c.append(sp + c)
-            out_nw.append(nw)
-            out_st.append(nw and before_ws)
-    return pd.DataFrame({"g": qs["g"].to_numpy(), "x": qs["x"].to_numpy(),
-                         "c": np.asarray(out_c, dtype=np.int64),
-                         "nonws": np.asarray(out_nw, dtype=bool),
-                         "starts": np.asarray(out_st, dtype=bool)})
-
-
-def _fragments(segs: pd.DataFrame, leaves: pd.DataFrame, width: int = CHAR_BUCKET) -> pd.DataFrame:
-    """cogroup body: the pieces of each leaf [a, b) that start in this bucket."""
-    rows = []
-    if not leaves.empty:
-        bk = int(leaves["bk"].iat[0])
-        segs = segs.sort_values("o")
-        o = segs["o"].to_numpy()
-        n = segs["n"].to_numpy()
-        for g, path, a, b in zip(leaves["g"], leaves["path"], leaves["a"], leaves["b"]):
-            if a == b:
-                if a // width == bk:
-                    rows.append((g, path, int(a), ""))
-                continue
-            i = max(int(np.searchsorted(o, a, side="right")) - 1, 0)
-            while i < len(o) and o[i] < b:
-                s0, s1 = max(a, o[i]), min(b, o[i] + n[i])
-                if s0 < s1 and s0 // width == bk:
-                    text = segs["line"].iat[i] + ("\n" if segs["nl"].iat[i] else "")
-                    rows.append((g, path, int(s0), text[s0 - o[i]:s1 - o[i]]))
-                i += 1
-    if not rows:
-        return pd.DataFrame({"g": pd.Series([], dtype=object), "path": pd.Series([], dtype=object),
-                             "start": pd.Series([], dtype=np.int64),
-                             "frag": pd.Series([], dtype=object)})
-    return pd.DataFrame(rows, columns=["g", "path", "start", "frag"])
-
-
-def _segments(lines: DataFrame, group_col: str, order_cols: list[str], line_col: str,
-              size: int = SEGMENT) -> DataFrame:
-    """Cut every line into segments of at most SEGMENT characters.
-
-    Per segment: its text, ``nl`` (a newline follows: the line's last
-    segment), ``prev_ws`` (the character before it is whitespace; a line
-    start follows a newline) and ``t`` = token starts inside it.
-    """
-    ln = F.col(line_col)
-    k = F.greatest(F.lit(1), F.ceil(F.length(ln) / F.lit(size)).cast("int"))
-    segs = lines.select(F.col(group_col).cast("string").alias("g"), *order_cols,
-                        F.posexplode(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(
-                            F.substring(ln, i * size + 1, size).alias("text"),
-                            (i == k - 1).alias("nl"),
-                            F.when(i == 0, F.lit(True)).otherwise(
-                                F.regexp_like(F.substring(ln, i * size, 1),
-                                              F.lit(r"(?U)[\s\x1C-\x1F]"))).alias("prev_ws"))))
-                        .alias("seg", "s"))
-    first_nonws = ~F.regexp_like(F.substring("s.text", 1, 1), F.lit(r"(?U)[\s\x1C-\x1F]")) & \
-        (F.length("s.text") > 0)
-    return segs.select(
-        "g", *order_cols, "seg", F.col("s.text").alias("line"), F.col("s.nl").alias("nl"),
-        F.col("s.prev_ws").alias("prev_ws"),
-        (tx.token_count("s.text") - F.when(first_nonws & ~F.col("s.prev_ws"), 1).otherwise(0))
-        .cast("long").alias("t"),
-        (F.length("s.text") + F.col("s.nl").cast("int")).cast("long").alias("n"))
-
-
-def bisect_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line_col: str,
-                     limit: int = 2048, max_levels: int = 64, segment: int = SEGMENT,
-                     bucket: int = CHAR_BUCKET) -> DataFrame:
-    """Rows (group, path, piece) of the recursive bisection of each group's
-    text (its lines, joined by newlines, in ``order_cols`` order), the same
-    leaves ``chunks.bisect_text`` gives on the whole text, without ever
-    holding the text in one row.
-
-    The token count of any character range [a, b) is C(b) - C(a) plus one when
-    a cuts into a word (C(x) = token starts before x). C comes from running
-    sums over line segments plus one segment's prefix, found by an as-of
-    lookup in (group, character bucket) cogroups against a segment table
-    partitioned by bucket and checkpointed once. Long lines are cut into
-    segments first, so no row is larger than a segment. The tree is walked a
-    level at a time; lines must not contain newlines themselves.
-    """
-    spark = lines.sparkSession
-    checkpoint_root(spark)
-    ship_package(spark)
-    w = bucket
-    base = _segments(lines, group_col, order_cols, line_col, segment)
-    pos = group_positions(base, "g", list(order_cols) + ["seg"], "p",
-                          sum_col=["t", "n"], cum_col=["S", "O"])
-    lt = pos.select("g", "line", "n", "nl", "prev_ws", (F.col("O") - F.col("n")).alias("o"),
-                    (F.col("S") - F.col("t")).alias("sp"))
-    # every segment in each bucket it overlaps (the end of the text included)
-    last = F.greatest(F.col("o"), F.col("o") + F.col("n") - 1)
-    lt = (lt.select("*", F.explode(F.sequence(F.floor(F.col("o") / w), F.floor(last / w))).alias("bk"))
-          .repartition("g", "bk").checkpoint(eager=True))
-    totals = pos.groupBy("g").agg((F.max("O") - 1).alias("N"))
-    nodes = totals.select("g", F.lit(0).cast("long").alias("a"), F.col("N").cast("long").alias("b"),
-                          F.lit("").alias("path")).checkpoint(eager=True)
-    leaves = []
-    for _ in range(max_levels):
-        xs = (nodes.select("g", F.col("a").alias("x")).unionByName(nodes.select("g", F.col("b").alias("x")))
-              .distinct().withColumn("bk", F.floor(F.col("x") / w)))
-        ev = (lt.groupBy("g", "bk").cogroup(xs.groupBy("g", "bk"))
-              .applyInPandas(_eval_offsets, _EVAL_SCHEMA))
-        ea = ev.select("g", F.col("x").alias("a"), F.col("c").alias("ca"),
-                       (F.col("nonws") & ~F.col("starts")).cast("long").alias("cut"))
-        eb = ev.select("g", F.col("x").alias("b"), F.col("c").alias("cb"))
-        scored = (nodes.join(ea, ["g", "a"]).join(eb, ["g", "b"])
-                  .select("g", "a", "b", "path", (F.col("cb") - F.col("ca") + F.col("cut")).alias("tok"))
-                  .checkpoint(eager=True))
-        leaves.append(scored.where(F.col("tok") <= limit).select("g", "a", "b", "path"))
-        inner = scored.where(F.col("tok") > limit)
-        if inner.isEmpty():
-            break
-        mid = F.col("a") + F.floor((F.col("b") - F.col("a")) / 2).cast("long")
-        nodes = (inner.select("g", "a", mid.alias("b"), F.concat("path", F.lit("0")).alias("path"))
-                 .unionByName(inner.select("g", mid.alias("a"), "b",
-                                           F.concat("path", F.lit("1")).alias("path")))
-                 .checkpoint(eager=True))
-    else:
-        raise RuntimeError("bisection deeper than max_levels")
-    leaf = leaves[0]
-    for x in leaves[1:]:
-        leaf = leaf.unionByName(x)
-    spread = leaf.select("*", F.explode(F.sequence(
-        F.floor(F.col("a") / w), F.floor(F.greatest(F.col("b") - 1, F.col("a")) / w))).alias("bk"))
-    frags = (lt.groupBy("g", "bk").cogroup(spread.groupBy("g", "bk"))
-             .applyInPandas(functools.partial(_fragments, width=w), _FRAG_SCHEMA))
-    return (frags.groupBy("g", "path").agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct("start", "frag"))), lambda s: s["frag"]), "").alias("piece"))
-        .select(F.col("g").alias(group_col), "path", "piece"))

@@ -103,7 +103,7 @@ def bisected_prompts(texts: DataFrame, kind: str, limit: int = ch.BISECT_LIMIT)
 
 def prompts_from_leaves(leaves: DataFrame, kind: str) -> DataFrame:
     """Summary (C-1) or profile (C-2) prompts from bisection leaves
-    (request_id, path, piece), e.g. of ``packing.bisect_line_rows``."""
+    (request_id, path, piece), e.g. of ``bisection.bisect_line_rows``."""
     template = {"summary": SUMMARY_TEMPLATE, "profile": PROFILE_TEMPLATE}[kind]
     return _rows(leaves.withColumnRenamed("path", "chunk"), kind,
                  fill(template, text=F.col("piece")))

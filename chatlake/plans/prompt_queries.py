@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
+from chatlake.operators import bisection
 from chatlake.operators import digest as dg
 from chatlake.operators import history as hist
 from chatlake.operators import prompts as pr
@@ -140,12 +141,11 @@ def dossier_prompts(spark, sf):
 
 
 def _user_history_bisect(spark, sf, limit):
-    from chatlake.operators import packing as pk
     from chatlake.functions import text as tx2
     t = views.chat_text(spark, sf)
     sub = t.select("sender", "id", F.posexplode(F.split(tx2.line("sender", "message"), "\n"))
                    .alias("sub", "text"))
-    return pk.bisect_line_rows(sub, "sender", ["id", "sub"], "text", limit)
+    return bisection.bisect_line_rows(sub, "sender", ["id", "sub"], "text", limit)
 
 
 def _register_user_bisect(name, limit):
@@ -188,10 +188,9 @@ def user_summary_prompts(spark, sf):
     """Summary prompts of each user's history in each channel ('name:
     message' lines by id; D2: the message, not the row), bisected over line
     rows so no (user, channel) history is ever one row (CMD-2, C-1)."""
-    from chatlake.operators import packing as pk
     t = views.chat_text(spark, sf)
     key = F.concat("sender", F.lit("\u001f"), "channel")
     sub = t.select(key.alias("request_id"), "id",
                    F.posexplode(F.split(tx.line("sender", "message"), "\n")).alias("sub", "text"))
-    leaves = pk.bisect_line_rows(sub, "request_id", ["id", "sub"], "text", pr.ch.BISECT_LIMIT)
+    leaves = bisection.bisect_line_rows(sub, "request_id", ["id", "sub"], "text", pr.ch.BISECT_LIMIT)
     return pr.prompts_from_leaves(leaves, "summary")
