@@ -7,7 +7,9 @@ separator is an empty gzip member, which readers pass over.
 The reader cuts files into byte ranges. A task looks for gzip magic in its range,
 takes a place as a member if its gzip header and the record header behind it can
 be decoded, and owns the records that start inside the range; the last of them may
-be read beyond its end. No index and no order of the ranges is needed.
+be read beyond its end. No index and no order of the ranges is needed. Records of
+any version 1 are read; a file that does not begin with a gzip member of such a
+record (or an empty member) is no archive and ends the query.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from chatlake.session import run_dir, ship_package
 CHUNK = 4 << 20             # compressed bytes a row of the writer holds, about
 RANGE = 8 << 20             # bytes of a file that a reading task scans
 STEP = 1 << 16              # bytes read at once
+HEADER = 1 << 20            # bytes that a member's gzip header (file name, comment) may take
 # The gzip member header (deflate, flags), the record format, and
 # the profile of a revisit by payload digest.
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.0\r\n"
+ANY_VERSION = b"WARC/1."
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 
@@ -64,8 +68,14 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
 def decode_record(data: bytes) -> dict:
     """A record's fields (names in lower case) and its 'payload'."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
+    fields, name = {}, None
+    for line in head.decode(errors="replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:        # a folded line goes on with the value above
+            fields[name] += " " + line.strip()
+        elif ":" in line:                           # a line that names no field is passed over
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            fields[name] = value.strip()
     block = rest[:int(fields["content-length"])]
     if len(block) < int(fields["content-length"]):
         raise ValueError("cut record")
@@ -116,15 +126,17 @@ def write_warc(pages: DataFrame, path: str | None = None, min_bytes: int = 0, id
     return path
 
 
-def record_at(data: bytes) -> bool:
+def record_at(data: bytes) -> bool | None:
     """Whether a gzip member with a record header starts here: the gzip header is
-    read, and the first bytes are decompressed."""
-    if len(data) < 10 or not data.startswith(MAGIC) or data[3] & 0xE0:
-        return False
+    read, and the first bytes are decompressed. None: that takes more bytes."""
+    inflate = zlib.decompressobj(31)
     try:
-        return zlib.decompressobj(31).decompress(data, len(VERSION)) == VERSION
+        head = inflate.decompress(data, len(ANY_VERSION))
     except zlib.error:
         return False
+    if len(head) < len(ANY_VERSION) and not inflate.eof:
+        return None
+    return head == ANY_VERSION
 
 
 def read_range(source, start: int, end: int, size: int):
@@ -138,6 +150,8 @@ def read_range(source, start: int, end: int, size: int):
 
     while at < end:
         i = data.find(MAGIC)
+        if at == 0 and i != 0:
+            raise ValueError("the file does not begin with a gzip member")
         if i < 0:
             keep = len(MAGIC) - 1
             at += max(0, len(data) - keep)
@@ -150,9 +164,15 @@ def read_range(source, start: int, end: int, size: int):
         data, at = data[i:], at + i
         if at >= end:
             return
-        while len(data) < 1024 and (new := more()):     # a header, and what it takes to decode the version line
+        found = record_at(data[:1024])      # most headers, and what it takes to decode the version
+        if found is None:
+            found = record_at(data)
+        while found is None and len(data) < HEADER and (new := more()):
             data += new
-        if not record_at(data[:1024]):
+            found = record_at(data)
+        if not found:
+            if at == 0 and not data.startswith(EMPTY_MEMBER):
+                raise ValueError("the file begins with a member that holds no record")
             data, at = data[1:], at + 1
             continue
         inflate, out, used = zlib.decompressobj(31), [], 0

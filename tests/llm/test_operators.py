@@ -245,6 +245,24 @@ def test_ranges_of_any_size_give_each_record_once():
         list(warc.read_range(io.BytesIO(data[:-40]), 0, len(data) - 40, len(data) - 40))
 
 
+def test_archives_of_other_writers():
+    """Versions other than 1.0, gzip headers with long names, loose header lines;
+    what is no archive is an error, not an empty result."""
+    def named(record, name):
+        plain = warc.member(record)
+        return plain[:3] + b"\x08" + plain[4:10] + name + b"\0" + plain[10:]
+    records = [b"WARC/1.1\r\nWARC-Type:response\r\nloose\r\nX-Note: a\r\n b\r\nContent-Length: 9\r\n\r\nh\r\n\r\nbody\r\n\r\n" for _ in range(6)]
+    data = b"".join(named(r, b"n" * n) for r, n in zip(records, (0, 1, 1500, 70_000, 5, 200_000)))
+    for n in (50, 4096, 100_000, len(data)):
+        got = [r for a in range(0, len(data), n) for r in warc.read_range(io.BytesIO(data), a, min(a + n, len(data)), len(data))]
+        assert got == records
+    fields = warc.decode_record(records[0])
+    assert (fields["warc-type"], fields["x-note"], fields["payload"]) == ("response", "a b", b"body")
+    for other in (b"WARC/1.0\r\nplain", warc.member(b"WARC/2.0\r\nother"), warc.member(b"text"), b"\x1f"):
+        with pytest.raises(ValueError):
+            list(warc.read_range(io.BytesIO(other), 0, len(other), len(other)))
+
+
 def test_warc_of_odd_rows(spark):
     rows = [(1, "u", "same", "c"), (2, None, "same", "c"), (3, "u", None, "c"), (4, "u", "", "c"), (None, "a b", "same", "c"), (None, "u", "x", "c"), (None, "u", "x", "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
