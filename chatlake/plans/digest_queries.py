@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
 from chatlake.operators import digest as dg
+from chatlake.operators import varied as vr
 from chatlake.plans import sqltext as sq
 from chatlake.plans.registry import query
 from chatlake.sources import views
@@ -36,6 +37,48 @@ def user_digest(spark, sf):
     return dg.top_messages(views.chat_text(spark, sf), ["sender", "channel"], USER_DIGEST_K)
 
 
+def _varied_sql(k: int) -> str:
+    """The walk as a recursive iteration, and a pair of CTEs for each choice."""
+    far = 1 - vr.BALANCE
+    picks = "".join(f"""
+    b{s} AS (SELECT channel, id, round({vr.BALANCE} * rel - {far} * near, {vr.DIGITS}) AS gain FROM p{s}
+             QUALIFY row_number() OVER (PARTITION BY channel ORDER BY round({vr.BALANCE} * rel - {far} * near, {vr.DIGITS}) DESC, id) = 1),
+    p{s + 1} AS (SELECT p.channel, p.id, p.rel, greatest(p.near, coalesce(s.sim, 0)) AS near
+                 FROM p{s} p JOIN b{s} b USING (channel) LEFT JOIN sims s ON s.channel = p.channel AND s.a = p.id AND s.b = b.id
+                 WHERE p.id <> b.id),""" for s in range(1, k + 1))
+    chosen = " UNION ALL ".join(f"SELECT channel, {s} AS digest_rank, id, gain FROM b{s}" for s in range(1, k + 1))
+    return with_views(f"""WITH RECURSIVE {sq.tfidf_ctes('chat_text')},
+    firsts AS (SELECT channel, array_to_string(regexp_extract_all(lower(message), '{sq.TERM_RE_SQL}'), ' ') AS line,
+                      min(id) AS id, count(*) AS copies
+               FROM chat_text WHERE len(regexp_extract_all(lower(message), '{sq.TERM_RE_SQL}')) > 0 GROUP BY ALL),
+    cand AS (SELECT channel, id, copies FROM firsts JOIN sc USING (id)
+             QUALIFY row_number() OVER (PARTITION BY channel ORDER BY round(score, {vr.DIGITS}) DESC, id) <= {vr.CANDIDATES}),
+    vec AS (SELECT c.channel, c.id, tf.term, tf.tf * ln((1 + nd.n) / (1 + df.df)) AS w
+            FROM cand c JOIN tf USING (id) JOIN df USING (term), nd WHERE df.df <= {vr.RARE} * nd.n),
+    norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM vec GROUP BY id),
+    sims AS (SELECT x.channel, x.id AS a, y.id AS b, round(sum(x.w * y.w) / (any_value(m.norm) * any_value(n.norm)), {vr.DIGITS}) AS sim
+             FROM vec x JOIN vec y ON x.channel = y.channel AND x.term = y.term AND x.id <> y.id
+                  JOIN norms m ON m.id = x.id JOIN norms n ON n.id = y.id GROUP BY ALL),
+    steps AS (SELECT channel, a, b, sim / sum(sim) OVER (PARTITION BY channel, b) AS p FROM sims
+              UNION ALL SELECT channel, id, id, 0 FROM cand),
+    size AS (SELECT channel, CAST(count(*) AS DOUBLE) AS n FROM cand GROUP BY channel),
+    walk AS (SELECT 0 AS round, channel, id, 1 / n AS r FROM cand JOIN size USING (channel)
+             UNION ALL SELECT any_value(w.round) + 1, s.channel, s.a, {1 - vr.WALK} / any_value(z.n) + {vr.WALK} * sum(s.p * w.r)
+             FROM walk w JOIN steps s ON s.channel = w.channel AND s.b = w.id JOIN size z ON z.channel = s.channel
+             WHERE w.round < {vr.ROUNDS} GROUP BY s.channel, s.a),
+    central AS (SELECT channel, id, r FROM walk WHERE round = {vr.ROUNDS}),
+    p1 AS (SELECT channel, id, round(r / max(r) OVER (PARTITION BY channel), {vr.DIGITS}) AS rel, CAST(0 AS DOUBLE) AS near FROM central),{picks}
+    chosen AS ({chosen})
+    SELECT channel, digest_rank, id, copies, round(r, 6) AS centrality, round(gain, 6) AS gain
+    FROM chosen JOIN cand USING (channel, id) JOIN central USING (channel, id)""", "chat_text")
+
+
+@query("digest_varied", _varied_sql(dg.DIGEST_K))
+def digest_varied(spark, sf):
+    """Every channel's 5 most central messages that differ from each other (CMD-1, C-6)."""
+    return vr.varied_messages(views.chat_text(spark, sf), ["channel"])
+
+
 def _summary_sql(src: str, groups: str, k: int) -> str:
     """CTEs ending in ``pieces``: the summary text of each group of ``src``."""
     return f"""{sq.tfidf_ctes(src)},
