@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chatlake.operators import history as hist
-from chatlake.operators import primers
+from chatlake.operators import primers, profile_state
 from chatlake.operators import prompts as pr
 from chatlake.operators import transcripts as trs
 from chatlake.plans import sqltext as sq
@@ -46,6 +46,22 @@ def cmd_buildprimer(spark, sf):
         F.coalesce("n_prompts", F.lit(0)).alias("n_prompts"))
 
 
+@query("primers_by_batch", with_views(f"""WITH {profile_ctes('chat_text')}
+    SELECT sender, sender || ': ' || CAST(n_messages AS VARCHAR) || ' messages in ' || CAST(n_channels AS VARCHAR)
+             || ' channels (ids ' || CAST(first_id AS VARCHAR) || '..' || CAST(last_id AS VARCHAR)
+             || '); distinctive terms: ' || coalesce(top_terms, '') AS primer, CAST(0 AS BIGINT) AS rewritten
+    FROM profiles""", "chat_text"))
+def primers_by_batch(spark, sf):
+    """Primer files after three batches of the messages, and how many a replay of
+    the last one writes again (CMD-5, SNK-4, SNK-7)."""
+    folder = run_dir(spark, "primer-state")
+    chat = views.chat_text(spark, sf)
+    for k in (0, 1, 2, 2):
+        written = profile_state.update_primers(chat.where(F.col("id") % 3 == k), folder, f"part-{k}")
+    primer = hist.read_lines(spark, f"{folder}/primers", "sender").select("sender", F.col("line").alias("primer"))
+    return primer.withColumn("rewritten", F.lit(written.count()))
+
+
 @query("user_history_files", with_views("""
     SELECT sender, line, count(*) AS n FROM (
       SELECT sender, unnest(string_split(sender || ': ' || message, chr(10))) AS line FROM chat_text
