@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from chatlake.functions import text as tx
 from chatlake.operators.chunks import PACK_LIMIT
 from chatlake.operators.ids import bucketed
-from chatlake.session import checkpoint_root, run_dir, ship_package
+from chatlake.session import checkpoint_root, default_parallelism, run_dir, ship_package
 
 PIECE = 1 << 16     # lines a segment holds at most
+RANGE = 1 << 14     # lines a range of the order holds, as long as there are partitions for more ranges
 FAN = 128           # functions composed in one group
 CLOSED = -1         # room of a chunk that takes no further line
 
@@ -184,7 +185,8 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
     order = [f"o{i}" for i in range(len(order_cols))]
     rn = F.row_number().over(Window.partitionBy("g", "_cl_bucket").orderBy(*order)).cast("long")
     path = run_dir(spark, "pack-lines")
-    (bucketed(base, order[0], tie_col=order[1] if len(order) > 1 else None)
+    ranges = min(default_parallelism(spark), 1 + base.count() // RANGE)     # small segments cost more than they spread
+    (bucketed(base, order[0], ranges, tie_col=order[1] if len(order) > 1 else None)
      .select("g", F.col("_cl_bucket").cast("long").alias("bucket"), rn.alias("rn"), "line", "t")
      .write.parquet(path))
     numbered = spark.read.parquet(path)
