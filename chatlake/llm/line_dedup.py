@@ -45,6 +45,9 @@ def line_dedup(pages: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
     """``pages`` with host, n_lines, n_dropped and clean_text (the kept lines) in
     place of ``html_col``. Columns of these names in the input are replaced.
 
+    A line on fewer than ``min_pages`` pages of its host is never boilerplate, whatever
+    its ratio: on a host of one or two pages every line would be. 1 leaves the ratio alone.
+
     A line counts once a page and every row is a page, repeated rows too. Pages
     without a host (NULL or other urls) are no site and keep all lines; NULL
     and empty pages have no lines and an empty clean_text.
