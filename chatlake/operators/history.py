@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
+from chatlake.operators.ids import group_positions
 
 
 def user_history(history: DataFrame, sender: str, channel: str | None = None) -> DataFrame:
@@ -126,6 +127,15 @@ def read_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.schema(f"value string, {key} string").text(path).select(key, F.col("value").alias("line"))
 
 
+def read_ordered(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, line_no, line) of such files in the order they hold: by the number of
+    the part file, the place of the read block in it and the row in the block."""
+    rows = spark.read.schema(f"value string, {key} string").text(path).select(
+        key, F.col("value").alias("line"), F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("part"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return group_positions(rows, key, ["part", "block", "row"], "line_no").select(key, "line_no", "line")
+
+
 def write_user_history(lines: DataFrame, path: str) -> None:
     """History documents as text files, one folder per sender (SNK-6)."""
     write_lines(lines, path, "sender", ["section_no", "seq"])

@@ -63,15 +63,18 @@ def primers_by_batch(spark, sf):
 
 
 @query("user_history_files", with_views("""
-    SELECT sender, line, count(*) AS n FROM (
-      SELECT sender, unnest(string_split(sender || ': ' || message, chr(10))) AS line FROM chat_text
-      UNION ALL SELECT sender, unnest(['--- ' || channel || ' ---', '']) FROM (SELECT DISTINCT sender, channel FROM chat_text))
-    GROUP BY ALL""", "chat_text"))
+    WITH s AS (SELECT sender, channel, row_number() OVER (PARTITION BY sender ORDER BY min(id)) AS section_no
+               FROM chat_text GROUP BY sender, channel),
+    parts AS (SELECT sender, section_no, id AS seq, sender || ': ' || message AS line FROM chat_text JOIN s USING (sender, channel)
+              UNION ALL SELECT sender, section_no, -1, '--- ' || channel || ' ---' FROM s
+              UNION ALL SELECT sender, section_no, 4611686018427387904, '' FROM s),
+    files AS (SELECT sender, string_split(string_agg(line, chr(10) ORDER BY section_no, seq), chr(10)) AS lines FROM parts GROUP BY sender)
+    SELECT sender, unnest(generate_series(1, len(lines))) AS line_no, unnest(lines) AS line FROM files""", "chat_text"))
 def user_history_files(spark, sf):
-    """Every user's history file, written and read back line by line (SNK-6)."""
+    """Every user's history file, written and read back in its order (SNK-6)."""
     path = run_dir(spark, "history-files")
     hist.write_user_history(hist.user_history_lines(views.chat_text(spark, sf)), path)
-    return hist.read_lines(spark, path, "sender").groupBy("sender", "line").agg(F.count("*").alias("n"))
+    return hist.read_ordered(spark, path, "sender")
 
 
 _TRANSCRIPT_SQL = """SELECT channel, trim(string_agg(sender || ': ' || message, chr(10) ORDER BY id), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
@@ -79,14 +82,15 @@ _TRANSCRIPT_SQL = """SELECT channel, trim(string_agg(sender || ': ' || message,
 
 
 @query("transcript_files", with_views(f"""WITH t AS ({_TRANSCRIPT_SQL})
-    SELECT channel, line, count(*) AS n FROM (SELECT channel, unnest(string_split(text, chr(10))) AS line FROM t) GROUP BY ALL""",
+    SELECT channel, unnest(generate_series(1, len(lines))) AS line_no, unnest(lines) AS line
+    FROM (SELECT channel, string_split(text, chr(10)) AS lines FROM t)""",
     "chat_text"))
 def transcript_files(spark, sf):
-    """The last 40 messages of every channel as transcript files, read back (SNK-8)."""
+    """The last 40 messages of every channel as transcript files, read back in their order (SNK-8)."""
     path = run_dir(spark, "transcripts")
     t = hist.channel_transcripts(views.chat_text(spark, sf), 40)
     hist.write_lines(trs.transcript_lines(t), path, "channel", ["line_no"])
-    return hist.read_lines(spark, path, "channel").groupBy("channel", "line").agg(F.count("*").alias("n"))
+    return hist.read_ordered(spark, path, "channel")
 
 
 @query("primer_prompts", with_views(f"""WITH req AS ({_REQ_SQL}),

@@ -27,6 +27,22 @@ def test_user_history_files(spark):
     assert doc("b") == "--- y ---\nb: n1\nb: n2\n\n"
 
 
+def test_files_are_read_in_their_order(spark, tmp_path):
+    """Part files by number, not by name, and blocks of a file in turn."""
+    folder = tmp_path / "k=a"
+    folder.mkdir()
+    want = [f"line {i}" for i in range(400)] + ["", "last"]
+    for number, lines in (("99999", want[:250]), ("100000", want[250:400]), ("100001", want[400:])):
+        (folder / f"part-{number}-x.txt").write_text("".join(f"{x}\n" for x in lines))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = sorted(tuple(r) for r in hist.read_ordered(spark, str(tmp_path), "k").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [("a", i + 1, line) for i, line in enumerate(want)]
+
+
 def test_model_embed_hook(spark):
     def load():
         return lambda texts: np.array([[float(len(t)), 1.0] for t in texts])
