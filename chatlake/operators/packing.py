@@ -4,8 +4,8 @@
 may be a third of all rows, so here the document stays as rows
 (group, order..., line) and nothing ever holds a whole group.
 
-Lines are cut into segments: a range of the order (``ids.bucketed``) of one group, in
-pieces of at most ``PIECE`` lines. What a segment does to a chunk that is open
+Lines are cut into segments: a group, or where it has more than ``RANGE`` lines a range of its
+order (``ids.bucketed``), in pieces of at most ``PIECE`` lines. A Python call takes many segments. What a segment does to a chunk that is open
 before it depends only on the chunk's *room*, the tokens that it can still take
 (``CLOSED``: none, the next line starts a chunk whatever its length). The
 segment's transfer function gives, for every room, the room after it and the
@@ -36,11 +36,11 @@ from chatlake.operators.ids import bucketed
 from chatlake.session import checkpoint_root, default_parallelism, run_dir, ship_package
 
 PIECE = 1 << 16     # lines a segment holds at most
-RANGE = 1 << 14     # lines a range of the order holds, as long as there are partitions for more ranges
+RANGE = 1 << 14     # lines a range of the order holds, as long as there are partitions for more ranges, and about those a Python call takes
 FAN = 128           # functions composed in one group
 CLOSED = -1         # room of a chunk that takes no further line
 
-_FUNCTION = "g string, seg long, total long, first_over boolean, lo array<long>, room array<long>, started array<long>"
+_FUNCTION = "g string, seg long, first_over boolean, total long, lo array<long>, room array<long>, started array<long>"
 _ENTRY = "g string, seg long, entry long, chunk long"
 
 
@@ -98,72 +98,102 @@ def _functions(pdf: pd.DataFrame) -> list[tuple]:
     return list(zip(pdf["total"].tolist(), pdf["lo"], pdf["room"], pdf["started"]))
 
 
-def _function_row(g, seg: int, first_over: bool, f: tuple) -> pd.DataFrame:
-    return pd.DataFrame({"g": [g], "seg": [seg], "total": [f[0]], "first_over": [first_over],
-                         "lo": [f[1]], "room": [f[2]], "started": [f[3]]})
+def _function_rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["g", "seg", "first_over", "total", "lo", "room", "started"])
 
 
-def _segment_row(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
-    tokens = pdf.sort_values("rn")["t"].to_numpy()
-    return _function_row(pdf["g"].iat[0], pdf["seg"].iat[0], tokens[0] > limit, segment_function(tokens, limit))
+def _runs(pdf: pd.DataFrame, order: str, fan: int = 1) -> tuple[pd.DataFrame, list[tuple]]:
+    """``pdf`` by group, segment and ``order``, and (group, seg // fan, from, to) of
+    the rows of each group and segment block. A NULL group is a group."""
+    code = pd.factorize(pdf["g"])[0]
+    at = np.lexsort((pdf[order].to_numpy(), pdf["seg"].to_numpy(), code))
+    pdf, code = pdf.iloc[at], code[at]
+    block = pdf["seg"].to_numpy() // fan
+    cuts = np.flatnonzero((code[1:] != code[:-1]) | (block[1:] != block[:-1])) + 1
+    edges = [0, *cuts.tolist(), len(code)] if len(code) else [0]
+    g, n = _names(pdf), block.tolist()
+    return pdf, [(g[i], n[i], i, j) for i, j in zip(edges, edges[1:])]
 
 
-def _composed_row(pdf: pd.DataFrame, limit: int, fan: int) -> pd.DataFrame:
-    pdf = pdf.sort_values("seg")
-    return _function_row(pdf["g"].iat[0], pdf["seg"].iat[0] // fan, pdf["first_over"].iat[0],
-                         compose(_functions(pdf), limit))
+def _names(pdf: pd.DataFrame) -> list:
+    return [None if x else g for g, x in zip(pdf["g"].tolist(), pdf["g"].isna().tolist())]
 
 
-def _entries(children: pd.DataFrame, parent: pd.DataFrame | None = None) -> pd.DataFrame:
+def _segment_rows(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+    pdf, runs = _runs(pdf, "rn")
+    tokens = pdf["t"].to_numpy()
+    return _function_rows([(g, seg, tokens[i] > limit, *segment_function(tokens[i:j], limit)) for g, seg, i, j in runs])
+
+
+def _composed_rows(pdf: pd.DataFrame, limit: int, fan: int) -> pd.DataFrame:
+    pdf, runs = _runs(pdf, "seg", fan)
+    functions, over = _functions(pdf), pdf["first_over"].tolist()
+    return _function_rows([(g, block, over[i], *compose(functions[i:j], limit)) for g, block, i, j in runs])
+
+
+def _open_chunks(entries: pd.DataFrame) -> dict:
+    """(group, seg) -> (room, number of the open chunk)."""
+    return dict(zip(zip(_names(entries), entries["seg"].tolist()), zip(entries["entry"].tolist(), entries["chunk"].tolist())))
+
+
+def _entries(children: pd.DataFrame, parents: pd.DataFrame | None = None, fan: int = 1 << 62) -> pd.DataFrame:
     """The room before each child and the number of its open chunk, from those
-    of the parent (none: the group begins here)."""
-    children = children.sort_values("seg")
-    if parent is None:
-        room, chunk = CLOSED, int(children["first_over"].iat[0]) - 1
-    else:
-        room, chunk = int(parent["entry"].iat[0]), int(parent["chunk"].iat[0])
+    of the parents (none: the groups begin here)."""
+    children, runs = _runs(children, "seg", fan)
+    known = None if parents is None else _open_chunks(parents)
+    functions, over, segs = _functions(children), children["first_over"].tolist(), children["seg"].tolist()
     rows = []
-    for g, seg, f in zip(children["g"], children["seg"], _functions(children)):
-        rows.append((g, seg, room, chunk))
-        after, n = apply_function(*f, np.array([room]))
-        room, chunk = int(after[0]), chunk + int(n[0])
+    for g, block, i, j in runs:
+        room, chunk = (CLOSED, int(over[i]) - 1) if known is None else known[g, block]
+        for k in range(i, j):
+            rows.append((g, segs[k], room, chunk))
+            after, n = apply_function(*functions[k], np.array([room]))
+            room, chunk = int(after[0]), chunk + int(n[0])
     return pd.DataFrame(rows, columns=["g", "seg", "entry", "chunk"])
 
 
-def _marks(lines: pd.DataFrame, entry: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Chunk starts of a segment, by line number; the chunk that is open before
-    it starts at line 0."""
-    lines = lines.sort_values("rn")
-    tokens, rn = lines["t"].to_numpy(), lines["rn"].to_numpy()
-    ends = _chunk_ends(tokens, limit)[1].tolist()
-    room, chunk = int(entry["entry"].iat[0]), int(entry["chunk"].iat[0])
-    at = 0 if room == CLOSED else int(np.searchsorted(np.cumsum(tokens), room, side="right"))
-    starts = []
-    while at < len(tokens):
-        starts.append(at)
-        at = ends[at]
-    return pd.DataFrame({"g": lines["g"].iat[0], "seg": lines["seg"].iat[0], "rn": np.concatenate([[0], rn[starts]]),
-                         "j": np.arange(chunk, chunk + len(starts) + 1)})
+def _marks(lines: pd.DataFrame, entries: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Chunk starts of segments, by line number; the chunk that is open before
+    a segment starts at its line 0."""
+    lines, runs = _runs(lines, "rn")
+    known, all_tokens, all_rn = _open_chunks(entries), lines["t"].to_numpy(), lines["rn"].tolist()
+    rows = []
+    for g, seg, i, j in runs:
+        tokens = all_tokens[i:j]
+        ends = _chunk_ends(tokens, limit)[1].tolist()
+        room, chunk = known[g, seg]
+        at = 0 if room == CLOSED else int(np.searchsorted(np.cumsum(tokens), room, side="right"))
+        rows.append((g, seg, 0, chunk))
+        while at < len(tokens):
+            chunk += 1
+            rows.append((g, seg, all_rn[i + at], chunk))
+            at = ends[at]
+    return pd.DataFrame(rows, columns=["g", "seg", "rn", "j"])
+
+
+def _part(n: int, *keys):
+    """One of ``n`` parts that whole groups or segments are dealt to: a Python call takes a part."""
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).alias("part")
 
 
 def _chunk_entries(functions: DataFrame, top: int, limit: int, fan: int) -> DataFrame:
     """Entries of the segments 0 to ``top`` of each group: functions are composed
     up to one level that ``fan`` nodes cover, and rooms go down again."""
     spark = functions.sparkSession
-    levels = [functions]
-    block = F.floor(F.col("seg") / fan).cast("long").alias("block")
+    levels, parts = [functions], [1 + functions.count() // FAN]
+    block = F.floor(F.col("seg") / fan).cast("long")
     while top >= fan:
         path = run_dir(spark, "pack-functions")
-        (levels[-1].groupBy("g", block).applyInPandas(lambda pdf: _composed_row(pdf, limit, fan), _FUNCTION)
+        (levels[-1].groupBy(_part(parts[-1], "g", block)).applyInPandas(lambda pdf: _composed_rows(pdf, limit, fan), _FUNCTION)
          .write.parquet(path))
         levels.append(spark.read.parquet(path))
+        parts.append(1 + levels[-1].count() // FAN)
         top //= fan
-    entries = levels.pop().groupBy("g").applyInPandas(lambda pdf: _entries(pdf), _ENTRY)
+    entries = levels.pop().groupBy(_part(parts.pop(), "g")).applyInPandas(lambda pdf: _entries(pdf), _ENTRY)
     while levels:
-        children = levels.pop().select("*", block)
-        entries = (children.groupBy("g", "block")
-                   .cogroup(entries.withColumnRenamed("seg", "block").groupBy("g", "block"))
-                   .applyInPandas(_entries, _ENTRY))
+        n = parts.pop()
+        entries = (levels.pop().groupBy(_part(n, "g", block)).cogroup(entries.groupBy(_part(n, "g", "seg")))
+                   .applyInPandas(lambda children, parents: _entries(children, parents, fan), _ENTRY))
     return entries
 
 
@@ -185,9 +215,16 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
     order = [f"o{i}" for i in range(len(order_cols))]
     rn = F.row_number().over(Window.partitionBy("g", "_cl_bucket").orderBy(*order)).cast("long")
     path = run_dir(spark, "pack-lines")
-    ranges = min(default_parallelism(spark), 1 + base.count() // RANGE)     # small segments cost more than they spread
-    (bucketed(base, order[0], ranges, tie_col=order[1] if len(order) > 1 else None)
-     .select("g", F.col("_cl_bucket").cast("long").alias("bucket"), rn.alias("rn"), "line", "t")
+    # small segments cost more than they spread: only groups of many lines are cut to ranges
+    large = base.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > RANGE).select(
+        F.col("g").alias("large_g"), F.lit(True).alias("is_large"))
+    many = not large.isEmpty()
+    cut = bucketed(base, order[0], min(default_parallelism(spark), 1 + base.count() // RANGE) if many else 1,
+                   tie_col=order[1] if len(order) > 1 else None)
+    if many:
+        cut = cut.join(F.broadcast(large), F.col("g").eqNullSafe(F.col("large_g")), "left").withColumn(
+            "_cl_bucket", F.when(F.col("is_large"), F.col("_cl_bucket")).otherwise(0.0))
+    (cut.select("g", F.col("_cl_bucket").cast("long").alias("bucket"), rn.alias("rn"), "line", "t")
      .write.parquet(path))
     numbered = spark.read.parquet(path)
     last = numbered.agg(F.max("bucket").alias("bucket"), F.max("rn").alias("rn")).first()
@@ -201,9 +238,10 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
 
     tokens = numbered.select("g", "seg", "rn", "t")
     path = run_dir(spark, "pack-functions")
-    tokens.groupBy("g", "seg").applyInPandas(lambda pdf: _segment_row(pdf, limit), _FUNCTION).write.parquet(path)
+    part = _part(1 + numbered.count() // RANGE, "g", "seg")
+    tokens.groupBy(part).applyInPandas(lambda pdf: _segment_rows(pdf, limit), _FUNCTION).write.parquet(path)
     entries = _chunk_entries(spark.read.parquet(path), top, limit, fan)
-    marks = (tokens.groupBy("g", "seg").cogroup(entries.groupBy("g", "seg"))
+    marks = (tokens.groupBy(part).cogroup(entries.groupBy(part))
              .applyInPandas(lambda lines, entry: _marks(lines, entry, limit), "g string, seg long, rn long, j long"))
 
     # a mark stands before the line that starts its chunk

@@ -68,6 +68,16 @@ def test_primer_text_files(spark):
     assert spark.read.text(path).count() == 2
 
 
+def test_primer_files_are_written_by_many_tasks(spark):
+    """The files are few bytes and much work, so that adaptive execution must not put them in one task."""
+    from chatlake.operators import digest as dg
+    h = spark.range(200).selectExpr("id", "concat('u', id % 40) AS sender", "'x' AS channel", "'chess ohio' AS message")
+    path = run_dir(spark, "t_primers")
+    dg.write_primers(dg.profile_text(dg.user_profiles(h)), path)
+    parts = spark.read.text(path).select("sender", F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).alias("part"))
+    assert parts.count() == 40 and parts.select("part").distinct().count() > 1
+
+
 def test_audit_replay_adds_nothing_and_days_are_summed(spark):
     from chatlake.operators import audit
     rows = [("2024-01-01 10:00:00", "a b", "c", 3), ("2024-01-01 23:59:59", "d", "e", 2), ("2024-01-02 00:00:00", "f", None, 1)]
