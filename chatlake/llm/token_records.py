@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from chatlake.session import run_dir, ship_package
 
 BLOCK_BYTES = 1 << 20       # frames are gathered to blocks of about this size
+GROUP_CHARS = 2 << 20       # of texts encoded together
 FILE_BYTES = 16 << 20       # text bytes a file is made from
 TABLE_BYTES = 120 << 20     # of the pieces a worker remembers, twice
 ENTRY_BYTES = 180           # of a piece besides its characters and ids
@@ -34,6 +35,9 @@ ENTRY_BYTES = 180           # of a piece besides its characters and ids
 #: characters that regular expression libraries disagree on.
 _ODD = [chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029,
                          0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+_ODD_ASCII = [c for c in _ODD if c.isascii()]
+#: The splitter takes a run of these behind a letter by itself (an apostrophe may begin a word's ending).
+_ENDS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def masked(data: bytes) -> int:
@@ -97,8 +101,8 @@ class Encoder:
     """Token ids of whole texts, as bytes of integers of ``width`` bytes.
 
     The vocabulary's splitter never joins across a blank or a line feed that has
-    a plain character on either side, nor a full stop or comma behind a letter
-    with that letter. So such texts are encoded by pieces, each distinct piece
+    a plain character on either side, nor a run of ASCII punctuation without an
+    apostrophe behind a letter with that letter. So such texts are encoded by pieces, each distinct piece
     once by the library, and Latin words, which the splitter takes whole, by the
     library's model alone; other texts go to it whole, as do those that hold the
     string of an added token, which is that one id, and all texts if the vocabulary
@@ -126,14 +130,14 @@ class Encoder:
         self.alphabet = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
         self.blank = chr(self.alphabet[32])
         self.feed = self.whole(["\n"])[0] if self.by_pieces else b""
-        self.ends: dict[str, bytes] = {}                    # full stops and commas behind a word
+        self.ends: dict[str, bytes] = {}                    # runs of punctuation behind a word
         self.pieces = Pieces(self, {})
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.kind, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def piece(self, piece: str) -> bytes:
-        stem = piece.rstrip(".,")
+        stem = piece.rstrip(_ENDS)
         line = piece[0] == "\n"
         word = stem[1:] if line else stem
         if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
@@ -154,20 +158,50 @@ class Encoder:
             return self.whole(texts)
         if self.pieces.bytes > TABLE_BYTES:
             self.pieces, self.ends = Pieces(self, dict(self.pieces)), {}
-        get, out = self.pieces.__getitem__, []
-        for t in texts:
-            if not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n" or any(c in t for c in _ODD) \
-                    or any(a in t for a in self.added):
-                out += self.whole([t])
-            else:
-                head, *rest = t.replace("\n", " \n").split(" ")
-                out.append(b"".join([self.whole([head])[0], *map(get, rest)]))
+        plain = [self.plain(t) for t in texts]
+        odd = iter(self.whole([t for t, p in zip(texts, plain) if not p]))
+        known = iter(self.by_words([t for t, p in zip(texts, plain) if p]))
+        return [next(known if p else odd) for p in plain]
+
+    def plain(self, t: str) -> bool:
+        return not (not t or "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or t[-1] in " \n"
+                    or any(c in t for c in (_ODD_ASCII if t.isascii() else _ODD)) or any(a in t for a in self.added))
+
+    def by_words(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts: Arrow cuts them to pieces, each distinct piece is looked up once."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cut = [t.replace("\n", " \n").partition(" ") for t in texts]
+        out = self.whole([head for head, _, _ in cut])
+        more = [i for i, (_, _, rest) in enumerate(cut) if rest]
+        if not more:
+            return out
+        words = pc.split_pattern(pa.array([cut[i][2] for i in more], pa.large_string()), " ")
+        pieces = words.values.dictionary_encode()
+        ids = pa.array(list(map(self.pieces.__getitem__, pieces.dictionary.to_pylist())), pa.large_binary()).take(pieces.indices)
+        _, at, data = ids.buffers()
+        ends = np.frombuffer(at, dtype=np.int64)[words.offsets.to_numpy()].tolist()
+        data = memoryview(data)
+        for i, a, b in zip(more, ends, ends[1:]):
+            out[i] += data[a:b]
         return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def _groups(texts: list[str | None]):
+    """(from, to) of texts that are encoded together: of GROUP_CHARS, or one."""
+    a = size = 0
+    for z, t in enumerate(texts, 1):
+        size += len(t or "") + 64
+        if size >= GROUP_CHARS or z == len(texts):
+            yield a, z
+            a, size = z, 0
+
+
 def _writer(path: str, end_id: int):
     def run(batches):
         import pyarrow as pa
@@ -179,8 +213,8 @@ def _writer(path: str, end_id: int):
         block, size = [], 0
         for b in batches:
             ids, texts = (c.to_pylist() for c in b.columns)
-            for a in range(0, len(texts), 256):
-                for doc_id, x in zip(ids[a:a + 256], encoder.encode([t or "" for t in texts[a:a + 256]])):
+            for a, z in _groups(texts):
+                for doc_id, x in zip(ids[a:z], encoder.encode([t or "" for t in texts[a:z]])):
                     block.append(frame(record(doc_id, x + end, encoder.width)))
                     size += len(block[-1])
                     if size >= BLOCK_BYTES:

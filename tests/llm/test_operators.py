@@ -546,3 +546,37 @@ def test_top_k_with_large_components(spark):
             best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)[:5]
             want |= {(q, n + 1, i, max(-big, min(big, -s))) for n, (s, i) in enumerate(best)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_pieces_are_encoded_once_a_group_and_punctuation_runs_by_the_word():
+    import random
+    import string
+    import public_tokenizers
+    from chatlake.llm import token_records as tr
+
+    rnd = random.Random(4)
+    encoder = tr.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["the", "Heather", "x9", "épa", "don't", "we'll", "日本", "", "I'd", "µ"]
+    runs = ["", *string.punctuation, "$$$", ".***", "'s", "''", "!'", "_a", "--'ll", ",%%%", "\n"]
+    texts = [" ".join(rnd.choice(words) + rnd.choice(runs) + rnd.choice(["", "", "\nAn"]) for _ in range(rnd.randint(1, 30))) for _ in range(400)]
+    texts += [w + r for w in words for r in runs]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = [list(memoryview(x).cast(encoder.kind)) for x in encoder.encode(texts)]
+    assert got == want
+
+    encoder = tr.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    sent, looked, whole, get = [], [], encoder.whole, tr.Pieces.__getitem__
+    encoder.whole = lambda texts: sent.append(texts) or whole(texts)
+
+    class Counted(tr.Pieces):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return get(self, piece)
+
+    encoder.pieces = Counted(encoder, {})
+    encoder.encode(["here " + " ".join(w + r for w in ("rock", "sand", "lime") for r in ("$$$", "%%%", "***"))] * 5)
+    # all heads in one call, and each run once; each distinct piece and its word's stem
+    assert sorted(map(tuple, sent)) == sorted([("here",) * 5, ("$$$",), ("%%%",), ("***",)]) or \
+        sorted(map(tuple, sent)) == sorted([(), ("here",) * 5, ("$$$",), ("%%%",), ("***",)])
+    assert len(looked) <= 18
+    assert [z - a for a, z in tr._groups(["x" * tr.GROUP_CHARS, None, "", "y"])] == [1, 3]
