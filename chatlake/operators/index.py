@@ -22,6 +22,7 @@ from chatlake.operators.search import THRESHOLD, TOP_K, vector_search
 
 MAX_CELLS = 1024        # rows of the cell table that a search reads to the driver
 SAMPLE_ROWS = 65_536    # rows, about, that the centres are fitted on
+TASK_ROWS = 1 << 18     # rows, about, that a task sorts and writes
 SLACK = 1e-6            # for rounding, on distances of unit vectors
 
 
@@ -51,18 +52,25 @@ def build(history: DataFrame, path: str, cells: int | None = None, seed: int = 5
         sample.select(array_to_vector("unit").alias("point")))
     placed = model.transform(unit.where(usable).withColumn("point", array_to_vector("unit"))).drop("point", "unit")
     none = rows.where(~usable).withColumn("cell", F.lit(-1))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n // TASK_ROWS)
     # a cell that holds most rows is written by several tasks
     (placed.unionByName(none).repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")
      .write.partitionBy("cell").parquet(path))
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
                                     "cell int, centre array<double>")
     stored = spark.read.parquet(path)
+    cell_sizes(stored, centres).write.parquet(f"{path}/_cells")
+    return stored
+
+
+def cell_sizes(stored: DataFrame, centres: DataFrame) -> DataFrame:
+    """(cell, centre, radius, n) of the cells that hold rows. The centres, at most
+    MAX_CELLS, go to the rows, and only each task's figures of a cell are shuffled."""
     far = F.sqrt(F.aggregate(F.zip_with(_unit(F.col("vector"), F.col("norm")), "centre", lambda a, b: (a - b) * (a - b)),
                              F.lit(0.0), lambda s, x: s + x))
-    (stored.where("cell >= 0").join(centres, "cell").groupBy("cell", "centre")
-     .agg(F.max(far).alias("radius"), F.count("*").alias("n")).coalesce(1).write.parquet(f"{path}/_cells"))
-    return stored
+    sizes = (stored.where("cell >= 0").join(F.broadcast(centres), "cell").groupBy("cell")
+             .agg(F.max(far).alias("radius"), F.count("*").alias("n")))
+    return sizes.join(F.broadcast(centres), "cell").select("cell", "centre", "radius", "n")
 
 
 def bounds(spark: SparkSession, path: str, query: list[float]) -> list[tuple[float, int, int]]:

@@ -44,3 +44,17 @@ def test_index_of_nothing_and_of_one_direction(spark):
     index.build(history(spark, [[2.0, 0.0]] * 40), path)
     assert [r["id"] for r in index.search(spark, path, [1.0, 0.0]).collect()] == list(range(20))
     assert index.bounds(spark, path, [1.0, 0.0])[0][2] == 40
+
+
+def test_rows_are_not_shuffled_for_the_radius_of_their_cell(spark, clustered):
+    """All rows once went through one task: only one figure a cell and task may."""
+    stored = history(spark, clustered[:1200]).selectExpr("*", "1.0D AS norm", "CAST(id % 3 AS INT) AS cell")
+    centres = spark.createDataFrame([(c, [0.0] * 16) for c in range(4)], "cell int, centre array<double>")
+    sizes = index.cell_sizes(stored, centres)
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Coalesce" not in plan
+    shuffled = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(shuffled) == 1 and "partial_max" in plan[plan.index("Exchange hashpartitioning"):]
+    far = {c: max(sum(x * x for x in v) ** 0.5 for i, v in enumerate(clustered[:1200]) if i % 3 == c) for c in range(3)}
+    got = {r["cell"]: r for r in sizes.collect()}
+    assert sorted(got) == [0, 1, 2] and all(abs(got[c]["radius"] - far[c]) < 1e-6 and got[c]["n"] == 400 for c in got)
