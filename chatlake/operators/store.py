@@ -14,6 +14,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable
+from contextlib import ExitStack
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from chatlake.functions import vectors as vx
 from chatlake.operators import ingest as ing
 from chatlake.operators.ids import dense_ids
-from chatlake.session import remove_dir, run_dir
+from chatlake.session import remove_dir, run_dir, staged
 
 RECENT = 512    # batches that the record keeps at hand; older ones are in ``_progress``
 
@@ -134,20 +135,19 @@ def add(messages: DataFrame, path: str, batch: str, order_cols=("ts", "source_id
     spark = messages.sparkSession
     record = Record(spark, path)
     if not record.has(batch):
-        # the source is read once; numbering reads the staged rows
-        stage = run_dir(spark, "stage")
-        messages.write.parquet(stage)
-        rows = spark.read.schema(messages.schema).parquet(stage)
-        if unique:
-            first = rows.agg(F.min("ts")).first()[0]
-            rows = rows if first is None else unseen(rows, path, record, first)
-        numbered = dense_ids(ing.prepare(rows, embed), list(order_cols), "id", start=F.lit(record.next_id).cast("long"))
-        _write(numbered.withColumn("ingest_ts", F.current_timestamp()).withColumn("batch", F.lit(batch))
-               .withColumn("id_block", F.floor(F.col("id") / (block or ing.ID_BLOCK)).cast("long")), path)
-        stored = _stored(spark, path, batch)
-        n, low, high = (0, None, None) if stored is None else stored.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
-        record.put(batch, record.next_id, n, low, high, record.behind if behind is None else behind)
-        remove_dir(spark, stage)
+        # the source is read once, and so is what was stored before; numbering reads the staged rows
+        with ExitStack() as stages:
+            rows = stages.enter_context(staged(messages, "stage"))
+            if unique:
+                first = rows.agg(F.min("ts")).first()[0]
+                if first is not None:
+                    rows = stages.enter_context(staged(unseen(rows, path, record, first), "unseen"))
+            numbered = dense_ids(ing.prepare(rows, embed), list(order_cols), "id", start=F.lit(record.next_id).cast("long"))
+            _write(numbered.withColumn("ingest_ts", F.current_timestamp()).withColumn("batch", F.lit(batch))
+                   .withColumn("id_block", F.floor(F.col("id") / (block or ing.ID_BLOCK)).cast("long")), path)
+            stored = _stored(spark, path, batch)
+            n, low, high = (0, None, None) if stored is None else stored.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
+            record.put(batch, record.next_id, n, low, high, record.behind if behind is None else behind)
     return _stored(spark, path, batch)
 
 

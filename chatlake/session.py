@@ -11,8 +11,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale: adaptive execution re-plans joins from
 # measured sizes (runtime broadcast only of a side measured small), splits
@@ -91,6 +93,18 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` as a table under the checkpoint root, computed once for several
+    passes over it; deleted at the end."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        remove_dir(df.sparkSession, path)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -20,6 +20,7 @@ from chatlake.operators import routing as rt
 from chatlake.operators import store as st
 from chatlake.operators import transcripts as trs
 from chatlake.operators.ids import dense_ids
+from chatlake.session import staged
 
 
 def read_stream(spark: SparkSession, path_glob: str, schema: T.StructType,
@@ -72,11 +73,12 @@ def _register_batch(events: DataFrame, batch_id: int, table: str) -> None:
                                ["user_name", "first_ts"], ["ts", "message_id"])
     last = earlier.agg(F.max("id")).first()[0]
     none = F.lit(None).cast("string")
-    (dense_ids(new, ["first_ts", "user_id"], "id", start=0 if last is None else last + 1)
-     .select("id", "user_id", "user_name", none.alias("real_name"), none.alias("primer"),
-             none.alias("history_summary"), "first_ts", F.lit(batch_id).alias("batch_id"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(table))
+    with staged(new, "new-users") as new:      # numbering passes over them several times
+        (dense_ids(new, ["first_ts", "user_id"], "id", start=0 if last is None else last + 1)
+         .select("id", "user_id", "user_name", none.alias("real_name"), none.alias("primer"),
+                 none.alias("history_summary"), "first_ts", F.lit(batch_id).alias("batch_id"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(table))
 
 
 def ingest_stream(stream: DataFrame, to_events, table: str, checkpoint: str,
@@ -155,13 +157,14 @@ def mention_stream(stream: DataFrame, to_events, base: str, checkpoint: str,
                     .dropDuplicates(["message_id"])
                     .join(stored.select(F.col("source_id").alias("message_id")), "message_id", "left_semi"))
             told = rows.join(asks.select(F.col("message_id").alias("source_id"), "mentions"), "source_id", "left")
-            asked = rt.mention_requests(told.withColumn("mentions", F.coalesce("mentions", F.array())), bot_id, n)
-            asked = asked.join(rows.select(F.col("message_id").alias("request_id"), "source_id"), "request_id")\
-                .drop("request_id").withColumnRenamed("source_id", "request_id")
-            (trs.parse_transcript(asked, bot_name, keys=("request_id", "channel"))
-             .withColumn("batch_id", F.lit(batch_id))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(f"{base}/requests"))
+            with staged(told.withColumn("mentions", F.coalesce("mentions", F.array())), "told") as told:
+                asked = rt.mention_requests(told, bot_id, n)
+                asked = asked.join(rows.select(F.col("message_id").alias("request_id"), "source_id"), "request_id")\
+                    .drop("request_id").withColumnRenamed("source_id", "request_id")
+                (trs.parse_transcript(asked, bot_name, keys=("request_id", "channel"))
+                 .withColumn("batch_id", F.lit(batch_id))
+                 .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("batch_id").parquet(f"{base}/requests"))
         finally:
             batch.unpersist()
 

@@ -153,3 +153,25 @@ def test_quarantine_keeps_batch_going(spark):
     jobs.ingest_stream(s, events_to_messages, f"{base}/h", f"{base}/_ck", BOT_ID, MEMBER_ROLE, SPECIAL_NAME)
     assert [r.source_id for r in spark.read.parquet(f"{base}/h").collect()] == [1]
     assert spark.read.parquet(f"{base}/h_quarantine").count() == 2
+
+
+def test_a_micro_batch_is_computed_once_before_it_is_numbered(spark, monkeypatch):
+    """Numbering and positions pass over their rows several times: they get stored
+    rows, not the joins and aggregates that lead to them."""
+    plans = []
+
+    def noted(fn):
+        def run(df, *args, **how):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return fn(df, *args, **how)
+        return run
+
+    monkeypatch.setattr(jobs, "dense_ids", noted(jobs.dense_ids))
+    monkeypatch.setattr(store, "dense_ids", noted(store.dense_ids))
+    monkeypatch.setattr(rt, "mention_requests", noted(rt.mention_requests))
+    base = run_dir(spark, "t_once")
+    events = read_table(spark, SF, "events")
+    events.limit(300).write.parquet(f"{base}/arrived")
+    jobs.mention_stream(jobs.read_stream(spark, f"{base}/arrived", events.schema), events_to_messages, base,
+                        f"{base}/_checkpoint", BOT_ID, MEMBER_ROLE, SPECIAL_NAME, BOT_NAME)
+    assert len(plans) == 3 and not [p for p in plans if "Aggregate" in p or "Join" in p]
