@@ -17,6 +17,7 @@ from chatlake.functions import text as tx
 from chatlake.functions import vectors as vx
 from chatlake.operators.chunks import PIECE_CHARS, reply_pieces
 from chatlake.operators.history import last_n_per_channel
+from chatlake.operators.keyed_files import write_by_key
 
 DIGEST_K = 5
 USER_DIGEST_K = 3
@@ -173,4 +174,5 @@ def write_primers(primers: DataFrame, path: str) -> None:
     """Primer text files, one folder per sender (SNK-7). The cost is that of the
     files, so senders are dealt to all tasks however few bytes they are."""
     n = int(primers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    primers.repartitionByRange(n, "sender").write.mode("errorifexists").partitionBy("sender").text(path)
+    rows = primers.select("sender", F.col("primer").alias("line"))
+    write_by_key(rows.repartitionByRange(n, "sender").sortWithinPartitions("sender"), path, "sender")
