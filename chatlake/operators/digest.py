@@ -39,8 +39,11 @@ def term_counts(messages: DataFrame, key: str = "id", text_col: str = "message",
 
 
 def idf(tf: DataFrame, n_docs) -> DataFrame:
-    """(term, df, idf) with idf = ln((1+N)/(1+df)); N may be a scalar Column."""
-    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))\
+    """(term, df, idf) with idf = ln((1+N)/(1+df)); N may be a scalar Column.
+
+    Every tf is over 0: reading it keeps ``tf`` the same plan here and where
+    the frequencies are joined to it, so that it is shuffled once."""
+    return tf.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))\
         .withColumn("idf", F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))))
 
 
@@ -127,7 +130,9 @@ def user_profiles(messages: DataFrame, n_terms: int = PROFILE_TERMS) -> DataFram
         F.countDistinct("channel").alias("n_channels"),
         F.min("id").alias("first_id"), F.max("id").alias("last_id"),
         F.sum(F.size(tx.terms("message"))).alias("n_terms"))
-    return facts.join(top, "sender", "left")
+    # a plain join would keep NULL senders out of the term counts on this side only, which then are shuffled twice
+    told = facts.join(top.withColumnRenamed("sender", "_sender"), F.col("sender").eqNullSafe(F.col("_sender")), "left").drop("_sender")
+    return told.withColumn("top_terms", F.when(F.col("sender").isNotNull(), F.col("top_terms")))
 
 
 def primer_relevance(requests: DataFrame, users: DataFrame,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chatlake.functions import text as tx
 from chatlake.operators.ids import group_positions
-from chatlake.operators.keyed_files import read_by_key, write_by_key
+from chatlake.operators.keyed_files import read_by_key, scan_by_key, write_by_key
 
 
 def user_history(history: DataFrame, sender: str, channel: str | None = None) -> DataFrame:
@@ -124,13 +124,13 @@ def write_lines(lines: DataFrame, path: str, key: str, order: list[str]) -> None
 
 def read_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(key, line) of the files that ``write_lines`` wrote, keys as text."""
-    return read_by_key(spark, path, key).select(key, F.col("value").alias("line"))
+    return read_by_key(spark, path, key)
 
 
 def read_ordered(spark: SparkSession, path: str, key: str) -> DataFrame:
     """(key, line_no, line) of such files in the order they hold: by the number of
     the part file, the place of the read block in it and the row in the block."""
-    rows = read_by_key(spark, path, key).select(
+    rows = scan_by_key(spark, path, key).select(
         key, F.col("value").alias("line"), F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("long").alias("part"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return group_positions(rows, key, ["part", "block", "row"], "line_no").select(key, "line_no", "line")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from chatlake.functions import text as tx
 from chatlake.operators.chunks import PACK_LIMIT
 from chatlake.operators.ids import bucketed
-from chatlake.session import checkpoint_root, default_parallelism, run_dir, ship_package
+from chatlake.session import checkpoint_root, default_parallelism, run_dir, ship_package, staged
 
 PIECE = 1 << 16     # lines a segment holds at most
 RANGE = 1 << 14     # lines a range of the order holds, as long as there are partitions for more ranges, and about those a Python call takes
@@ -215,17 +215,18 @@ def pack_line_rows(lines: DataFrame, group_col: str, order_cols: list[str], line
     order = [f"o{i}" for i in range(len(order_cols))]
     rn = F.row_number().over(Window.partitionBy("g", "_cl_bucket").orderBy(*order)).cast("long")
     path = run_dir(spark, "pack-lines")
-    # small segments cost more than they spread: only groups of many lines are cut to ranges
-    large = base.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > RANGE).select(
-        F.col("g").alias("large_g"), F.lit(True).alias("is_large"))
-    many = not large.isEmpty()
-    cut = bucketed(base, order[0], min(default_parallelism(spark), 1 + base.count() // RANGE) if many else 1,
-                   tie_col=order[1] if len(order) > 1 else None)
-    if many:
-        cut = cut.join(F.broadcast(large), F.col("g").eqNullSafe(F.col("large_g")), "left").withColumn(
-            "_cl_bucket", F.when(F.col("is_large"), F.col("_cl_bucket")).otherwise(0.0))
-    (cut.select("g", F.col("_cl_bucket").cast("long").alias("bucket"), rn.alias("rn"), "line", "t")
-     .write.parquet(path))
+    with staged(base, "pack-base") as base:     # counted, split at quantiles and numbered: several passes
+        # small segments cost more than they spread: only groups of many lines are cut to ranges
+        large = base.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > RANGE).select(
+            F.col("g").alias("large_g"), F.lit(True).alias("is_large"))
+        many = not large.isEmpty()
+        cut = bucketed(base, order[0], min(default_parallelism(spark), 1 + base.count() // RANGE) if many else 1,
+                       tie_col=order[1] if len(order) > 1 else None)
+        if many:
+            cut = cut.join(F.broadcast(large), F.col("g").eqNullSafe(F.col("large_g")), "left").withColumn(
+                "_cl_bucket", F.when(F.col("is_large"), F.col("_cl_bucket")).otherwise(0.0))
+        (cut.select("g", F.col("_cl_bucket").cast("long").alias("bucket"), rn.alias("rn"), "line", "t")
+         .write.parquet(path))
     numbered = spark.read.parquet(path)
     last = numbered.agg(F.max("bucket").alias("bucket"), F.max("rn").alias("rn")).first()
     if last.rn is None:

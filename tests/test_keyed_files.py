@@ -94,3 +94,30 @@ def test_no_rows_make_an_empty_folder(spark):
     path = run_dir(spark, "t_keyed")
     hist.write_lines(_rows(spark).where("seq < 0"), path, "sender", ["seq"])
     assert hist.read_lines(spark, path, "sender").count() == 0
+
+
+@pytest.mark.parametrize("small", [0, 20, 1 << 20])
+def test_files_that_tasks_read_have_the_lines_that_spark_reads(spark, small):
+    from chatlake.operators import keyed_files as kf
+    rows = _rows(spark).unionByName(spark.createDataFrame(
+        [("bom", 1, "﻿x"), ("ends", 1, "a\rb\r\nc\x0b\x0c\x1c\x85 d"), ("}", 1, "y" * 30), ("}", 2, ""),
+         ("%41", 1, "z"), ("bytes", 1, "x")], "sender string, seq long, line string"))
+    rows = rows.withColumn("line", F.when(F.col("sender") == "bytes", F.unhex(F.lit("61FF62")).cast("string")).otherwise(F.col("line")))
+    path = run_dir(spark, "t_keyed")
+    hist.write_lines(rows, path, "sender", ["seq"])
+    as_bytes = ["sender", F.hex(F.col("line").cast("binary")).alias("line")]
+    want = kf.scan_by_key(spark, path, "sender").withColumnRenamed("value", "line").select(*as_bytes)
+    got = kf.read_by_key(spark, path, "sender", many=1, small=small).select(*as_bytes)
+    assert got.schema.fieldNames() == ["sender", "line"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got.where("sender = '%41'").count() == 1
+
+
+def test_many_small_files_are_read_by_tasks_themselves(spark):
+    """Spark's reader opens each file at milliseconds; in the plan there is none of it."""
+    path = run_dir(spark, "t_keyed")
+    rows = spark.range(2400).select(F.format_string("u%d", F.col("id") % 1200).alias("sender"), F.col("id").alias("seq"), F.lit("x").alias("line"))
+    hist.write_lines(rows, path, "sender", ["seq"])
+    lines = hist.read_lines(spark, path, "sender")
+    assert not [f for f in lines.inputFiles() if "/sender=" in f]
+    assert [tuple(r) for r in lines.groupBy("line").agg(F.count("*"), F.countDistinct("sender")).collect()] == [("x", 2400, 1200)]
